@@ -82,30 +82,37 @@ def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: a lambda variable, where a column would be written out at each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def merge_fold(edges: Column, n: Column) -> Column:
     """Cuts of a word after all merges, as the set bits 0..n of a long."""
     one = F.lit(1).cast("long")
     bit = lambda i: F.call_function("shiftleft", one, i)
-    joins = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
-    joins = F.transform(joins, lambda e: F.struct((bit(e["start"]) + bit(e["end"])).alias("ends"), (bit(e["end"]) - bit(e["start"] + 1)).alias("inner")))
+    long_edges = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
+    joins = F.transform(long_edges, lambda e: F.struct((bit(e["start"]) + bit(e["end"])).alias("ends"), (bit(e["end"]) - bit(e["start"] + 1)).alias("inner")))
+
+    def fold(joins: Column) -> Column:
+        def step(mask: Column, _: Column) -> Column:
+            ready = F.filter(joins, lambda j: (mask.bitwiseAND(j["ends"]) == j["ends"]) & (F.bit_count(mask.bitwiseAND(j["inner"])) == 1))
+            return mask - F.coalesce(mask.bitwiseAND(F.get(ready, F.lit(0))["inner"]), F.lit(0).cast("long"))
 
-    def step(mask: Column, _: Column) -> Column:
-        ready = F.filter(joins, lambda j: (mask.bitwiseAND(j["ends"]) == j["ends"]) & (F.bit_count(mask.bitwiseAND(j["inner"])) == 1))
-        return F.coalesce(mask - mask.bitwiseAND(F.get(ready, F.lit(0))["inner"]), mask)
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), bit(n + 1) - 1, step)
 
-    start = bit(n + 1) - 1
-    return F.when(n < 2, start).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, step))
+    return let(joins, fold)
 
 
-def viterbi_fold(edges: Column, n: Column, word: Column, least: float) -> Column:
-    """array<struct<score,start,id>>: the best last edge at each end 0..n; id -1 for a character that is no piece."""
-    kind = "array<struct<score:double,start:int,id:int>>"
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id"))).cast(kind)
+def viterbi_fold(edges: Column, n: Column, least: float) -> Column:
+    """array<struct<score,back,id>>: the best last edge at each end 0..n, of equals the longest; back is its start's negative, id -1 a character that is no piece."""
+    kind = "array<struct<score:double,back:int,id:int>>"
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(-1).alias("id"))).cast(kind)
 
     def step(best: Column, end: Column) -> Column:
         here = F.filter(edges, lambda e: e["end"] == end)
-        scored = F.transform(here, lambda e: F.struct((F.get(best, e["start"])["score"] - e["rank"]).alias("score"), (e["start"]).alias("start"), e["id"].alias("id")))
-        unknown = F.struct((F.get(best, end - 1)["score"] + least - UNKNOWN).alias("score"), (end - 1).alias("start"), F.lit(-1).alias("id"))
+        scored = F.transform(here, lambda e: F.struct((F.get(best, e["start"])["score"] - e["rank"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id")))
+        unknown = F.struct((F.get(best, end - 1)["score"] + least - UNKNOWN).alias("score"), (1 - end).alias("back"), F.lit(-1).alias("id"))
         single = F.exists(here, lambda e: e["start"] == end - 1)
         options = F.when(single, scored).otherwise(F.concat(scored, F.array(unknown)))
         return F.concat(best, F.array(F.array_max(options))).cast(kind)
@@ -115,8 +122,21 @@ def viterbi_fold(edges: Column, n: Column, word: Column, least: float) -> Column
 
 def _spans_of_mask(mask: Column, n: Column) -> Column:
     """array<struct<start,end>> between neighbouring set bits."""
-    cuts = F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(mask, i) == 1)
-    return F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    cuts = lambda m: F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(m, i) == 1)
+    pairs = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    return let(mask, lambda m: let(cuts(m), pairs))
+
+
+def _path(best: Column, n: Column) -> Column:
+    """array<struct<start,end,id>> of the best path, id null for a character that is no piece."""
+
+    def back(ends: Column, _: Column) -> Column:
+        last = F.get(ends, F.lit(0))
+        return F.when(last > 0, F.concat(F.array(-F.get(best, last)["back"]), ends)).otherwise(ends)
+
+    cuts = F.aggregate(F.sequence(F.lit(1), n), F.array(n).cast("array<int>"), back)
+    named = lambda e: F.struct((-F.get(best, e)["back"]).alias("start"), e.alias("end"), F.nullif(F.get(best, e)["id"], F.lit(-1)).alias("id"))
+    return let(cuts, lambda c: F.transform(F.slice(c, F.lit(2), F.size(c) - 1), named))
 
 
 def _byte_ids(c: Column, first: int) -> Column:
@@ -179,17 +199,9 @@ def encode_words(spark: SparkSession, words: DataFrame, pieces: Pieces) -> DataF
             lambda x: F.struct(x["start"], x["end"], F.get(F.filter("edges", lambda e: (e["start"] == x["start"]) & (e["end"] == x["end"])), F.lit(0))["id"].alias("id")),
         )
     else:
-        spans = grouped.withColumn("best", viterbi_fold(F.col("edges"), F.col("n_chars"), F.col("word"), pieces.least))
-        path = F.aggregate(
-            F.sequence(F.lit(1), F.col("n_chars")),
-            F.array(F.col("n_chars")).cast("array<int>"),
-            lambda ends, _: F.when(F.get(ends, F.lit(0)) > 0, F.concat(F.array(F.get("best", F.get(ends, F.lit(0)))["start"]), ends)).otherwise(ends),
-        )
-        spans = spans.withColumn("cuts", path)
-        named = F.transform(
-            F.slice("cuts", F.lit(2), F.size("cuts") - 1),
-            lambda e: F.struct(F.get("best", e)["start"].alias("start"), e.alias("end"), F.nullif(F.get("best", e)["id"], F.lit(-1)).alias("id")),
-        )
+        spans = grouped
+        best = viterbi_fold(F.col("edges"), F.col("n_chars"), pieces.least)
+        named = let(best, lambda b: _path(b, F.col("n_chars")))
     ids = F.flatten(F.transform("named", lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(_byte_ids(F.substr("word", x["start"] + 1, F.lit(1)), pieces.bytes[0]))))
     out = spans.withColumn("named", named).select("word", "n", ids.alias("ids"))
     if pieces.bpe:
@@ -241,7 +253,10 @@ def encode_digests(spark: SparkSession, docs: DataFrame, pieces: Pieces) -> Data
     encoded, known = encode(spark, docs, pieces)
     broken = decode_words(spark, known, pieces).where("decoded <> word or decoded is null").select("word", F.lit(True).alias("broken"))
     wrong = materialize(spark, broken, "broken")
-    per_word = encoded.join(F.broadcast(wrong), "word", "left") if wrong.limit(1).count() and wrong.count() <= FREQUENT else encoded.join(wrong, "word", "left") if wrong.limit(1).count() else encoded.withColumn("broken", F.lit(None).cast("boolean"))
+    if not wrong.limit(1).count():  # the rule: no word fails, and the words need no join
+        per_word = encoded.withColumn("broken", F.lit(None).cast("boolean"))
+    else:
+        per_word = encoded.join(wrong, "word", "left")
     per = per_word.groupBy("uid", "doc_id").agg(
         F.count("word").alias("n_words"),
         F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long").alias("n_pieces"),
