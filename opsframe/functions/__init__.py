@@ -1,0 +1 @@
+"""Column expressions: text, prices, scores and monitoring rules."""

@@ -1,0 +1 @@
+"""Registered queries with the SQL that they are checked against."""

@@ -1,0 +1 @@
+"""Structured Streaming over the append-only check table."""
