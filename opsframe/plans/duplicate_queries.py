@@ -1,6 +1,67 @@
-"""Queries."""
+"""Duplicate detection queries."""
 
-Q = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from opsframe.functions import scores as S
+from opsframe.operators import duplicates as D
+from opsframe.sources.adapters import view, with_views
+from opsframe.sources.readers import scan
+
+#: The driver's vectors have few close pairs; at the usual 0.80 the result would be empty.
+LEAST = 0.40
+
+
+def _p(s, d):
+    return view(s, d, "products_v")
+
+
+def _hashed(s, d, rule):
+    return _p(s, d).where(rule).select("id", "brand", ((F.col("num") * 2654435761) % 1048576).alias("phash"))
+
+
+def _pairs(s, d):
+    n = max(2, scan(s, d, "embeddings").count() // 250)
+    return D.similar_pairs(scan(s, d, "embeddings"), LEAST, n)
+
+
+_GROUPS = "g AS (SELECT lower(trim(name)) AS k_name, price AS k_price, lower(trim(brand)) AS k_brand, count(*) AS size, min(id) AS first_id, list(id ORDER BY id) AS members FROM products_v WHERE coalesce(name, '') <> '' AND coalesce(price, '') <> '' AND coalesce(brand, '') <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1)"
+_PAIRS = f"""pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) AS similarity
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b ON a.vec_id < b.vec_id
+  WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= {LEAST})"""
+_COMP = "both_ AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs), reach(id, node) AS (SELECT src, src FROM both_ UNION SELECT r.id, b.dst FROM reach r JOIN both_ b ON r.node = b.src), comp AS (SELECT id, min(node) AS component FROM reach GROUP BY id)"
+_HASHED = "h AS (SELECT id, num, brand, (num * 2654435761) % 1048576 AS phash FROM products_v)"
+
+Q = {
+    "a1_exact_duplicates": (lambda s, d: D.exact_duplicates(_p(s, d)).select("first_id", "size", F.array_join("members", ",").alias("members")), f"WITH {_GROUPS} SELECT first_id, size, array_to_string(members, ',') AS members FROM g"),
+    "a2_duplicate_summary": (lambda s, d: D.duplicate_summary(D.exact_duplicates(_p(s, d))), f"WITH {_GROUPS} SELECT count(*) AS n_groups, CAST(coalesce(sum(size - 1), 0) AS BIGINT) AS surplus FROM g"),
+    "j10_group_pairs": (lambda s, d: D.group_pairs(D.exact_duplicates(_p(s, d))), f"WITH {_GROUPS} SELECT first_id AS id1, unnest(members[2:]) AS id2 FROM g"),
+    "j11_attach_scores": (
+        lambda s, d: D.attach_scores(D.group_pairs(D.exact_duplicates(_p(s, d))), _p(s, d).where("num % 2 = 0").select(F.col("id").alias("id2"), F.lit(0.9).alias("score")).join(D.group_pairs(D.exact_duplicates(_p(s, d))), "id2").select("id1", "id2", "score")),
+        f"WITH {_GROUPS}, x AS (SELECT first_id AS id1, unnest(members[2:]) AS id2 FROM g) SELECT id1, id2, CASE WHEN CAST(substr(id2, 3) AS BIGINT) % 2 = 0 THEN 0.9::DOUBLE END AS score FROM x",
+    ),
+    "j7_block_candidates": (
+        lambda s, d: D.block_candidates(_hashed(s, d, "num % 10 = 0"), _hashed(s, d, "num % 10 <> 0"), 4),
+        f"WITH {_HASHED} SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON upper(trim(u.brand)) = upper(trim(m.brand)) WHERE u.num % 10 = 0 AND m.num % 10 <> 0 AND bit_count(xor(u.phash, m.phash)) < 4",
+    ),
+    "j8_global_candidates": (
+        lambda s, d: D.global_candidates(_hashed(s, d, "num % 10 = 0"), _hashed(s, d, "num % 10 <> 0"), 4, 20),
+        f"WITH {_HASHED}, p AS (SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON bit_count(xor(u.phash, m.phash)) < 4 WHERE u.num % 10 = 0 AND m.num % 10 <> 0) SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, mapped_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 3",
+    ),
+    "w2_nearest_mapped": (
+        lambda s, d: D.nearest_mapped(D.block_candidates(_hashed(s, d, "num % 10 = 0"), _hashed(s, d, "num % 10 <> 0"), 6)),
+        f"WITH {_HASHED}, p AS (SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON upper(trim(u.brand)) = upper(trim(m.brand)) WHERE u.num % 10 = 0 AND m.num % 10 <> 0 AND bit_count(xor(u.phash, m.phash)) < 6) SELECT id, mapped_id, distance FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, mapped_id) = 1",
+    ),
+    "j9_similar_pairs": (lambda s, d: _pairs(s, d).select("src", "dst", F.bround("similarity", 4).alias("similarity")), f"WITH {_PAIRS} SELECT src, dst, round_even(similarity, 4) AS similarity FROM pairs"),
+    "a3_components": (lambda s, d: D.similarity_components(s, _pairs(s, d)), f"WITH RECURSIVE {_PAIRS}, {_COMP} SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM comp"),
+    "a4_survivors": (lambda s, d: D.survivors(D.similarity_components(s, _pairs(s, d))), f"WITH RECURSIVE {_PAIRS}, {_COMP} SELECT id, component, CASE WHEN row_number() OVER (PARTITION BY component ORDER BY CAST(id AS VARCHAR)) = 1 THEN 'keep' ELSE 'delete' END AS action FROM comp"),
+    "m4_hamming64": (lambda s, d: _p(s, d).select("id", S.hamming64(F.col("num") * 7919, F.col("num") * 104729).alias("distance")), "SELECT id, CAST(bit_count(xor(num * 7919, num * 104729)) AS INTEGER) AS distance FROM products_v"),
+    "m5_cosine": (
+        lambda s, d: D.pair_cosines(scan(s, d, "embeddings").select(F.col("vec_id").alias("id1"), (F.col("vec_id") + 1).alias("id2")), scan(s, d, "embeddings")),
+        "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id AS id1, b.vec_id AS id2, round_even(greatest(least(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)), 1.0), 0.0), 4) AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1",
+    ),
+}
 
 
 def queries() -> dict:
@@ -8,4 +69,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in Q.items() if sql}
+    out = {}
+    for k, (_, sql) in Q.items():
+        if sql.startswith("WITH RECURSIVE "):
+            out[k] = sql
+        elif sql:
+            out[k] = with_views(sql)
+    return out

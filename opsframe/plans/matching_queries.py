@@ -1,6 +1,137 @@
-"""Queries."""
+"""Price matching and video queries."""
 
-Q = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from opsframe.functions import scores as S
+from opsframe.functions import text as T
+from opsframe.functions.text import FILLERS, PACK_PHRASES, STOP_WORDS
+from opsframe.operators import matching as M
+from opsframe.operators import videos as V
+from opsframe.operators.keyed import top_per_key
+from opsframe.sources.adapters import view, with_views
+from opsframe.sources.readers import scan
+
+
+def _c(s, d):
+    return view(s, d, "candidates_v")
+
+
+def _v(s, d):
+    return view(s, d, "videos_v")
+
+
+def _labels(s, d):
+    """Ten label vectors: the first vector of each label of the table."""
+    e = scan(s, d, "embeddings").where("label < 10")
+    return e.groupBy(F.concat(F.lit("label-"), F.col("label").cast("string")).alias("label")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def _tokens(c: str) -> str:
+    return f"list_filter(string_split_regex(regexp_replace(lower({c}), '[^a-z0-9_\\s/]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP}))"
+
+
+def _bigrams(t: str) -> str:
+    return f"list_distinct(list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]))"
+
+
+_SCORED = f"""tk AS (SELECT *, {_tokens('title')} AS t, {_tokens('cand_title')} AS n FROM candidates_v),
+bg AS (SELECT *, {_bigrams('t')} AS bt, {_bigrams('n')} AS bn, len(list_intersect(t, n)) AS overlap, CASE WHEN len(t) <= len(n) THEN t ELSE n END AS sh, CASE WHEN len(t) <= len(n) THEN n ELSE t END AS lo FROM tk),
+sc AS (SELECT *, CASE WHEN len(t) > 0 AND len(n) > 0 THEN
+    7.5 * len(list_filter(sh, lambda w: list_contains(lo, w))) / len(sh)
+    + 5.0 * CASE WHEN len(bt) > 0 AND len(bn) > 0 THEN len(list_intersect(bt, bn)) / len(list_distinct(list_concat(bt, bn))) ELSE 0 END
+    + 4.0 * overlap / len(list_distinct(list_concat(t, n)))
+    + CASE WHEN t[1] = n[1] THEN 1.5 ELSE 0 END
+    + CASE WHEN least(CAST(price AS DOUBLE), CAST(cand_price AS DOUBLE)) / greatest(CAST(price AS DOUBLE), CAST(cand_price AS DOUBLE)) >= 0.7 AND cand_price IS NOT NULL THEN 2.0 ELSE 0 END
+  ELSE 0 END AS text_score, CAST(bit_count(xor(phash, cand_phash)) AS INTEGER) * 3 AS dist FROM bg),
+ph AS (SELECT *, CASE WHEN dist <= 5 THEN 80 WHEN dist <= 10 THEN 68 WHEN dist <= 15 THEN 55 WHEN dist <= 20 THEN 35 WHEN dist <= 25 THEN 20 WHEN dist <= 30 THEN 10 ELSE 0 END AS hs FROM sc),
+ms AS (SELECT *, least((hs + text_score) * CASE WHEN len(t) > 0 AND len(n) > 0 AND overlap <= 1 AND greatest(len(t), len(n)) > 2 THEN 0.85 ELSE 1 END, 100.0) + CASE WHEN source = 'revimg' THEN 30 ELSE 0 END AS score FROM ph),
+vs AS (SELECT *, greatest(score, dinov2_sim * 80, clip_sim * 75) AS verified, CASE WHEN source = 'revimg' THEN NOT (dinov2_sim < 0.45 AND clip_sim < 0.55) ELSE dinov2_sim >= 0.60 AND clip_sim >= 0.65 END AS passes FROM ms)"""
+_BEST = f"{_SCORED}, best AS (SELECT * FROM vs WHERE verified > 0 QUALIFY row_number() OVER (PARTITION BY product_key, platform ORDER BY round(verified, 9) DESC, cand_key) = 1)"
+_TAG = "CASE WHEN verified >= 85 THEN 'Exact Match' WHEN verified >= 70 THEN 'Match' WHEN verified >= 50 THEN 'Similar' ELSE 'Almost Similar' END"
+_NORM = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _norm(c: str) -> str:
+    return _NORM.format(c=c)
+
+
+_REL = f"""rel AS (SELECT *, round(CASE WHEN contains({_norm('title')}, {_norm('product_name')}) THEN 50.0 ELSE 0.0 END
+  + 30.0 * len(list_filter(string_split({_norm('product_name')}, ' '), lambda w: length(w) > 2 AND contains({_norm('title')}, w))) / len(string_split({_norm('product_name')}, ' '))
+  + CASE WHEN view_count > 0 THEN least(5 * log10(CAST(view_count AS DOUBLE)), 20.0) ELSE 0.0 END, 6) AS relevance FROM {{src}})"""
+_SHORT = "CASE WHEN duration IS NULL THEN true ELSE CAST(split_part(duration, ':', 1) AS INT) = 0 AND CAST(split_part(duration, ':', 2) AS INT) <= 60 END"
+_DEDUP = "d AS (SELECT * FROM videos_v QUALIFY row_number() OVER (PARTITION BY id ORDER BY product_key, seq) = 1)"
+
+Q = {
+    "t1_norm_text": (lambda s, d: scan(s, d, "part").select("p_partkey", T.norm_text(F.concat("p_name", F.lit("!  (New) "), "p_type")).alias("text")), f"SELECT p_partkey, {_norm("concat(p_name, '!  (New) ', p_type)")} AS text FROM part"),
+    "t2_match_tokens": (lambda s, d: _c(s, d).select("product_key", "cand_key", F.array_join(T.match_tokens(F.col("cand_title")), " ").alias("tokens")), f"SELECT product_key, cand_key, array_to_string({_tokens('cand_title')}, ' ') AS tokens FROM candidates_v"),
+    "t3_name_key": (lambda s, d: _c(s, d).select("product_key", "cand_key", T.name_key(F.col("cand_title")).alias("k")), f"SELECT product_key, cand_key, trim(regexp_replace(regexp_replace(lower(trim(cand_title)), '\\b({PACK_PHRASES})\\b', '', 'g'), '\\s+', ' ', 'g')) AS k FROM candidates_v"),
+    "t12_sku_query": (
+        lambda s, d: scan(s, d, "part").select("p_partkey", T.sku_query(F.concat("p_name", F.lit(" set "), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("DH666-"), "p_size")).otherwise(F.lower("p_type")))).alias("q")),
+        f"SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat('DH666-', CAST(p_size AS VARCHAR)) ELSE array_to_string({_tokens('concat(p_name, chr(32), lower(p_type))')}, ' ') END AS q FROM part",
+    ),
+    "t13_video_query": (lambda s, d: _v(s, d).select("product_key", "seq", T.video_query(F.concat("title", F.lit(" (large) for the kitchen - UB-163"))).alias("q")), f"SELECT product_key, seq, array_to_string(string_split(trim(regexp_replace(regexp_replace(title, '(?i)\\b({FILLERS})\\b', ' ', 'g'), '\\s+', ' ', 'g')), ' ')[1:4], ' ') AS q FROM videos_v"),
+    "t14_generated_queries": (
+        lambda s, d: _v(s, d).groupBy("product_key").agg(F.min("product_name").alias("name"), F.min_by("title", "seq").alias("title")).select("product_key", F.explode(F.array(F.struct(F.lit(0.95).alias("weight"), F.lower("name").alias("q")), F.struct(F.lit(0.88).alias("weight"), F.concat(F.lower("name"), F.lit(" "), F.element_at(F.split("title", " "), -1)).alias("q")), F.struct(F.lit(0.6).alias("weight"), F.array_join(F.slice(F.array_sort(F.split("name", " ")), 1, 3), " ").alias("q")))).alias("g")).select("product_key", "g.*"),
+        "WITH p AS (SELECT product_key, min(product_name) AS name, arg_min(title, seq) AS title FROM videos_v GROUP BY 1) SELECT product_key, 0.95::DOUBLE AS weight, lower(name) AS q FROM p UNION ALL SELECT product_key, 0.88, concat(lower(name), ' ', split_part(title, ' ', -1)) FROM p UNION ALL SELECT product_key, 0.6, array_to_string(list_sort(string_split(name, ' '))[1:3], ' ') FROM p",
+    ),
+    "l2_top_queries": (
+        lambda s, d: V.scored(_v(s, d)).select("product_key", "seq", "relevance").transform(lambda x: top_per_key(x, ["product_key"], [F.desc("relevance"), F.col("seq")], 8)),
+        f"WITH {_REL.format(src='videos_v')} SELECT product_key, seq, relevance, CAST(row_number() OVER (PARTITION BY product_key ORDER BY relevance DESC, seq) AS INTEGER) AS rank FROM rel QUALIFY rank <= 8",
+    ),
+    "n7_bigrams": (lambda s, d: _c(s, d).select("product_key", "cand_key", F.size(T.bigrams(T.match_tokens(F.col("cand_title")))).cast("long").alias("n")), f"WITH tk AS (SELECT *, {_tokens('cand_title')} AS n FROM candidates_v) SELECT product_key, cand_key, len({_bigrams('n')}) AS n FROM tk"),
+    "n10_cache_key": (lambda s, d: _c(s, d).select("product_key", "cand_key", F.col("cand_title").alias("title"), F.lit(None).cast("string").alias("image_url")).select("product_key", "cand_key", M.cache_key().alias("k")), "SELECT product_key, cand_key, md5(substr(cand_title, 1, 80) || '|') AS k FROM candidates_v"),
+    "n12_bucket_links": (lambda s, d: _c(s, d).groupBy("platform", "source").agg(F.count("*").alias("n")), "SELECT platform, source, count(*) AS n FROM candidates_v GROUP BY 1, 2"),
+    "m6_phash_score": (lambda s, d: _c(s, d).select("product_key", "cand_key", S.phash_score(S.hamming64(F.col("phash"), F.col("cand_phash")) * 3).alias("hs")), f"WITH {_SCORED} SELECT product_key, cand_key, CAST(hs AS DOUBLE) AS hs FROM ph"),
+    "m7_image_url_equal": (
+        lambda s, d: _c(s, d).select("product_key", "cand_key", S.image_url_equal(F.concat(F.lit("https://cdn.shop.example/i/"), F.col("product_key"), F.lit("_512.jpg?x")), F.concat(F.lit("https://cdn.shop.example/i/"), F.col("cand_key") - F.col("cand_key") % 20, F.lit("_256.jpg"))).alias("same")),
+        "WITH u AS (SELECT *, concat('https://cdn.shop.example/i/', CAST(product_key AS VARCHAR)) AS a, concat('https://cdn.shop.example/i/', CAST(cand_key - cand_key % 20 AS VARCHAR)) AS b FROM candidates_v) SELECT product_key, cand_key, a = b OR (length(a) > 30 AND contains(b, a)) OR (length(b) > 30 AND contains(a, b)) AS same FROM u",
+    ),
+    "m8_text_score": (lambda s, d: S.with_text_score(_c(s, d), "title", "cand_title", "price", "cand_price").select("product_key", "cand_key", F.round("text_score", 6).alias("text_score")), f"WITH {_SCORED} SELECT product_key, cand_key, round(text_score, 6) AS text_score FROM sc"),
+    "m9_match_score": (lambda s, d: M.score_candidates(_c(s, d), 3).select("product_key", "cand_key", F.round("score", 6).alias("score")), f"WITH {_SCORED} SELECT product_key, cand_key, round(score, 6) AS score FROM ms"),
+    "m10_verified_score": (lambda s, d: M.score_candidates(_c(s, d), 3).select("product_key", "cand_key", F.round("verified", 6).alias("verified")), f"WITH {_SCORED} SELECT product_key, cand_key, round(verified, 6) AS verified FROM vs"),
+    "m11_match_gate": (lambda s, d: M.score_candidates(_c(s, d), 3).groupBy("platform", "source", "passes").agg(F.count("*").alias("n")), f"WITH {_SCORED} SELECT platform, source, passes, count(*) AS n FROM vs GROUP BY 1, 2, 3"),
+    "m12_overlap_score": (
+        lambda s, d: _c(s, d).withColumns({"a": F.array_distinct(F.split(F.lower("title"), " ")), "b": F.array_distinct(F.split(F.lower("cand_title"), " "))}).select("product_key", "cand_key", F.round(50.0 * F.size(F.array_intersect("a", "b")) / F.greatest(F.size("a"), F.size("b")), 6).alias("score")),
+        "WITH x AS (SELECT *, list_distinct(string_split(lower(title), ' ')) AS a, list_distinct(string_split(lower(cand_title), ' ')) AS b FROM candidates_v) SELECT product_key, cand_key, round(50.0 * len(list_intersect(a, b)) / greatest(len(a), len(b)), 6) AS score FROM x",
+    ),
+    "w1_best_candidate": (lambda s, d: M.best_candidate(M.score_candidates(_c(s, d), 3)).select("product_key", "platform", "cand_key", F.round("verified", 6).alias("verified")), f"WITH {_BEST} SELECT product_key, platform, cand_key, round(verified, 6) AS verified FROM best"),
+    "t15_match_tag": (lambda s, d: M.best_candidate(M.score_candidates(_c(s, d), 3)).groupBy(S.match_tag(F.col("verified")).alias("tag")).agg(F.count("*").alias("n")), f"WITH {_BEST} SELECT {_TAG} AS tag, count(*) AS n FROM best GROUP BY 1"),
+    "u2_union_candidates": (lambda s, d: _c(s, d).where("source = 'revimg'").unionByName(_c(s, d).where("source = 'search'")).groupBy("product_key").agg(F.count_if(F.col("source") == "revimg").alias("n_rev"), F.count("*").alias("n")), "SELECT product_key, count(*) FILTER (source = 'revimg') AS n_rev, count(*) AS n FROM candidates_v GROUP BY 1"),
+    "u3_token_sets": (
+        lambda s, d: _c(s, d).withColumns({"a": T.match_tokens(F.col("title")), "b": T.match_tokens(F.col("cand_title"))}).select("product_key", "cand_key", F.size(F.array_intersect("a", "b")).cast("long").alias("both_n"), F.size(F.array_union("a", "b")).cast("long").alias("either_n")),
+        f"WITH {_SCORED} SELECT product_key, cand_key, overlap AS both_n, len(list_distinct(list_concat(t, n))) AS either_n FROM bg",
+    ),
+    "u7_pivot_mapping": (
+        lambda s, d: M.pivot_mapping(M.best_candidate(M.score_candidates(_c(s, d), 3))),
+        f"WITH {_BEST} SELECT product_key, "
+        + ", ".join(f"max(cand_key) FILTER (platform = '{p}') AS {p}_key, max(CASE WHEN passes THEN cand_price END) FILTER (platform = '{p}') AS {p}_price, max(round_even(verified, 4)) FILTER (platform = '{p}') AS {p}_score, max({_TAG}) FILTER (platform = '{p}') AS {p}_tag" for p in M.PLATFORMS)
+        + " FROM best GROUP BY product_key",
+    ),
+    "w5_top_links": (lambda s, d: M.top_links(_c(s, d), 3), "SELECT product_key, platform, cand_key, CAST(row_number() OVER (PARTITION BY product_key, platform ORDER BY cand_key) AS INTEGER) AS rank FROM (SELECT DISTINCT product_key, platform, cand_key FROM candidates_v) QUALIFY rank <= 3"),
+    "m13_relevance": (lambda s, d: V.scored(_v(s, d)).select("product_key", "seq", "relevance"), f"WITH {_REL.format(src='videos_v')} SELECT product_key, seq, relevance FROM rel"),
+    "m14_iso_duration": (
+        lambda s, d: scan(s, d, "part").select("p_partkey", S.iso_duration(F.concat(F.lit("PT"), F.when(F.col("p_partkey") % 2 == 0, "1H").otherwise(""), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_size", F.lit("M"))).otherwise(""), F.when(F.col("p_partkey") % 5 == 0, "7S").otherwise(""))).alias("shown")),
+        "SELECT p_partkey, concat(CASE WHEN p_partkey % 2 = 0 THEN '1:' ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 2 = 0 AND p_size < 10 THEN concat('0', CAST(p_size AS VARCHAR)) ELSE CAST(p_size AS VARCHAR) END ELSE '0' END, ':', CASE WHEN p_partkey % 5 = 0 THEN '07' ELSE '00' END) AS shown FROM part",
+    ),
+    "f14_is_short": (lambda s, d: _v(s, d).select("product_key", "seq", S.is_short(F.col("duration")).alias("short")), f"SELECT product_key, seq, {_SHORT} AS short FROM videos_v"),
+    "t18_view_count": (lambda s, d: _v(s, d).select("product_key", "seq", S.view_count(F.concat(F.lit("by x, "), F.format_number("view_count", 0), F.lit(" views"))).alias("n")), "SELECT product_key, seq, view_count AS n FROM videos_v"),
+    "l1_top_videos": (lambda s, d: V.top_videos(_v(s, d), 20).select("id", "relevance"), f"WITH {_DEDUP}, {_REL.format(src='d')} SELECT id, relevance FROM rel ORDER BY relevance DESC, id LIMIT 20"),
+    "w6_cap_per_source": (lambda s, d: V.cap_per_source(_v(s, d), 10).select("product_key", "seq", "rank"), "SELECT product_key, seq, CAST(row_number() OVER (PARTITION BY product_key ORDER BY seq) AS INTEGER) AS rank FROM videos_v QUALIFY rank <= 10"),
+    "w7_prefer_shorts": (
+        lambda s, d: V.prefer_shorts(_v(s, d), 10).select("product_key", "seq", "short", "rank"),
+        f"WITH {_REL.format(src='videos_v')}, sh AS (SELECT *, {_SHORT} AS short FROM rel), c AS (SELECT *, count(*) FILTER (short) OVER (PARTITION BY product_key) AS n_short FROM sh) SELECT product_key, seq, short, CAST(row_number() OVER (PARTITION BY product_key ORDER BY short DESC, relevance DESC, seq) AS INTEGER) AS rank FROM c WHERE n_short < 3 OR short QUALIFY rank <= 10",
+    ),
+    "w8_top_labels": (
+        lambda s, d: V.top_labels(scan(s, d, "embeddings").select("vec_id", "embedding"), _labels(s, d), 5),
+        "WITH l AS (SELECT concat('label-', CAST(label AS VARCHAR)) AS label, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS v FROM embeddings WHERE label < 10 GROUP BY label), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), g AS (SELECT vec_id, label, 10.0 * list_inner_product(x, v) / sqrt(list_inner_product(x, x) * list_inner_product(v, v)) AS z FROM e, l), p AS (SELECT vec_id, label, round(exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w), 6) AS prob FROM g WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, label, prob, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, label) AS INTEGER) AS rank FROM p QUALIFY rank <= 5",
+    ),
+    "u4_warnings_distinct": (lambda s, d: _v(s, d).groupBy("product_key").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(F.substring("title", 1, 3), F.coalesce("duration", F.lit("-"))))))), ",").alias("w")), "WITH x AS (SELECT product_key, unnest([substr(title, 1, 3), coalesce(duration, '-')]) AS w FROM videos_v) SELECT product_key, string_agg(DISTINCT w, ',' ORDER BY w) AS w FROM x GROUP BY 1"),
+}
 
 
 def queries() -> dict:
@@ -8,4 +139,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in Q.items() if sql}
+    return {k: with_views(sql) for k, (_, sql) in Q.items() if sql}

@@ -72,4 +72,6 @@ def with_views(sql: str) -> str:
     """DuckDB SQL with the adapters it names in front."""
     own = [f"{n} AS ({s.format(part='part', events='events')})" for n, s in SQL.items() if n in sql]
     body = sql.strip()
+    if not own:
+        return body
     return f"WITH {', '.join(own)}{', ' + body[5:] if body.startswith('WITH ') else ' ' + body}"
