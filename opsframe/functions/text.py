@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,3 +135,25 @@ def spec_value(specs: Column, part: str, first: bool = True) -> Column:
     """The first or last value of a map whose key holds a word, in key order."""
     found = F.filter(F.array_sort(F.map_entries(specs)), lambda e: F.contains(F.lower(e["key"]), F.lit(part)))
     return F.try_element_at(found, F.lit(1 if first else -1))["value"]
+
+
+# Entities that pages commonly hold.
+ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&rarr;": "→", "&amp;": "&"}
+
+
+def clean_ws(c: Column) -> Column:
+    """Bidirectional marks removed, common entities resolved, white space squeezed."""
+    out = F.regexp_replace(c, "[‎‏‪-‮]", "")
+    for entity, char in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return squeeze(out)
+
+
+def unescape_html(c: Column) -> Column:
+    """All entities of HTML 5, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(html.unescape, na_action="ignore")
+
+    return run(c)

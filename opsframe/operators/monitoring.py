@@ -142,3 +142,27 @@ def attach_recording(steps: DataFrame) -> DataFrame:
     s = steps.withColumn("platform", platform_of_step(F.col("step")))
     first = s.where("video_path is not null").groupBy("platform").agg(F.min_by("video_path", "seq").alias("recording"))
     return s.join(F.broadcast(first), "platform", "left")
+
+
+def to_check_rows(parts: dict[str, DataFrame]) -> DataFrame:
+    """One long table out of checks of several kinds: page, metric, value, status; a kind lacks what it has no column for."""
+    out = None
+    for kind, df in parts.items():
+        have = lambda c, t: (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c)  # noqa: B023, E731
+        rows = df.select(F.lit(kind).alias("kind"), have("page", "string"), have("metric", "string"), have("value", "double"), have("status", "string"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def report_text(flows: DataFrame) -> DataFrame:
+    """One text: flows by score, each as a line."""
+    line = F.format_string("%s: %d%% (%s), %d failed of %d", "flow", "score", "colour", "n_fail", "total")
+    rows = F.sort_array(F.collect_list(F.struct("score", "flow", line.alias("line"))))
+    return flows.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("report"))
+
+
+def merged_causes(checks: DataFrame, templates: DataFrame) -> DataFrame:
+    """seq, causes: texts of all rules of the page, repeated ones once, in the rules' order."""
+    met = checks.join(F.broadcast(templates), F.contains(checks["page"], templates["group_key"]))
+    ordered = F.sort_array(F.collect_list(F.struct("group_order", "template_order", "summary")))
+    return met.groupBy("seq").agg(F.array_distinct(F.transform(ordered, lambda r: r["summary"])).alias("causes"))

@@ -78,3 +78,41 @@ def write_back(sheet: DataFrame, results: DataFrame, key: str, columns: list[str
     j = sheet.join(r, key, "left")
     out = {by_name.get(c.lower(), c): F.coalesce(F.col(f"__{c}"), F.col(by_name[c.lower()]) if c.lower() in by_name else F.lit(None).cast("string")) for c in columns}
     return j.withColumns(out).drop(*(f"__{c}" for c in columns))
+
+
+def deep_state_products(pages: DataFrame, html: str = "html", depth: int = 25) -> DataFrame:
+    """url, product_id, name, price of every product object in the embedded state, at any depth.
+
+    A product has an id and a name under one of their usual keys. The walk of nested
+    objects has no relational form, so each page's state is walked in an Arrow batch.
+    """
+    import json
+
+    import pyarrow as pa
+
+    keys = {"product_id": ("productId", "product_id", "id"), "name": ("name", "title", "productName"), "price": ("price", "sellingPrice", "min_product_price")}
+
+    def walk(x, left):
+        if left and isinstance(x, dict):
+            found = {k: next((str(x[n]) for n in names if isinstance(x.get(n), (str, int, float)) and x.get(n) != ""), None) for k, names in keys.items()}
+            if found["product_id"] and found["name"]:
+                yield found
+            for v in x.values():
+                yield from walk(v, left - 1)
+        elif left and isinstance(x, list):
+            for v in x:
+                yield from walk(v, left - 1)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for url, state in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    tree = json.loads(state or "null")
+                except ValueError:
+                    continue
+                out += [(url, p["product_id"], p["name"], p["price"]) for p in walk(tree, depth)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(4)], ["url", "product_id", "name", "price"])
+
+    state = F.regexp_extract(html, r"(?s)<script id=\"__STATE__\"[^>]*>(.*?)</script>", 1)
+    return pages.select("url", state.alias("state")).mapInArrow(run, "url string, product_id string, name string, price string")

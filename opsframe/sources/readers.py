@@ -14,7 +14,7 @@ def scan(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
 
 def read_sheet_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every cell a string, blanks as empty strings."""
-    return spark.read.option("header", True).option("inferSchema", False).option("nullValue", "\0").option("emptyValue", "").csv(path).na.fill("")
+    return spark.read.option("header", True).option("inferSchema", False).option("escape", '"').option("nullValue", "\0").option("emptyValue", "").csv(path).na.fill("")
 
 
 def read_records_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
