@@ -344,10 +344,12 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "uid")).alias("best")).select(F.col("best.uid").alias("uid"))
     kept = rows.join(best, "uid").select("doc_id", "text_hash")
     again = rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
-    names = docs.columns
-    tagged = docs.withColumn("__hash", F.xxhash64("text"))
+    # numbered names, so that no column of docs is taken for one of these
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    doc, text = (own[docs.columns.index(c)] for c in ("doc_id", "text"))
+    tagged = docs.toDF(*own).withColumn("hash", F.xxhash64(text))
     keys = kept.select(F.col("doc_id").alias("k_doc"), F.col("text_hash").alias("k_hash"))
-    out = tagged.join(keys, on=[tagged["doc_id"].cast("long").eqNullSafe(keys["k_doc"]), tagged["__hash"] == keys["k_hash"]], how="left_semi")
+    out = tagged.join(keys, on=[tagged[doc].cast("long").eqNullSafe(keys["k_doc"]), tagged["hash"] == keys["k_hash"]], how="left_semi")
     if again:
-        out = out.dropDuplicates(["doc_id", "__hash"])
-    return out.select(*names)
+        out = out.dropDuplicates([doc, "hash"])
+    return out.select(*own).toDF(*docs.columns)

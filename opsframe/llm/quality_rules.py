@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsframe.llm.common import materialize
 
@@ -108,8 +109,8 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
             rows = np.array([sum(text_stats(t), []) for t in batch.column(len(keep)).to_pylist()], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(rows[:, i]) for i in range(len(names)))], [*keep, *names])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, ", ".join([ddl, *(f"{n} long" for n in names)]))
+    counts = [T.StructField(n, T.LongType()) for n in names]
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], *counts]))
 
 
 def base_failed() -> Column:
@@ -215,7 +216,10 @@ def quality(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows, all their columns, that quality() keeps. Texts are read twice and never shuffled but for a large table of groups."""
-    stats = materialize(spark, with_stats(docs, ["lang", "source"]), "quality-stats")
+    stats = materialize(spark, with_stats(docs.select("lang", "source", "text"), ["lang", "source"]), "quality-stats")
     params = fit(spark, stats)
-    names = docs.columns
-    return judged(with_stats(docs, names), params).where("kept").select(*names)
+    # numbered names, so that no column of docs is taken for one of the statistics
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*own).select(*own, *(F.col(own[docs.columns.index(c)]).alias(c) for c in ("lang", "source", "text")))
+    good = judged(with_stats(plain, [*own, "lang", "source"]), params).where("kept")
+    return good.select(*own).toDF(*docs.columns)
