@@ -21,13 +21,16 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +40,39 @@ CAPACITY = 2048
 GROUP = 4096
 #: Bins below this fill are dealt again.
 NEARLY = CAPACITY - 8
-MEMO = 400_000
+MEMO = 600_000
 
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = f"{_PIECES}, bin long, offset long, fill long"
 
 
+#: Stretches that words are found in, as the tokenizer file has it (a fixed value).
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level models write for each byte: itself if printable, else one after the 256th."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(rest)) for b in range(256)}
+
+
+class _WordIds(dict):
+    """Word to its ids, by the library's own model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        ids = struct.pack(f"<{len(found)}I", *(t.id for t in found))
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordIds(dict):
     """Stretch between blanks to its ids as little-endian unsigned 32-bit."""
 
@@ -54,9 +84,11 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.words = _WordIds(self.library.model)
+        self.split = regex.compile(WORD).findall
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = np.array(self.library.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = b"".join(map(self.words.__getitem__, self.split(stretch)))
         if len(self) >= MEMO:
             self.clear()
         self[stretch] = ids
@@ -68,11 +100,17 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One memory for all tasks that a Python worker runs."""
+    return WordIds(path)
+
+
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """uid (of the row), doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         arrow = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             rows = []
