@@ -13,21 +13,25 @@ from opsframe.functions.scores import cosine, hamming64
 from opsframe.operators.graph import components
 
 
-def exact_duplicates(products: DataFrame) -> DataFrame:
-    """Groups on name, price and brand; rows that lack one are skipped. first_id, size, members (sorted ids)."""
+def _keyed(products: DataFrame) -> DataFrame:
+    """Products that have all of name, price and brand, with their keys."""
     keys = {"k_name": F.lower(F.trim("name")), "k_price": F.col("price"), "k_brand": F.lower(F.trim("brand"))}
-    full = products.withColumns(keys).where(" AND ".join(f"coalesce({k}, '') <> ''" for k in keys))
-    groups = full.groupBy(*keys).agg(F.count("*").alias("size"), F.sort_array(F.collect_list("id")).alias("members"))
-    return groups.where("size > 1").withColumn("first_id", F.get("members", F.lit(0)))
+    return products.withColumns(keys).where(" AND ".join(f"coalesce({k}, '') <> ''" for k in keys))
+
+
+def exact_duplicates(products: DataFrame) -> DataFrame:
+    """Groups of two or more on name, price and brand: the keys, first_id and size. No group is gathered."""
+    return _keyed(products).groupBy("k_name", "k_price", "k_brand").agg(F.count("*").alias("size"), F.min("id").alias("first_id")).where("size > 1")
 
 
 def duplicate_summary(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("surplus"))
 
 
-def group_pairs(groups: DataFrame) -> DataFrame:
-    """The first member with each other member: as many rows as members, not pairs of all."""
-    return groups.select(F.get("members", F.lit(0)).alias("id1"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("id2"))
+def group_pairs(products: DataFrame) -> DataFrame:
+    """The first member of each group with each other member: as many rows as members, not pairs of all."""
+    groups = exact_duplicates(products).drop("size")
+    return _keyed(products).join(groups, ["k_name", "k_price", "k_brand"]).where("id <> first_id").select(F.col("first_id").alias("id1"), F.col("id").alias("id2"))
 
 
 def attach_scores(pairs: DataFrame, scores: DataFrame) -> DataFrame:
@@ -107,8 +111,8 @@ def similarity_components(spark: SparkSession, pairs: DataFrame) -> DataFrame:
 
 def survivors(members: DataFrame) -> DataFrame:
     """id, component, action: the first of each component by id text stays."""
-    w = Window.partitionBy("component").orderBy(F.col("id").cast("string"))
-    return members.select("id", "component", F.when(F.row_number().over(w) == 1, "keep").otherwise("delete").alias("action"))
+    first = members.groupBy("component").agg(F.min(F.col("id").cast("string")).alias("first"))
+    return members.join(first, "component").select("id", "component", F.when(F.col("id").cast("string") == F.col("first"), "keep").otherwise("delete").alias("action"))
 
 
 def verified(pairs: DataFrame, image: float = 0.80, text: float = 0.90) -> DataFrame:

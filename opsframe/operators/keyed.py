@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsframe.operators.graph import checkpointed
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of least `order` for each key; order has to be unique in a key."""
@@ -53,7 +55,8 @@ def range_select(df: DataFrame, order: list[str], lo: int, hi: int, partitions:
     A distributed rank: range partitions are numbered within, and the counts of the
     partitions before (one row each) are added. No task sees all rows.
     """
-    ranged = df.repartitionByRange(partitions, *order).withColumn("__part", F.spark_partition_id())
+    # stored, as the bounds are sampled anew each time that the plan runs
+    ranged = checkpointed(df.sparkSession, df.repartitionByRange(partitions, *order).withColumn("__part", F.spark_partition_id()))
     inner = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     counts = ranged.groupBy("__part").count()
     # at most one row a partition

@@ -34,11 +34,11 @@ _COMP = "both_ AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs),
 _HASHED = "h AS (SELECT id, num, brand, (num * 2654435761) % 1048576 AS phash FROM products_v)"
 
 Q = {
-    "a1_exact_duplicates": (lambda s, d: D.exact_duplicates(_p(s, d)).select("first_id", "size", F.array_join("members", ",").alias("members")), f"WITH {_GROUPS} SELECT first_id, size, array_to_string(members, ',') AS members FROM g"),
+    "a1_exact_duplicates": (lambda s, d: D.exact_duplicates(_p(s, d)), f"WITH {_GROUPS} SELECT k_name, k_price, k_brand, first_id, size FROM g"),
     "a2_duplicate_summary": (lambda s, d: D.duplicate_summary(D.exact_duplicates(_p(s, d))), f"WITH {_GROUPS} SELECT count(*) AS n_groups, CAST(coalesce(sum(size - 1), 0) AS BIGINT) AS surplus FROM g"),
-    "j10_group_pairs": (lambda s, d: D.group_pairs(D.exact_duplicates(_p(s, d))), f"WITH {_GROUPS} SELECT first_id AS id1, unnest(members[2:]) AS id2 FROM g"),
+    "j10_group_pairs": (lambda s, d: D.group_pairs(_p(s, d)), f"WITH {_GROUPS} SELECT first_id AS id1, unnest(members[2:]) AS id2 FROM g"),
     "j11_attach_scores": (
-        lambda s, d: D.attach_scores(D.group_pairs(D.exact_duplicates(_p(s, d))), _p(s, d).where("num % 2 = 0").select(F.col("id").alias("id2"), F.lit(0.9).alias("score")).join(D.group_pairs(D.exact_duplicates(_p(s, d))), "id2").select("id1", "id2", "score")),
+        lambda s, d: D.attach_scores(D.group_pairs(_p(s, d)), _p(s, d).where("num % 2 = 0").select(F.col("id").alias("id2"), F.lit(0.9).alias("score")).join(D.group_pairs(_p(s, d)), "id2").select("id1", "id2", "score")),
         f"WITH {_GROUPS}, x AS (SELECT first_id AS id1, unnest(members[2:]) AS id2 FROM g) SELECT id1, id2, CASE WHEN CAST(substr(id2, 3) AS BIGINT) % 2 = 0 THEN 0.9::DOUBLE END AS score FROM x",
     ),
     "j7_block_candidates": (
