@@ -38,8 +38,9 @@ from opsframe.llm.common import materialize
 
 CAPACITY = 2048
 GROUP = 4096
-#: Bins below this fill are dealt again.
-NEARLY = CAPACITY - 8
+#: Bins that lack more than this share of the capacity are dealt again, so often at most.
+SLACK = 256
+ROUNDS = 8
 MEMO = 600_000
 
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -224,18 +225,18 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: in
     # odd numbers are those of full pieces, even ones the packed bins'
     full_id = F.shiftleft(F.col("uid"), 16) + F.col("piece") * 2 + 1
     done = [full.select(*columns, full_id.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    rest, level = pieces.where(F.col("length") < capacity), 0
+    rest, level, nearly = pieces.where(F.col("length") < capacity), 0, capacity - capacity // SLACK
     while True:
         n = rest.count()
         groups = max(1, -(-n // group))
         keyed = rest.withColumn("group", F.pmod(F.xxhash64("uid", "piece", F.lit(level)), F.lit(groups)))
         packed = materialize(spark, keyed.groupBy("group").applyInPandas(_pack_group(capacity), _PACKED), f"packed-{level}")
-        last = groups == 1 or level == 3
-        kept = packed if last else packed.where(F.col("fill") >= min(NEARLY, capacity))
-        done.append(kept.select(*columns, (F.shiftleft(F.col("bin"), 3) + 2 * level).alias("sequence_id"), "offset"))
+        last = groups == 1 or level == ROUNDS - 1
+        kept = packed if last else packed.where(F.col("fill") >= nearly)
+        done.append(kept.select(*columns, (F.shiftleft(F.col("bin"), 4) + 2 * level).alias("sequence_id"), "offset"))
         if last:
             break
-        rest, level = packed.where(F.col("fill") < min(NEARLY, capacity)).select(*pieces.columns), level + 1
+        rest, level = packed.where(F.col("fill") < nearly).select(*pieces.columns), level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
