@@ -26,14 +26,14 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsframe.llm.common import materialize
 
 SPACE = "▁"
 LONG = 60
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: Below the least score, as the library has it for characters that are no piece.
 UNKNOWN = 10.0
 
@@ -73,13 +73,25 @@ def split_words(text: Column, pieces: Pieces) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.filter(F.split(body, cut), lambda w: w != "")).otherwise(F.array().cast("array<string>"))
 
 
-def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """words (word, n_chars, ...) grouped with edges array<struct<rank,start,end,id,score>>; start from 0."""
+def _edges(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """One row an edge: word, start (from 0), end, and the piece's columns."""
     spans = words.select("word", "n_chars", F.explode(F.sequence(F.lit(1), "n_chars")).alias("s"))
     spans = spans.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n_chars") - F.col("s") + 1))).alias("len"))
     found = spans.withColumn("piece", F.substr("word", F.col("s"), F.col("len"))).join(F.broadcast(table), "piece")
-    edge = F.struct((-F.col("score")).alias("rank"), (F.col("s") - 1).alias("start"), (F.col("s") + F.col("len") - 1).alias("end"), "id")
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return found.withColumns({"start": F.col("s") - 1, "end": F.col("s") + F.col("len") - 1})
+
+
+def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """word and its edges, array<struct<rank,start,end,id>>."""
+    edge = F.struct((-F.col("score")).alias("rank"), "start", "end", "id")
+    return _edges(words, table, longest).groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def packed_lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """word and its edges, array<long>: merge order, start, end and id in 16, 8, 8 and 24 bits, so that they sort by order and start."""
+    order = table.withColumn("order", F.dense_rank().over(Window.orderBy(F.desc("score"))) - 1)
+    edge = F.shiftleft(F.col("order").cast("long"), 40) + F.shiftleft(F.col("start").cast("long"), 32) + F.shiftleft(F.col("end").cast("long"), 24) + F.col("id")
+    return _edges(words, order, longest).groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def let(value: Column, f) -> Column:
@@ -87,12 +99,20 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def _start(edge: Column) -> Column:
+    return F.shiftright(edge, 32).bitwiseAND(F.lit(255)).cast("int")
+
+
+def _end(edge: Column) -> Column:
+    return F.shiftright(edge, 24).bitwiseAND(F.lit(255)).cast("int")
+
+
 def merge_fold(edges: Column, n: Column) -> Column:
-    """Cuts of a word after all merges, as the set bits 0..n of a long."""
+    """Cuts of a word after all merges, as the set bits 0..n of a long; edges as packed_lattice has them."""
     one = F.lit(1).cast("long")
     bit = lambda i: F.call_function("shiftleft", one, i)
-    long_edges = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
-    joins = F.transform(long_edges, lambda e: F.struct((bit(e["start"]) + bit(e["end"])).alias("ends"), (bit(e["end"]) - bit(e["start"] + 1)).alias("inner")))
+    long_edges = F.filter(edges, lambda e: _end(e) - _start(e) > 1)
+    joins = F.transform(long_edges, lambda e: F.struct((bit(_start(e)) + bit(_end(e))).alias("ends"), (bit(_end(e)) - bit(_start(e) + 1)).alias("inner")))
 
     def fold(joins: Column) -> Column:
         def step(mask: Column, _: Column) -> Column:
@@ -189,15 +209,17 @@ def encode_words(spark: SparkSession, words: DataFrame, pieces: Pieces) -> DataF
     sized = words.withColumn("n_chars", F.length("word"))
     table = pieces.frame(spark)
     short = sized.where(F.col("n_chars") <= LONG) if pieces.bpe else sized
-    grouped = short.join(lattice(short, table, pieces.longest), "word", "left")
-    edges = F.coalesce("edges", F.array().cast("array<struct<rank:double,start:int,end:int,id:int>>"))
-    grouped = grouped.select("word", "n", "n_chars", edges.alias("edges"))
+    own = (packed_lattice if pieces.bpe else lattice)(short, table, pieces.longest)
+    empty = F.array().cast("array<bigint>" if pieces.bpe else "array<struct<rank:double,start:int,end:int,id:int>>")
+    grouped = short.join(own, "word", "left").select("word", "n", "n_chars", F.coalesce("edges", empty).alias("edges"))
     if pieces.bpe:
         spans = grouped.withColumn("spans", _spans_of_mask(merge_fold(F.col("edges"), F.col("n_chars")), F.col("n_chars")))
-        named = F.transform(
-            "spans",
-            lambda x: F.struct(x["start"], x["end"], F.get(F.filter("edges", lambda e: (e["start"] == x["start"]) & (e["end"] == x["end"])), F.lit(0))["id"].alias("id")),
-        )
+
+        def name(x: Column) -> Column:
+            at = F.filter("edges", lambda e: (_start(e) == x["start"]) & (_end(e) == x["end"]))
+            return F.struct(x["start"], x["end"], F.get(at, F.lit(0)).bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("id"))
+
+        named = F.transform("spans", name)
     else:
         spans = grouped
         best = viterbi_fold(F.col("edges"), F.col("n_chars"), pieces.least)
