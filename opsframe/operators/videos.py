@@ -40,3 +40,47 @@ def top_labels(vectors: DataFrame, labels: DataFrame, k: int = 5, scale: float =
     prob = F.exp(F.col("logit") - F.max("logit").over(per))
     ranked = logits.withColumn("e", prob).withColumn("prob", F.round(F.col("e") / F.sum("e").over(per), 6))
     return ranked.withColumn("rank", F.row_number().over(per.orderBy(F.desc("prob"), "label"))).where(F.col("rank") <= k).select("vec_id", "label", "prob", "rank")
+
+
+# Words that go with a category, and words that say nothing about a product.
+ACTIONS = ("review", "unboxing", "demo", "test", "in action")
+QUERY_FILLERS = "for the a an in on of with and to is it at by new pack set combo".split()
+
+
+def generated_queries(products: DataFrame, k: int = 8) -> DataFrame:
+    """product_key, q, weight, reason, rank: the k best search queries of (product_key, name, categories, features).
+
+    categories is array<struct<category,confidence>>, best first. The first of equal texts stays; equal weights keep their order.
+    """
+
+    def item(q, weight, reason):
+        return F.struct(q.alias("q"), F.lit(weight).cast("double").alias("weight") if isinstance(weight, float) else weight.alias("weight"), F.lit(reason).alias("reason"))
+
+    def some(condition, struct):
+        return F.when(condition, F.array(struct)).otherwise(F.array().cast("array<struct<q:string,weight:double,reason:string>>"))
+
+    cats = F.col("categories")
+    top = F.get(cats, F.lit(0))["category"]
+    by_category = F.flatten(
+        F.transform(
+            F.slice(cats, 1, 3),
+            lambda c: F.concat(
+                F.array(item(c["category"], F.bround(c["confidence"], 3), "category")),
+                F.transform(F.array(*map(F.lit, ACTIONS)), lambda a: item(F.concat_ws(" ", c["category"], a), F.bround(c["confidence"] * 0.85, 3), "category+action")),
+            ),
+        )
+    )
+    tokens = F.filter(F.split(F.lower(F.trim("name")), r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(QUERY_FILLERS))
+    terms = F.flatten(F.transform(F.slice(cats, 1, 2), lambda c: F.split(c["category"], " ")))
+    broad = F.slice(F.array_sort(F.array_distinct(F.filter(terms, lambda w: (F.length(w) > 3) & ~w.isin(QUERY_FILLERS)))), 1, 3)
+    parts = F.concat(
+        by_category,
+        some(F.size(tokens) > 0, item(F.array_join(F.slice(tokens, 1, 5), " "), 0.95, "product_name")),
+        some((F.size(tokens) > 0) & top.isNotNull(), item(F.concat_ws(" ", F.array_join(F.slice(tokens, 1, 3), " "), F.element_at(F.split(F.coalesce(top, F.lit("")), " "), -1)), 0.88, "name+category")),
+        some((F.size("features") > 0) & top.isNotNull(), item(F.concat_ws(" ", top, F.array_join(F.slice("features", 1, 2), " ")), 0.70, "visual+category")),
+        some(F.size(broad) > 0, item(F.array_join(broad, " "), 0.60, "broad")),
+    )
+    each = products.select("product_key", F.posexplode(parts).alias("pos", "i")).select("product_key", "pos", "i.*")
+    first = first_per_key(each, ["product_key", "q"], ["pos"])
+    w = Window.partitionBy("product_key").orderBy(F.desc("weight"), "pos")
+    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("pos")

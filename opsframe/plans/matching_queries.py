@@ -76,8 +76,25 @@ Q = {
     ),
     "t13_video_query": (lambda s, d: _v(s, d).select("product_key", "seq", T.video_query(F.concat("title", F.lit(" (large) for the kitchen - UB-163"))).alias("q")), f"SELECT product_key, seq, array_to_string(string_split(trim(regexp_replace(regexp_replace(title, '(?i)\\b({FILLERS})\\b', ' ', 'g'), '\\s+', ' ', 'g')), ' ')[1:4], ' ') AS q FROM videos_v"),
     "t14_generated_queries": (
-        lambda s, d: _v(s, d).groupBy("product_key").agg(F.min("product_name").alias("name"), F.min_by("title", "seq").alias("title")).select("product_key", F.explode(F.array(F.struct(F.lit(0.95).alias("weight"), F.lower("name").alias("q")), F.struct(F.lit(0.88).alias("weight"), F.concat(F.lower("name"), F.lit(" "), F.element_at(F.split("title", " "), -1)).alias("q")), F.struct(F.lit(0.6).alias("weight"), F.array_join(F.slice(F.array_sort(F.split("name", " ")), 1, 3), " ").alias("q")))).alias("g")).select("product_key", "g.*"),
-        "WITH p AS (SELECT product_key, min(product_name) AS name, arg_min(title, seq) AS title FROM videos_v GROUP BY 1) SELECT product_key, 0.95::DOUBLE AS weight, lower(name) AS q FROM p UNION ALL SELECT product_key, 0.88, concat(lower(name), ' ', split_part(title, ' ', -1)) FROM p UNION ALL SELECT product_key, 0.6, array_to_string(list_sort(string_split(name, ' '))[1:3], ' ') FROM p",
+        lambda s, d: V.generated_queries(
+            scan(s, d, "part").select(
+                F.col("p_partkey").alias("product_key"),
+                F.concat("p_name", F.lit(" with a set")).alias("name"),
+                F.array(F.struct(F.concat(F.lower("p_type"), F.lit(" widget")).alias("category"), F.lit(0.5).alias("confidence")), F.struct(F.lit("garden chair").alias("category"), F.lit(0.25).alias("confidence"))).cast("array<struct<category:string,confidence:double>>").alias("categories"),
+                F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("shiny"), F.lit("metal"), F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("features"),
+            ),
+            12,
+        ),
+        """WITH c AS (SELECT p_partkey AS product_key, trim(replace(concat(' ', p_name, ' '), ' new ', ' ')) AS name, concat(lower(p_type), ' widget') AS c1, p_partkey % 3 = 0 AS f FROM part),
+l AS (SELECT product_key, list_concat(
+    list_concat([{'q': c1, 'weight': 0.5, 'reason': 'category'}], list_transform(['review', 'unboxing', 'demo', 'test', 'in action'], lambda a: {'q': concat(c1, ' ', a), 'weight': 0.425, 'reason': 'category+action'})),
+    list_concat([{'q': 'garden chair', 'weight': 0.25, 'reason': 'category'}], list_transform(['review', 'unboxing', 'demo', 'test', 'in action'], lambda a: {'q': concat('garden chair ', a), 'weight': 0.212, 'reason': 'category+action'})),
+    list_concat([{'q': name, 'weight': 0.95, 'reason': 'product_name'}, {'q': concat(name, ' widget'), 'weight': 0.88, 'reason': 'name+category'}],
+      list_concat(CASE WHEN f THEN [{'q': concat(c1, ' shiny metal'), 'weight': 0.7, 'reason': 'visual+category'}] ELSE [] END,
+        [{'q': array_to_string(list_sort(list_distinct(list_filter(list_concat(string_split(c1, ' '), ['garden', 'chair']), lambda w: length(w) > 3)))[1:3], ' '), 'weight': 0.6, 'reason': 'broad'}]))) AS i FROM c),
+e AS (SELECT product_key, unnest(range(1, len(i) + 1)) AS pos, i FROM l),
+u AS (SELECT product_key, pos, i[pos].q AS q, CAST(i[pos].weight AS DOUBLE) AS weight, i[pos].reason AS reason FROM e QUALIFY row_number() OVER (PARTITION BY product_key, i[pos].q ORDER BY pos) = 1)
+SELECT product_key, q, weight, reason, CAST(row_number() OVER (PARTITION BY product_key ORDER BY weight DESC, pos) AS INTEGER) AS rank FROM u QUALIFY rank <= 12""",
     ),
     "l2_top_queries": (
         lambda s, d: V.scored(_v(s, d)).select("product_key", "seq", "relevance").transform(lambda x: top_per_key(x, ["product_key"], [F.desc("relevance"), F.col("seq")], 8)),
