@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 CHUNK = 1024
 QUERY_CHUNK = 512
 BLOCK = 16
+CELLS_Q = 4
 
 _PACKED = "group long, n int, dims int, ids binary, columns binary"
 _HITS = "query_id long, vec_id long, score long"
@@ -54,8 +55,9 @@ def pack(vectors: DataFrame, size: int) -> DataFrame:
             full[np.repeat(np.arange(len(ids)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
             rows = []
             for at in range(0, len(ids), size):
-                own = ids[at : at + size]
-                rows.append((number, len(own), dims, own.tobytes(), np.ascontiguousarray(full[at : at + size].T).tobytes()))
+                own, columns = ids[at : at + size], np.ascontiguousarray(full[at : at + size].T)
+                narrow = columns.astype(np.int32) if np.abs(columns).max(initial=0) < 1 << 31 else columns
+                rows.append((number, len(own), dims, own.tobytes(), narrow.tobytes()))
                 number += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
@@ -65,6 +67,12 @@ def pack(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.mapInArrow(packed, _PACKED)
 
 
+def unpack(columns: bytes, dims: int, n: int) -> np.ndarray:
+    """dims x n doubles of what pack has stored as 32-bit integers, or as doubles where those are too narrow."""
+    kind = np.int32 if len(columns) == 4 * dims * n else np.float64
+    return np.frombuffer(columns, kind).reshape(dims, n).astype(np.float64)
+
+
 def search_cell(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """Best k of the candidates c (dims x n) for each query of q (dims x m)."""
     dims = max(len(q), len(c))
@@ -102,18 +110,19 @@ def search_cell(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """queries, vectors: (vec_id, embedding). Returns query_id, rank, vec_id, score."""
     clean = lambda df: df.where(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    # chunk numbers start at 0 in every task, so those of one number are a bounded share of each task's rows
-    right = pack(clean(vectors), CHUNK).withColumn("cell_c", F.pmod(F.xxhash64("group", F.spark_partition_id()), F.lit(64)))
-    left = pack(clean(queries), QUERY_CHUNK).withColumn("cell_q", F.pmod(F.xxhash64("group", F.spark_partition_id()), F.lit(16)))
-    left = left.withColumn("cell_c", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("cell_c", F.col("cell_c").cast("long"))
-    right = right.withColumn("cell_q", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("cell_q", F.col("cell_q").cast("long"))
+    # as many cells as shuffle partitions: four rows of queries, so that the larger side is copied four times only
+    cells_c = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // CELLS_Q + 1)
+    number = lambda n: F.pmod(F.xxhash64("group", "ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    right = pack(clean(vectors), CHUNK).withColumn("cell_c", number(cells_c)).withColumn("cell_q", every(CELLS_Q))
+    left = pack(clean(queries), QUERY_CHUNK).withColumn("cell_q", number(CELLS_Q)).withColumn("cell_c", every(cells_c))
     right = right.select("cell_q", "cell_c", F.col("n").alias("c_n"), F.col("dims").alias("c_dims"), F.col("ids").alias("c_ids"), F.col("columns").alias("c_columns"))
     cells = left.select("cell_q", "cell_c", "n", "dims", "ids", "columns").join(right, ["cell_q", "cell_c"]).drop("cell_q", "cell_c")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q, c = (np.frombuffer(row[p + "columns"]).reshape(row[p + "dims"], row[p + "n"]) for p in ("", "c_"))
+                q, c = (unpack(row[p + "columns"], row[p + "dims"], row[p + "n"]) for p in ("", "c_"))
                 hits = search_cell(np.frombuffer(row["ids"], np.int64), q, np.frombuffer(row["c_ids"], np.int64), c, k)
                 yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
 
