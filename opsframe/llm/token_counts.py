@@ -1,7 +1,8 @@
 """Token counts by a counting transducer, chunk by chunk.
 
-The BPE model is compiled, state by state as texts ask for it, into a
-deterministic transducer over characters. A transition carries the change in the
+The BPE model is compiled, one transition a word as texts ask for it, into a
+deterministic transducer over characters; what is not compiled is worked out by the
+same rule each time. A transition carries the change in the
 number of emitted tokens. This is sound because every boundary of a finished BPE
 segmentation is one that no merge crossed: the segmentation of a prefix p is that
 of p without its last token t, followed by t, and t is the last token exactly if
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 CHUNK_CHARS = 1 << 16
 #: Bounds of the memory for words and for compiled transitions; what goes beyond is compiled again.
-MEMO = 400_000
+MEMO = 500_000
 MOVES = 200_000
 
 
@@ -51,8 +53,14 @@ class PieceModel:
         if any(re.search("[^ ] ", p) for p in self.score):
             raise ValueError("a piece crosses the start of a word")
         self.longest = max(map(len, self.score), default=1)
+        #: No piece holds other neighbours than these, so a text can be cut between all others.
+        self.neighbours = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.alone = {"\n"} - {c for p in self.score if len(p) > 1 for c in p}
 
+    def fragments(self, text: str) -> list[str]:
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.neighbours]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if cuts else [text]
+
     def merge(self, text: str) -> list[tuple[float, list[str]]]:
         """Plain BPE, the best scored pair first, the leftmost of equals: (score of the next merge, symbols) for each stage."""
         symbols, stages = list(text), []
@@ -70,11 +78,9 @@ class CountingTransducer:
 
     def __init__(self, model: PieceModel):
         self.model, self.solid = model, {}
-        self.reset()
-
-    def reset(self) -> None:
-        #: by number: (suffix, last token at each cut of it, count changes between cuts)
-        self.states = [("", ("",), ())]
+        #: left token to right token to whether they fit; by number (suffix, last token at each of its cuts, count changes between cuts)
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.states: list[tuple] = [("", ("",), ())]
         self.number = {self.states[0]: 0}
         self.moves: dict[tuple[int, str], tuple[int, int]] = {}
 
@@ -102,44 +108,78 @@ class CountingTransducer:
             else:
                 j += 1
 
-    def step(self, state: int, c: str) -> tuple[int, int]:
+    def rest(self, state: int, word: str, at: int) -> int:
+        """Tokens that word[at:] adds in a state; the first step becomes a transition."""
         suffix, lasts, changes = self.states[state]
-        grown, score, n = suffix + c, self.model.score, len(suffix) + 1
-        for cut in range(max(0, n - self.model.longest), n):
-            token = grown[cut:]
-            if (cut == n - 1 or token in score and self.trace(token)[0]) and self.fits(lasts[cut], token):
-                break
-        change = (1 if token in score else len(c.encode("utf-8", "surrogatepass"))) - sum(changes[cut:])
-        cutoff = max(0, n - self.model.longest)
-        key = (grown[cutoff:], (*lasts[cutoff:], token), (*changes[cutoff:], change))
-        found = self.number.setdefault(key, len(self.states))
-        if found == len(self.states):
-            self.states.append(key)
-        self.moves[state, c] = found, change
-        return found, change
+        text, score, longest, begin = suffix + word[at:], self.model.score, self.model.longest, len(suffix) + 1
+        lasts, counts = list(lasts), [0]
+        for change in reversed(changes):
+            counts.append(counts[-1] - change)
+        counts.reverse()
+        for n in range(begin, len(text) + 1):
+            for cut in range(max(0, n - longest), n):
+                token = text[cut:n]
+                if cut == n - 1 or token in score and self.trace(token)[0]:
+                    left = lasts[cut]
+                    known = self.pairs.get(left)
+                    if known is None:
+                        known = self.pairs[left] = {}
+                    if (fit := known.get(token)) is None:
+                        fit = known[token] = self.fits(left, token)
+                    if fit:
+                        break
+            lasts.append(token)
+            counts.append(counts[cut] + (1 if token in score else len(token.encode("utf-8", "surrogatepass"))))
+            if n == begin and len(self.moves) < MOVES:
+                low = max(0, n - longest)
+                key = (text[low:n], tuple(lasts[low:]), tuple(counts[i + 1] - counts[i] for i in range(low, n)))
+                found = self.number.setdefault(key, len(self.states))
+                if found == len(self.states):
+                    self.states.append(key)
+                self.moves[state, word[at]] = found, counts[-1]
+        if len(self.pairs) > MOVES // 8:
+            self.pairs.clear()
+        return counts[-1]
 
     def count(self, word: str) -> int:
-        if len(self.moves) > MOVES:
-            self.reset()
         state = total = 0
         moves = self.moves
-        for c in word:
-            move = moves.get((state, c)) or self.step(state, c)
+        for at, c in enumerate(word):
+            if (move := moves.get((state, c))) is None:
+                return total + self.rest(state, word, at)
             state = move[0]
             total += move[1]
         return total
 
 
-class _Memo(dict):
-    def __init__(self, machine: CountingTransducer, prefix: str):
+class _Fragments(dict):
+    """Fragment to its number of tokens."""
+
+    def __init__(self, machine: CountingTransducer):
+        super().__init__()
+        self.machine = machine
+
+    def __missing__(self, fragment: str) -> int:
+        n = self.machine.count(fragment)
+        if len(self) >= MEMO:
+            self.clear()
+        self[fragment] = n
+        return n
+
+
+class _Stretches(dict):
+    """Stretch between blanks, with or without the blank before it, to its number of tokens."""
+
+    def __init__(self, fragments: _Fragments, prefix: str):
         super().__init__()
-        self.machine, self.prefix = machine, prefix
+        self.known, self.prefix, self.cut = fragments, prefix, fragments.machine.model.fragments
 
-    def __missing__(self, word: str) -> int:
-        n = self.machine.count(self.prefix + word) if self.prefix + word else 0
-        if len(self) > MEMO:
+    def __missing__(self, stretch: str) -> int:
+        text = self.prefix + stretch
+        n = sum(map(self.known.__getitem__, self.cut(text))) if text else 0
+        if len(self) >= MEMO:
             self.clear()
-        self[word] = n
+        self[stretch] = n
         return n
 
 
@@ -148,7 +188,8 @@ class ChunkCounter:
 
     def __init__(self, model: PieceModel):
         self.model, self.machine = model, CountingTransducer(model)
-        self.spaced, self.bare = _Memo(self.machine, " "), _Memo(self.machine, "")
+        fragments = _Fragments(self.machine)
+        self.spaced, self.bare = _Stretches(fragments, " "), _Stretches(fragments, "")
         alone = "".join(map(re.escape, sorted(model.alone)))
         self.words = re.compile(rf"[{alone}]| +[^ {alone}]*|[^ {alone}]+" if alone else r" +[^ ]*|[^ ]+")
         self.edge = re.compile(rf"[{alone}]|(?<=[^ ])(?= )" if alone else r"(?<=[^ ])(?= )")
@@ -183,6 +224,12 @@ class ChunkCounter:
         return text[:a], self.inner(text[a:b]), text[b:]
 
 
+@lru_cache(maxsize=1)
+def chunk_counter(model_path: str) -> ChunkCounter:
+    """One transducer for all tasks that a Python worker runs."""
+    return ChunkCounter(PieceModel(model_path))
+
+
 def _last_word(text: str) -> int:
     """Where the last run of spaces that follows a letter starts, or 0."""
     at = text.rfind(" ")
@@ -207,7 +254,7 @@ def count_tokens(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHAR
     """doc_id, n_bytes, n_tokens: one row for each row of docs."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = ChunkCounter(PieceModel(model_path))
+        counter = chunk_counter(model_path)
         for batch in batches:
             rows = []
             for uid, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -227,12 +274,11 @@ def count_tokens(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHAR
     composed = maps.groupBy("uid", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.collect_list("seam").alias("maps"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
         for batch in batches:
             totals = batch.column("n").to_pylist()
             for i, found in enumerate(batch.column("maps").to_pylist()):
                 if found:
-                    counter = counter or ChunkCounter(PieceModel(model_path))
+                    counter = chunk_counter(model_path)
                     joined = seams([(m["chunk"], m["head"], m["tail"]) for m in found])
                     totals[i] += sum(counter.inner(w) for w in joined)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
