@@ -41,7 +41,8 @@ GROUP = 4096
 #: Bins that lack more than this share of the capacity are dealt again, so often at most.
 SLACK = 256
 ROUNDS = 8
-MEMO = 600_000
+#: Entries of each memory of ids; a worker keeps two for as long as it lives.
+MEMO = 200_000
 
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = f"{_PIECES}, bin long, offset long, fill long"
