@@ -41,8 +41,9 @@ GROUP = 4096
 #: Bins that lack more than this share of the capacity are dealt again, so often at most.
 SLACK = 256
 ROUNDS = 8
-#: Entries of each memory of ids; a worker keeps two for as long as it lives.
-MEMO = 200_000
+#: Entries of the memories of ids, of stretches and of words, that a worker keeps for as long as it lives.
+MEMO = 400_000
+WORD_MEMO = 200_000
 
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = f"{_PIECES}, bin long, offset long, fill long"
@@ -69,7 +70,7 @@ class _WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
         ids = struct.pack(f"<{len(found)}I", *(t.id for t in found))
-        if len(self) >= MEMO:
+        if len(self) >= WORD_MEMO:
             self.clear()
         self[word] = ids
         return ids
