@@ -34,12 +34,12 @@ from opsframe.llm.common import materialize
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "marks", "upper", "digits")
 SCALE = 1024
 #: Least standard deviation of each statistic, in units of the statistic.
-FLOOR = (0.06, 0.06, 0.08, 0.08, 0.06, 0.06, 0.06)
+FLOOR = (0.06, 0.03, 0.08, 0.08, 0.03, 0.06, 0.06)
 H = 0.75
 STEPS = 3
 MIN_GROUP = 100
-#: Squared distance; far beyond the 0.9999 quantile of chi-square with 7 degrees (29.9).
-CUTOFF = 60.0
+#: Squared distance: the 0.9999 quantile of chi-square with 7 degrees.
+CUTOFF = 29.8775
 #: Consistency factor of the covariance of the H = 0.75 nearest rows, 7 dimensions.
 CONSISTENCY = 1.35
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from opsframe.llm import best_fit_packing as B
 from opsframe.llm import jump_sharding as J
@@ -79,6 +81,19 @@ def test_quality_verdicts(spark, docs):
     assert R.quality(spark, few.limit(0)).count() == 0
 
 
+def test_quality_cutoff_rejects_broken_texts(spark):
+    x = R.CUTOFF
+    beyond = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3 + x * x / 15)
+    assert abs(beyond - 1e-4) < 1e-8
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    rows = R.quality(spark, docs).join(labels, "doc_id").join(docs.select("doc_id", F.contains("text", F.lit(" | ")).alias("broken")), "doc_id").collect()
+    bad = [r for r in rows if r.quality == 0]
+    good = [r for r in rows if r.quality == 1 and not r.base_failed]
+    assert np.mean([r.kept for r in bad]) < 0.02
+    assert np.mean([r.kept for r in bad if r.broken]) < 0.05
+    assert np.mean([r.kept for r in good]) > 0.995
+
+
 def test_robust_estimate_ignores_a_contaminated_share(spark):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(0, 1, (900, 7)), rng.normal(30, 1, (100, 7))]) * R.SCALE
