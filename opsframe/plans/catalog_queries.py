@@ -50,8 +50,9 @@ def _bodies(s, d):
 
 
 def _xml(s, d):
+    """Sitemaps of 500 products at most, as many as the catalog needs."""
     entry = F.concat(F.lit("<url><loc>"), F.col("url"), F.lit("</loc>"), F.when(F.col("image_url").isNotNull(), F.concat(F.lit("<image:image><image:loc>"), F.col("image_url"), F.lit("</image:loc><image:title>"), F.col("name"), F.lit("</image:title></image:image>"))).otherwise(""), F.lit("</url>"))
-    return _p(s, d).groupBy((F.col("num") % 50).alias("k")).agg(F.array_join(F.collect_list(entry), "").alias("text"))
+    return _p(s, d).groupBy(F.expr("num div 500").alias("k")).agg(F.array_join(F.collect_list(entry), "").alias("text"))
 
 
 _ST = r"regexp_replace(coalesce(NULLIF(image_url, ''), found), '^https://resize[.]shop[.]example/V[^/]+/(https?://.*)', '\1')"

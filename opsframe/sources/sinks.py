@@ -25,9 +25,10 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").csv(path)
 
 
-def export_records_json(df: DataFrame, path: str, files: int = 4) -> None:
-    """Files that each hold one JSON array of records; `files` should grow with the rows."""
-    record = F.to_json(F.struct(*df.columns))
-    arrays = df.groupBy(F.pmod(F.xxhash64(*df.columns), F.lit(files))).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+def export_records_json(df: DataFrame, path: str, records: int = 8192) -> None:
+    """Files that each hold one JSON array of so many records at most; their number grows with the rows."""
+    # row numbers within a partition, so that a block's rows are together before the shuffle
+    blocks = df.select(F.expr(f"monotonically_increasing_id() div {records}").alias("block"), F.to_json(F.struct(*df.columns)).alias("record"))
+    arrays = blocks.groupBy("block").agg(F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]")).alias("value"))
     # one array a file: a reader of arrays takes a file as one document
-    arrays.select("value").repartition(files, "value").write.option("maxRecordsPerFile", 1).text(path)
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
