@@ -5,7 +5,8 @@ minimum covariance determinant estimate of its centre and scatter is found by
 C-steps over all rows: start at medians and scaled deviations, keep the H share of
 rows nearest in Mahalanobis distance, take their mean and covariance, repeat. A
 row whose squared distance to its group's estimate passes CUTOFF is rejected.
-Groups of fewer than MIN_GROUP rows use the estimate of all rows.
+Groups of fewer than MIN_GROUP rows use their language's estimate over all its
+sources, and languages of fewer than that the estimate of all rows.
 
 Statistics are whole numbers in units of 1 / SCALE, so that sums over any number
 of rows and in any order are the same. Shares are smoothed by pseudo-counts, and
@@ -164,12 +165,12 @@ def _step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(spark: SparkSession, stats: DataFrame) -> DataFrame:
-    """One row a group: level 1 (lang, source), and level 0, all rows. stats is read several times: pass a stored table."""
+    """One row a group: level 1 (lang, source), level 2 (lang), and level 0, all rows. stats is read several times: pass a stored table."""
     p = len(FEATURES)
     x = [f"x{i}" for i in range(p)]
     rows = stats.where(F.col("n_words") >= 10).select("lang", "source", *x)
-    leveled = rows.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        "level", *(F.when(F.col("level") == 1, F.col(c)).alias(c) for c in ("lang", "source")), *x
+    leveled = rows.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
+        "level", F.when(F.col("level") > 0, F.col("lang")).alias("lang"), F.when(F.col("level") == 1, F.col("source")).alias("source"), *x
     )
     key = ["level", "lang", "source"]
     quant = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(c) for c in x]
@@ -197,13 +198,16 @@ def measured(rows: DataFrame, params: DataFrame) -> DataFrame:
 def judged(rows: DataFrame, params: DataFrame) -> DataFrame:
     """rows with base_failed, d2 (null if base_failed) and kept."""
     whole = params.where("level = 0").select(F.col("centre").alias("w_centre"), F.col("precision").alias("w_precision"))
-    own = params.where((F.col("level") == 1) & (F.col("n") >= MIN_GROUP)).select(F.col("lang").alias("p_lang"), F.col("source").alias("p_source"), "centre", "precision")
+    large = params.where(F.col("n") >= MIN_GROUP)
+    own = large.where("level = 1").select(F.col("lang").alias("p_lang"), F.col("source").alias("p_source"), "centre", "precision")
+    spoken = large.where("level = 2").select(F.col("lang").alias("l_lang"), F.col("centre").alias("l_centre"), F.col("precision").alias("l_precision"))
     # the estimate of all rows is one row at most
     fallback = whole.take(1)
     w = fallback[0] if fallback else {"w_centre": [0.0] * len(FEATURES), "w_precision": [0.0] * len(FEATURES) ** 2}
     joined = rows.join(own, on=[rows["lang"].eqNullSafe(own["p_lang"]), rows["source"].eqNullSafe(own["p_source"])], how="left").drop("p_lang", "p_source")
-    joined = joined.withColumns({c: F.coalesce(c, F.array(*map(F.lit, map(float, w[f"w_{c}"])))) for c in ("centre", "precision")})
-    scored = joined.withColumn("base_failed", base_failed()).withColumn("d2", F.when(~F.col("base_failed"), squared_distance())).drop("centre", "precision")
+    joined = joined.join(spoken, on=joined["lang"].eqNullSafe(spoken["l_lang"]), how="left")
+    joined = joined.withColumns({c: F.coalesce(c, f"l_{c}", F.array(*map(F.lit, map(float, w[f"w_{c}"])))) for c in ("centre", "precision")})
+    scored = joined.withColumn("base_failed", base_failed()).withColumn("d2", F.when(~F.col("base_failed"), squared_distance())).drop("centre", "precision", "l_lang", "l_centre", "l_precision")
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= CUTOFF))
 
 

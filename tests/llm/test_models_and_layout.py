@@ -105,6 +105,17 @@ def test_robust_estimate_ignores_a_contaminated_share(spark):
     assert far > R.CUTOFF
 
 
+def test_small_group_uses_its_language(spark):
+    rng = np.random.default_rng(3)
+    row = lambda lang, source, at: (lang, source, 20, 0, *map(int, (rng.normal(0, 1, 7) + at) * R.SCALE))
+    rows = [row("en", "s", 0) for _ in range(1000)] + [row("fr", f"s{k % 4}", 40) for k in range(200)] + [row("en", "few", 40)]
+    df = spark.createDataFrame(rows, "lang string, source string, n_words long, n_repeat_words long, " + ", ".join(f"x{i} long" for i in range(7)))
+    got = R.judged(df, R.fit(spark, df)).groupBy("lang", "source").agg(F.mean(F.col("kept").cast("int")).alias("share")).collect()
+    share = {(r.lang, r.source): r.share for r in got}
+    assert share["en", "s"] > 0.9 and share["en", "few"] == 0
+    assert all(share["fr", f"s{k}"] > 0.9 for k in range(4))
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
