@@ -14,10 +14,12 @@ segmentation, with one fold for each kind of model:
 Words longer than LONG characters, for which a fold over all edges would be
 quadratic, are merged by a heap in a pandas UDF (BPE only). The ids of the FREQUENT
 most frequent words are broadcast to the documents, the rest joined by a shuffle;
-each (row, word position) has its ids as one row.
+each (row, word position) has its ids as one row. A text's ids are gathered in order and
+decoded as a whole; round_trip says whether that gives the text again.
 
 Defined cases: null text counts as empty: no pieces; characters outside the table
-become the pieces of their UTF-8 bytes; repeated rows and repeated or null ids are
+become the pieces of their UTF-8 bytes; a text with U+2581 decodes with a space there, as by the
+library, and has no round trip; repeated rows and repeated or null ids are
 kept apart by a row number; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -264,6 +266,26 @@ def decode_words(spark: SparkSession, known: DataFrame, pieces: Pieces) -> DataF
     return joined.groupBy("word").agg(F.decode(F.unhex(code), "UTF-8").alias("decoded"))
 
 
+def id_bytes(pieces: Pieces) -> dict[int, bytes]:
+    """What each id writes: its piece with spaces for marks, or its byte."""
+    return {i: p.replace(SPACE, " ").encode() for p, i, _ in pieces.rows} | {b: bytes([k]) for k, b in enumerate(pieces.bytes)}
+
+
+def decode_ids(ids: list[int], written: dict[int, bytes]) -> str:
+    """The text of one document's ids, without the space that encoding puts in front."""
+    return b"".join(map(written.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
+
+
+def _decoder(pieces: Pieces):
+    written = id_bytes(pieces)
+
+    @F.pandas_udf("string")
+    def decode(ids: pd.Series) -> pd.Series:
+        return pd.Series([decode_ids(x.tolist(), written) for x in ids], dtype=object)
+
+    return decode
+
+
 def texts_of(encoded: DataFrame) -> DataFrame:
     """uid, doc_id, ids of whole texts in order, for those who want them as arrays."""
     per = encoded.groupBy("uid", "doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))).alias("w"))
@@ -271,7 +293,7 @@ def texts_of(encoded: DataFrame) -> DataFrame:
 
 
 def encode_digests(spark: SparkSession, docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """doc_id, n_words, n_pieces, ids_digest (xor over words of a hash of position and ids), round_trip."""
+    """doc_id, n_words, n_pieces, ids_digest (xor over words of a hash of position and ids), round_trip: of each word, not of the text."""
     encoded, known = encode(spark, docs, pieces)
     broken = decode_words(spark, known, pieces).where("decoded <> word or decoded is null").select("word", F.lit(True).alias("broken"))
     wrong = materialize(spark, broken, "broken")
@@ -286,3 +308,15 @@ def encode_digests(spark: SparkSession, docs: DataFrame, pieces: Pieces) -> Data
         (F.count("broken") == 0).alias("round_trip"),
     )
     return per.drop("uid")
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """doc_id, n_words, n_pieces, ids of the whole text in order, decoded (those ids as text), round_trip: whether decoded is the text."""
+    encoded, _ = encode(spark, docs, pieces)
+    words = encoded.where("pos is not null").select("uid", "doc_id", F.struct("pos", "ids").alias("w"), F.lit(None).cast("string").alias("text"))
+    # each text is a row beside its words, so that one shuffle brings them together
+    whole = docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].cast("long").alias("doc_id"), F.lit(None).cast(words.schema["w"].dataType).alias("w"), F.coalesce("text", F.lit("")).alias("text"))
+    per = words.unionByName(whole).groupBy("uid", "doc_id").agg(F.sort_array(F.collect_list("w")).alias("w"), F.max("text").alias("text"))
+    joined = per.select("doc_id", F.size("w").cast("long").alias("n_words"), F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"), "text")
+    decoded = joined.withColumn("decoded", _decoder(pieces)("ids"))
+    return decoded.select("doc_id", "n_words", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded", (F.col("decoded") == F.col("text")).alias("round_trip"))

@@ -53,7 +53,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_lattice.encode_digests(spark, table(spark, sf_dir, "documents"), piece_lattice.Pieces(tokenizer_path("piece_bpe_32k.model")))
+    return piece_lattice.encode_texts(spark, table(spark, sf_dir, "documents"), piece_lattice.Pieces(tokenizer_path("piece_bpe_32k.model")))
 
 
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,6 +228,24 @@ def test_lattice_as_the_library(spark):
     assert P.encode_digests(spark, df.limit(0), P.Pieces(path)).count() == 0
 
 
+def test_texts_come_back_from_their_ids(spark):
+    import sentencepiece
+
+    path = Q.tokenizer_path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [r.text for r in table(spark, SF, "documents").limit(20).collect()]
+    texts += [None, "", " ", "  a  b\n\nc \n 漢🙂", "x" * 100 + "the" * 40, "\n", "d▁e", "▁", "twice", "twice"]
+    df = spark.createDataFrame([(i // 2, i, t) for i, t in enumerate(texts)], "doc_id long, i int, text string").repartition(3)
+    rows = P.encode_texts(spark, df, P.Pieces(path)).collect()
+    got = sorted((r.doc_id, r.n_pieces, tuple(r.ids), r.decoded, r.round_trip) for r in rows)
+    ids = [library.encode(t or "") for t in texts]
+    back = [library.decode(x) for x in ids]
+    assert got == sorted((i // 2, len(x), tuple(x), b, b == (t or "")) for i, (t, x, b) in enumerate(zip(texts, ids, back)))
+    assert [t for t, b in zip(texts, back) if b != (t or "")] == ["d▁e", "▁"]
+    assert set(Q.op8_piece_lattice(spark, SF).columns) == {"doc_id", "n_words", "n_pieces", "ids", "decoded", "round_trip"}
+    assert P.encode_texts(spark, df.limit(0), P.Pieces(path)).count() == 0
+
+
 def test_heap_merge_as_the_library():
     import sentencepiece
 
