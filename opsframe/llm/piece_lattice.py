@@ -1,47 +1,101 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Every distinct word (a run of spaces with what follows up to the next space) is
-exploded into its substrings of at most the longest piece's length; an equi-join
-with the piece table keeps those that are pieces: the edges of the word's lattice.
-Edges are grouped by word, and Spark's higher-order aggregate folds them into the
-segmentation, with one fold for each kind of model:
-
-- unigram models: Viterbi, the path of the best summed score;
-- BPE models: the merges in the order of their scores. Viterbi over such scores,
-  which are ranks, gives other pieces than the model's own library, so for them the
-  fold replays the merges over the same edges.
-
-Words longer than LONG characters, for which a fold over all edges would be
-quadratic, are merged by a heap in a pandas UDF (BPE only). The ids of the FREQUENT
-most frequent words are broadcast to the documents, the rest joined by a shuffle;
-each (row, word position) has its ids as one row. A text's ids are gathered in order and
-decoded as a whole; round_trip says whether that gives the text again.
+Texts are cut into words (a run of spaces with what follows up to the next space)
+and words between neighbours that no piece holds, so that no piece crosses a cut.
+Every distinct fragment is exploded into its substrings of at most the longest
+piece's length; an equi-join with the piece table keeps those that are pieces: the
+edges of the fragment's lattice. Edges are grouped by fragment, and Spark's
+higher-order aggregate runs Viterbi over the ends from left to right. Its weights
+depend on the kind of model:
+
+- unigram models: an edge weighs its score, and the best sum wins;
+- BPE models: scores are ranks of merges, whose best sum is another segmentation
+  than the library's. There an edge weighs nothing if it fits the last edge of the
+  best path to its start, and is forbidden if not; exactly one edge fits at each
+  end. Two edges fit if no merge crosses from one to the other while both are
+  built. A merge that could cross is itself an edge of the lattice whose own last
+  merge is at the seam, so the test compares three edges by the times at which
+  their parts arise and vanish, which the piece table holds.
+
+The fold works through blocks of ends and keeps the last ones only, so its cost
+is linear in a fragment's length.
+
+The ids of frequent fragments (at most FREQUENT, and FREQUENT_BYTES) go to all
+tasks; a text's other fragments are joined by two shuffles. A text's ids are then
+decoded as a whole; round_trip says whether that gives the text again, by SHA-256.
 
 Defined cases: null text counts as empty: no pieces; characters outside the table
 become the pieces of their UTF-8 bytes; a text with U+2581 decodes with a space there, as by the
 library, and has no round trip; repeated rows and repeated or null ids are
-kept apart by a row number; extra columns are ignored; an empty table gives no rows.
+kept apart by a stored row number; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+from operator import add
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.llm.common import materialize
 
 SPACE = "▁"
-LONG = 60
 FREQUENT = 1 << 18
+FREQUENT_BYTES = 1 << 24
+#: Entries of the memories that a task keeps of words.
+MEMO = 400_000
 #: Below the least score, as the library has it for characters that are no piece.
 UNKNOWN = 10.0
+#: Later than any merge.
+NEVER = (1 << 20) - 1
+#: Numbers of edges from here on are characters that are no piece.
+NO_PIECE = 1 << 20
+
+
+def derivation(piece: str, rank: dict[str, int]) -> list[tuple[int, int, int, int]]:
+    """The merges of a piece's own encoding in order: (rank, start, middle, end)."""
+    cuts, steps = list(range(len(piece) + 1)), []
+    while len(cuts) > 2:
+        pairs = [(r, i) for i in range(len(cuts) - 2) if (r := rank.get(piece[cuts[i] : cuts[i + 2]])) is not None]
+        if not pairs:
+            break
+        r, i = min(pairs)
+        steps.append((r, cuts[i], cuts[i + 1], cuts[i + 2]))
+        del cuts[i + 1]
+    return steps
+
+
+def times(piece: str, steps: list[tuple[int, int, int, int]]) -> tuple[list[int], list[int]]:
+    """For each prefix and each suffix by length: when it arises and vanishes in the piece's encoding, packed; 0 if it never stands there.
+
+    A merge's time is the worst rank up to it, which is the order in which merges of two pieces
+    side by side come; worst is the worst rank from a part's rise to its end.
+    """
+    n = len(piece)
+    clock = [0]
+    for r, *_ in steps:
+        clock.append(max(clock[-1], r))
+    born = {(i, i + 1): 0 for i in range(n)} | {(s, e): i + 1 for i, (_, s, _, e) in enumerate(steps)}
+    gone = {part: i + 1 for i, (_, s, m, e) in enumerate(steps) for part in ((s, m), (m, e))}
+
+    def packed(part: tuple[int, int]) -> int:
+        if part not in born:
+            return 0
+        b, g = born[part], gone.get(part)
+        dies, worst = (NEVER, NEVER) if g is None else (clock[g], max(r for r, *_ in steps[b:g]))
+        return (clock[b] << 40) + (dies << 20) + worst
+
+    return [packed((0, k)) for k in range(1, n + 1)], [packed((n - k, n)) for k in range(1, n + 1)]
 
 
 class Pieces:
-    """A model file's pieces: (piece, id, score), the ids of bytes, and whether it is a BPE model."""
+    """A model file's pieces, the ids of bytes, and whether it is a BPE model."""
 
     def __init__(self, path: str, model_type: str | None = None):
         from sentencepiece import sentencepiece_model_pb2
@@ -52,48 +106,65 @@ class Pieces:
         if norm.name != "identity" or not norm.add_dummy_prefix or norm.remove_extra_whitespaces:
             raise ValueError("only models without normalization and with a leading space")
         self.bpe = (model_type or {1: "unigram", 2: "bpe"}[model.trainer_spec.model_type]) == "bpe"
-        self.rows = [(p.piece, i, float(p.score)) for i, p in enumerate(model.pieces) if p.type == p.NORMAL]
+        self.rows = [(p.piece.replace(SPACE, " "), i, float(p.score)) for i, p in enumerate(model.pieces) if p.type == p.NORMAL]
         self.bytes = [i for i, p in enumerate(model.pieces) if p.type == p.BYTE]
         if len(self.bytes) != 256 or self.bytes != list(range(self.bytes[0], self.bytes[0] + 256)):
             raise ValueError("byte pieces have to be there and in order")
         self.longest = max(len(p) for p, _, _ in self.rows)
         self.least = min(s for _, _, s in self.rows)
-        if any(a != SPACE and b == SPACE for p, _, _ in self.rows for a, b in zip(p, p[1:])):
+        #: No piece holds other neighbours than these, so a text can be cut between all others.
+        self.neighbours = {p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
+        self.lines = not any("\n" in p for p in self.neighbours)
+        if self.longest > 63 or len(model.pieces) >= NEVER:
+            raise ValueError("pieces of more than 63 characters, or too many of them")
+        if any(a != " " and b == " " for p, _, _ in self.rows for a, b in zip(p, p[1:])):
             raise ValueError("a piece crosses the start of a word")
-        inner = {c for p, _, _ in self.rows if len(p) > 1 for c in p}
-        self.newline_alone = "\n" not in inner
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """The piece table: as many rows as the vocabulary has."""
-        return spark.createDataFrame(pd.DataFrame(self.rows, columns=["piece", "id", "score"]), "piece string, id int, score double")
-
-
-def split_words(text: Column, pieces: Pieces) -> Column:
-    """array<string>: words with their spaces as the model writes them."""
-    body = F.concat(F.lit(SPACE), F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(SPACE)))
-    cut = f"(?<=[^{SPACE}])(?={SPACE})" + ("|(?<=\n)(?!$)|(?<!^)(?=\n)" if pieces.newline_alone else "")
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.filter(F.split(body, cut), lambda w: w != "")).otherwise(F.array().cast("array<string>"))
-
-
-def _edges(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """One row an edge: word, start (from 0), end, and the piece's columns."""
-    spans = words.select("word", "n_chars", F.explode(F.sequence(F.lit(1), "n_chars")).alias("s"))
-    spans = spans.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n_chars") - F.col("s") + 1))).alias("len"))
-    found = spans.withColumn("piece", F.substr("word", F.col("s"), F.col("len"))).join(F.broadcast(table), "piece")
-    return found.withColumns({"start": F.col("s") - 1, "end": F.col("s") + F.col("len") - 1})
-
-
-def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """word and its edges, array<struct<rank,start,end,id>>."""
-    edge = F.struct((-F.col("score")).alias("rank"), "start", "end", "id")
-    return _edges(words, table, longest).groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-
-
-def packed_lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """word and its edges, array<long>: merge order, start, end and id in 16, 8, 8 and 24 bits, so that they sort by order and start."""
-    order = table.withColumn("order", F.dense_rank().over(Window.orderBy(F.desc("score"))) - 1)
-    edge = F.shiftleft(F.col("order").cast("long"), 40) + F.shiftleft(F.col("start").cast("long"), 32) + F.shiftleft(F.col("end").cast("long"), 24) + F.col("id")
-    return _edges(words, order, longest).groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+        self.id_type = "<u2" if len(model.pieces) <= 1 << 16 else "<u4"
+
+    def table(self) -> pa.Table:
+        """One row a piece: k (its number here), piece, id, score, rank (of its merge), right (length after its last merge), left and right times."""
+        order = {s: i + 1 for i, s in enumerate(sorted({-s for _, _, s in self.rows}))}
+        rank = {p: order[-s] for p, _, s in self.rows}
+        out = []
+        for piece, i, score in self.rows:
+            steps = derivation(piece, rank) if self.bpe else []
+            if self.bpe and len(steps) < len(piece) - 1:
+                continue  # it does not encode to itself, so it is in no encoding
+            out.append((len(out), piece, i, score, rank[piece], steps[-1][3] - steps[-1][2] if steps else 0, *(times(piece, steps) if self.bpe else ([], []))))
+        names = ["k", "piece", "id", "score", "rank", "tail", "prefixes", "suffixes"]
+        types = [pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names)
+
+    def fragments(self, word: str) -> list[str]:
+        """The word cut between neighbours that no piece holds."""
+        if self.neighbours.issuperset(map(add, word, word[1:])):
+            return [word]
+        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in self.neighbours]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+
+
+_SPACED = re.compile(" +[^ ]*").findall
+_RUNS = re.compile(r"\n[^ \n]*| +[^ \n]*").findall
+
+
+def split_words(text: str | None, lines: bool) -> list[str]:
+    """Words of a text without the space that each starts with; further spaces before it are kept.
+
+    Where no piece holds a newline and something else (lines), a word also starts at
+    each newline; it has no space in front.
+    """
+    if not text:
+        return []
+    text = text.replace(SPACE, " ")
+    if "  " in text or text[0] == " " or text[-1] == " " or not lines:
+        # the text has a space put in front, and a run of spaces goes with the word after it
+        return [w.removeprefix(" ") for w in (_RUNS if lines else _SPACED)(" " + text)]
+    return text.replace("\n", " \n").split(" ")
+
+
+def with_space(word: str, lines: bool) -> str:
+    """A word of split_words as it stands in the text."""
+    return word if lines and word.startswith("\n") else " " + word
 
 
 def let(value: Column, f) -> Column:
@@ -101,222 +172,322 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _start(edge: Column) -> Column:
-    return F.shiftright(edge, 32).bitwiseAND(F.lit(255)).cast("int")
-
-
-def _end(edge: Column) -> Column:
-    return F.shiftright(edge, 24).bitwiseAND(F.lit(255)).cast("int")
-
+# An edge as one long, which sorts by its end: end (29 bits), length (6), length after its last merge (6), number of its piece (22).
+def _end(e: Column) -> Column:
+    return F.shiftright(e, 34).cast("int")
 
-def merge_fold(edges: Column, n: Column) -> Column:
-    """Cuts of a word after all merges, as the set bits 0..n of a long; edges as packed_lattice has them."""
-    one = F.lit(1).cast("long")
-    bit = lambda i: F.call_function("shiftleft", one, i)
-    long_edges = F.filter(edges, lambda e: _end(e) - _start(e) > 1)
-    joins = F.transform(long_edges, lambda e: F.struct((bit(_start(e)) + bit(_end(e))).alias("ends"), (bit(_end(e)) - bit(_start(e) + 1)).alias("inner")))
 
-    def fold(joins: Column) -> Column:
-        def step(mask: Column, _: Column) -> Column:
-            ready = F.filter(joins, lambda j: (mask.bitwiseAND(j["ends"]) == j["ends"]) & (F.bit_count(mask.bitwiseAND(j["inner"])) == 1))
-            return mask - F.coalesce(mask.bitwiseAND(F.get(ready, F.lit(0))["inner"]), F.lit(0).cast("long"))
+def _length(e: Column) -> Column:
+    return F.shiftright(e, 28).bitwiseAND(F.lit(63)).cast("int")
 
-        return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), bit(n + 1) - 1, step)
 
-    return let(joins, fold)
+def _tail(e: Column) -> Column:
+    return F.shiftright(e, 22).bitwiseAND(F.lit(63)).cast("int")
 
 
-def viterbi_fold(edges: Column, n: Column, least: float) -> Column:
-    """array<struct<score,back,id>>: the best last edge at each end 0..n, of equals the longest; back is its start's negative, id -1 a character that is no piece."""
-    kind = "array<struct<score:double,back:int,id:int>>"
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(-1).alias("id"))).cast(kind)
+def _number(e: Column) -> Column:
+    return e.bitwiseAND(F.lit((1 << 22) - 1)).cast("int")
 
-    def step(best: Column, end: Column) -> Column:
-        here = F.filter(edges, lambda e: e["end"] == end)
-        scored = F.transform(here, lambda e: F.struct((F.get(best, e["start"])["score"] - e["rank"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id")))
-        unknown = F.struct((F.get(best, end - 1)["score"] + least - UNKNOWN).alias("score"), (1 - end).alias("back"), F.lit(-1).alias("id"))
-        single = F.exists(here, lambda e: e["start"] == end - 1)
-        options = F.when(single, scored).otherwise(F.concat(scored, F.array(unknown)))
-        return F.concat(best, F.array(F.array_max(options))).cast(kind)
 
-    return F.aggregate(F.sequence(F.lit(1), n), first, step)
+CHUNK = 64
 
 
-def _spans_of_mask(mask: Column, n: Column) -> Column:
-    """array<struct<start,end>> between neighbouring set bits."""
-    cuts = lambda m: F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(m, i) == 1)
-    pairs = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-    return let(mask, lambda m: let(cuts(m), pairs))
-
-
-def _path(best: Column, n: Column) -> Column:
-    """array<struct<start,end,id>> of the best path, id null for a character that is no piece."""
+def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """key, n_chars and edges, array<long> in order of their ends, for words (key, word); an end that no piece of one character reaches has an edge of that character."""
+    chunks = words.select("key", "word", F.length("word").alias("n"), F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(CHUNK))).alias("at"))
+    # longer words come in chunks with what stands before them, so that no row carries a long word along
+    before = F.least(F.lit(longest - 1), F.col("at"))
+    chunks = chunks.select("key", "n", "at", before.alias("before"), F.substr("word", F.col("at") - before + 1, before + CHUNK).alias("chunk"))
+    ends = chunks.select("key", "n", "at", "before", "chunk", F.explode(F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.col("n") - F.col("at")))).alias("e"))
+    spans = ends.select("key", "n", (F.col("at") + F.col("e")).alias("end"), "before", "chunk", "e", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("before") + F.col("e")))).alias("len"))
+    spans = spans.select("key", "n", "end", "len", F.substr("chunk", F.col("before") + F.col("e") - F.col("len") + 1, F.col("len")).alias("piece"))
+    found = spans.join(F.broadcast(table.select("piece", "k", "tail")), "piece", "left").where("k is not null or len = 1")
+    number = F.coalesce(F.col("k"), F.ascii("piece") + NO_PIECE)
+    edge = F.shiftleft(F.col("end").cast("long"), 34) + F.shiftleft(F.col("len").cast("long"), 28) + F.shiftleft(F.coalesce("tail", F.lit(0)).cast("long"), 22) + number
+    return found.groupBy("key").agg(F.max("n").alias("n_chars"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
-    def back(ends: Column, _: Column) -> Column:
-        last = F.get(ends, F.lit(0))
-        return F.when(last > 0, F.concat(F.array(-F.get(best, last)["back"]), ends)).otherwise(ends)
 
-    cuts = F.aggregate(F.sequence(F.lit(1), n), F.array(n).cast("array<int>"), back)
-    named = lambda e: F.struct((-F.get(best, e)["back"]).alias("start"), e.alias("end"), F.nullif(F.get(best, e)["id"], F.lit(-1)).alias("id"))
-    return let(cuts, lambda c: F.transform(F.slice(c, F.lit(2), F.size(c) - 1), named))
+# A merge as one long: its seam (29 bits), the length before and after it (6 each), its rank (22).
+def _bpe_choice(facts: Column):
+    """(last edges by end, index of an end in them, edge, merges near, whether the end has an edge) -> last edges: the edge that fits is added."""
 
+    def vanishes(t: Column, rank: Column) -> Column:
+        return t.bitwiseAND(F.lit(NEVER)) > rank
 
-def _byte_ids(c: Column, first: int) -> Column:
-    code = F.hex(c.cast("binary"))
-    return F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda k: F.conv(F.substr(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + first)
+    def together(a: Column, b: Column) -> Column:
+        """Whether a part of the left and one of the right stand at the same time."""
+        born, dies = (lambda t: F.shiftright(t, 40)), (lambda t: F.shiftright(t, 20).bitwiseAND(F.lit(NEVER)))
+        return (born(a) <= dies(b)) & (born(b) < dies(a)) & (b > 0)
 
+    def crossed(merge: Column, suffixes: Column, prefixes: Column) -> Column:
+        """Whether the merge comes before left and right are whole. Without such a suffix and prefix it can't."""
+        rank = _number(merge)
+        a, b = F.get(suffixes, _length(merge) - 1), F.get(prefixes, _tail(merge) - 1)
+        return F.coalesce(vanishes(a, rank) & vanishes(b, rank - 1) & together(a, b), F.lit(False))
 
-def _long_words(pieces: Pieces):
-    ids = {p: (i, s) for p, i, s in pieces.rows}
-    base = pieces.bytes[0]
+    def choose(seen: Column, index, e: Column, merges: Column, found: Column) -> Column:
+        def fits(left: Column, start: Column) -> Column:
+            suffixes, prefixes = (F.get(facts[name], F.least(_number(x), F.size(facts["ids"]) - 1)) for name, x in (("suffixes", left), ("prefixes", e)))
+            return ~F.exists(merges, lambda m: (F.shiftright(m, 34) == start) & crossed(m, suffixes, prefixes))
 
-    @F.pandas_udf("array<int>")
-    def encode(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: heap_merge(w, ids, base))
+        def first(start: Column) -> Column:
+            return let(F.get(seen, index(start).cast("int")), lambda left: (left < 0) | fits(left, start))
 
-    return encode
+        return F.when(~found & let(F.shiftright(e, 34) - _length(e), first), F.concat(seen, F.array(e))).otherwise(seen)
 
+    return choose, "bigint", F.lit(-1).cast("long"), lambda entry: entry
 
-def heap_merge(word: str, ids: dict[str, tuple[int, float]], base: int) -> list[int]:
-    """BPE of one long word: merges by score, leftmost first."""
-    symbol = list(word)
-    after, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
-    heap: list[tuple[float, int, str]] = []
 
-    def offer(i: int) -> None:
-        if i >= 0 and after[i] < len(symbol) and (s := symbol[i] + symbol[after[i]]) in ids:
-            heapq.heappush(heap, (-ids[s][1], i, s))
+def _unigram_choice(facts: Column, least: float):
+    """As above; the last edge of the best path is kept, of equals the longest."""
+    kind = "struct<score:double,len:int,edge:bigint>"
 
-    for i in range(len(symbol)):
-        offer(i)
-    while heap:
-        _, i, s = heapq.heappop(heap)
-        j = after[i] if symbol[i] else len(symbol)
-        if j >= len(symbol) or symbol[i] + symbol[j] != s:
-            continue
-        symbol[i], symbol[j] = s, ""
-        after[i] = after[j]
-        if after[i] < len(symbol):
-            before[after[i]] = i
-        offer(before[i])
-        offer(i)
-    out: list[int] = []
-    for s in filter(None, symbol):
-        out += [ids[s][0]] if s in ids else [base + b for b in s.encode("utf-8", "surrogatepass")]
-    return out
+    def choose(seen: Column, index, e: Column, merges: Column, found: Column) -> Column:
+        own = F.when(_number(e) < NO_PIECE, F.get(facts["scores"], _number(e))).otherwise(F.lit(least - UNKNOWN))
+        scored = F.struct((F.get(seen, index(_end(e) - _length(e)))["score"] + own).alias("score"), _length(e).alias("len"), e.alias("edge")).cast(kind)
+        last = F.get(seen, F.size(seen) - 1)
+        return F.when(~found, F.concat(seen, F.array(scored))).when(scored > last, F.concat(F.slice(seen, F.lit(1), F.size(seen) - 1), F.array(scored))).otherwise(seen)
 
+    start = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("len"), F.lit(-1).cast("long").alias("edge"))
+    return choose, kind, start, lambda entry: entry["edge"]
 
-def encode_words(spark: SparkSession, words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words (word, n) with ids array<int>."""
-    sized = words.withColumn("n_chars", F.length("word"))
-    table = pieces.frame(spark)
-    short = sized.where(F.col("n_chars") <= LONG) if pieces.bpe else sized
-    own = (packed_lattice if pieces.bpe else lattice)(short, table, pieces.longest)
-    empty = F.array().cast("array<bigint>" if pieces.bpe else "array<struct<rank:double,start:int,end:int,id:int>>")
-    grouped = short.join(own, "word", "left").select("word", "n", "n_chars", F.coalesce("edges", empty).alias("edges"))
-    if pieces.bpe:
-        spans = grouped.withColumn("spans", _spans_of_mask(merge_fold(F.col("edges"), F.col("n_chars")), F.col("n_chars")))
-
-        def name(x: Column) -> Column:
-            at = F.filter("edges", lambda e: (_start(e) == x["start"]) & (_end(e) == x["end"]))
-            return F.struct(x["start"], x["end"], F.get(at, F.lit(0)).bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("id"))
-
-        named = F.transform("spans", name)
-    else:
-        spans = grouped
-        best = viterbi_fold(F.col("edges"), F.col("n_chars"), pieces.least)
-        named = let(best, lambda b: _path(b, F.col("n_chars")))
-    ids = F.flatten(F.transform("named", lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(_byte_ids(F.substr("word", x["start"] + 1, F.lit(1)), pieces.bytes[0]))))
-    out = spans.withColumn("named", named).select("word", "n", ids.alias("ids"))
-    if pieces.bpe:
-        rest = sized.where(F.col("n_chars") > LONG)
-        out = out.unionByName(rest.select("word", "n", _long_words(pieces)("word").alias("ids")))
-    return out
 
+def viterbi_fold(edges: Column, n: Column, choice: tuple, ranks: Column, block: int) -> Column:
+    """array<long>: the edges of the best path in order. block is the longest piece's length: of earlier ends than that nothing is asked."""
+    choose, kind, start, edge_of = choice
+    blocks = F.sequence(F.lit(0), n - 1, F.lit(block))
+    acc_type = f"struct<read:int,merges:array<bigint>,seen:array<{kind}>,done:array<array<bigint>>>"
+    none = F.array().cast("array<bigint>")
+    first = F.struct(F.lit(0).alias("read"), none.alias("merges"), F.array_repeat(start, block).alias("seen"), F.array().cast("array<array<bigint>>").alias("done")).cast(acc_type)
 
-def word_positions(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """uid, doc_id, pos (from 0), word; a text without words has one row of null pos and word."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].cast("long").alias("doc_id"), split_words(F.col("text"), pieces).alias("words"))
-    return rows.select("uid", "doc_id", F.posexplode_outer("words").alias("pos", "word"))
+    def merge(e: Column) -> Column:
+        fields = F.shiftleft(_end(e).cast("long") - _tail(e), 34) + F.shiftleft((_length(e) - _tail(e)).cast("long"), 28) + F.shiftleft(_tail(e).cast("long"), 22)
+        return fields + F.get(ranks, _number(e))
 
+    def forward(acc: Column, b: Column) -> Column:
+        fresh = F.filter(F.slice(edges, acc["read"] + 1, F.lit(block * block)), lambda e: F.shiftright(e, 34) <= b + block)
 
-def encode(spark: SparkSession, docs: DataFrame, pieces: Pieces) -> tuple[DataFrame, DataFrame]:
-    """(uid, doc_id, pos, word, ids) of all words of all texts, and the table of distinct words (word, n, ids)."""
-    at = word_positions(docs, pieces)
-    distinct = at.where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
-    # stored, so that the words are found once and the lattice's tasks start from an even deal by word
-    distinct = materialize(spark, distinct, "words")
-    known = materialize(spark, encode_words(spark, distinct.repartition("word"), pieces), "word-ids")
-    frequent = materialize(spark, known.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids"), "frequent")
-    tried = at.join(F.broadcast(frequent), "word", "left")
-    rare = at.join(F.broadcast(frequent.select("word")), "word", "left_anti").where("word is not null")
-    columns = ["uid", "doc_id", "pos", "word", "ids"]
-    hits = tried.where("ids is not null or word is null").select(*columns)
-    return hits.unionByName(rare.join(known.select("word", "ids"), "word").select(*columns)), known
+        def with_fresh(fresh: Column) -> Column:
+            own = F.transform(F.filter(fresh, lambda e: _tail(e) > 0), merge)
+            index = lambda end: end - (b - block + 1)
+            step = lambda merges: lambda seen, e: choose(seen, index, e, merges, F.size(seen) > index(F.shiftright(e, 34)))
 
+            def with_seen(seen: Column) -> Column:
+                chosen = F.transform(F.slice(seen, F.lit(block + 1), F.lit(block)), edge_of)
+                return F.struct((acc["read"] + F.size(fresh)).alias("read"), own.alias("merges"), F.slice(seen, F.size(seen) - block + 1, F.lit(block)).alias("seen"), F.concat(acc["done"], F.array(chosen)).alias("done")).cast(acc_type)
 
-def decode_words(spark: SparkSession, known: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, decoded): the ids of each word turned back into text by a join with the piece table."""
-    table = pieces.frame(spark).select(F.col("id").alias("at"), "piece")
-    each = known.select("word", F.posexplode("ids").alias("k", "at"))
-    base = pieces.bytes[0]
-    raw = F.when((F.col("at") >= base) & (F.col("at") < base + 256), F.unhex(F.lpad(F.hex(F.col("at") - base), 2, "0"))).otherwise(F.col("piece").cast("binary"))
-    joined = each.join(F.broadcast(table), "at", "left").select("word", F.struct("k", F.hex(raw).alias("code")).alias("part"))
-    code = F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["code"]), "")
-    return joined.groupBy("word").agg(F.decode(F.unhex(code), "UTF-8").alias("decoded"))
+            return let(let(F.concat(acc["merges"], own), lambda merges: F.aggregate(fresh, acc["seen"], step(merges))), with_seen)
 
+        return let(fresh, with_fresh)
 
-def id_bytes(pieces: Pieces) -> dict[int, bytes]:
-    """What each id writes: its piece with spaces for marks, or its byte."""
-    return {i: p.replace(SPACE, " ").encode() for p, i, _ in pieces.rows} | {b: bytes([k]) for k, b in enumerate(pieces.bytes)}
+    def path(chosen: Column) -> Column:
+        one, all_ = "struct<at:int,own:array<bigint>>", "struct<at:int,parts:array<array<bigint>>>"
 
+        def inner(acc: Column, b: Column) -> Column:
+            def step(a: Column, _: Column) -> Column:
+                edge = F.get(chosen, a["at"] - 1)
+                return F.when(a["at"] > b, F.struct((a["at"] - _length(edge)).alias("at"), F.concat(F.array(edge), a["own"]).alias("own")).cast(one)).otherwise(a)
 
-def decode_ids(ids: list[int], written: dict[int, bytes]) -> str:
-    """The text of one document's ids, without the space that encoding puts in front."""
-    return b"".join(map(written.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
+            return F.aggregate(F.sequence(F.lit(1), F.least(F.lit(block), n)), F.struct(acc["at"].alias("at"), none.alias("own")).cast(one), step)
 
+        back = lambda acc, b: let(inner(acc, b), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["parts"], F.array(r["own"])).alias("parts")).cast(all_))
+        begun = F.struct(n.alias("at"), F.array().cast("array<array<bigint>>").alias("parts")).cast(all_)
+        return F.flatten(F.reverse(F.aggregate(F.reverse(blocks), begun, back)["parts"]))
 
-def _decoder(pieces: Pieces):
-    written = id_bytes(pieces)
+    return let(F.flatten(F.aggregate(blocks, first, forward)["done"]), path)
 
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
-        return pd.Series([decode_ids(x.tolist(), written) for x in ids], dtype=object)
 
-    return decode
+def _byte_ids(code: Column, base: int) -> Column:
+    """The byte pieces of a character's UTF-8."""
+    low = lambda shift: F.shiftright(code, shift).bitwiseAND(F.lit(63)) + 128 + base
+    head = lambda shift, mark: F.shiftright(code, shift) + mark + base
+    long = F.array(head(18, 0xF0), low(12), low(6), low(0))
+    return F.when(code < 0x80, F.array(code + base)).when(code < 0x800, F.array(head(6, 0xC0), low(0))).when(code < 0x10000, F.array(head(12, 0xE0), low(6), low(0))).otherwise(long)
 
 
-def texts_of(encoded: DataFrame) -> DataFrame:
-    """uid, doc_id, ids of whole texts in order, for those who want them as arrays."""
-    per = encoded.groupBy("uid", "doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))).alias("w"))
-    return per.select("uid", "doc_id", F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"))
+def encode_words(spark: SparkSession, words: DataFrame, pieces: Pieces) -> DataFrame:
+    """words (key, word, more columns) with ids array<int>; pass a stored table."""
+    table = spark.createDataFrame(pieces.table())
+    count = pieces.table().num_rows
+    never = [NEVER << 20 | NEVER]
+    none = spark.createDataFrame([(count, 0.0, 0, -1, never, never)], "k int, score double, rank int, id int, prefixes array<long>, suffixes array<long>")
+    fields = {"ids": "id", "scores": "score", "ranks": "rank", "prefixes": "prefixes", "suffixes": "suffixes"}
+    # all pieces as one constant, as long as the vocabulary, by their numbers; the last stands for characters that are no piece
+    row = F.sort_array(F.collect_list(F.struct("k", *fields.values())))
+    numbered = table.select("k", *fields.values()).unionByName(none).agg(row.alias("r")).select(F.struct(*(F.col(f"r.{f}").alias(n) for n, f in fields.items())).alias("facts")).scalar()
+    dealt = words.repartition("key")
+    grouped = dealt.join(lattice(dealt.select("key", "word"), table, pieces.longest), "key")
+
+    def ids(facts: Column) -> Column:
+        choice = _bpe_choice(facts) if pieces.bpe else _unigram_choice(facts, pieces.least)
+        path = viterbi_fold(F.col("edges"), F.col("n_chars"), choice, facts["ranks"], pieces.longest)
+        return F.flatten(F.transform(path, lambda e: F.when(_number(e) < NO_PIECE, F.array(F.get(facts["ids"], _number(e)))).otherwise(_byte_ids(_number(e) - NO_PIECE, pieces.bytes[0]))))
+
+    # the optimizer writes the constant into its single use above the join, so no row carries it
+    return grouped.withColumn("facts", numbered).select(*words.columns, let(F.col("facts"), ids).alias("ids"))
+
+
+def distinct_fragments(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """word and n of all fragments of all texts. Tasks count within a bounded memory before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out: Counter = Counter()
+            for word, n in words.items():
+                for f in pieces.fragments(with_space(word, pieces.lines)):
+                    out[f] += n
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words.update(split_words(text, pieces.lines))
+                if len(words) > MEMO:
+                    yield flush()
+        yield flush()
+
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent(known: DataFrame, most: int = FREQUENT, most_bytes: int = FREQUENT_BYTES) -> DataFrame:
+    """word and ids of the most frequent fragments, as many as both bounds allow; the cut is found in a histogram."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    levels = known.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("word") + 4 * F.size("ids")).alias("size")).collect()
+    cut, rows, size = None, 0, 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        rows, size = rows + r["rows"], size + r["size"]
+        if rows > most or size > most_bytes:
+            break
+        cut = r["level"]
+    return known.where(F.lit(False) if cut is None else level >= cut).select("word", "ids")
+
+
+class _Encoded(dict):
+    """Word to its ids as bytes, or None if one of its fragments is not known."""
+
+    def __init__(self, pieces: Pieces, known: dict[str, bytes]):
+        super().__init__()
+        self.pieces, self.known = pieces, known
+
+    def __missing__(self, word: str) -> bytes | None:
+        found = [self.known.get(f) for f in self.pieces.fragments(with_space(word, self.pieces.lines))]
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = ids = None if None in found else b"".join(found)
+        return ids
+
+    def parts(self, word: str) -> tuple[bytes, list[tuple[int, str]]]:
+        """The known ids, and the unknown fragments with the place of each in those ids."""
+        ids, gaps = b"", []
+        for f in self.pieces.fragments(with_space(word, self.pieces.lines)):
+            if (own := self.known.get(f)) is None:
+                gaps.append((len(ids), f))
+            else:
+                ids += own
+        return ids, gaps
+
+    def text(self, words: list[str]) -> tuple[bytes, list[dict]]:
+        """The known ids of a text's words, and its gaps."""
+        found = list(map(self.__getitem__, words))
+        if None not in found:
+            return b"".join(found), []
+        out, gaps, size, done = [], [], 0, 0
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            before = b"".join(found[done:i])
+            own, missing = self.parts(words[i])
+            size += len(before)
+            gaps += [{"at": size + at, "word": w} for at, w in missing]
+            out += [before, own]
+            size, done = size + len(own), i + 1
+        return b"".join([*out, *found[done:]]), gaps
+
+
+_PARTS = "uid long, doc_id long, n_words long, digest binary, ids binary, gaps array<struct<at:long,word:string>>"
+_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary()), ("ids", pa.binary()), ("gaps", pa.list_(pa.struct([("at", pa.int64()), ("word", pa.string())])))])
+
+
+def encode_known(spark: SparkSession, docs: DataFrame, pieces: Pieces, words: DataFrame) -> DataFrame:
+    """uid, doc_id, n_words, digest (of the text), ids (those of `words`, a bounded table), gaps: each other fragment and the bytes of ids before it."""
+    rows = words.toPandas()  # bounded: see frequent()
+    shared = spark.sparkContext.broadcast({w: np.asarray(i, pieces.id_type).tobytes() for w, i in zip(rows["word"], rows["ids"])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoded = _Encoded(pieces, shared.value)
+        for batch in batches:
+            out = []
+            for uid, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words = split_words(text, pieces.lines)
+                out.append((uid, doc, len(words), hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest(), *encoded.text(words)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_ARROW)], _ARROW.names)
+
+    return docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, _PARTS)
+
+
+def written_by(pieces: Pieces) -> list[bytes]:
+    """What each id writes: its piece, or its byte."""
+    out = [b""] * (max(i for _, i, _ in pieces.rows) + 257)
+    for p, i, _ in pieces.rows:
+        out[i] = p.encode()
+    for k, b in enumerate(pieces.bytes):
+        out[b] = bytes([k])
+    return out
 
 
-def encode_digests(spark: SparkSession, docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """doc_id, n_words, n_pieces, ids_digest (xor over words of a hash of position and ids), round_trip: of each word, not of the text."""
-    encoded, known = encode(spark, docs, pieces)
-    broken = decode_words(spark, known, pieces).where("decoded <> word or decoded is null").select("word", F.lit(True).alias("broken"))
-    wrong = materialize(spark, broken, "broken")
-    if not wrong.limit(1).count():  # the rule: no word fails, and the words need no join
-        per_word = encoded.withColumn("broken", F.lit(None).cast("boolean"))
-    else:
-        per_word = encoded.join(wrong, "word", "left")
-    per = per_word.groupBy("uid", "doc_id").agg(
-        F.count("word").alias("n_words"),
-        F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long").alias("n_pieces"),
-        F.coalesce(F.bit_xor(F.when(F.col("word").isNotNull(), F.xxhash64("pos", "ids"))), F.lit(0)).alias("ids_digest"),
-        (F.count("broken") == 0).alias("round_trip"),
-    )
-    return per.drop("uid")
+def decode_ids(ids: list[int], written: list[bytes]) -> str:
+    """The text of one document's ids, without the space that encoding puts in front."""
+    return b"".join(map(written.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
-def encode_texts(spark: SparkSession, docs: DataFrame, pieces: Pieces) -> DataFrame:
+def _finish(parts: DataFrame, pieces: Pieces) -> DataFrame:
+    """Rows of _PARTS, their gaps with `fill` array<struct<k,ids>>, into whole ids and texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = written_by(pieces)
+        for batch in batches:
+            ids_of, texts, trips = [], [], []
+            for digest, ids, gaps, fill in zip(*(batch.column(c).to_pylist() for c in ("digest", "ids", "at", "fill"))):
+                if gaps:
+                    own = {x["k"]: np.array(x["ids"], pieces.id_type).tobytes() for x in fill}
+                    at, pieces_ = 0, []
+                    for k, a in enumerate(gaps):
+                        pieces_ += [ids[at:a], own[k]]
+                        at = a
+                    ids = b"".join([*pieces_, ids[at:]])
+                numbers = np.frombuffer(ids, pieces.id_type).astype(np.int32)
+                text = decode_ids(numbers.tolist(), written)
+                ids_of.append(numbers)
+                texts.append(text)
+                trips.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest() == digest)
+            sizes = [len(x) for x in ids_of]
+            offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids_of, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("n_words"), pa.array(sizes, pa.int64()), lists, pa.array(texts, pa.string()), pa.array(trips, pa.bool_())],
+                ["doc_id", "n_words", "n_pieces", "ids", "decoded", "round_trip"],
+            )
+
+    return parts.mapInArrow(run, "doc_id long, n_words long, n_pieces long, ids array<int>, decoded string, round_trip boolean")
+
+
+def known_fragments(spark: SparkSession, docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """word, n and ids of all distinct fragments of the texts, stored."""
+    # stored, so that the fragments are found once and keep their numbers
+    words = materialize(spark, distinct_fragments(docs, pieces).withColumn("key", F.monotonically_increasing_id()), "words")
+    return materialize(spark, encode_words(spark, words, pieces).select("word", "n", "ids"), "word-ids")
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, pieces: Pieces, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_words, n_pieces, ids of the whole text in order, decoded (those ids as text), round_trip: whether decoded is the text."""
-    encoded, _ = encode(spark, docs, pieces)
-    words = encoded.where("pos is not null").select("uid", "doc_id", F.struct("pos", "ids").alias("w"), F.lit(None).cast("string").alias("text"))
-    # each text is a row beside its words, so that one shuffle brings them together
-    whole = docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].cast("long").alias("doc_id"), F.lit(None).cast(words.schema["w"].dataType).alias("w"), F.coalesce("text", F.lit("")).alias("text"))
-    per = words.unionByName(whole).groupBy("uid", "doc_id").agg(F.sort_array(F.collect_list("w")).alias("w"), F.max("text").alias("text"))
-    joined = per.select("doc_id", F.size("w").cast("long").alias("n_words"), F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"), "text")
-    decoded = joined.withColumn("decoded", _decoder(pieces)("ids"))
-    return decoded.select("doc_id", "n_words", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    known = known_fragments(spark, docs, pieces)
+    parts = materialize(spark, encode_known(spark, docs, pieces, frequent(known, most)), "encoded")
+    ready = parts.withColumn("at", F.col("gaps.at")).withColumn("fill", F.lit(None).cast("array<struct<k:int,ids:array<int>>>")).drop("gaps", "uid")
+    gaps = parts.where(F.size("gaps") > 0)
+    missing = gaps.select("uid", F.posexplode("gaps").alias("k", "gap")).select("uid", "k", F.col("gap.word").alias("word"))
+    fill = F.struct("k", "ids").alias("fill")
+    own = gaps.select("uid", F.lit(None).cast("struct<k:int,ids:array<int>>").alias("fill"), F.struct("doc_id", "n_words", "digest", "ids", F.col("gaps.at").alias("at")).alias("row"))
+    filled = missing.join(known.select("word", "ids"), "word").select("uid", fill).withColumn("row", F.lit(None).cast(own.schema["row"].dataType))
+    # each text is a row beside its missing fragments, so that one shuffle brings them together
+    together = own.unionByName(filled).groupBy("uid").agg(F.first("row", ignorenulls=True).alias("row"), F.collect_list("fill").alias("fill")).select("row.*", "fill")
+    return _finish(ready.where(F.size("at") == 0).unionByName(together), pieces)
