@@ -45,7 +45,7 @@ ROUNDS = 8
 MEMO = 400_000
 WORD_MEMO = 200_000
 
-_PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, full long"
 _PACKED = f"{_PIECES}, bin long, offset long, fill long"
 
 
@@ -109,20 +109,29 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def full_sequence(partition: int, number: int) -> int:
+    """The sequence of a partition's full piece: odd numbers, for 2^22 partitions of 2^40 pieces each."""
+    return partition << 41 | number << 1 | 1
+
+
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """uid (of the row), doc_id, piece, start, length, ids_crc32."""
+    """uid (of the row), doc_id, piece, start, length, ids_crc32, full (the sequence of a full piece, else null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
-        arrow = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        arrow = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        number = 0
         for batch in batches:
             rows = []
             for uid, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 ids = words.of(text or "") + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((uid, doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow)], ["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
+                    whole = len(part) == 4 * capacity
+                    # a task has one partition, which stands in the upper bits of its rows' numbers
+                    rows.append((uid, doc, k, at // 4, len(part) // 4, zlib.crc32(part), full_sequence(uid >> 33, number) if whole else None))
+                    number += whole
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow)], ["uid", "doc_id", "piece", "start", "length", "ids_crc32", "full"])
 
     return docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
 
@@ -157,8 +166,7 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     content = [set(b) for b in bins]
     queue = [(int(fill[k]), k) for k in range(len(bins)) if fill[k] < capacity]
     heapq.heapify(queue)
-    idle = 0
-    while queue and idle < 64:
+    while queue:
         f, a = heapq.heappop(queue)
         if f != fill[a] or f == 0:
             continue
@@ -173,9 +181,6 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
             for k in (a, b):
                 if 0 < fill[k] < capacity:
                     heapq.heappush(queue, (int(fill[k]), k))
-            idle = 0
-        else:
-            idle += 1
     return [sorted(c) for c in content if c]
 
 
@@ -185,7 +190,9 @@ def _best_exchange(a: int, own: set[int], size: np.ndarray, fill: np.ndarray, ow
     items = sorted(own, key=lambda i: (-size[i], i))
     giving = [((i,), int(size[i])) for i in items]
     seen: set[int] = set()
-    giving += [((i, j), int(size[i] + size[j])) for x, i in enumerate(items[:24]) for j in items[x + 1 : 24]]
+    # two of each length are enough for all sums of two, and a bin holds few lengths
+    few = [i for x, i in enumerate(items) if x < 2 or size[items[x - 2]] != size[i]]
+    giving += [((i, j), int(size[i] + size[j])) for x, i in enumerate(few) for j in few[x + 1 :]]
     other = np.arange(len(fill)) != a
     for give, n in giving:
         if n in seen:
@@ -225,8 +232,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: in
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = pieces.where(F.col("length") == capacity)
     # odd numbers are those of full pieces, even ones the packed bins'
-    full_id = F.shiftleft(F.col("uid"), 16) + F.col("piece") * 2 + 1
-    done = [full.select(*columns, full_id.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    done = [full.select(*columns, F.col("full").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest, level, nearly = pieces.where(F.col("length") < capacity), 0, capacity - capacity // SLACK
     while True:
         n = rest.count()

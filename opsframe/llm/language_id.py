@@ -6,9 +6,10 @@ bit i, so the AND of an n-gram's slots gives all languages that contain it in on
 lookup. A text's hits per language are corrected for false positives with the
 filter's own fill rate; the language with the most corrected hits is predicted.
 
-Training takes at most MAX_TRAIN_DOCS labelled rows a language in expectation
-(picked by a hash of the row, whole texts); the model is at most TOP_GRAMS n-grams
-a language, which is what the driver holds. Prediction reads whole texts.
+Training takes at most MAX_TRAIN_DOCS labelled texts a language in expectation
+(picked by a hash of the text, equal ones once, whole); the model is the TOP_GRAMS
+most frequent n-grams of each, which is what the driver holds. Prediction reads
+whole texts.
 
 Defined cases: text null or without a letter: `und`, score 0; a text of which no
 n-gram is known gets the language with the most training rows, score 0; without
@@ -34,7 +35,8 @@ HASHES = 2
 SLOT_BITS = 18
 TOP_GRAMS = 6000
 MAX_TRAIN_DOCS = 4000
-SLAB = 1 << 20
+SLAB = 1 << 18
+PICKS = 1 << 62
 
 
 @dataclass
@@ -140,16 +142,22 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def pick_below(count: int, max_docs: int) -> int:
+    """Texts whose hash, evenly spread below PICKS, is under this are learned from: max_docs of count in expectation."""
+    return min(PICKS, max_docs * PICKS // count)
+
+
 def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, top_grams: int = TOP_GRAMS) -> Model:
     """Learn from training_rows(docs) alone."""
-    rows = training_rows(docs).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("pick"))
+    rows = training_rows(docs).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(PICKS)).alias("pick"))
     sizes = rows.groupBy("lang").count()
     counts = {r["lang"]: r["count"] for r in sizes.collect()}  # one row a language
     if not counts:
         return Model([], 0, np.zeros((1, 1), np.uint64), np.zeros(0))
     languages = sorted(counts)
-    share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(int(min(1.0, max_docs / counts[lang]) * (1 << 20))))])
-    sample = rows.where(F.col("pick") < share[F.col("lang")]).select("lang", "text")
+    share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(pick_below(counts[lang], max_docs)))])
+    # copies of a text are all picked or none, so they count once
+    sample = rows.where(F.col("pick") < share[F.col("lang")]).dropDuplicates(["lang", "pick"]).select("lang", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,14 +195,23 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """The rows, all their columns, whose language can be told: those not `und`. No shuffle."""
+    """The rows, all their columns, whose language can be told. No shuffle.
+
+    Rows go that have no letter, or no n-gram of any language beyond what false
+    positives explain; without any language learned, rows with a letter stay.
+    """
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, _ = predict_texts(batch.column(at).to_pylist(), shared.value)
-            yield batch.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+            texts, model = batch.column(at).to_pylist(), shared.value
+            if model.languages:
+                lang, score = predict_texts(texts, model)
+                told = [x != "und" and s > 0 for x, s in zip(lang, score)]
+            else:
+                told = [any(map(str.isalpha, t or "")) for t in texts]
+            yield batch.filter(pa.array(told, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

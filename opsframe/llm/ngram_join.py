@@ -42,7 +42,7 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-9
 BLOCK = 256
-SLAB = 1 << 20
+SLAB = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -281,6 +281,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         state = now
 
 
+def repeated(prints: DataFrame) -> bool:
+    """Whether any row stands there twice, with its id and text."""
+    return prints.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
+
+
 def join_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """uid, doc_id, text_hash, class_id, copy_id, n_links for each row of docs.
 
@@ -293,16 +298,19 @@ def join_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
         prints.groupBy("set_a", "set_b").agg(F.min("uid").alias("node"), F.count("*").alias("size"), F.min("doc_id").alias("copy_id"), F.max("n").alias("n")),
         "copies",
     )
-    firsts = prints.select(F.col("uid").alias("node"), F.col("doc_id").alias("first_doc"), "sig").join(copies.where("n > 0").select("node", "size", "set_a", "set_b"), "node")
+    firsts = prints.select(F.col("uid").alias("node"), F.col("doc_id").alias("first_doc"), F.col("text_hash").alias("first_hash"), "sig").join(copies.where("n > 0").select("node", "size", "set_a", "set_b"), "node")
     firsts = materialize(spark, firsts, "firsts")
     bands = _bands(firsts)
     buckets = bands.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1").select("band", "leader")
     meets = materialize(spark, bands.join(buckets, "band").select("leader", "node").distinct(), "meets")
     groups = meets.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     led = meets.join(groups, "leader").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leader", "blocks"))).alias("led"))
-    wanted = led.join(firsts.select("node", "first_doc", "size", "set_a", "set_b"), "node")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    chosen = texts.join(wanted, on=texts["doc_id"].eqNullSafe(wanted["first_doc"])).select("text", "set_a", "set_b", "node", "size", "led")
+    wanted = led.join(firsts.select("node", "first_doc", "first_hash", "size", "set_a", "set_b"), "node")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    if repeated(prints):
+        texts = texts.dropDuplicates(["doc_id", "text_hash"])
+    # by id and text, so that null or repeated ids meet only where the text is the same, too
+    chosen = texts.join(wanted, on=[texts["text_hash"] == wanted["first_hash"], texts["doc_id"].eqNullSafe(wanted["first_doc"])]).select("text", "set_a", "set_b", "node", "size", "led")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,13 +351,12 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = materialize(spark, join_classes(spark, docs), "classes")
     best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "uid")).alias("best")).select(F.col("best.uid").alias("uid"))
     kept = rows.join(best, "uid").select("doc_id", "text_hash")
-    again = rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     # numbered names, so that no column of docs is taken for one of these
     own = [f"c{i}" for i in range(len(docs.columns))]
     doc, text = (own[docs.columns.index(c)] for c in ("doc_id", "text"))
     tagged = docs.toDF(*own).withColumn("hash", F.xxhash64(text))
     keys = kept.select(F.col("doc_id").alias("k_doc"), F.col("text_hash").alias("k_hash"))
     out = tagged.join(keys, on=[tagged[doc].cast("long").eqNullSafe(keys["k_doc"]), tagged["hash"] == keys["k_hash"]], how="left_semi")
-    if again:
+    if repeated(rows):
         out = out.dropDuplicates([doc, "hash"])
     return out.select(*own).toDF(*docs.columns)

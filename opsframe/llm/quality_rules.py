@@ -1,17 +1,21 @@
 """Quality rules: fixed limits, then robust multivariate outliers.
 
 Each text becomes a vector of transformed statistics. Per language and source, the
-minimum covariance determinant estimate of its centre and scatter is found by
-C-steps over all rows: start at medians and scaled deviations, keep the H share of
-rows nearest in Mahalanobis distance, take their mean and covariance, repeat. A
-row whose squared distance to its group's estimate passes CUTOFF is rejected.
-Groups of fewer than MIN_GROUP rows use their language's estimate over all its
-sources, and languages of fewer than that the estimate of all rows.
-
-Statistics are whole numbers in units of 1 / SCALE, so that sums over any number
-of rows and in any order are the same. Shares are smoothed by pseudo-counts, and
-the scatter has a floor, so that groups in which a statistic hardly varies don't
-reject every small deviation.
+minimum covariance determinant estimate of its centre and scatter is sought by
+C-steps over all rows: keep the H share of rows nearest in Mahalanobis distance,
+take their mean and covariance, repeat until no group's estimate changes (STEPS
+times at most). Each group has two starts, medians with scaled quartile ranges and
+the classical mean with its covariance; the one that ends in the least determinant
+counts. A row whose squared distance to its group's estimate passes CUTOFF is
+rejected. Groups of fewer than MIN_GROUP rows, too few for seven dimensions, use
+their language's estimate over all its sources, and languages of fewer than that
+the estimate of all rows.
+
+Statistics are whole numbers in units of 1 / SCALE, quantiles are exact ones of
+counts by value, and the nearest rows are taken by whole steps of distance (1 /
+NEAR of its binary logarithm), so estimates do not depend on how rows are dealt.
+Shares are smoothed by pseudo-counts, and the scatter has a floor, so that groups
+in which a statistic hardly varies don't reject every small deviation.
 
 Defined cases: null text has no words; such rows fail the base limits (n_words <
 10) and take no part in the estimates; null lang or source are groups of their
@@ -21,12 +25,13 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +42,31 @@ SCALE = 1024
 #: Least standard deviation of each statistic, in units of the statistic.
 FLOOR = (0.06, 0.03, 0.08, 0.08, 0.03, 0.06, 0.06)
 H = 0.75
-STEPS = 3
+STEPS = 12
 MIN_GROUP = 100
-#: Squared distance: the 0.9999 quantile of chi-square with 7 degrees.
-CUTOFF = 29.8775
-#: Consistency factor of the covariance of the H = 0.75 nearest rows, 7 dimensions.
-CONSISTENCY = 1.35
+NEAR = 32
+
+
+def chi_square(x: float, degrees: int) -> float:
+    """Distribution function of chi-square with an odd number of degrees."""
+    total, term = 0.0, 1.0
+    for k in range(1, degrees - 1, 2):
+        total, term = total + term, term * x / (k + 2)
+    return math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * total
+
+
+def chi_square_quantile(share: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    while high - low > 1e-9:
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, degrees) < share else (low, mid)
+    return high
+
+
+#: Squared distance that one in 10,000 rows of a normal distribution passes.
+CUTOFF = chi_square_quantile(0.9999, len(FEATURES))
+#: What the covariance of the nearest H share of a normal distribution falls short by.
+CONSISTENCY = H / chi_square(chi_square_quantile(H, len(FEATURES)), len(FEATURES) + 2)
 
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _MARK = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -54,7 +78,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def repeated_words(words: list[bytes]) -> int:
-    """Words that stand in 5-word windows found twice or more, first ones included; windows compare by 64-bit hashes."""
+    """Words that stand in 5-word windows found twice or more, first ones included; windows of equal hashes are compared word by word."""
     n = len(words) - 4
     if n < 2:
         return 0
@@ -67,9 +91,15 @@ def repeated_words(words: list[bytes]) -> int:
     same = w[order][1:] == w[order][:-1]
     if not same.any():
         return 0
+    left, right = order[:-1][same], order[1:][same]
     twice = np.zeros(n, np.int64)
-    twice[order[1:][same]] = 1
-    twice[order[:-1][same]] = 1
+    if all(words[i : i + 5] == words[j : j + 5] for i, j in zip(left.tolist(), right.tolist())):
+        twice[left] = twice[right] = 1
+    else:  # two windows share a hash
+        places: dict[tuple, list[int]] = {}
+        for i in range(n):
+            places.setdefault(tuple(words[i : i + 5]), []).append(i)
+        twice[[i for at in places.values() if len(at) > 1 for i in at]] = 1
     edge = np.zeros(len(words) + 1, np.int64)
     at = np.flatnonzero(twice)
     np.add.at(edge, at, 1)
@@ -130,69 +160,96 @@ def squared_distance() -> Column:
     return total
 
 
-_PARAMS = "level int, lang string, source string, n long, centre array<double>, precision array<double>"
+_PARAMS = "level int, lang string, source string, start int, n long, centre array<double>, precision array<double>, det double"
+_KEY = ["level", "lang", "source"]
 
 
-def _start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Medians and deviations of a group into its first estimate."""
-    for b in batches:
-        mid = np.array([[row[f"m{i}"] for i in range(len(FEATURES))] for _, row in b.iterrows()], float).reshape(-1, len(FEATURES)) / SCALE
-        quart = np.array([[row[f"q{i}"] for i in range(len(FEATURES))] for _, row in b.iterrows()], float).reshape(-1, len(FEATURES)) / SCALE
-        var = np.maximum(quart / 1.349, FLOOR) ** 2
-        out = b[["level", "lang", "source", "n"]].copy()
-        out["centre"], out["precision"] = list(mid), [np.diag(1 / v).ravel() for v in var]
-        yield out
+def _estimates(b: pd.DataFrame, mean: np.ndarray, cov: np.ndarray, raw: np.ndarray) -> pd.DataFrame:
+    """Rows of _PARAMS; the determinant is that of the scatter without its floor (its logarithm, NaN-free)."""
+    out = b[["level", "lang", "source", "start", "n"]].copy()
+    out["centre"], out["precision"] = list(mean), [np.linalg.inv(c).ravel() for c in cov]
+    out["det"] = [float(np.linalg.slogdet(r + np.diag(np.square(FLOOR)) / 100)[1]) for r in raw]
+    return out
 
 
-def _step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums over a group's nearest rows into its next estimate."""
-    p = len(FEATURES)
+def _medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Quartiles of a group into its first start."""
     for b in batches:
-        centres, precisions = [], []
-        for _, row in b.iterrows():
-            k = row["k"]
-            mean = np.array([row[f"s{i}"] for i in range(p)], float) / k
-            cov = np.zeros((p, p))
+        q = np.array(b["q"].map(lambda rows: [list(r) for r in rows]).tolist(), float).reshape(-1, len(FEATURES), 3) / SCALE
+        var = np.array([np.diag(np.maximum((r[:, 2] - r[:, 0]) / 1.349, FLOOR) ** 2) for r in q]).reshape(-1, len(FEATURES), len(FEATURES))
+        yield _estimates(b, q[:, :, 1], var, var)
+
+
+def _moments(scale: float):
+    """Sums over rows of a group into its next estimate."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = len(FEATURES)
+        for b in batches:
+            k = b["k"].to_numpy(float)[:, None]
+            mean = np.array([b[f"s{i}"] for i in range(p)], float).reshape(p, -1).T / k
+            cov = np.zeros((len(b), p, p))
             for i in range(p):
                 for j in range(i, p):
-                    cov[i, j] = cov[j, i] = float(row[f"s{i}_{j}"]) / k - mean[i] * mean[j]
-            cov = cov * CONSISTENCY / SCALE**2 + np.diag(np.square(FLOOR))
-            centres.append(mean / SCALE)
-            precisions.append(np.linalg.inv(cov).ravel())
-        out = b[["level", "lang", "source", "n"]].copy()
-        out["centre"], out["precision"] = centres, precisions
-        yield out
+                    cov[:, i, j] = cov[:, j, i] = b[f"s{i}_{j}"].to_numpy(float) / k[:, 0] - mean[:, i] * mean[:, j]
+            yield _estimates(b, mean / SCALE, cov * scale / SCALE**2 + np.diag(np.square(FLOOR)), cov / SCALE**2)
+
+    return run
+
+
+def _sums() -> list[Column]:
+    p = len(FEATURES)
+    each = [F.sum(f"x{i}").alias(f"s{i}") for i in range(p)]
+    return each + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
+
+
+def quartiles(leveled: DataFrame) -> DataFrame:
+    """Per group n and q, array<array<long>> of the exact quartiles of each statistic, from counts by value."""
+    p = len(FEATURES)
+    values = leveled.select(*_KEY, F.posexplode(F.array(*(F.col(f"x{i}") for i in range(p)))).alias("i", "x"))
+    counts = values.groupBy(*_KEY, "i", "x").agg(F.count("*").alias("c"))
+    own = Window.partitionBy(*_KEY, "i")
+    upto = counts.withColumns({"n": F.sum("c").over(own), "upto": F.sum("c").over(own.orderBy("x"))})
+    at = [F.min(F.when(F.col("upto") * 4 >= F.col("n") * k, F.col("x"))) for k in (1, 2, 3)]
+    quart = upto.groupBy(*_KEY, "i").agg(F.first("n").alias("n"), F.array(*at).alias("q"))
+    return quart.groupBy(*_KEY).agg(F.first("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda r: r["q"]).alias("q"))
 
 
 def fit(spark: SparkSession, stats: DataFrame) -> DataFrame:
     """One row a group: level 1 (lang, source), level 2 (lang), and level 0, all rows. stats is read several times: pass a stored table."""
-    p = len(FEATURES)
-    x = [f"x{i}" for i in range(p)]
-    rows = stats.where(F.col("n_words") >= 10).select("lang", "source", *x)
+    rows = stats.where(F.col("n_words") >= 10).select("lang", "source", *(f"x{i}" for i in range(len(FEATURES))))
     leveled = rows.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
-        "level", F.when(F.col("level") > 0, F.col("lang")).alias("lang"), F.when(F.col("level") == 1, F.col("source")).alias("source"), *x
+        "level", F.when(F.col("level") > 0, F.col("lang")).alias("lang"), F.when(F.col("level") == 1, F.col("source")).alias("source"), *rows.columns[2:]
     )
-    key = ["level", "lang", "source"]
-    quant = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(c) for c in x]
-    spread = leveled.groupBy(*key).agg(F.count("*").alias("n"), *quant)
-    spread = spread.select(*key, "n", *(F.col(c)[1].alias(f"m{i}") for i, c in enumerate(x)), *((F.col(c)[2] - F.col(c)[0]).alias(f"q{i}") for i, c in enumerate(x)))
-    params = materialize(spark, spread.mapInPandas(_start, _PARAMS), "mcd-0")
-    for step in range(STEPS):
-        near = measured(leveled, params)
-        cut = near.groupBy(*key).agg(F.percentile_approx("d2", H, 10_000).alias("cut"))
-        sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)] + [F.sum(F.col(x[i]) * F.col(x[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
-        cut = cut.select(*(F.col(c).alias(f"c_{c}") for c in key), "cut")
-        inner = near.join(cut, on=[near[c].eqNullSafe(cut[f"c_{c}"]) for c in key]).where(F.col("d2") <= F.col("cut"))
-        summed = inner.groupBy(*key).agg(F.max("n").alias("n"), F.count("*").alias("k"), *sums)
-        params = materialize(spark, summed.mapInPandas(_step, _PARAMS), f"mcd-{step + 1}")
-    return params
+    starts = quartiles(leveled).withColumn("start", F.lit(0)).mapInPandas(_medians, _PARAMS)
+    whole = leveled.groupBy(*_KEY).agg(F.count("*").alias("n"), F.count("*").alias("k"), F.lit(1).alias("start"), *_sums())
+    params = materialize(spark, starts.unionByName(whole.mapInPandas(_moments(1.0), _PARAMS)), "mcd")
+    for _ in range(STEPS):
+        # sums by whole steps of distance, of which the nearest are then taken: one pass over the rows
+        near = F.floor(F.log2(1 + measured_distance()) * NEAR).cast("int")
+        steps = measured(leveled, params).select(*_KEY, "start", "n", near.alias("near"), *rows.columns[2:])
+        summed = steps.groupBy(*_KEY, "start", "near").agg(F.max("n").alias("n"), F.count("*").alias("k"), *_sums())
+        before = F.sum("k").over(Window.partitionBy(*_KEY, "start").orderBy("near")) - F.col("k")
+        inner = summed.withColumn("before", before).where(F.col("before") < F.ceil(H * F.col("n")))
+        total = inner.groupBy(*_KEY, "start").agg(F.max("n").alias("n"), *(F.sum(c).alias(c) for c in summed.columns[5:] if c != "n"))
+        stepped = materialize(spark, total.mapInPandas(_moments(CONSISTENCY), _PARAMS), "mcd")
+        moved = stepped.select(*_KEY, "start", "centre", "precision").exceptAll(params.select(*_KEY, "start", "centre", "precision")).limit(1).count()
+        params = stepped
+        if not moved:
+            break
+    best = params.groupBy(*_KEY).agg(F.min_by(F.struct("n", "centre", "precision", "det", "start"), F.struct("det", "start")).alias("best"))
+    return materialize(spark, best.select(*_KEY, "best.*"), "mcd")
+
+
+def measured_distance() -> Column:
+    """squared_distance(), never negative or beyond what the logarithm of a step can hold."""
+    return F.least(F.greatest(squared_distance(), F.lit(0.0)), F.lit(1e300))
 
 
 def measured(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """rows (level, lang, source, x0..) with n and d2 of their group."""
-    own = params.select(*(F.col(c).alias(f"p_{c}") for c in ("level", "lang", "source")), "n", "centre", "precision")
-    joined = rows.join(own, on=[rows[c].eqNullSafe(own[f"p_{c}"]) for c in ("level", "lang", "source")])
-    return joined.withColumn("d2", squared_distance()).drop("p_level", "p_lang", "p_source", "centre", "precision")
+    """rows (level, lang, source, x0..) with start, n, centre and precision of each estimate of their group."""
+    own = params.select(*(F.col(c).alias(f"p_{c}") for c in _KEY), "start", "n", "centre", "precision")
+    return rows.join(own, on=[rows[c].eqNullSafe(own[f"p_{c}"]) for c in _KEY]).drop("p_level", "p_lang", "p_source")
 
 
 def judged(rows: DataFrame, params: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -78,6 +79,31 @@ def test_license_seeds_find_all_that_plain_matching_finds():
         assert bool(S.scan_text(text, ready)[7]) == plain
 
 
+def test_license_spans_as_plain_matching(spark):
+    """Labels, spans and edits, from bounded-error matching over texts with no seeds, which is too slow for long ones."""
+    ready = S.compiled([n for n in S.NOTICES if n[0] in ("mit", "reserved", "cc-by-nc")])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lower(text) rlike 'rights reserved|cc by|permission'").limit(6)
+    texts = [r.text[:200] for r in docs.collect()] + [r.text[-200:] for r in docs.collect()]
+    texts += ["all right reserved " * 3, "some words and all rigths reserved by us", "permision is hereby granted free of charge to anyperson else", None]
+    found = 0
+    for text in texts:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        norm = " ".join(words)
+        plain = set()
+        for label, _, _, _, pattern in ready:
+            for m in pattern.finditer(norm):
+                first = norm.count(" ", 0, m.start())
+                plain.add((label, first, first + m.group().strip().count(" "), sum(m.fuzzy_counts)))
+        kept = {s for s in plain if not any(o[3] < s[3] and o[1] <= s[2] and s[1] <= o[2] for o in plain)}
+        got = {(s["label"], s["first_word"], s["last_word"], s["edits"]) for s in S.scan_text(text, ready)[7]}
+        assert {s[0] for s in got} == {s[0] for s in kept} and {s[1:3] for s in got} == {s[1:3] for s in kept}
+        found += len(got)
+    assert found > 3
+    long = "x " * 300_000 + "all rights reserved"
+    df = spark.createDataFrame([(1, long), (1, long)], "doc_id long, text string")
+    assert [(r.last_word, r.labels) for r in S.scan_notices(df).collect()] == [(300_000, "reserved")] * 2
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=40).astype("f4").tolist(), 1) for i in range(300)]

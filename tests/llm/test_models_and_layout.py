@@ -40,11 +40,46 @@ def test_language_accuracy_and_cases(spark, docs):
     assert lang[0] == lang[1] and abs(score[0] - score[1]) < 1e-3
     none = L.fit(docs.where("lang is null"))
     assert L.predict_texts(["abc"], none) == (["und"], [0.0])
+    assert L.pick_below(5_000_000_000, 4000) / L.PICKS == pytest.approx(4000 / 5e9) and L.pick_below(10, 4000) == L.PICKS
     odd = docs.selectExpr("doc_id", "if(doc_id % 50 = 0, null, text) as text", "lang", "source", "1 as score")
+    unknown = spark.createDataFrame([(1, "ⴰⴱⴲⴳⴴ ⴵⴶⴷⴸⴹ", "en", "s"), (2, "12", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert L.keep_identified(spark, unknown, model).count() == 0
+    assert [r.doc_id for r in L.keep_identified(spark, unknown, none).collect()] == [1]
+    empty = docs.limit(0)
+    assert L.fit(empty).languages == [] and L.predict(spark, empty, model).count() == 0 and L.keep_identified(spark, empty, model).count() == 0
     kept = L.keep_identified(spark, odd, model)
     assert kept.columns == odd.columns and kept.count() == odd.where("text is not null").count()
 
 
+def test_language_as_plain_sets_of_ngrams(spark, docs):
+    """The same prediction from a plain dictionary of n-grams to languages, where the filters' false positives do not decide."""
+    model = L.fit(docs, 300, 2000)
+    rows = [r for r in docs.collect() if r.text and r.lang and not L.is_held_out(r.doc_id)]
+
+    def grams(text):
+        folded = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else "\0" for c in f"\0{text}\0")
+        return [w for i in range(len(folded) - 3) if "\0\0" not in (w := folded[i : i + 4])]
+
+    count = {lang: {} for lang in model.languages}
+    picked = spark.createDataFrame([(r.lang, r.text) for r in rows], "lang string, text string").distinct()
+    sizes = {lang: sum(r.lang == lang for r in rows) for lang in model.languages}
+    for r in picked.withColumn("pick", F.pmod(F.xxhash64("text"), F.lit(L.PICKS))).collect():
+        if r.pick < L.pick_below(sizes[r.lang], 300):
+            for w in grams(r.text):
+                count[r.lang][w] = count[r.lang].get(w, 0) + 1
+    known = {lang: set(sorted(c, key=lambda w: -c[w])[:2000]) for lang, c in count.items()}
+    got = {r.doc_id: r.lang_pred for r in L.predict(spark, docs, model).collect()}
+    same = []
+    for r in docs.where('length(text) < 3000').limit(300).collect():
+        hits = {lang: sum(w in known[lang] for w in grams(r.text or "")) for lang in known}
+        first, second = sorted(hits.values())[-1:-3:-1]
+        if first > 1.1 * second + 5:
+            same.append(got[r.doc_id] == max(hits, key=hits.get))
+    assert len(same) > 200 and all(same)
+    twice = docs.limit(20).union(docs.limit(20))
+    assert L.predict(spark, twice, model).count() == 40
+
+
 def base_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
@@ -105,6 +140,39 @@ def test_robust_estimate_ignores_a_contaminated_share(spark):
     assert far > R.CUTOFF
 
 
+def test_estimate_as_plain_c_steps(spark):
+    """The estimate of one group, from numpy C-steps over the same steps of distance from both starts."""
+    rng = np.random.default_rng(11)
+    p = len(R.FEATURES)
+    x = np.round(np.vstack([rng.normal(0, 1, (600, p)) @ rng.normal(0, 0.5, (p, p)), rng.normal(4, 0.3, (150, p))]) * R.SCALE)
+    df = spark.createDataFrame([("en", "s", 20, *map(int, r)) for r in x], "lang string, source string, n_words long, " + ", ".join(f"x{i} long" for i in range(p)))
+    ends = []
+    q = np.array([[np.sort(c)[int(np.ceil(len(c) * k / 4)) - 1] for k in (1, 2, 3)] for c in x.T]) / R.SCALE
+    floor = np.diag(np.square(R.FLOOR))
+    for centre, cov in ((q[:, 1], np.diag(np.maximum((q[:, 2] - q[:, 0]) / 1.349, R.FLOOR) ** 2)), (x.mean(0) / R.SCALE, np.cov(x.T, bias=True) / R.SCALE**2 + floor)):
+        for _ in range(R.STEPS):
+            d = x / R.SCALE - centre
+            d2 = np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+            near = np.floor(np.log2(1 + d2) * R.NEAR)
+            cut = np.sort(near)[int(np.ceil(R.H * len(x))) - 1]
+            own = x[near <= cut] / R.SCALE
+            raw = np.cov(own.T, bias=True)
+            centre, cov = own.mean(0), raw * R.CONSISTENCY + floor
+        ends.append((np.linalg.slogdet(raw + floor / 100)[1], centre, np.linalg.inv(cov)))
+    det, centre, precision = min(ends, key=lambda e: e[0])
+    own = R.fit(spark, df).where("level = 1").first()
+    assert np.allclose(own.centre, centre, atol=2e-3) and np.allclose(np.array(own.precision).reshape(p, p), precision, rtol=0.02, atol=0.02 * np.abs(precision).max())
+    dealt = R.fit(spark, df.repartition(7)).where("level = 1").first()
+    assert dealt == own
+
+
+def test_repeats_are_compared_word_by_word(monkeypatch):
+    words = [b"a", b"b", b"c", b"d", b"e", b"f"] * 2
+    plain = R.repeated_words(words)
+    monkeypatch.setattr(R, "hash", lambda w: 1, raising=False)
+    assert R.repeated_words(words) == plain == 12 and R.repeated_words([bytes([i]) for i in range(60, 90)]) == 0
+
+
 def test_small_group_uses_its_language(spark):
     rng = np.random.default_rng(3)
     row = lambda lang, source, at: (lang, source, 20, 0, *map(int, (rng.normal(0, 1, 7) + at) * R.SCALE))
@@ -143,6 +211,42 @@ def test_packing(spark, docs):
     assert B.pack(spark, df.limit(0), path).count() == 0
 
 
+def fewest_bins(lengths, capacity):
+    """By trying all partitions, longest first."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(lengths)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for k in {b: k for k, b in enumerate(bins)}.values():
+            if bins[k] + lengths[i] <= capacity:
+                place(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        place(i + 1, [*bins, lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_beside_the_fewest_bins():
+    random.seed(5)
+    over = []
+    for _ in range(60):
+        lengths = [random.randint(5, 60) for _ in range(9)]
+        over.append(len(B.improve(B.best_fit(lengths, 100), lengths, 100)) - fewest_bins(lengths, 100))
+    # the search is no exact packer: one bin more in 5 of the 60 cases
+    assert set(over) == {0, 1} and sum(over) <= 5
+
+
+def test_sequences_of_full_pieces_differ_at_any_size():
+    ids = {B.full_sequence(part, n) for part in (0, 1, 32_767, 32_768, 65_536, 800_000, (1 << 22) - 1) for n in (0, 1, 32_768, (1 << 40) - 1)}
+    assert len(ids) == 28 and all(0 < i < 1 << 63 and i % 2 for i in ids)
+
+
 def test_local_search_empties_bins():
     random.seed(2)
     for _ in range(20):
@@ -193,7 +297,8 @@ def best_score(word, rows, longest):
     return best[-1]
 
 
-def test_lattice_as_the_library(spark):
+@pytest.fixture(scope="module")
+def sentencepieces():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -201,61 +306,58 @@ def test_lattice_as_the_library(spark):
     with open(path, "rb") as f:
         model = pb.ModelProto.FromString(f.read())
     model.trainer_spec.model_type = 1
-    libraries = {"bpe": sentencepiece.SentencePieceProcessor(model_file=path), "unigram": sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())}
-    texts = [r.text for r in table(spark, SF, "documents").limit(40).collect()]
-    texts += [None, "", " ", "a  b\n\nc \n d▁e 漢🙂", "x" * 100 + "the" * 40, "\n", "\n\n a", "tokenisation of antidisestablishment"]
-    df = spark.createDataFrame([(i, t, "w") for i, t in enumerate(texts)], "doc_id long, text string, word string")
-    for kind, library in libraries.items():
-        pieces = P.Pieces(path, kind)
-        encoded, known = P.encode(spark, df, pieces)
-        if kind == "bpe":
-            got = {r.doc_id: r.ids for r in P.texts_of(encoded).collect()}
-            assert [i for i, t in enumerate(texts) if got[i] != library.encode(t or "")] == []
-        else:
-            # ranks as scores are beyond what the library's single precision tells apart in whole texts, so word by word, by score
-            words = [r for r in known.collect() if re.fullmatch("▁[^▁\n]+", r.word) and not any(3 <= i < 259 for i in r.ids)]
-            score = {i: s for _, i, s in pieces.rows}
-            total = lambda ids: sum(score[i] for i in ids)
-            assert len(words) > 500
-            for r in words:
-                theirs = library.encode(r.word[1:])
-                assert total(r.ids) == best_score(r.word, pieces.rows, pieces.longest)
-                assert r.ids == theirs or total(r.ids) >= total(theirs)
-            assert np.mean([r.ids == library.encode(r.word[1:]) for r in words]) > 0.99
-        assert P.decode_words(spark, known, pieces).where("decoded <> word or decoded is null").count() == 0
-    digests = P.encode_digests(spark, df, P.Pieces(path)).collect()
-    assert len(digests) == len(texts) and all(r.round_trip for r in digests)
-    assert P.encode_digests(spark, df.limit(0), P.Pieces(path)).count() == 0
-
-
-def test_texts_come_back_from_their_ids(spark):
-    import sentencepiece
-
-    path = Q.tokenizer_path("piece_bpe_32k.model")
-    library = sentencepiece.SentencePieceProcessor(model_file=path)
-    texts = [r.text for r in table(spark, SF, "documents").limit(20).collect()]
-    texts += [None, "", " ", "  a  b\n\nc \n 漢🙂", "x" * 100 + "the" * 40, "\n", "d▁e", "▁", "twice", "twice"]
-    df = spark.createDataFrame([(i // 2, i, t) for i, t in enumerate(texts)], "doc_id long, i int, text string").repartition(3)
-    rows = P.encode_texts(spark, df, P.Pieces(path)).collect()
-    got = sorted((r.doc_id, r.n_pieces, tuple(r.ids), r.decoded, r.round_trip) for r in rows)
+    return path, sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+
+def test_unigram_lattice_as_the_library(spark, sentencepieces):
+    path, _, library = sentencepieces
+    pieces = P.Pieces(path, "unigram")
+    known = P.known_fragments(spark, table(spark, SF, "documents").limit(40), pieces).collect()
+    # ranks as scores are beyond what the library's single precision tells apart in whole texts, so fragment by fragment, by score
+    words = [r for r in known if re.fullmatch(" [^ \n]+", r.word) and not any(3 <= i < 259 for i in r.ids)]
+    score = {i: s for _, i, s in pieces.rows}
+    total = lambda ids: sum(score[i] for i in ids)
+    assert len(words) > 500
+    for r in words:
+        theirs = library.encode(r.word[1:])
+        assert total(r.ids) == best_score(r.word, pieces.rows, pieces.longest)
+        assert r.ids == theirs or total(r.ids) >= total(theirs)
+    assert np.mean([r.ids == library.encode(r.word[1:]) for r in words]) > 0.99
+
+
+def test_texts_come_back_from_their_ids(spark, sentencepieces):
+    path, library, _ = sentencepieces
+    texts = [r.text for r in table(spark, SF, "documents").limit(60).collect()]
+    texts += [None, "", " ", "  a  b\n\nc \n 漢🙂", "x" * 100 + "the" * 40, "\n", "d▁e", "▁", "twice", "twice", "\n\n a", "a\n", " \n b", "ab" * 9000, "tokenisation of antidisestablishment"]
+    random.seed(8)
+    for _ in range(150):
+        texts.append(" ".join("".join(random.choices(["ab", "the", "ing", "x", "é", "漢字", "aaa", "0", "!", "er", "ter", "\n", "  "], k=random.randint(1, 40))) for _ in range(3)))
+    df = spark.createDataFrame([(i // 2 if i % 7 else None, i, t, "w") for i, t in enumerate(texts)], "doc_id long, i int, text string, word string").repartition(3)
     ids = [library.encode(t or "") for t in texts]
     back = [library.decode(x) for x in ids]
-    assert got == sorted((i // 2, len(x), tuple(x), b, b == (t or "")) for i, (t, x, b) in enumerate(zip(texts, ids, back)))
+    want = sorted((str(i // 2 if i % 7 else None), len(x), tuple(x), b, b == (t or "")) for i, (t, x, b) in enumerate(zip(texts, ids, back)))
+    for most in (P.FREQUENT, 60, 0):  # all, some and no fragments known to all tasks
+        rows = P.encode_texts(spark, df, P.Pieces(path), most).collect()
+        assert sorted((str(r.doc_id), r.n_pieces, tuple(r.ids), r.decoded, r.round_trip) for r in rows) == want
     assert [t for t, b in zip(texts, back) if b != (t or "")] == ["d▁e", "▁"]
     assert set(Q.op8_piece_lattice(spark, SF).columns) == {"doc_id", "n_words", "n_pieces", "ids", "decoded", "round_trip"}
     assert P.encode_texts(spark, df.limit(0), P.Pieces(path)).count() == 0
 
 
-def test_heap_merge_as_the_library():
-    import sentencepiece
+def test_no_row_of_the_lattice_carries_the_piece_table(spark, sentencepieces):
+    words = spark.createDataFrame([(1, "the")], "key long, word string")
+    plan = P.encode_words(spark, words, P.Pieces(sentencepieces[0]))._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "array(scalar-subquery" in above and "AS facts" not in above
 
-    path = Q.tokenizer_path("piece_bpe_32k.model")
-    pieces, library = P.Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    ids = {p: (i, s) for p, i, s in pieces.rows}
-    random.seed(8)
-    for _ in range(200):
-        word = "".join(random.choices(["ab", "the", "ing", "x", "é", "漢字", "aaa", "0", "!"], k=random.randint(1, 60)))
-        assert P.heap_merge("▁" + word, ids, pieces.bytes[0]) == library.encode(word)
+
+def test_frequent_fragments_keep_both_bounds(spark):
+    known = spark.createDataFrame([(f"w{i}", max(1, 1000 - i), [i]) for i in range(500)], "word string, n long, ids array<int>")
+    for most, most_bytes in ((500, 1 << 20), (100, 1 << 20), (500, 900), (0, 0)):
+        got = {r.word for r in P.frequent(known, most, most_bytes).collect()}
+        assert len(got) <= most and sum(len(w) + 4 for w in got) <= most_bytes
+        assert got == {f"w{i}" for i in range(len(got))}
+    assert P.frequent(known.limit(0)).count() == 0
 
 
 def brute_classes(rows):
@@ -300,6 +402,9 @@ def test_ngram_join(spark, docs):
     assert got == want
     kept = G.keep_first(spark, df)
     assert kept.columns == df.columns and kept.count() == len({c for _, c, _ in want})
+    nobody = spark.createDataFrame([(None, " ".join(base) + f" v{i % 40}") for i in range(400)] + [(None, "one two")] * 50, "doc_id long, text string")
+    assert [tuple(r) for r in G.ngram_join(spark, nobody).groupBy("class_id", "n_links").count().orderBy("count").collect()] == [(None, 49, 50), (None, 399, 400)]
+    assert G.keep_first(spark, nobody).count() == 2
     assert G.ngram_join(spark, df.limit(0)).count() == 0 and G.keep_first(spark, df.limit(0)).count() == 0
 
 
@@ -312,5 +417,12 @@ def test_pipeline(spark):
         after = stage(spark, left, SF)
         assert after.columns == docs.columns and 0 < after.count() <= left.count(), name
         left = after
+    odd = docs.selectExpr("if(doc_id % 9 = 0, null, doc_id) as doc_id", "if(doc_id % 40 = 0, null, text) as text", "lang", "source", "n_chars", "1 as c0", "'x' as kept").union(docs.limit(3).selectExpr("doc_id", "text", "lang", "source", "n_chars", "2", "'y'"))
+    for rows in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, rows, SF)
+            assert after.columns == odd.columns and after.count() <= rows.count() and after.where("text is null").count() == 0, name
+            rows = after
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
     packed = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in left.select("doc_id").collect()}
