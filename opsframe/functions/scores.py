@@ -60,30 +60,47 @@ def image_url_equal(a: Column, b: Column) -> Column:
     return F.coalesce((x == y) | ((F.length(x) > 30) & F.contains(y, x)) | ((F.length(y) > 30) & F.contains(x, y)), F.lit(False))
 
 
-def with_text_score(df, title: str, name: str, price_a: str, price_b: str, out: str = "text_score"):
-    """Adds the text score and its parts' overlap and longest; tokens are worked out once."""
-    df = df.withColumns({"__t": match_tokens(F.col(title)), "__n": match_tokens(F.col(name))})
-    t, n = F.col("__t"), F.col("__n")
-    shorter, longer = F.when(F.size(t) <= F.size(n), t).otherwise(n), F.when(F.size(t) <= F.size(n), n).otherwise(t)
-    partial = F.size(F.filter(shorter, lambda w: F.array_contains(longer, w))) / F.size(shorter)
-    df = df.withColumns({"__bt": bigrams(t), "__bn": bigrams(n), "__partial": F.when(F.size(shorter) > 0, partial).otherwise(0.0)})
-    both = F.size(F.array_intersect("__bt", "__bn")) / F.size(F.array_union("__bt", "__bn"))
-    bigram = F.when((F.size("__bt") > 0) & (F.size("__bn") > 0), both).otherwise(0.0)
-    overlap = F.size(F.array_intersect(t, n))
-    jaccard = overlap / F.size(F.array_union(t, n))
-    pa, pb = clean_price(F.col(price_a)), clean_price(F.col(price_b))
-    price = F.when((pa > 0) & (pb > 0) & (F.least(pa, pb) / F.greatest(pa, pb) >= 0.7), F.least(3 * F.least(pa, pb) / F.greatest(pa, pb), F.lit(2.0))).otherwise(0.0)
-    first = F.when(F.get(t, F.lit(0)) == F.get(n, F.lit(0)), 1.5).otherwise(0.0)
-    some = (F.size(t) > 0) & (F.size(n) > 0)
-    total = F.when(some, 7.5 * F.col("__partial") + 5 * bigram + 4 * jaccard + first + price).otherwise(0.0)
-    out_df = df.withColumns({out: total, "overlap": overlap, "longest": F.greatest(F.size(t), F.size(n)), "has_text": some})
-    return out_df.drop("__t", "__n", "__bt", "__bn", "__partial")
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once a row: a lambda variable, where a column would be written out at each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def text_evidence(title: Column, name: Column, price_a: Column, price_b: Column) -> Column:
+    """struct<text_score, overlap, longest, has_text> of two titles and prices; tokens and pairs are worked out once."""
+
+    def scored(x: Column) -> Column:
+        t, n, bt, bn = (x[c] for c in ("t", "n", "bt", "bn"))
+        # fixed values: the weights of the text score
+        shorter, longer = F.when(F.size(t) <= F.size(n), t).otherwise(n), F.when(F.size(t) <= F.size(n), n).otherwise(t)
+        least = F.least(F.size(t), F.size(n))
+        partial = F.when(least > 0, let(longer, lambda lo: F.size(F.filter(shorter, lambda w: F.array_contains(lo, w)))) / least).otherwise(0.0)
+        bigram = F.when((F.size(bt) > 0) & (F.size(bn) > 0), F.size(F.array_intersect(bt, bn)) / F.size(F.array_union(bt, bn))).otherwise(0.0)
+        jaccard = x["overlap"] / F.size(F.array_union(t, n))
+        pa, pb = x["pa"], x["pb"]
+        price = F.when((pa > 0) & (pb > 0) & (F.least(pa, pb) / F.greatest(pa, pb) >= 0.7), F.least(3 * F.least(pa, pb) / F.greatest(pa, pb), F.lit(2.0))).otherwise(0.0)
+        first = F.when(F.get(t, F.lit(0)) == F.get(n, F.lit(0)), 1.5).otherwise(0.0)
+        some = (F.size(t) > 0) & (F.size(n) > 0)
+        total = F.when(some, 7.5 * partial + 5 * bigram + 4 * jaccard + first + price).otherwise(0.0)
+        return F.struct(total.alias("text_score"), x["overlap"].alias("overlap"), F.greatest(F.size(t), F.size(n)).alias("longest"), some.alias("has_text"))
+
+    def pairs(x: Column) -> Column:
+        own = F.struct(x["t"].alias("t"), x["n"].alias("n"), bigrams(x["t"]).alias("bt"), bigrams(x["n"]).alias("bn"), F.size(F.array_intersect(x["t"], x["n"])).alias("overlap"), x["pa"].alias("pa"), x["pb"].alias("pb"))
+        return let(own, scored)
+
+    return let(F.struct(match_tokens(title).alias("t"), match_tokens(name).alias("n"), clean_price(price_a).alias("pa"), clean_price(price_b).alias("pb")), pairs)
+
+
+def overlap_score(image_equal: Column, title: Column, name: Column) -> Column:
+    """The plain scorer: 100 for the same image, else 50 by the share of words that both have."""
+    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
+    share = lambda x: 50.0 * F.size(F.array_intersect(x["a"], x["b"])) / F.greatest(F.size(x["a"]), F.size(x["b"]))
+    return F.when(image_equal, 100.0).otherwise(let(F.struct(words(title).alias("a"), words(name).alias("b")), share))
 
 
 def match_score(image_equal: Column, hash_score: Column, text: Column) -> Column:
-    """100 for the same image, else hash and text score, less 15 % where texts are unrelated; 100 at most."""
-    total = hash_score + text
-    cut = F.col("has_text") & (F.col("overlap") <= 1) & (F.col("longest") > 2)
+    """100 for the same image, else hash and text score, less 15 % where texts are unrelated; 100 at most. `text` is a text_evidence()."""
+    total = hash_score + text["text_score"]
+    cut = text["has_text"] & (text["overlap"] <= 1) & (text["longest"] > 2)
     return F.when(image_equal, 100.0).otherwise(F.least(F.when(cut, total * 0.85).otherwise(total), F.lit(100.0)))
 
 

@@ -85,6 +85,14 @@ def platform_of(url: Column) -> Column:
     return F.when(F.contains(d, F.lit("flipkart.com")), "flipkart").when(F.contains(d, F.lit("meesho.com")), "meesho").when(F.contains(d, F.lit("amazon.")), "amazon")
 
 
+def bucket_of_link(link: Column) -> Column:
+    """The platform of a product link by host and path marker, without its query and fragment; null for other links."""
+    bare = F.substring_index(F.substring_index(link, "?", 1), "#", 1)
+    has = lambda *parts: F.lit(True) if not parts else F.contains(bare, F.lit(parts[0])) & has(*parts[1:])
+    # fixed values: hosts and path markers
+    return F.when(has("amazon.in", "/dp/"), "amazon").when(has("flipkart.com", "/p/") | has("flipkart.com", "/product/"), "flipkart").when(has("meesho.com", "/p/"), "meesho")
+
+
 def allowed_host(url: Column, domains: list[str]) -> Column:
     """Whether the host is one of the domains or below one; false if there is none."""
     host = F.regexp_extract(F.lower(url), r"^https?://([^/:?#]+)", 1)

@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsframe.functions.scores import hamming64, match_gate, match_score, match_tag, phash_score, verified_score, with_text_score
+from opsframe.functions.scores import hamming64, image_url_equal, let, match_gate, match_score, match_tag, phash_score, text_evidence, verified_score
 
 PLATFORMS = ("amazon", "flipkart", "meesho")
+#: Points of a reverse-image hit, and the score from which a match is reliable.
+REVERSE_BONUS, RELIABLE = 30.0, 35.0
 
 
 def score_candidates(candidates: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Candidates with text_score, score, verified and passes. `scale` stretches hash distances of short hashes."""
-    scored = with_text_score(candidates, "title", "cand_title", "price", "cand_price")
+    """Candidates with text_score, score, verified, passes and reliable. `scale` stretches hash distances of short hashes."""
+    same = image_url_equal(F.col("image_url"), F.col("cand_image"))
     by_hash = phash_score(hamming64(F.col("phash"), F.col("cand_phash")) * scale)
-    scored = scored.withColumn("score", match_score(F.lit(False), by_hash, F.col("text_score")) + F.when(F.col("source") == "revimg", 30.0).otherwise(0.0))
-    scored = scored.withColumn("verified", verified_score(F.col("score"), F.col("dinov2_sim"), F.col("clip_sim")))
-    return scored.withColumn("passes", match_gate(F.col("source") == "revimg", F.col("dinov2_sim"), F.col("clip_sim"))).drop("overlap", "longest", "has_text")
+    reverse = F.col("source") == "revimg"
+
+    def scored(text: Column) -> Column:
+        score = match_score(same, by_hash, text) + F.when(reverse, REVERSE_BONUS).otherwise(0.0)
+        return F.struct(text["text_score"].alias("text_score"), score.alias("score"))
+
+    # one struct, so that no use of a score repeats the work of the texts
+    found = candidates.withColumn("__s", let(text_evidence(F.col("title"), F.col("cand_title"), F.col("price"), F.col("cand_price")), scored))
+    found = found.select(*candidates.columns, "__s.text_score", "__s.score")
+    verified = verified_score(F.col("score"), F.col("dinov2_sim"), F.col("clip_sim"))
+    return found.withColumns({"verified": verified, "passes": match_gate(reverse, F.col("dinov2_sim"), F.col("clip_sim")), "reliable": verified >= RELIABLE})
 
 
 def best_candidate(scored: DataFrame) -> DataFrame:
     """The candidate of the best verified score above 0 for each product and platform; ties to the smaller cand_key."""
-    w = Window.partitionBy("product_key", "platform").orderBy(F.desc(F.round("verified", 9)), "cand_key")
-    return scored.where("verified > 0").withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    rest = [c for c in scored.columns if c not in ("product_key", "platform")]
+    order = F.struct(F.round("verified", 9), -F.col("cand_key"))
+    best = scored.groupBy("product_key", "platform").agg(F.max_by(F.struct(*rest), order).alias("best"))
+    return best.select("product_key", "platform", "best.*").where("verified > 0")
+
+
+def union_candidates(reverse: DataFrame, search: DataFrame) -> DataFrame:
+    """Candidates of both sources, first the reverse-image ones: rank within the product, each offer once."""
+    both = reverse.withColumn("__order", F.lit(0)).unionByName(search.withColumn("__order", F.lit(1)))
+    first = both.groupBy("product_key", "cand_key").agg(F.min_by(F.struct(*(c for c in both.columns if c not in ("product_key", "cand_key"))), "__order").alias("c")).select("product_key", "cand_key", "c.*")
+    w = Window.partitionBy("product_key").orderBy("__order", "cand_key")
+    return first.withColumn("rank", F.row_number().over(w)).drop("__order")
 
 
 def pivot_mapping(best: DataFrame) -> DataFrame:

@@ -15,11 +15,22 @@ from opsframe.sources.readers import scan
 
 
 def _c(s, d):
-    return view(s, d, "candidates_v")
+    # dealt by product, so that scoring is spread and the groups by product need no further shuffle
+    return view(s, d, "candidates_v").repartition("product_key")
 
 
 def _v(s, d):
-    return view(s, d, "videos_v")
+    return view(s, d, "videos_v").repartition("product_key")
+
+
+def _links(s, d):
+    """The stored links of a product, some with queries, and shop links that no platform has."""
+    m = view(s, d, "mappings_v").withColumn("url", F.explode(F.array("amazon_url", F.concat("flipkart_url", F.lit("&lid=1")), F.format_string("https://www.flipkart.com/a/p/itm%d?pid=/dp/", "num"), F.format_string("https://www.meesho.com/b/p/%d#top", "num"), F.lit("https://shop.example/p/1"))))
+    return m.where("url is not null").select("product_id", F.col("url").alias("link"))
+
+
+_LINKS = """lk AS (SELECT product_id, unnest([amazon_url, flipkart_url || '&lid=1', concat('https://www.flipkart.com/a/p/itm', num, '?pid=/dp/'), concat('https://www.meesho.com/b/p/', num, '#top'), 'https://shop.example/p/1']) AS link FROM mappings_v),
+lk2 AS (SELECT * FROM lk WHERE link IS NOT NULL)"""
 
 
 def _labels(s, d):
@@ -39,7 +50,9 @@ def _bigrams(t: str) -> str:
     return f"list_distinct(list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]))"
 
 
-_SCORED = f"""tk AS (SELECT *, {_tokens('title')} AS t, {_tokens('cand_title')} AS n FROM candidates_v),
+_BARE = "SELECT *, regexp_replace(image_url, '_512.*', '') AS a, regexp_replace(cand_image, '_256.*', '') AS b FROM candidates_v"
+_SAME = "a = b OR (length(a) > 30 AND contains(b, a)) OR (length(b) > 30 AND contains(a, b))"
+_SCORED = f"""tk AS (SELECT *, {_tokens('title')} AS t, {_tokens('cand_title')} AS n FROM ({_BARE})),
 bg AS (SELECT *, {_bigrams('t')} AS bt, {_bigrams('n')} AS bn, len(list_intersect(t, n)) AS overlap, CASE WHEN len(t) <= len(n) THEN t ELSE n END AS sh, CASE WHEN len(t) <= len(n) THEN n ELSE t END AS lo FROM tk),
 sc AS (SELECT *, CASE WHEN len(t) > 0 AND len(n) > 0 THEN
     7.5 * len(list_filter(sh, lambda w: list_contains(lo, w))) / len(sh)
@@ -49,7 +62,7 @@ sc AS (SELECT *, CASE WHEN len(t) > 0 AND len(n) > 0 THEN
     + CASE WHEN least(CAST(price AS DOUBLE), CAST(cand_price AS DOUBLE)) / greatest(CAST(price AS DOUBLE), CAST(cand_price AS DOUBLE)) >= 0.7 AND cand_price IS NOT NULL THEN 2.0 ELSE 0 END
   ELSE 0 END AS text_score, CAST(bit_count(xor(phash, cand_phash)) AS INTEGER) * 3 AS dist FROM bg),
 ph AS (SELECT *, CASE WHEN dist <= 5 THEN 80 WHEN dist <= 10 THEN 68 WHEN dist <= 15 THEN 55 WHEN dist <= 20 THEN 35 WHEN dist <= 25 THEN 20 WHEN dist <= 30 THEN 10 ELSE 0 END AS hs FROM sc),
-ms AS (SELECT *, least((hs + text_score) * CASE WHEN len(t) > 0 AND len(n) > 0 AND overlap <= 1 AND greatest(len(t), len(n)) > 2 THEN 0.85 ELSE 1 END, 100.0) + CASE WHEN source = 'revimg' THEN 30 ELSE 0 END AS score FROM ph),
+ms AS (SELECT *, CASE WHEN {_SAME} THEN 100.0 ELSE least((hs + text_score) * CASE WHEN len(t) > 0 AND len(n) > 0 AND overlap <= 1 AND greatest(len(t), len(n)) > 2 THEN 0.85 ELSE 1 END, 100.0) END + CASE WHEN source = 'revimg' THEN 30 ELSE 0 END AS score FROM ph),
 vs AS (SELECT *, greatest(score, dinov2_sim * 80, clip_sim * 75) AS verified, CASE WHEN source = 'revimg' THEN NOT (dinov2_sim < 0.45 AND clip_sim < 0.55) ELSE dinov2_sim >= 0.60 AND clip_sim >= 0.65 END AS passes FROM ms)"""
 _BEST = f"{_SCORED}, best AS (SELECT * FROM vs WHERE verified > 0 QUALIFY row_number() OVER (PARTITION BY product_key, platform ORDER BY round(verified, 9) DESC, cand_key) = 1)"
 _TAG = "CASE WHEN verified >= 85 THEN 'Exact Match' WHEN verified >= 70 THEN 'Match' WHEN verified >= 50 THEN 'Similar' ELSE 'Almost Similar' END"
@@ -102,23 +115,29 @@ SELECT product_key, q, weight, reason, CAST(row_number() OVER (PARTITION BY prod
     ),
     "n7_bigrams": (lambda s, d: _c(s, d).select("product_key", "cand_key", F.size(T.bigrams(T.match_tokens(F.col("cand_title")))).cast("long").alias("n")), f"WITH tk AS (SELECT *, {_tokens('cand_title')} AS n FROM candidates_v) SELECT product_key, cand_key, len({_bigrams('n')}) AS n FROM tk"),
     "n10_cache_key": (lambda s, d: _c(s, d).select("product_key", "cand_key", F.col("cand_title").alias("title"), F.lit(None).cast("string").alias("image_url")).select("product_key", "cand_key", M.cache_key().alias("k")), "SELECT product_key, cand_key, md5(substr(cand_title, 1, 80) || '|') AS k FROM candidates_v"),
-    "n12_bucket_links": (lambda s, d: _c(s, d).groupBy("platform", "source").agg(F.count("*").alias("n")), "SELECT platform, source, count(*) AS n FROM candidates_v GROUP BY 1, 2"),
+    "n12_bucket_links": (
+        lambda s, d: _links(s, d).select("product_id", "link", T.bucket_of_link(F.col("link")).alias("platform")),
+        f"WITH {_LINKS} SELECT product_id, link, CASE WHEN contains(bare, 'amazon.in') AND contains(bare, '/dp/') THEN 'amazon' WHEN contains(bare, 'flipkart.com') AND (contains(bare, '/p/') OR contains(bare, '/product/')) THEN 'flipkart' WHEN contains(bare, 'meesho.com') AND contains(bare, '/p/') THEN 'meesho' END AS platform FROM (SELECT *, split_part(split_part(link, '?', 1), '#', 1) AS bare FROM lk2)",
+    ),
     "m6_phash_score": (lambda s, d: _c(s, d).select("product_key", "cand_key", S.phash_score(S.hamming64(F.col("phash"), F.col("cand_phash")) * 3).alias("hs")), f"WITH {_SCORED} SELECT product_key, cand_key, CAST(hs AS DOUBLE) AS hs FROM ph"),
     "m7_image_url_equal": (
-        lambda s, d: _c(s, d).select("product_key", "cand_key", S.image_url_equal(F.concat(F.lit("https://cdn.shop.example/i/"), F.col("product_key"), F.lit("_512.jpg?x")), F.concat(F.lit("https://cdn.shop.example/i/"), F.col("cand_key") - F.col("cand_key") % 20, F.lit("_256.jpg"))).alias("same")),
-        "WITH u AS (SELECT *, concat('https://cdn.shop.example/i/', CAST(product_key AS VARCHAR)) AS a, concat('https://cdn.shop.example/i/', CAST(cand_key - cand_key % 20 AS VARCHAR)) AS b FROM candidates_v) SELECT product_key, cand_key, a = b OR (length(a) > 30 AND contains(b, a)) OR (length(b) > 30 AND contains(a, b)) AS same FROM u",
+        lambda s, d: _c(s, d).select("product_key", "cand_key", S.image_url_equal(F.col("image_url"), F.col("cand_image")).alias("same")),
+        f"SELECT product_key, cand_key, {_SAME} AS same FROM ({_BARE})",
     ),
-    "m8_text_score": (lambda s, d: S.with_text_score(_c(s, d), "title", "cand_title", "price", "cand_price").select("product_key", "cand_key", F.round("text_score", 6).alias("text_score")), f"WITH {_SCORED} SELECT product_key, cand_key, round(text_score, 6) AS text_score FROM sc"),
+    "m8_text_score": (lambda s, d: M.score_candidates(_c(s, d), 3).select("product_key", "cand_key", F.round("text_score", 6).alias("text_score")), f"WITH {_SCORED} SELECT product_key, cand_key, round(text_score, 6) AS text_score FROM sc"),
     "m9_match_score": (lambda s, d: M.score_candidates(_c(s, d), 3).select("product_key", "cand_key", F.round("score", 6).alias("score")), f"WITH {_SCORED} SELECT product_key, cand_key, round(score, 6) AS score FROM ms"),
     "m10_verified_score": (lambda s, d: M.score_candidates(_c(s, d), 3).select("product_key", "cand_key", F.round("verified", 6).alias("verified")), f"WITH {_SCORED} SELECT product_key, cand_key, round(verified, 6) AS verified FROM vs"),
-    "m11_match_gate": (lambda s, d: M.score_candidates(_c(s, d), 3).groupBy("platform", "source", "passes").agg(F.count("*").alias("n")), f"WITH {_SCORED} SELECT platform, source, passes, count(*) AS n FROM vs GROUP BY 1, 2, 3"),
+    "m11_match_gate": (lambda s, d: M.score_candidates(_c(s, d), 3).groupBy("platform", "source", "passes", "reliable").agg(F.count("*").alias("n")), f"WITH {_SCORED} SELECT platform, source, passes, verified >= 35 AS reliable, count(*) AS n FROM vs GROUP BY 1, 2, 3, 4"),
     "m12_overlap_score": (
-        lambda s, d: _c(s, d).withColumns({"a": F.array_distinct(F.split(F.lower("title"), " ")), "b": F.array_distinct(F.split(F.lower("cand_title"), " "))}).select("product_key", "cand_key", F.round(50.0 * F.size(F.array_intersect("a", "b")) / F.greatest(F.size("a"), F.size("b")), 6).alias("score")),
-        "WITH x AS (SELECT *, list_distinct(string_split(lower(title), ' ')) AS a, list_distinct(string_split(lower(cand_title), ' ')) AS b FROM candidates_v) SELECT product_key, cand_key, round(50.0 * len(list_intersect(a, b)) / greatest(len(a), len(b)), 6) AS score FROM x",
+        lambda s, d: _c(s, d).select("product_key", "cand_key", F.round(S.overlap_score(S.image_url_equal(F.col("image_url"), F.col("cand_image")), F.col("title"), F.col("cand_title")), 6).alias("score")),
+        f"WITH x AS (SELECT *, list_distinct(string_split(lower(title), ' ')) AS wa, list_distinct(string_split(lower(cand_title), ' ')) AS wb FROM ({_BARE})) SELECT product_key, cand_key, CASE WHEN {_SAME} THEN 100.0 ELSE round(50.0 * len(list_intersect(wa, wb)) / greatest(len(wa), len(wb)), 6) END AS score FROM x",
     ),
     "w1_best_candidate": (lambda s, d: M.best_candidate(M.score_candidates(_c(s, d), 3)).select("product_key", "platform", "cand_key", F.round("verified", 6).alias("verified")), f"WITH {_BEST} SELECT product_key, platform, cand_key, round(verified, 6) AS verified FROM best"),
     "t15_match_tag": (lambda s, d: M.best_candidate(M.score_candidates(_c(s, d), 3)).groupBy(S.match_tag(F.col("verified")).alias("tag")).agg(F.count("*").alias("n")), f"WITH {_BEST} SELECT {_TAG} AS tag, count(*) AS n FROM best GROUP BY 1"),
-    "u2_union_candidates": (lambda s, d: _c(s, d).where("source = 'revimg'").unionByName(_c(s, d).where("source = 'search'")).groupBy("product_key").agg(F.count_if(F.col("source") == "revimg").alias("n_rev"), F.count("*").alias("n")), "SELECT product_key, count(*) FILTER (source = 'revimg') AS n_rev, count(*) AS n FROM candidates_v GROUP BY 1"),
+    "u2_union_candidates": (
+        lambda s, d: M.union_candidates(_c(s, d).where("source = 'revimg'"), _c(s, d).where("source = 'search' or cand_key % 2 = 0")).select("product_key", "cand_key", "source", "rank"),
+        "WITH c AS (SELECT product_key, cand_key, source, source = 'revimg' AS rev FROM candidates_v WHERE source IN ('revimg', 'search') OR cand_key % 2 = 0) SELECT product_key, cand_key, source, CAST(row_number() OVER (PARTITION BY product_key ORDER BY rev DESC, cand_key) AS INTEGER) AS rank FROM c",
+    ),
     "u3_token_sets": (
         lambda s, d: _c(s, d).withColumns({"a": T.match_tokens(F.col("title")), "b": T.match_tokens(F.col("cand_title"))}).select("product_key", "cand_key", F.size(F.array_intersect("a", "b")).cast("long").alias("both_n"), F.size(F.array_union("a", "b")).cast("long").alias("either_n")),
         f"WITH {_SCORED} SELECT product_key, cand_key, overlap AS both_n, len(list_distinct(list_concat(t, n))) AS either_n FROM bg",

@@ -47,13 +47,15 @@ FROM {events}""",
   CASE WHEN c.p_partkey % 23 = 0 THEN NULL ELSE CAST(c.p_retailprice AS STRING) END AS cand_price,
   (q.p_partkey * 2654435761) % 1048576 AS phash, (c.p_partkey * 2654435761) % 1048576 AS cand_phash,
   CAST((q.p_partkey * 31 + c.p_partkey * 17) % 101 AS DOUBLE) / 100 AS dinov2_sim,
-  CAST((q.p_partkey * 13 + c.p_partkey * 29) % 101 AS DOUBLE) / 100 AS clip_sim
-FROM {part} q JOIN {part} c ON q.p_brand = c.p_brand AND q.p_partkey <> c.p_partkey WHERE q.p_partkey % 20 = 0""",
+  CAST((q.p_partkey * 13 + c.p_partkey * 29) % 101 AS DOUBLE) / 100 AS clip_sim,
+  concat('https://cdn.shop.example/i/', CAST(q.p_partkey AS STRING), '_512.jpg?x') AS image_url,
+  concat('https://cdn.shop.example/i/', CAST(CASE WHEN c.p_partkey % 6 = 0 THEN q.p_partkey ELSE c.p_partkey END AS STRING), '_256.jpg') AS cand_image
+FROM {part} q JOIN {part} c ON q.p_brand = c.p_brand AND q.p_partkey <> c.p_partkey AND CAST(floor(q.p_partkey / 400.0) AS BIGINT) = CAST(floor(c.p_partkey / 400.0) AS BIGINT)""",
     "videos_v": """SELECT concat('yt-', CAST(c.p_partkey % 400 AS STRING)) AS id, q.p_partkey AS product_key, q.p_name AS product_name,
   c.p_partkey AS seq, concat(c.p_name, ' ', lower(c.p_type), ' review!') AS title,
   CASE WHEN c.p_partkey % 8 = 0 THEN NULL ELSE concat(CAST(c.p_partkey % 2 AS STRING), ':', lpad(CAST(c.p_size % 60 AS STRING), 2, '0')) END AS duration,
   CASE WHEN c.p_partkey % 9 = 0 THEN NULL ELSE CAST(c.p_size AS BIGINT) * 1000 END AS view_count
-FROM {part} q JOIN {part} c ON q.p_brand = c.p_brand AND q.p_partkey <> c.p_partkey WHERE q.p_partkey % 50 = 0""",
+FROM {part} q JOIN {part} c ON q.p_brand = c.p_brand AND q.p_partkey <> c.p_partkey AND CAST(floor(q.p_partkey / 400.0) AS BIGINT) = CAST(floor(c.p_partkey / 400.0) AS BIGINT)""",
     "mappings_v": """SELECT p_partkey AS num, concat('p-', CAST(p_partkey AS STRING)) AS product_id,
   CASE WHEN p_partkey % 3 = 0 THEN concat('https://www.amazon.in/dp/', lpad(CAST(p_partkey AS STRING), 10, 'B')) END AS amazon_url,
   CASE WHEN p_partkey % 4 = 0 THEN concat('https://www.flipkart.com/x?pid=', CAST(p_partkey AS STRING)) END AS flipkart_url,
