@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.functions.scores import price_digits
-from opsframe.functions.text import norm_text, strip_image_proxy, url_tail
+from opsframe.functions.scores import format_inr, price_digits
+from opsframe.functions.text import norm_text, platform_of, strip_image_proxy, url_tail
 from opsframe.operators.keyed import first_per_key, last_per_key
 
 
@@ -109,3 +109,51 @@ def facet_counts(status: DataFrame) -> DataFrame:
 def mapping_export(mappings: DataFrame) -> DataFrame:
     """Similarities as whole percents, half up, and availability as Yes or No."""
     return mappings.select("product_id", F.concat(F.floor(F.col("amazon_dinov2") * 100 + 0.5).cast("string"), F.lit("%")).alias("similarity"), F.when(F.col("amazon_unavailable"), "Yes").otherwise("No").alias("unavailable"))
+
+
+def plan_scrape(sheet: DataFrame, force: bool = False) -> DataFrame:
+    """sheet (row, url, status) with platform, outcome and error: `scrape`, or `failed` for an empty URL or an unsupported domain.
+
+    Rows whose status is `success` in any case are left out unless forced. A null
+    status is not yet a success; a null URL is empty.
+    """
+    url = F.trim(F.coalesce("url", F.lit("")))
+    rows = sheet if force else sheet.where(F.lower(F.trim(F.coalesce("status", F.lit("")))) != "success")
+    error = F.when(url == "", "Empty URL").when(F.col("platform").isNull(), F.concat(F.lit("Unsupported domain: "), url))
+    planned = rows.select("row", url.alias("url"), platform_of(url).alias("platform"))
+    return planned.withColumn("error", error).withColumn("outcome", F.when(F.col("error").isNull(), "scrape").otherwise("failed"))
+
+
+def todo(rows: DataFrame, done: DataFrame, key: str, order: list[str], limit: int | None = None) -> DataFrame:
+    """Rows whose key is not among those done, the first `limit` of the order if one is given. Null keys are never done."""
+    rest = rows.join(done.select(key).where(F.col(key).isNotNull()), key, "left_anti")
+    return rest.orderBy(*order).limit(limit) if limit else rest
+
+
+ITEM = "struct<productId:string,skuId:string,productName:string,variantName:string,price:string,mrpPrice:string,containerName:string,image:string,productSlug:string,itemId:string,categorySlug:string,categoryName:string>"
+
+
+def parse_items(bodies: DataFrame, site: str, images: str) -> DataFrame:
+    """id, name, price, image_url, url, category of the items in JSON arrays (seq, body); the first of each id stays.
+
+    Names, prices and categories fall back on their second field; an item without any
+    id gets a hash of its URL and name. A body that is no array has no items.
+    """
+    items = bodies.select("seq", F.posexplode(F.from_json("body", f"array<{ITEM}>")).alias("at", "i")).where("i is not null").select("seq", "at", "i.*")
+    some = lambda *names: F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names))
+    value = some("price", "mrpPrice").try_cast("double")
+    cents = F.rtrim(F.regexp_replace(F.format_string("%.3f", value), r"^-?\d+", ""), F.lit("0"))
+    image = F.when(F.startswith("image", F.lit("http")), F.col("image")).otherwise(F.concat(F.lit(f"{images}/"), F.coalesce("containerName", F.lit("")), F.nullif(F.col("image"), F.lit("")), F.lit("?height=300&width=300")))
+    own_url = F.concat(F.lit(f"{site}/product-detail/"), some("productSlug"), F.lit("/"), some("itemId"))
+    flat = items.select(
+        "seq",
+        "at",
+        some("productId", "skuId").alias("key"),
+        F.coalesce(some("productName", "variantName"), F.lit("Unknown Product")).alias("name"),
+        F.when(value.isNotNull(), F.concat(format_inr(F.floor(value)), F.rtrim(cents, F.lit(".")))).alias("price"),
+        image.alias("image_url"),
+        F.coalesce(own_url, F.lit(f"{site}/product-list/all")).alias("url"),
+        some("categorySlug", "categoryName").alias("category"),
+    )
+    keyed = flat.withColumn("id", F.concat(F.lit("item-"), F.coalesce("key", F.sha2(F.concat("url", "name"), 256))))
+    return first_per_key(keyed, ["id"], ["seq", "at"]).select("id", "name", "price", "image_url", "url", "category")

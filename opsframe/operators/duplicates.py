@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsframe.functions.scores import cosine, hamming64
-from opsframe.operators.graph import components
+from opsframe.operators.graph import checkpointed, components
 
 
 def _keyed(products: DataFrame) -> DataFrame:
@@ -38,26 +40,59 @@ def attach_scores(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     return pairs.join(scores, ["id1", "id2"], "left")
 
 
-def block_candidates(unmapped: DataFrame, mapped: DataFrame, bound: int = 10) -> DataFrame:
-    """Pairs within a brand whose hashes differ in fewer than `bound` bits: id, brand, phash on both sides."""
-    u = unmapped.select(F.col("id").alias("id"), F.upper(F.trim("brand")).alias("brand_key"), F.col("phash"))
-    m = mapped.select(F.col("id").alias("mapped_id"), F.upper(F.trim("brand")).alias("brand_key"), F.col("phash").alias("mapped_phash"))
-    d = hamming64(F.col("phash"), F.col("mapped_phash"))
-    return u.join(m, "brand_key").withColumn("distance", d).where(F.col("distance") < bound).select("id", "mapped_id", "distance")
+#: Values that one band of a hash is looked up under, at most.
+PROBES = 200
 
 
-def global_candidates(rest: DataFrame, mapped: DataFrame, bound: int, bits: int = 64, cap: int = 3) -> DataFrame:
-    """The `cap` nearest hashes under `bound` for each row, over all mapped rows.
+def _bands(bits: int, bound: int) -> tuple[list[int], int, list[list[int]]]:
+    """Edges of the fewest bands, the flips within one that are looked for, and the masks of those flips by band.
 
-    Two hashes that differ in fewer than `bound` bits agree in one of `bound` bands
-    (pigeonhole), so an equi-join on (band, value) finds every pair; it is then verified.
+    Of `n` bands one has at most (bound - 1) // n of fewer than `bound` differing bits (pigeonhole).
     """
-    edges = [bits * i // bound for i in range(bound + 1)]
-    bands = lambda h: F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
-    u = rest.select("id", "phash", F.explode(bands(F.col("phash"))).alias("b")).select("id", "phash", "b.*")
-    m = mapped.select(F.col("id").alias("mapped_id"), F.col("phash").alias("mapped_phash"), F.explode(bands(F.col("phash"))).alias("b")).select("mapped_id", "mapped_phash", "b.*")
-    met = u.join(m, ["band", "value"]).withColumn("distance", hamming64(F.col("phash"), F.col("mapped_phash"))).where(F.col("distance") < bound)
-    pairs = met.select("id", "mapped_id", "distance").distinct()
+    for n in range(1, bound + 1):
+        edges, flips = [bits * i // n for i in range(n + 1)], (bound - 1) // n
+        widest = max(b - a for a, b in zip(edges, edges[1:]))
+        if sum(comb(widest, k) for k in range(flips + 1)) <= PROBES:
+            break
+    masks = [[sum(1 << p for p in at) for k in range(flips + 1) for at in combinations(range(b - a), k)] for a, b in zip(edges, edges[1:])]
+    return edges, flips, masks
+
+
+def near_hashes(left: DataFrame, right: DataFrame, bound: int, bits: int, keys: list[str]) -> DataFrame:
+    """Pairs (id, mapped_id, distance) of equal `keys` whose hashes differ in fewer than `bound` bits.
+
+    An equi-join on the keys, a band's number and its value, which the left side looks
+    up with all flips that count; a pair is kept in its first band, so it comes once.
+    Rows without a hash or a key meet nobody. Equal rows make pairs of their own.
+    """
+    edges, flips, masks = _bands(bits, bound)
+    part = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    n = len(masks)
+    own = F.array(*(F.struct(F.lit(i).alias("band"), part(F.col("phash"), i).alias("value")) for i in range(n)))
+
+    def flipped(i: int):
+        return lambda mask: F.struct(F.lit(i).alias("band"), part(F.col("phash"), i).bitwiseXOR(mask.cast("long")).alias("value"))
+
+    probes = F.flatten(F.array(*(F.transform(F.array(*map(F.lit, m)), flipped(i)) for i, m in enumerate(masks))))
+    u = left.select("id", "phash", *keys, F.explode(probes).alias("b")).select("id", "phash", *keys, "b.*")
+    m = right.select(F.col("id").alias("mapped_id"), F.col("phash").alias("mapped_phash"), *keys, F.explode(own).alias("b")).select("mapped_id", "mapped_phash", *keys, "b.*")
+    x = F.col("phash").bitwiseXOR(F.col("mapped_phash"))
+    earlier = F.lit(True)
+    for i in range(n - 1):
+        earlier = earlier & ((F.col("band") <= i) | (F.bit_count(part(x, i)) > flips))
+    met = u.join(m, [*keys, "band", "value"]).withColumn("distance", hamming64(F.col("phash"), F.col("mapped_phash")))
+    return met.where((F.col("distance") < bound) & earlier).select("id", "mapped_id", "distance")
+
+
+def block_candidates(unmapped: DataFrame, mapped: DataFrame, bound: int = 10, bits: int = 64) -> DataFrame:
+    """Pairs within a brand whose hashes differ in fewer than `bound` bits; a large brand is met by bands of the hash, not by all its rows."""
+    keyed = lambda df: df.select("id", F.upper(F.trim("brand")).alias("brand_key"), "phash")
+    return near_hashes(keyed(unmapped), keyed(mapped), bound, bits, ["brand_key"])
+
+
+def global_candidates(rest: DataFrame, mapped: DataFrame, bound: int, bits: int = 64, cap: int = 3) -> DataFrame:
+    """The `cap` nearest hashes under `bound` for each row, over all mapped rows."""
+    pairs = near_hashes(rest.select("id", "phash"), mapped.select("id", "phash"), bound, bits, [])
     w = Window.partitionBy("id").orderBy("distance", "mapped_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
@@ -67,21 +102,27 @@ def nearest_mapped(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("id").agg(F.min(F.struct("distance", "mapped_id")).alias("m")).select("id", "m.mapped_id", "m.distance")
 
 
-def similar_pairs(vectors: DataFrame, least: float, blocks: int = 4) -> DataFrame:
-    """Pairs (src < dst) of cosine >= least: vectors in blocks, one matrix product a pair of blocks.
+def similar_pairs(vectors: DataFrame, least: float, rows: int = 4096) -> DataFrame:
+    """Pairs (src < dst) of cosine >= least: vectors in blocks of about `rows`, one matrix product a pair of blocks.
 
-    Blocks are packed into single rows, so the join of block numbers moves packed
-    matrices; a task's memory is two blocks. `blocks` should grow with the rows.
+    Each block is packed into one row and sent to the blocks that do not come before
+    it, so a vector is moved once a block, and a task holds two blocks. Vectors that
+    are null, of zero length or hold a null or non-finite component have no cosine and
+    no pairs; a repeated id makes pairs for each of its rows, but none with itself.
     """
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    whole = vectors.where("vec_id is not null and embedding is not null").where(fine)
+    blocks = max(1, -(-whole.count() // rows))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(1).to_numpy()
-            m = np.array(batch.column(2).to_pylist(), np.float64)
-            if len(m):
-                m /= np.linalg.norm(m, axis=1, keepdims=True)
-                name = f"{ids[0]}-{len(ids)}"
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ids.tobytes()]), pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]])], ["chunk", "ids", "m", "dims"])
+            block, ids, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)]
+            for a, b in zip(starts, starts[1:]):
+                for dims, own in _by_size(v.slice(a, b - a)):
+                    m = own[1] / np.linalg.norm(own[1], axis=1, keepdims=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(block[a])], pa.int32()), pa.array([ids[a:b][own[0]].astype(np.int64).tobytes()]), pa.array([m.tobytes()], pa.binary()), pa.array([dims])], ["block", "ids", "m", "dims"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,20 +130,30 @@ def similar_pairs(vectors: DataFrame, least: float, blocks: int = 4) -> DataFram
                 a, b = (np.frombuffer(row[k]).reshape(-1, row["dims"]) for k in ("m", "m2"))
                 x, y = (np.frombuffer(row[k], np.int64) for k in ("ids", "ids2"))
                 sim = a @ b.T
-                i, j = np.nonzero(sim >= least)
-                keep = (x[i] < y[j]) if row["same"] else np.ones(len(i), bool)
+                i, j = np.nonzero(np.triu(sim, 1) >= least if row["same"] else sim >= least)
+                keep = x[i] != y[j]
                 lo, hi = np.minimum(x[i], y[j])[keep], np.maximum(x[i], y[j])[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(sim[i, j][keep])], ["src", "dst", "similarity"])
 
-    placed = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    chunks = placed.repartition(blocks, "block").sortWithinPartitions("block", "vec_id").mapInArrow(packed, "chunk string, ids binary, m binary, dims long")
-    left = chunks.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # every chunk meets every other one under the cell of its own first id's hash
-    right = chunks.select(F.pmod(F.xxhash64("chunk"), F.lit(blocks)).cast("int").alias("cell"), F.col("chunk").alias("chunk2"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
-    cells = left.join(right, "cell").where("chunk <= chunk2").withColumn("same", F.col("chunk") == F.col("chunk2"))
+    placed = whole.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    chunks = placed.repartition("block").sortWithinPartitions("block").mapInArrow(packed, "block int, ids binary, m binary, dims long")
+    # stored: chunks of one block are told apart by their numbers, which a second run could give anew
+    chunks = checkpointed(vectors.sparkSession, chunks.withColumn("chunk", F.monotonically_increasing_id()))
+    left = chunks.select("chunk", "ids", "m", "dims", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"))
+    right = chunks.select(F.col("chunk").alias("chunk2"), F.col("ids").alias("ids2"), F.col("m").alias("m2"), "dims", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
+    cells = left.join(right, ["i", "j", "dims"]).where("i < j or chunk <= chunk2").withColumn("same", F.col("chunk") == F.col("chunk2"))
     return cells.select("ids", "m", "dims", "ids2", "m2", "same").mapInArrow(run, "src long, dst long, similarity double")
 
 
+def _by_size(vectors: pa.ListArray) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """Rows of equal length as matrices: (length, (their places, the matrix))."""
+    lists = vectors.to_pylist()
+    sizes = np.array([len(x) for x in lists], np.int64)
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        yield int(n), (at, np.array([lists[i] for i in at], np.float64))
+
+
 def similarity_components(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     """id, component, size for the ids of linked groups."""
     found = components(spark, pairs.select("src", "dst"))

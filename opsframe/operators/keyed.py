@@ -41,11 +41,11 @@ def delete_ids(target: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def paginate(df: DataFrame, page: int, size: int, order: list[str]) -> DataFrame:
-    """One page, clamped to the last, with total and total_pages."""
+    """One page, clamped to the last, with total and total_pages. A deep page is found by distributed ranks, not by one task."""
     total = df.count()
     pages = max(1, -(-total // size))
     at = min(max(1, page), pages)
-    rows = df.orderBy(*order).offset((at - 1) * size).limit(size)
+    rows = range_select(df, order, (at - 1) * size + 1, at * size).drop("position")
     return rows.withColumns({"total": F.lit(total).cast("long"), "total_pages": F.lit(pages).cast("long")})
 
 

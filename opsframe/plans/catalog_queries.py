@@ -49,6 +49,30 @@ def _bodies(s, d):
     return _p(s, d).select("id", body.alias("body"))
 
 
+def _sheet(s, d):
+    """Rows to scrape: links of two platforms, unsupported and empty ones, some done."""
+    other = F.when(F.col("num") % 14 == 0, F.concat(F.lit("https://shop.example/"), "num")).otherwise(F.lit("  "))
+    return _map(s, d).select(F.col("num").alias("row"), F.coalesce("amazon_url", "flipkart_url", other).alias("url"), F.when(F.col("amazon_unavailable"), " Success").alias("status"))
+
+
+_SHEET = "sheet AS (SELECT num AS row, coalesce(amazon_url, flipkart_url, CASE WHEN num % 14 = 0 THEN concat('https://shop.example/', num) ELSE '' END) AS url, CASE WHEN amazon_unavailable THEN ' Success' END AS status FROM mappings_v)"
+
+
+def _items(s, d):
+    """Item JSON, one array a product, with alternate fields, repeated ids and bodies that are no array."""
+    n = F.col("num")
+    fields = F.struct(
+        F.when(n % 2 == 0, n - n % 4).cast("string").alias("productId"), n.cast("string").alias("skuId"),
+        F.when(n % 10 < 5, F.col("name")).alias("productName"), F.when(n % 10 > 5, F.col("name")).alias("variantName"),
+        F.when(n % 3 == 0, "").otherwise(F.concat((n * 11).cast("string"), F.lit(".50"))).alias("price"), (n * 7 + 100000).alias("mrpPrice"),
+        F.when(n % 7 > 1, "c/").alias("containerName"), F.when(n % 7 == 1, F.concat(F.lit("https://other.example/"), n)).when(n % 7 > 1, F.concat(n, F.lit(".jpg"))).alias("image"),
+        F.when(n % 6 != 0, F.concat(F.lit("slug-"), n)).alias("productSlug"), n.alias("itemId"),
+        F.when(n % 4 < 2, "slug").alias("categorySlug"), F.lit("named").alias("categoryName"),
+    )
+    good = _p(s, d).select(n.alias("seq"), F.concat(F.lit("["), F.to_json(fields), F.lit("]")).alias("body"))
+    return good.unionByName(_p(s, d).where("num % 50 = 0").select(n.alias("seq"), F.lit("[{broken").alias("body")))
+
+
 def _xml(s, d):
     """Sitemaps of 500 products at most, as many as the catalog needs."""
     entry = F.concat(F.lit("<url><loc>"), F.col("url"), F.lit("</loc>"), F.when(F.col("image_url").isNotNull(), F.concat(F.lit("<image:image><image:loc>"), F.col("image_url"), F.lit("</image:loc><image:title>"), F.col("name"), F.lit("</image:title></image:image>"))).otherwise(""), F.lit("</url>"))
@@ -99,13 +123,23 @@ Q = {
         "SELECT id, brand, category FROM products_v WHERE brand IS NULL OR category IS NULL",
     ),
     "f10_plan_scrape": (
-        lambda s, d: _map(s, d).where("amazon_url is not null").select("product_id", T.platform_of(F.col("amazon_url")).alias("platform")),
-        "SELECT product_id, 'amazon' AS platform FROM mappings_v WHERE amazon_url IS NOT NULL",
+        lambda s, d: C.plan_scrape(_sheet(s, d)).select("row", "platform", "outcome", "error"),
+        f"WITH {_SHEET} SELECT row, CASE WHEN url LIKE '%amazon%' THEN 'amazon' WHEN url LIKE '%flipkart%' THEN 'flipkart' END AS platform, CASE WHEN url = '' OR url LIKE '%shop.example%' THEN 'failed' ELSE 'scrape' END AS outcome, CASE WHEN url = '' THEN 'Empty URL' WHEN url LIKE '%shop.example%' THEN concat('Unsupported domain: ', url) END AS error FROM sheet WHERE status IS NULL OR status <> ' Success'",
     ),
     "f11_todo": (
-        lambda s, d: _p(s, d).join(_map(s, d).select(F.col("product_id").alias("id")), "id", "left_anti").orderBy("num").limit(100).select("id"),
+        lambda s, d: C.todo(_p(s, d), _map(s, d).select(F.col("product_id").alias("id")), "id", ["num"], 100).select("id"),
         "SELECT id FROM products_v WHERE id NOT IN (SELECT product_id FROM mappings_v) ORDER BY num LIMIT 100",
     ),
+    "s12_parse_items": (
+        lambda s, d: C.parse_items(_items(s, d), "https://shop.example", "https://img.shop.example"),
+        """WITH i AS (SELECT num, CASE WHEN num % 2 = 0 THEN num - num % 4 ELSE num END AS key, name, CASE WHEN num % 3 = 0 THEN num * 7 + 100000 ELSE num * 11 END AS v FROM products_v)
+SELECT 'item-' || key AS id, CASE WHEN num % 10 = 5 THEN 'Unknown Product' ELSE name END AS name,
+  '₹' || CASE WHEN v < 1000 THEN CAST(v AS VARCHAR) ELSE regexp_replace(CAST(v // 1000 AS VARCHAR), '(\\d)(\\d\\d)$', CASE WHEN v >= 100000 THEN '\\1,\\2' ELSE '\\1\\2' END) || ',' || lpad(CAST(v % 1000 AS VARCHAR), 3, '0') END || CASE WHEN num % 3 = 0 THEN '' ELSE '.5' END AS price,
+  CASE WHEN num % 7 = 0 THEN NULL WHEN num % 7 = 1 THEN 'https://other.example/' || num ELSE 'https://img.shop.example/c/' || num || '.jpg?height=300&width=300' END AS image_url,
+  CASE WHEN num % 6 = 0 THEN 'https://shop.example/product-list/all' ELSE 'https://shop.example/product-detail/slug-' || num || '/' || num END AS url,
+  CASE WHEN num % 4 < 2 THEN 'slug' ELSE 'named' END AS category
+FROM i QUALIFY row_number() OVER (PARTITION BY key ORDER BY num) = 1""",
+    ),
     "f12_facet_filter": (lambda s, d: C.facet_filter(C.mapping_status(_p(s, d), _map(s, d)), "unmapped", "Ring").select("id", "name"), f"WITH {_STATUS} SELECT id, name FROM st WHERE NOT mapped AND NOT duplicate AND contains(lower(name), 'ring')"),
     "a10_facet_counts": (
         lambda s, d: C.facet_counts(C.mapping_status(_p(s, d), _map(s, d))),

@@ -17,13 +17,15 @@ def _p(s, d):
     return view(s, d, "products_v")
 
 
-def _hashed(s, d, rule):
-    return _p(s, d).where(rule).select("id", "brand", ((F.col("num") * 2654435761) % 1048576).alias("phash"))
+def _hashed(s, d, mapped: bool):
+    """Products with a hash, those with or without a mapping."""
+    known = view(s, d, "mappings_v").select(F.col("product_id").alias("id"))
+    own = _p(s, d).join(known, "id", "left_semi" if mapped else "left_anti")
+    return own.select("id", "brand", ((F.col("num") * 2654435761) % 1048576).alias("phash"))
 
 
 def _pairs(s, d):
-    n = max(2, scan(s, d, "embeddings").count() // 250)
-    return D.similar_pairs(scan(s, d, "embeddings"), LEAST, n)
+    return D.similar_pairs(scan(s, d, "embeddings"), LEAST)
 
 
 _GROUPS = "g AS (SELECT lower(trim(name)) AS k_name, price AS k_price, lower(trim(brand)) AS k_brand, count(*) AS size, min(id) AS first_id, list(id ORDER BY id) AS members FROM products_v WHERE coalesce(name, '') <> '' AND coalesce(price, '') <> '' AND coalesce(brand, '') <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1)"
@@ -31,7 +33,7 @@ _PAIRS = f"""pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_inner_produ
   FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b ON a.vec_id < b.vec_id
   WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= {LEAST})"""
 _COMP = "both_ AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs), reach(id, node) AS (SELECT src, src FROM both_ UNION SELECT r.id, b.dst FROM reach r JOIN both_ b ON r.node = b.src), comp AS (SELECT id, min(node) AS component FROM reach GROUP BY id)"
-_HASHED = "h AS (SELECT id, num, brand, (num * 2654435761) % 1048576 AS phash FROM products_v)"
+_HASHED = "h AS (SELECT id, num, brand, (num * 2654435761) % 1048576 AS phash, id IN (SELECT product_id FROM mappings_v) AS mapped FROM products_v)"
 
 Q = {
     "a1_exact_duplicates": (lambda s, d: D.exact_duplicates(_p(s, d)), f"WITH {_GROUPS} SELECT k_name, k_price, k_brand, first_id, size FROM g"),
@@ -42,16 +44,16 @@ Q = {
         f"WITH {_GROUPS}, x AS (SELECT first_id AS id1, unnest(members[2:]) AS id2 FROM g) SELECT id1, id2, CASE WHEN CAST(substr(id2, 3) AS BIGINT) % 2 = 0 THEN 0.9::DOUBLE END AS score FROM x",
     ),
     "j7_block_candidates": (
-        lambda s, d: D.block_candidates(_hashed(s, d, "num % 10 = 0"), _hashed(s, d, "num % 10 <> 0"), 4),
-        f"WITH {_HASHED} SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON upper(trim(u.brand)) = upper(trim(m.brand)) WHERE u.num % 10 = 0 AND m.num % 10 <> 0 AND bit_count(xor(u.phash, m.phash)) < 4",
+        lambda s, d: D.block_candidates(_hashed(s, d, False), _hashed(s, d, True), 4, 20),
+        f"WITH {_HASHED} SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON upper(trim(u.brand)) = upper(trim(m.brand)) WHERE NOT u.mapped AND m.mapped AND bit_count(xor(u.phash, m.phash)) < 4",
     ),
     "j8_global_candidates": (
-        lambda s, d: D.global_candidates(_hashed(s, d, "num % 10 = 0"), _hashed(s, d, "num % 10 <> 0"), 4, 20),
-        f"WITH {_HASHED}, p AS (SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON bit_count(xor(u.phash, m.phash)) < 4 WHERE u.num % 10 = 0 AND m.num % 10 <> 0) SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, mapped_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 3",
+        lambda s, d: D.global_candidates(_hashed(s, d, False), _hashed(s, d, True), 4, 20),
+        f"WITH {_HASHED}, p AS (SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON bit_count(xor(u.phash, m.phash)) < 4 WHERE NOT u.mapped AND m.mapped) SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, mapped_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 3",
     ),
     "w2_nearest_mapped": (
-        lambda s, d: D.nearest_mapped(D.block_candidates(_hashed(s, d, "num % 10 = 0"), _hashed(s, d, "num % 10 <> 0"), 6)),
-        f"WITH {_HASHED}, p AS (SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON upper(trim(u.brand)) = upper(trim(m.brand)) WHERE u.num % 10 = 0 AND m.num % 10 <> 0 AND bit_count(xor(u.phash, m.phash)) < 6) SELECT id, mapped_id, distance FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, mapped_id) = 1",
+        lambda s, d: D.nearest_mapped(D.block_candidates(_hashed(s, d, False), _hashed(s, d, True), 6, 20)),
+        f"WITH {_HASHED}, p AS (SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON upper(trim(u.brand)) = upper(trim(m.brand)) WHERE NOT u.mapped AND m.mapped AND bit_count(xor(u.phash, m.phash)) < 6) SELECT id, mapped_id, distance FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, mapped_id) = 1",
     ),
     "j9_similar_pairs": (lambda s, d: _pairs(s, d).select("src", "dst", F.bround("similarity", 4).alias("similarity")), f"WITH {_PAIRS} SELECT src, dst, round_even(similarity, 4) AS similarity FROM pairs"),
     "a3_components": (lambda s, d: D.similarity_components(s, _pairs(s, d)), f"WITH RECURSIVE {_PAIRS}, {_COMP} SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM comp"),
