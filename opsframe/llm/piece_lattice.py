@@ -49,7 +49,7 @@ SPACE = "▁"
 FREQUENT = 1 << 18
 FREQUENT_BYTES = 1 << 24
 #: Entries of the memories that a task keeps of words.
-MEMO = 400_000
+MEMO = 150_000
 #: Below the least score, as the library has it for characters that are no piece.
 UNKNOWN = 10.0
 #: Later than any merge.
