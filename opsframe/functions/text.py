@@ -57,6 +57,13 @@ def full_size_image(url: Column) -> Column:
     return F.regexp_replace(F.substring_index(url, "?", 1), r"_512(?=\.)", "")
 
 
+def hires_image(url: Column) -> Column:
+    """The 1500-pixel form: the size code before the ending replaced, or added where the name has none."""
+    coded = F.regexp_replace(url, r"(?i)\._.*_\.(?=jpg|jpeg|png|webp$)", "._SL1500_.")
+    added = F.regexp_replace(url, r"(?i)\.(jpg|jpeg|png|webp)$", r"._SL1500_.$1")
+    return F.when(coded != url, coded).when(url.rlike(r"\._[A-Z]"), url).otherwise(added)
+
+
 def strip_html(c: Column) -> Column:
     """Breaks to newlines, tags removed, blank lines collapsed."""
     lines = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
@@ -70,6 +77,13 @@ def url_tail(url: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def product_code(url: Column) -> Column:
+    """A shop's own code in a link: ten characters behind a product path, else `pid`, else the last segment, else the link."""
+    found = lambda pattern: F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))
+    tail = F.nullif(F.substring_index(F.substring_index(url, "/", -1), "?", 1), F.lit(""))
+    return F.coalesce(found(r"/dp/([A-Z0-9]{10})"), found(r"/gp/product/([A-Z0-9]{10})"), found(r"pid=([^&]+)"), tail, url)
+
+
 def normalize_url_cell(cell: Column, prefix: str) -> Column:
     """http URLs stay, bare paths get a prefix, empty cells are null."""
     t = F.trim(cell)
@@ -110,17 +124,43 @@ def is_blocked_page(html: Column, least: int = 5000) -> Column:
     return out
 
 
+# Texts of pages that ask for a human, in lower case, and of pages that refuse a request.
+ROBOT_MARKS = [
+    "enter the characters you see below",
+    "type the characters you see in this image",
+    "robot check",
+    "api-services-support@amazon.com",
+    "/errors/validatecaptcha",
+    "to discuss automated access to amazon data",
+]
+REFUSAL_MARKS = ["Something went wrong", "Access Denied", "Please verify you are a human"]
+
+
+def is_robot_page(html: Column, url: Column, least: int = 10_000) -> Column:
+    """A robot check by link or text, or a page under `least` characters that has no product title; null html counts as empty."""
+    low = F.lower(F.coalesce(html, F.lit("")))
+    short = (F.length(low) < least) & ~F.contains(low, F.lit("producttitle"))
+    asked = F.exists(F.array(*map(F.lit, ROBOT_MARKS)), lambda m: F.contains(low, m))
+    return F.coalesce(F.contains(F.lower(url), F.lit("validatecaptcha")), F.lit(False)) | asked | short
+
+
+def is_refused_page(html: Column) -> Column:
+    text = F.coalesce(html, F.lit(""))
+    return F.contains(F.lower(text), F.lit("captcha")) | F.exists(F.array(*map(F.lit, REFUSAL_MARKS)), lambda m: F.contains(text, m))
+
+
 def blocked_url(url: Column) -> Column:
     return F.lower(url).rlike("captcha|challenge|blocked|sorry")
 
 
 def extract_dimensions(c: Column) -> Column:
-    """w x h x d, or w x h after a size word; commas to dots; null if there is none."""
-    number = r"(\d+(?:[.,]\d+)?)"
-    three = rf"{number}\s*[xX×*]\s*{number}\s*[xX×*]\s*{number}"
-    two = rf"(?i)(?:dimension|dims?|size)[\s:]*{number}\s*x\s*{number}"
-    part = lambda pattern, i: F.replace(F.regexp_extract(c, pattern, i), F.lit(","), F.lit("."))
-    return F.when(c.rlike(three), F.concat_ws(" x ", part(three, 1), part(three, 2), part(three, 3))).when(c.rlike(two), F.concat_ws(" x ", part(two, 1), part(two, 2)))
+    """w x h x d standing by itself, or behind a size word, else w x h behind a size word; commas to dots; null if there is none."""
+    number, times, word = r"(\d+(?:[.,]\d+)?)", r"\s*[xX×*]\s*", r"(?:dimension|dims?|size)[\s:]*"
+    three = number + times + number + times + number
+    alone = rf'(?:\b|^){three}\s*(?:cm|mm|inches|in|")?(?:\b|$)'
+    two = rf"(?i){word}{number}\s*x\s*{number}"
+    sides = lambda pattern, n: F.when(c.rlike(pattern), F.replace(F.concat_ws(" x ", *(F.regexp_extract(c, pattern, i) for i in range(1, n + 1))), F.lit(","), F.lit(".")))
+    return F.coalesce(sides(alone, 3), sides(f"(?i){word}{three}", 3), sides(two, 2))
 
 
 def sku_query(title: Column) -> Column:
@@ -165,3 +205,13 @@ def unescape_html(c: Column) -> Column:
         return s.map(html.unescape, na_action="ignore")
 
     return run(c)
+
+
+def token_sets(a: Column, b: Column) -> Column:
+    """The words of both, of either, and of the first alone, as sets."""
+    return F.struct(F.array_intersect(a, b).alias("both"), F.array_union(a, b).alias("either"), F.array_except(a, b).alias("only"))
+
+
+def plain_text(message: Column) -> Column:
+    """A chat message without its marks for bold and code."""
+    return F.translate(message, "*`", "")

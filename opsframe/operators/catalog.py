@@ -83,6 +83,37 @@ def check_constraints(df: DataFrame, not_null: list[str], enums: dict[str, list[
     return rows.unionByName(doubled)
 
 
+def check_requests(requests: DataFrame, platforms: list[str], most: int = 5) -> DataFrame:
+    """The requests and their `violations`: a number of products other than 1 to `most`, a product without id or name, an unknown platform.
+
+    products is array<struct<id,name>>, null for none; platforms is array<string>, null for the default ones.
+    """
+    n = F.coalesce(F.size("products"), F.lit(0))
+    rules = {
+        "products": (n < 1) | (n > most),
+        "fields": F.coalesce(F.exists("products", lambda p: p["id"].isNull() | p["name"].isNull()), F.lit(False)),
+        "platform": F.coalesce(F.exists("platforms", lambda p: F.coalesce(~p.isin(platforms), F.lit(True))), F.lit(False)),
+    }
+    return requests.withColumn("violations", F.array_compact(F.array(*(F.when(broken, name) for name, broken in rules.items()))))
+
+
+def merge_detail(listing: DataFrame, detail: DataFrame, columns: list[str], key: str = "url") -> DataFrame:
+    """Each listing row with a detail row's filled columns first: status success, else extracted from the listing, else failed.
+
+    '' counts as missing; detail has one row a key. A detail row with nothing in `columns` counts as none.
+    """
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    d = detail.select(key, *(filled(c).alias(f"__{c}") for c in columns))
+    some = lambda names: F.coalesce(*names).isNotNull()
+    status = F.when(some([F.col(f"__{c}") for c in columns]), "success").when(some([filled(c) for c in columns]), "extracted").otherwise("failed")
+    j = listing.join(d, key, "left").withColumn("status", status)
+    return j.withColumns({c: F.coalesce(F.col(f"__{c}"), filled(c)) for c in columns}).drop(*(f"__{c}" for c in columns))
+
+
+def catalog_count(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("n"))
+
+
 def mapping_status(products: DataFrame, mappings: DataFrame) -> DataFrame:
     """id, name, attempted, mapped, duplicate."""
     m = mappings.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.functions.health import colour_of, flow_of, status_score, worst_status
@@ -19,13 +19,16 @@ def flow_scores(checks: DataFrame) -> DataFrame:
     return per.withColumn("colour", colour_of(F.col("score")))
 
 
-def overall_health(flows: DataFrame) -> DataFrame:
-    """Mean of the rounded flow scores weighted by their totals, 0 if there are none; flows below 60."""
-    return flows.agg(
+def _health() -> list[Column]:
+    return [
         F.coalesce(F.bround(F.sum(F.col("score") * F.col("total")) / F.sum("total"), 0).cast("long"), F.lit(0)).alias("overall"),
         F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
-        F.count_if(F.col("score") < 60).alias("not_in_order"),
-    )
+    ]
+
+
+def overall_health(flows: DataFrame) -> DataFrame:
+    """Mean of the rounded flow scores weighted by their totals, 0 if there are none; flows below 60."""
+    return flows.agg(*_health(), F.count_if(F.col("score") < 60).alias("not_in_order"))
 
 
 def failing_details(checks: DataFrame, flows: DataFrame) -> DataFrame:
@@ -128,6 +131,16 @@ def substep_status(steps: DataFrame) -> DataFrame:
     return steps.withColumn("status", F.when(F.forall("sub_steps", lambda s: s["status"] == "pass"), "pass").otherwise("degraded"))
 
 
+def checkout_status(steps: DataFrame, gateway: str = "gateway") -> DataFrame:
+    """status and reason of a checkout, of its sub-steps (check, status) and whether the payment gateway was seen; null counts as unseen."""
+    has = lambda check, status: F.coalesce(F.exists("sub_steps", lambda s: (s["check"] == check) & (s["status"] == status)), F.lit(False))
+    paid, waiting = has("pay_button_click", "pass"), has("bargain_state", "degraded")
+    done = F.coalesce(F.col(gateway), F.lit(False)) & paid
+    status = F.when(done, "pass").when(waiting | paid, "degraded").otherwise("fail")
+    reason = F.when(done, F.lit(None)).when(waiting, "bargain in progress").when(paid, "gateway not detected").otherwise("no pay button")
+    return steps.withColumns({"status": status, "reason": reason})
+
+
 def evaluate_checks(obs: DataFrame) -> DataFrame:
     """visible, count at least min, text contains, attribute equals."""
     kind = F.col("check_type")
@@ -161,6 +174,45 @@ def report_text(flows: DataFrame) -> DataFrame:
     return flows.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("report"))
 
 
+# Signs of the colours.
+ICONS = {"green": "✅", "yellow": "🟡", "red": "🔴"}
+
+
+def _flow_lines(flows: DataFrame, shown: str, broken: str) -> DataFrame:
+    """overall, total, shown and broken: a line a flow, and a line for each flow below 60, worst first. There is one row a flow."""
+    icon = F.coalesce(*(F.when(F.col("colour") == c, i) for c, i in ICONS.items()), F.lit("⚪"))
+    named = flows.withColumn("icon", icon).withColumns({"shown": F.format_string(shown, "icon", "flow", "score", "n_pass", "n_degraded", "n_fail"), "broken": F.format_string(broken, "flow", "n_fail", "total")})
+    lines = F.sort_array(F.collect_list(F.struct("score", "flow", "shown", "broken")))
+    return named.agg(*_health(), F.transform(lines, lambda r: r["shown"]).alias("shown"), F.transform(F.filter(lines, lambda r: r["score"] < 60), lambda r: r["broken"]).alias("broken"))
+
+
+def chat_report(flows: DataFrame, hours: int = 24) -> DataFrame:
+    """One message: overall score, a line a flow, flows out of order."""
+    f = _flow_lines(flows, "%s %s: %d/100 (P%d/D%d/F%d)", "   • %s — %d failing")
+    head = F.array(F.format_string("📊 *Daily Health Summary — %d/100*", "overall"), F.format_string(f"_Window: last {hours}h · %d checks_", "total"), F.lit(""))
+    tail = F.when(F.size("broken") > 0, F.concat(F.array(F.lit(""), F.lit("⚠️ *Not in order:*")), F.col("broken"))).otherwise(F.array().cast("array<string>"))
+    return f.select(F.array_join(F.concat(head, F.col("shown"), tail), "\n").alias("message"))
+
+
+def mail_report(flows: DataFrame, title: str, generated_at: str, hours: int = 24) -> DataFrame:
+    """One body: overall score, a line a flow, a line for each flow out of order. failing_details has the checks behind those."""
+    f = _flow_lines(flows, "%s %s: %d/100 (pass %d / degraded %d / fail %d)", "🔴 %s — %d failing of %d checks")
+    rule = lambda sign: F.lit(sign * 50)
+    head = F.array(F.lit(title), rule("="), F.lit(f"Generated: {generated_at}"), F.lit(f"Window: last {hours}h"), F.format_string("Total checks: %d", "total"), F.format_string("Overall health score: %d/100", "overall"), F.lit(""), F.lit("PER-FLOW SCORES"), rule("-"))
+    none = F.array(F.lit("No flows are consistently failing today."))
+    tail = F.concat(F.array(F.lit(""), F.lit("NOT IN ORDER (failing even when average is OK)"), rule("-")), F.when(F.size("broken") > 0, F.col("broken")).otherwise(none))
+    return f.select(F.array_join(F.concat(head, F.col("shown"), tail), "\n").alias("body"))
+
+
+def cause_text(name: Column, summary: Column, severity: Column, errors: Column, causes: Column, actions: Column) -> Column:
+    """A chat message of a root cause: at most three console errors of 100 characters, all causes and actions. Null lists count as empty."""
+    none = F.array().cast("array<string>")
+    items = lambda c: F.transform(F.coalesce(c, none), lambda x: F.concat(F.lit("• "), x))
+    head = F.array(F.concat(F.lit("🔍 *RCA: "), name, F.lit("*")), F.concat(F.lit("📋 *Summary:* "), summary), F.concat(F.lit("⚠️ *Severity:* "), F.upper(severity)))
+    seen = F.when(F.size(errors) > 0, F.concat(F.array(F.format_string("🖥️ *Console Errors (%d):*", F.size(errors))), F.transform(F.slice(errors, 1, 3), lambda e: F.concat(F.lit("   `"), F.substring(e, 1, 100), F.lit("`")))))
+    return F.array_join(F.concat(head, F.coalesce(seen, none), F.array(F.lit("\n*🔧 Probable Causes:*")), items(causes), F.array(F.lit("\n*✅ Action Items:*")), items(actions)), "\n")
+
+
 def merged_causes(checks: DataFrame, templates: DataFrame) -> DataFrame:
     """seq, causes: texts of all rules of the page, repeated ones once, in the rules' order."""
     met = checks.join(F.broadcast(templates), F.contains(checks["page"], templates["group_key"]))

@@ -40,12 +40,38 @@ def spec_pairs(pages: DataFrame, html: str = "html") -> DataFrame:
     return first.groupBy("url").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("specs"))
 
 
+# Phrases of texts that say nothing about a product.
+BOILERPLATE = [
+    "color of the product may vary",
+    "picture displayed",
+    "product's dimensions",
+    "fit through the entrance",
+    "civil work",
+    "drilling holes",
+    "wiping the surface",
+    "assembly is required",
+]
+TEXT_BLOCK = r"(?is)<(?:p|li|div)[^>]*>([^<]+)</(?:p|li|div)>"
+
+
 def long_texts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """page_id, pos, text: paragraphs and items of 100 to 5000 characters, first of each 50-character start."""
-    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<(?:p|li|div)[^>]*>([^<]+)</(?:p|li|div)>"), 1)
+    """page_id, pos, text: paragraphs and items of 100 to 5000 characters, first of each 50-character start, without boilerplate."""
+    blocks = F.regexp_extract_all(html, F.lit(TEXT_BLOCK), 1)
     each = pages.select("page_id", F.posexplode(F.transform(blocks, squeeze)).alias("pos", "text"))
     good = each.where((F.length("text") > 100) & (F.length("text") < 5000) & ~F.col("text").rlike("^[₹0-9]"))
-    return first_per_key(good.withColumn("start", F.substring("text", 1, 50)), ["page_id", "start"], ["pos"]).select("page_id", "pos", "text")
+    first = first_per_key(good.withColumn("start", F.substring("text", 1, 50)), ["page_id", "start"], ["pos"])
+    return first.where(~F.lower("text").rlike("|".join(BOILERPLATE))).select("page_id", "pos", "text")
+
+
+def search_records(records: DataFrame, query: str) -> DataFrame:
+    """Records whose title or url holds the query, in any case."""
+    q = F.lit(query.lower())
+    return records.where(F.contains(F.lower(F.coalesce("title", F.lit(""))), q) | F.contains(F.lower(F.coalesce("url", F.lit(""))), q))
+
+
+def outcome_counts(records: DataFrame) -> DataFrame:
+    """n, n_success, n_failed, n_blocked of a run, in one row."""
+    return records.agg(F.count("*").alias("n"), *(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("success", "failed", "blocked")))
 
 
 def page_records(pages: DataFrame, least: int = 1000) -> DataFrame:

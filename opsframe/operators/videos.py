@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.functions.scores import dot, is_short, relevance
 from opsframe.operators.keyed import first_per_key
 
 
-def scored(videos: DataFrame) -> DataFrame:
-    return videos.withColumn("relevance", F.round(relevance(F.col("title"), F.col("product_name"), F.col("view_count")), 6))
+def scored(videos: DataFrame, reel: Column | None = None) -> DataFrame:
+    """relevance of each video; reels, where a condition for them is given, have 15 more."""
+    base = F.round(relevance(F.col("title"), F.col("product_name"), F.col("view_count")), 6)
+    return videos.withColumn("relevance", base if reel is None else base + F.when(reel, 15.0).otherwise(0.0))
+
+
+def merged_warnings(warnings: DataFrame, keys: list[str], column: str = "warnings") -> DataFrame:
+    """The distinct texts of all lists of a key, sorted; a key whose lists are all null or empty has an empty list."""
+    each = warnings.select(*keys, F.explode_outer(column).alias(column))
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_set(column)).alias(column))
 
 
 def top_videos(videos: DataFrame, k: int = 20) -> DataFrame:

@@ -171,8 +171,8 @@ Q = {
         f"SELECT strftime(run_at, '%Y-%m-%d') AS day, {_FLOW} AS flow, count(*) AS total, CAST(round_even(avg(CASE status WHEN 'pass' THEN 1.0 WHEN 'degraded' THEN 0.5 ELSE 0.0 END) * 100, 0) AS BIGINT) AS score FROM check_results_v WHERE status IN ('pass','degraded','fail') GROUP BY 1, 2",
     ),
     "x2_stream_daily": (
-        lambda s, d: streamed(s, d, lambda c: X.stream_flow_health(c, "24 hours", "12 hours"), "complete").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("start"), "flow", "total", "score"),
-        f"WITH w AS (SELECT *, unnest([0, 12]) AS back FROM check_results_v WHERE status IN ('pass','degraded','fail')) SELECT strftime(time_bucket(INTERVAL 12 HOURS, run_at, TIMESTAMP '2000-01-01') - back * INTERVAL 1 HOUR, '%Y-%m-%d %H') AS start, {_FLOW} AS flow, count(*) AS total, CAST(round_even(avg(CASE status WHEN 'pass' THEN 1.0 WHEN 'degraded' THEN 0.5 ELSE 0.0 END) * 100, 0) AS BIGINT) AS score FROM w GROUP BY 1, 2",
+        lambda s, d: streamed(s, d, lambda c: X.stream_flow_health(c, "24 hours", "1 hour"), "complete").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("start"), "flow", "total", "score"),
+        f"WITH w AS (SELECT *, unnest(range(24)) AS back FROM check_results_v WHERE status IN ('pass','degraded','fail')) SELECT strftime(date_trunc('hour', run_at) - back * INTERVAL 1 HOUR, '%Y-%m-%d %H') AS start, {_FLOW} AS flow, count(*) AS total, CAST(round_even(avg(CASE status WHEN 'pass' THEN 1.0 WHEN 'degraded' THEN 0.5 ELSE 0.0 END) * 100, 0) AS BIGINT) AS score FROM w GROUP BY 1, 2",
     ),
     "x3_stream_dedup": (
         lambda s, d: streamed(s, d, lambda c: X.stream_dedup(c.unionByName(c), ["seq"], "40 days"), "append").select("seq", "page", "metric", "status"),

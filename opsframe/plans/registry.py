@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from opsframe.plans import catalog_queries, duplicate_queries, matching_queries, monitoring_queries, page_queries, sink_queries
+from opsframe.plans import catalog_queries, duplicate_queries, extraction_queries, matching_queries, monitoring_queries, page_queries, sink_queries
 
-_MODULES = (monitoring_queries, catalog_queries, duplicate_queries, matching_queries, page_queries, sink_queries)
+_MODULES = (monitoring_queries, catalog_queries, duplicate_queries, extraction_queries, matching_queries, page_queries, sink_queries, extraction_queries)
 
 
 def queries() -> dict:
