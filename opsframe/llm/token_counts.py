@@ -13,9 +13,9 @@ many as the longest piece has, and the last token and the count at each of them.
 Between words the transducer resets, so a chunk's state map is known by three
 things: the fragment before its first boundary, the tokens of its whole words and
 the fragment after its last boundary; a chunk without a boundary is one fragment.
-Composing two maps joins the fragments at the seam. Composition is associative;
-the maps of a document's chunks are composed by a reduction after one shuffle of
-a small row per chunk run.
+Composing two maps joins the fragments at the seam. Composition is associative, so
+the maps of a document's chunks, each counted by itself, are composed in parallel:
+neighbours in blocks, then blocks of blocks.
 
 Defined cases: null text counts as empty: 0 bytes and 0 tokens; repeated rows and
 repeated or null ids each get their own row; extra columns are ignored; an empty
@@ -33,6 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 1 << 16
+BLOCK = 32
+#: No string is longer than this.
+MOST_CHARS = 1 << 31
 #: Bounds of the memory for words and for compiled transitions; what goes beyond is compiled again.
 MEMO = 500_000
 MOVES = 200_000
@@ -223,6 +226,20 @@ class ChunkCounter:
             b = tail
         return text[:a], self.inner(text[a:b]), text[b:]
 
+    def compose(self, left: tuple[str | None, int, str], right: tuple[str | None, int, str]) -> tuple[str | None, int, str]:
+        """The state map of two neighbouring runs of chunks. Associative: what the seam joins is counted once both its boundaries are known."""
+        if right[0] is None:
+            return left[0], left[1], left[2] + right[2]
+        if left[0] is None:
+            return left[2] + right[0], right[1], right[2]
+        return left[0], left[1] + self.inner(left[2] + right[0]) + right[1], right[2]
+
+    def scan(self, maps: list[tuple[str | None, int, str]]) -> tuple[str | None, int, str]:
+        """All maps composed, neighbours first, so that a word over many chunks is joined in few steps."""
+        while len(maps) > 1:
+            maps = [self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
 
 @lru_cache(maxsize=1)
 def chunk_counter(model_path: str) -> ChunkCounter:
@@ -238,49 +255,72 @@ def _last_word(text: str) -> int:
     return max(at, 0)
 
 
-def seams(maps: list[tuple[int, str | None, str]]) -> list[str]:
-    """Words that span chunks, from (chunk, head, tail) in any order."""
-    out, open_ = [], ""
-    for _, head, tail in sorted(maps, key=lambda m: m[0]):
-        if head is None:
-            open_ += tail
-        else:
-            out.append(open_ + head)
-            open_ = tail
-    return [w for w in (*out, open_) if w]
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema.names)
+
+
+def _spaced(text: str | None) -> str:
+    return " " + text.replace("▁", " ") if text else ""
 
 
 def count_tokens(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, n_bytes, n_tokens: one row for each row of docs."""
+    """doc_id, n_bytes, n_tokens: one row for each row of docs.
+
+    Texts of one chunk are counted where they are read, without a shuffle. The chunks
+    of longer ones are rows, dealt over all tasks; their maps are composed in blocks of
+    BLOCK neighbours, then blocks of blocks, as many times as the longest string can need.
+    """
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    is_long = F.coalesce(F.length("text") >= chunk_chars, F.lit(False))
+    ddl = "doc_id long, n_bytes long, n_tokens long"
+    counts = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = chunk_counter(model_path)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            tokens = [counter.map(_spaced(t), True, True)[1] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], counts.names)
+
+    pieces = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int64()), ("last", pa.bool_()), ("n_bytes", pa.int64()), ("text", pa.string())])
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                uid, doc, text = (batch.column(c)[i].as_py() for c in range(3))
+                size, text = len(text.encode("utf-8", "surrogatepass")), _spaced(text)
+                for at in range(0, len(text), chunk_chars):
+                    last = at + chunk_chars >= len(text)
+                    yield _batch([(uid, doc, at // chunk_chars, last, size if at == 0 else 0, text[at : at + chunk_chars])], pieces)
+
+    maps = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int64()), ("n_bytes", pa.int64()), ("head", pa.string()), ("n", pa.int64()), ("tail", pa.string())])
+    maps_ddl = "uid long, doc_id long, chunk long, n_bytes long, head string, n long, tail string"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = chunk_counter(model_path)
         for batch in batches:
-            rows = []
-            for uid, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                size = len((text or "").encode("utf-8", "surrogatepass"))
-                text = " " + text.replace("▁", " ") if text else ""
-                starts = range(0, len(text), chunk_chars) if text else [0]
-                for k, at in enumerate(starts):
-                    head, n, tail = counter.map(text[at : at + chunk_chars], k == 0, k == len(starts) - 1)
-                    seam = None if len(starts) == 1 else {"chunk": k, "head": head, "tail": tail}
-                    rows.append((uid, doc, size if k == 0 else 0, n, seam))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], arrow.names)
-
-    seam_type = pa.struct([("chunk", pa.int32()), ("head", pa.string()), ("tail", pa.string())])
-    arrow = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64()), ("seam", seam_type)])
-    ddl = "uid long, doc_id long, n_bytes long, n long, seam struct<chunk:int,head:string,tail:string>"
-    maps = docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(chunks, ddl)
-    composed = maps.groupBy("uid", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.collect_list("seam").alias("maps"))
+            yield _batch([(r["uid"], r["doc_id"], r["chunk"], r["n_bytes"], *counter.map(r["text"], r["chunk"] == 0, r["last"])) for r in batch.to_pylist()], maps)
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = chunk_counter(model_path)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                block = sorted(r["maps"], key=lambda m: m["chunk"])
+                out.append((r["uid"], r["doc_id"], r["block"], r["n_bytes"], *counter.scan([(m["head"], m["n"], m["tail"]) for m in block])))
+            yield _batch(out, maps)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = chunk_counter(model_path)
         for batch in batches:
-            totals = batch.column("n").to_pylist()
-            for i, found in enumerate(batch.column("maps").to_pylist()):
-                if found:
-                    counter = chunk_counter(model_path)
-                    joined = seams([(m["chunk"], m["head"], m["tail"]) for m in found])
-                    totals[i] += sum(counter.inner(w) for w in joined)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    return composed.mapInArrow(close, "doc_id long, n_bytes long, n_tokens long")
+            # the ends of a text are boundaries
+            yield _batch([(r["doc_id"], r["n_bytes"], r["n"] + counter.inner(r["head"] or "") + counter.inner(r["tail"])) for r in batch.to_pylist()], counts)
+
+    numbered = rows.where(is_long).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    chunks = numbered.mapInArrow(cut, "uid long, doc_id long, chunk long, last boolean, n_bytes long, text string")
+    found, reach = chunks.repartition("uid", "chunk").mapInArrow(count, maps_ddl), chunk_chars
+    while reach < MOST_CHARS:
+        blocks = found.groupBy("uid", "doc_id", F.floor(F.col("chunk") / BLOCK).alias("block")).agg(F.sum("n_bytes").alias("n_bytes"), F.collect_list(F.struct("chunk", "head", "n", "tail")).alias("maps"))
+        found, reach = blocks.mapInArrow(compose, maps_ddl), reach * BLOCK
+    return rows.where(~is_long).mapInArrow(short, ddl).unionByName(found.mapInArrow(close, ddl))

@@ -133,3 +133,25 @@ def test_token_counts(spark):
     for chunk in (1, 7, 1 << 16):
         assert sorted(tuple(r) for r in N.count_tokens(df, path, chunk).collect()) == want
     assert N.count_tokens(df.limit(0), path).count() == 0
+
+
+def test_chunk_maps_compose(spark):
+    counter = N.ChunkCounter(N.PieceModel(Q.tokenizer_path("piece_bpe_32k.model")))
+    random.seed(9)
+    for _ in range(200):
+        text = N._spaced("".join(random.choices(["a", "the", " ", "\n", "漢", "ing"], k=random.randint(1, 40))))
+        cuts = [0, *sorted(random.sample(range(1, len(text)), min(len(text) - 1, 5))), len(text)]
+        maps = [counter.map(text[a:b], a == 0, b == len(text)) for a, b in zip(cuts, cuts[1:])]
+        closed = [(m[1] + counter.inner(m[0] or "") + counter.inner(m[2])) for m in (counter.scan(maps), counter.scan([counter.scan(maps[:2]), *maps[2:]]), maps[0] if len(maps) == 1 else counter.compose(maps[0], counter.scan(maps[1:])))]
+        assert closed == [counter.inner(text)] * 3
+
+
+def test_long_text_is_counted_in_many_tasks(spark):
+    import sentencepiece
+
+    path = Q.tokenizer_path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["the thing " * 40_000, "x" * 70_000 + " y" * 50, "漢字かな\n" * 30_000]
+    df = spark.createDataFrame([(None, t) for t in texts + texts[:1]], "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(r) for r in N.count_tokens(df, path, 1 << 13).collect())
+    assert [g[1:] for g in got] == sorted((len(t.encode()), len(library.encode(t))) for t in texts + texts[:1])
