@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import best_fit_packing, chat_format, exact_topk, jump_sharding, language_id, license_scan, ngram_join, piece_lattice, quality_rules, token_counts
+from opsframe.llm import best_fit_packing, chat_format, exact_topk, jump_sharding, language_id, license_scan, ngram_join, piece_lattice, quality_rules, suffix_dedup, token_counts
 from opsframe.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +103,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict:
-    found = [op1_chat_prefix_target, op2_license_fuzzy, op3_exact_topk, op4_token_counts, op5_language_id, op6_quality_mcd, op7_best_fit_packing, op8_piece_lattice, op9_jump_sharding, op10_ngram_join, pipeline]
+    found = [op1_chat_prefix_target, op2_license_fuzzy, op3_exact_topk, op4_token_counts, op5_language_id, op6_quality_mcd, op7_best_fit_packing, op8_piece_lattice, op9_jump_sharding, op10_ngram_join, op13_suffix_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
