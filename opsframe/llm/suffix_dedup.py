@@ -44,8 +44,8 @@ WINDOW = 50
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 TUPLE = WINDOW - PERIOD + 1
 SEED = 16
-#: Suffixes of a block that are worked on at a time, and bytes of text a range is made for.
-UNIT, RANGE = 1 << 22, 1 << 23
+#: Suffixes of a block that are worked on at a time, and bytes of text that a range of tuples or of suffixes is made for.
+UNIT, TUPLE_RANGE, RANGE = 1 << 22, 1 << 23, 1 << 21
 
 _BLOCK = "block long, ids binary, known binary, lengths binary, text binary"
 _SPANS = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
@@ -118,15 +118,17 @@ class Unit:
         self.bytes = block.text[a:upto]
         self.words = words(np.concatenate((self.bytes, np.zeros(2 * WINDOW, np.uint8))))
         doc = self._docs(block, a, upto)
-        self.doc = block.ids[doc]
-        self.room = np.where(block.known[doc], block.ends[doc] - np.arange(a, upto), 0)
+        self.row = doc
+        room = block.ends[doc] - np.arange(a, upto)
+        room[~block.known[doc]] = 0
+        self.room = np.minimum(room, WINDOW).astype(np.uint8)
 
     @staticmethod
     def _docs(block: Block, a: int, b: int) -> np.ndarray:
         """The row of each byte: empty documents have none."""
         starts = block.ends - block.lengths
         inside = np.clip(np.minimum(block.ends, b) - np.maximum(starts, a), 0, None)
-        return np.repeat(np.arange(len(inside)), inside)
+        return np.repeat(np.arange(len(inside), dtype=np.int32), inside)
 
     def samples(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Sampled places (from a) of this unit, those just behind it included, and their tuples' hashes."""
@@ -288,11 +290,11 @@ def removed_in_range(contents: np.ndarray, runs: np.ndarray, copies: np.ndarray,
     return np.append(whole, copy[heads]), np.append(starts[whole], at[heads]), np.append(starts[whole] + width[of[whole]], at[tails] + WINDOW)
 
 
-def removed_bytes(blocks: DataFrame, bits: int, ranges: int) -> DataFrame:
+def removed_bytes(blocks: DataFrame, bits: int, tuple_ranges: int, ranges: int) -> DataFrame:
     """(block, starts, ends): bytes of blocks that are cut, as packed numbers; they may overlap."""
 
     def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tuple_cut, cut = edges(bits, ranges), edges(64, ranges)
+        tuple_cut, cut = edges(bits, tuple_ranges), edges(64, ranges)
         for row in _rows(batches):
             block = Block(row)
             told = {(r["unit"], r["range"]): r["bits"] for r in row["repeated"] or ()}
@@ -314,7 +316,7 @@ def removed_bytes(blocks: DataFrame, bits: int, ranges: int) -> DataFrame:
                     continue
                 first, counts, seeds = unit.stretches(starts)
                 rows = []
-                for r, contents, runs, copies, starts, docs in _distinct(unit.bytes.tobytes(), first, counts, unit.doc[first], seeds, cut):
+                for r, contents, runs, copies, starts, docs in _distinct(unit.bytes.tobytes(), first, counts, block.ids[unit.row[first]], seeds, cut):
                     rows.append((row["block"], unit.a, r, contents, runs, copies, starts, docs))
                 yield _batch(rows, "block base range contents runs copies starts docs", (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5))
 
@@ -363,11 +365,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _stored(spark, _blocks(docs), buckets)
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    ranges = max(buckets, total // RANGE + 1)
+    tuple_ranges, ranges = max(buckets, total // TUPLE_RANGE + 1), max(buckets, total // RANGE + 1)
     bits = min(60, (total * len(COVER) // PERIOD).bit_length() + 8)
-    repeated = materialize(spark, repeated_samples(blocks, bits, ranges), "repeated_samples")
+    repeated = materialize(spark, repeated_samples(blocks, bits, tuple_ranges), "repeated_samples")
     told = repeated.groupBy("block").agg(F.collect_list(F.struct("unit", "range", "bits")).alias("repeated"))
-    removed = materialize(spark, removed_bytes(blocks.join(told.hint("shuffle_hash"), "block", "left"), bits, ranges), "removed_bytes")
+    removed = materialize(spark, removed_bytes(blocks.join(told.hint("shuffle_hash"), "block", "left"), bits, tuple_ranges, ranges), "removed_bytes")
     pieces = removed.groupBy("block").agg(F.collect_list(F.struct("starts", "ends")).alias("removed"))
     return blocks.join(pieces.hint("shuffle_hash"), "block", "left").mapInArrow(_cut, _SPANS)
 
