@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import best_fit_packing, chat_format, exact_topk, jump_sharding, language_id, license_scan, ngram_join, piece_lattice, quality_rules, suffix_dedup, token_counts
+from opsframe.llm import best_fit_packing, centroid_clustering, chat_format, exact_topk, jump_sharding, language_id, license_scan, ngram_join, piece_lattice, quality_rules, suffix_dedup, token_counts, whitening
 from opsframe.llm.common import table
 
 
@@ -64,6 +64,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"), 4)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clustering.cluster(spark, table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64)
+    return found.withColumn("centroid_sha256", centroid_clustering.centroid_digest()).drop("centroid")
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")))
 
@@ -102,10 +111,57 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def _nearest(name: str, centroids: str) -> str:
+    """Each vector's nearest centroid: a struct of the squared distance and the number, the least of which counts."""
+    return f"""{name} AS (
+  SELECT v.rid, v.vec_id, v.x, min({{'d': list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c.c}}) AS best
+  FROM v, {centroids} c GROUP BY v.rid, v.vec_id, v.x)"""
+
+
+def _moved(name: str, assigned: str, before: str) -> str:
+    """Centroids after a round; a floor of the exact mean, and empty ones as before."""
+    return f"""{name}_sums AS (
+  SELECT best.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM {assigned}, (SELECT unnest(range(1, 65)) AS i) GROUP BY best.c, i),
+{name} AS (
+  SELECT b.c, coalesce(m.x, b.x) AS x FROM {before} b
+  LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM {name}_sums GROUP BY c) m ON b.c = m.c)"""
+
+
+_OP12 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v) ORDER BY h NULLS LAST, x LIMIT 16),
+{_nearest("a1", "c0")}, {_moved("c1", "a1", "c0")}, {_nearest("a2", "c1")}, {_moved("c2", "a2", "c1")}, {_nearest("a3", "c2")}, {_moved("c3", "a3", "c2")}, {_nearest("a4", "c3")}
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance,
+  CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a4 JOIN c3 ON a4.best.c = c3.c
+"""
+_OP13 = """
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (
+  SELECT rid, doc_id, length(h) // 2 AS n, lo, substr(h, 2 * lo + 1, 2 * (1024 + 49)) AS part
+  FROM (SELECT *, unnest(range(0, greatest(length(h) // 2, 1), 1024)) AS lo FROM t)),
+places AS (SELECT rid, doc_id, n, lo + i AS p, substr(part, 2 * i + 1, 100) AS g FROM (SELECT *, unnest(range(0, least(1024, n - lo))) AS i FROM parts)),
+least AS (SELECT g, min(doc_id) AS first FROM places WHERE length(g) = 100 GROUP BY g),
+marked AS (
+  SELECT b.rid, p, left(b.g, 2) AS byte,
+    coalesce(max(CASE WHEN l.first < b.doc_id THEN p END) OVER (PARTITION BY b.rid ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone
+  FROM places b LEFT JOIN least l ON b.g = l.g),
+turns AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY rid ORDER BY p) AS starts FROM marked),
+texts AS (
+  SELECT rid, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM turns GROUP BY rid)
+SELECT t.doc_id, CAST(length(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(x.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(x.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(x.kept, ''))) AS kept_sha256
+FROM t LEFT JOIN texts x ON t.rid = x.rid
+"""
+
+
 def queries() -> dict:
-    found = [op1_chat_prefix_target, op2_license_fuzzy, op3_exact_topk, op4_token_counts, op5_language_id, op6_quality_mcd, op7_best_fit_packing, op8_piece_lattice, op9_jump_sharding, op10_ngram_join, op13_suffix_dedup, pipeline]
+    found = [op1_chat_prefix_target, op2_license_fuzzy, op3_exact_topk, op4_token_counts, op5_language_id, op6_quality_mcd, op7_best_fit_packing, op8_piece_lattice, op9_jump_sharding, op10_ngram_join, op11_whitening, op12_centroids, op13_suffix_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefix_target": _OP1, "op3_exact_topk": _OP3}
+    return {"op1_chat_prefix_target": _OP1, "op3_exact_topk": _OP3, "op12_centroids": _OP12, "op13_suffix_dedup": _OP13}
