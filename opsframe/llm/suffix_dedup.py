@@ -286,7 +286,7 @@ def removed_in_range(contents: np.ndarray, runs: np.ndarray, copies: np.ndarray,
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (copy[1:] != copy[:-1])
     heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(at)) - 1
+    tails = np.append(heads, len(at))[1:] - 1
     return np.append(whole, copy[heads]), np.append(starts[whole], at[heads]), np.append(starts[whole] + width[of[whole]], at[tails] + WINDOW)
 
 
