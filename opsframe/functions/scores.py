@@ -40,6 +40,7 @@ def cosine(a: Column, b: Column, clamp: bool = True) -> Column:
 
 
 def phash_score(distance: Column) -> Column:
+    # fixed values: greatest distance and points
     steps = ((5, 80), (10, 68), (15, 55), (20, 35), (25, 20), (30, 10))
     out = F.when(distance <= steps[0][0], float(steps[0][1]))
     for bound, score in steps[1:]:
@@ -90,11 +91,16 @@ def text_evidence(title: Column, name: Column, price_a: Column, price_b: Column)
     return let(F.struct(match_tokens(title).alias("t"), match_tokens(name).alias("n"), clean_price(price_a).alias("pa"), clean_price(price_b).alias("pb")), pairs)
 
 
+# The plain scorer's points of the same image and of all words in common, and the least score that counts.
+SAME_IMAGE, ALL_WORDS, LEAST_OVERLAP = 100.0, 50.0, 10.0
+
+
 def overlap_score(image_equal: Column, title: Column, name: Column) -> Column:
-    """The plain scorer: 100 for the same image, else 50 by the share of words that both have."""
-    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    share = lambda x: 50.0 * F.size(F.array_intersect(x["a"], x["b"])) / F.greatest(F.size(x["a"]), F.size(x["b"]))
-    return F.when(image_equal, 100.0).otherwise(let(F.struct(words(title).alias("a"), words(name).alias("b")), share))
+    """The plain scorer: points of the same image, and of the share of words that both titles have; 0 of a title without words."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))
+    most = lambda x: F.greatest(F.size(x["a"]), F.size(x["b"]))
+    share = lambda x: F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), ALL_WORDS * F.size(F.array_intersect(x["a"], x["b"])) / most(x)).otherwise(0.0)
+    return F.when(image_equal, SAME_IMAGE).otherwise(0.0) + let(F.struct(words(title).alias("a"), words(name).alias("b")), share)
 
 
 def match_score(image_equal: Column, hash_score: Column, text: Column) -> Column:

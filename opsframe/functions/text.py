@@ -179,10 +179,35 @@ def video_query(name: Column) -> Column:
     return F.array_join(F.slice(F.split(words, " "), 1, 4), " ")
 
 
-def spec_value(specs: Column, part: str, first: bool = True) -> Column:
-    """The first or last value of a map whose key holds a word, in key order."""
-    found = F.filter(F.array_sort(F.map_entries(specs)), lambda e: F.contains(F.lower(e["key"]), F.lit(part)))
-    return F.try_element_at(found, F.lit(1 if first else -1))["value"]
+def spec_value(specs: Column, keys: tuple[str, ...], first: bool = True, whole: tuple[str, ...] = ()) -> Column:
+    """The first or last value of a map, in its own order, whose key holds one of the words or is one of the whole names."""
+
+    def fits(e: Column) -> Column:
+        key = F.lower(e["key"])
+        out = key.isin(*whole) if whole else F.lit(False)
+        for word in keys:
+            out = out | F.contains(key, F.lit(word))
+        return out
+
+    return F.try_element_at(F.filter(F.map_entries(specs), fits), F.lit(1 if first else -1))["value"]
+
+
+# Whole names of specifications that are dimensions.
+SIZE_NAMES = ("size", "product dimensions", "item dimensions l x w x h")
+
+
+def spec_derive(specs: Column, first: bool = True) -> Column:
+    """struct<weight, dimensions, gst, hsn> out of a page's specifications in page order.
+
+    With `first` the first key that fits counts, and dimensions end before a semicolon; else the last one, whole.
+    """
+    size = spec_value(specs, ("dimension",), first, SIZE_NAMES)
+    return F.struct(
+        spec_value(specs, ("weight",), first).alias("weight"),
+        (F.trim(F.substring_index(size, ";", 1)) if first else size).alias("dimensions"),
+        spec_value(specs, ("gst",), first).alias("gst"),
+        spec_value(specs, ("hsn",), first).alias("hsn"),
+    )
 
 
 # Entities that pages commonly hold.

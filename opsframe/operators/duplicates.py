@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions.scores import cosine, hamming64
 from opsframe.operators.graph import checkpointed, components
+from opsframe.operators.keyed import top_per_key
 
 
 def _keyed(products: DataFrame) -> DataFrame:
@@ -66,14 +67,15 @@ def near_hashes(left: DataFrame, right: DataFrame, bound: int, bits: int, keys:
     Rows without a hash or a key meet nobody. Equal rows make pairs of their own.
     """
     edges, flips, masks = _bands(bits, bound)
-    part = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    part = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit(signed((1 << (edges[i + 1] - edges[i])) - 1)).cast("long"))
     n = len(masks)
     own = F.array(*(F.struct(F.lit(i).alias("band"), part(F.col("phash"), i).alias("value")) for i in range(n)))
 
     def flipped(i: int):
         return lambda mask: F.struct(F.lit(i).alias("band"), part(F.col("phash"), i).bitwiseXOR(mask.cast("long")).alias("value"))
 
-    probes = F.flatten(F.array(*(F.transform(F.array(*map(F.lit, m)), flipped(i)) for i, m in enumerate(masks))))
+    probes = F.flatten(F.array(*(F.transform(F.array(*(F.lit(signed(x)) for x in m)), flipped(i)) for i, m in enumerate(masks))))
     u = left.select("id", "phash", *keys, F.explode(probes).alias("b")).select("id", "phash", *keys, "b.*")
     m = right.select(F.col("id").alias("mapped_id"), F.col("phash").alias("mapped_phash"), *keys, F.explode(own).alias("b")).select("mapped_id", "mapped_phash", *keys, "b.*")
     x = F.col("phash").bitwiseXOR(F.col("mapped_phash"))
@@ -97,6 +99,25 @@ def global_candidates(rest: DataFrame, mapped: DataFrame, bound: int, bits: int
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
 
+def fallback_candidates(spark: SparkSession, rest: DataFrame, mapped: DataFrame, bound: int = 10, bits: int = 64, cap: int = 3, radii: tuple[int, ...] = (1, 3, 6)) -> DataFrame:
+    """As global_candidates, by a radius that grows: rows that have `cap` hits within one leave before the next.
+
+    Hashes are searched once each, and of mapped rows of one hash only the first `cap` by id can be hits, so neither
+    copies nor dense neighbourhoods are listed in full. A row that leaves has its nearest ones: all others are farther.
+    """
+    hashes = checkpointed(spark, rest.where("phash is not null").select(F.col("phash").alias("id"), "phash").distinct())
+    first = checkpointed(spark, top_per_key(mapped.where("phash is not null and id is not null").select("id", "phash"), ["phash"], [F.col("id")], cap).drop("rank"))
+    nearest = Window.partitionBy("id").orderBy("distance", "mapped_id")
+    found = None
+    for radius in [*(r for r in radii if r < bound), bound]:
+        pairs = near_hashes(hashes, first, radius, bits, [])
+        best = checkpointed(spark, pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= cap))
+        done = best if radius == bound else best.join(best.where(F.col("rank") == cap).select("id"), "id", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        hashes = checkpointed(spark, hashes.join(done.select("id"), "id", "left_anti"))
+    return rest.select("id", "phash").join(found.withColumnRenamed("id", "phash"), "phash").select("id", "mapped_id", "distance", "rank")
+
+
 def nearest_mapped(candidates: DataFrame) -> DataFrame:
     """One row an id: the least (distance, mapped_id)."""
     return candidates.groupBy("id").agg(F.min(F.struct("distance", "mapped_id")).alias("m")).select("id", "m.mapped_id", "m.distance")

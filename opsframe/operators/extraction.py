@@ -138,7 +138,7 @@ def extract_products(pages: DataFrame, html: str = "html") -> DataFrame:
         pick(F.col("s.price"), F.col("ld.offers.price"), F.when(shown != "", F.concat(F.lit("₹"), shown))).alias("price"),
         F.coalesce(F.when(by_state, F.col("s.specs")), F.col("grid")).alias("specifications"),
     )
-    spec = lambda part: spec_value(F.col("specifications"), part, False)
+    spec = lambda part: spec_value(F.col("specifications"), (part,), False)
     return records.select(
         "url",
         F.when(_filled(F.col("title")).isNull(), "blocked").otherwise("success").alias("status"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsframe.functions.scores import hamming64, image_url_equal, let, match_gate, match_score, match_tag, phash_score, text_evidence, verified_score
+from opsframe.functions.scores import LEAST_OVERLAP, hamming64, image_url_equal, let, match_gate, match_score, match_tag, overlap_score, phash_score, text_evidence, verified_score
 
 PLATFORMS = ("amazon", "flipkart", "meesho")
 #: Points of a reverse-image hit, and the score from which a match is reliable.
@@ -37,6 +37,19 @@ def best_candidate(scored: DataFrame) -> DataFrame:
     return best.select("product_key", "platform", "best.*").where("verified > 0")
 
 
+def best_overlap(offers: DataFrame, order: str) -> DataFrame:
+    """product_key, offer, match_score, image_match: the offer of the greatest plain score, the earliest of equal ones.
+
+    Offers (product_key, title, image_url, cand_title, cand_image, more columns) come in `order`. Where no score reaches 10,
+    the first offer stands for the product, with the best score and without an image match.
+    """
+    same = image_url_equal(F.col("image_url"), F.col("cand_image"))
+    found = offers.select("product_key", F.struct(*offers.columns).alias("offer"), F.round(overlap_score(same, F.col("title"), F.col("cand_title")), 9).alias("score"), same.alias("same"), F.col(order).alias("at"))
+    per = found.groupBy("product_key").agg(F.max("score").alias("match_score"), F.min_by(F.struct("offer", "same"), F.struct(-F.col("score"), "at")).alias("best"), F.min_by("offer", "at").alias("first"))
+    good = F.col("match_score") >= LEAST_OVERLAP
+    return per.select("product_key", F.when(good, F.col("best.offer")).otherwise(F.col("first")).alias("offer"), "match_score", (good & F.col("best.same")).alias("image_match"))
+
+
 def union_candidates(reverse: DataFrame, search: DataFrame) -> DataFrame:
     """Candidates of both sources, first the reverse-image ones: rank within the product, each offer once."""
     both = reverse.withColumn("__order", F.lit(0)).unionByName(search.withColumn("__order", F.lit(1)))
@@ -46,12 +59,18 @@ def union_candidates(reverse: DataFrame, search: DataFrame) -> DataFrame:
 
 
 def pivot_mapping(best: DataFrame) -> DataFrame:
-    """One row a product with the platform's candidate, price, score and tag; a price stands only where the gate passes."""
-    chosen = best.select(
-        "product_key", "platform", F.col("cand_key").alias("key"), F.when(F.col("passes"), F.col("cand_price")).alias("price"), F.bround("verified", 4).alias("score"), match_tag(F.col("verified")).alias("tag")
-    )
-    cells = [F.max(F.when(F.col("platform") == p, F.col(c))).alias(f"{p}_{c}") for p in PLATFORMS for c in ("key", "price", "score", "tag")]
-    return chosen.groupBy("product_key").agg(*cells)
+    """One row a product: per platform the found offer's key, url, price, score, tag, similarities and source, whether it is unavailable, and else an error.
+
+    Only an offer that passes the gate is found. One without a price is unavailable.
+    """
+    priced = F.coalesce(F.col("cand_price") != "", F.lit(False))
+    columns = {"key": "cand_key", "url": "cand_url", "price": F.when(priced, F.col("cand_price")), "score": F.bround("verified", 1), "tag": match_tag(F.col("verified")), "dinov2": F.round("dinov2_sim", 4), "clip": F.round("clip_sim", 4), "source": "source", "unavailable": ~priced}
+    offer = F.struct(*((F.col(v) if isinstance(v, str) else v).alias(c) for c, v in columns.items()))
+    cells = [F.max_by(F.when(F.col("passes"), offer), F.col("passes").cast("int")).alias("offer"), F.count(F.lit(1)).alias("n")]
+    per = best.groupBy("product_key").pivot("platform", list(PLATFORMS)).agg(*cells)
+    shown = [(F.coalesce(F.col(f"{p}_offer.{c}"), F.lit(False)) if c == "unavailable" else F.col(f"{p}_offer.{c}")).alias(f"{p}_{c}") for p in PLATFORMS for c in columns]
+    errors = [F.when(F.coalesce(F.col(f"{p}_n"), F.lit(0)) == 0, "No match found").when(F.col(f"{p}_offer").isNull(), "Low confidence match").alias(f"{p}_error") for p in PLATFORMS]
+    return per.select("product_key", *shown, *errors)
 
 
 def top_links(candidates: DataFrame, k: int = 3) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.functions.health import colour_of, flow_of, status_score, worst_status
+from opsframe.functions.scores import let
 from opsframe.operators.keyed import top_per_key
 
 KNOWN = ("pass", "degraded", "fail")
@@ -83,22 +86,52 @@ def flow_overall(checks: DataFrame, mode: str = "worst") -> DataFrame:
     return tagged.groupBy("flow").agg((worst_status(F.col("status")) if mode == "worst" else last).alias("status"))
 
 
-def root_cause(checks: DataFrame, templates: DataFrame) -> DataFrame:
-    """The first template whose group is in the page and key in the text; else the group's first; else `generic`.
+#: Rules and actions are constants of the plan; so many rules at most.
+MOST_RULES = 1000
+_RULE = "array<struct<group_order:int,template_order:int,group_key:string,template_key:string,summary:string,actions:array<string>>>"
+
+
+def rules_of_page(rules: list[dict], page: Column) -> Column:
+    """The rules (group_key, group_order, template_key, template_order, summary, actions) whose group is in the page, in their order.
 
-    templates (group_key, group_order, template_key, template_order, summary) is a small table of rules and is broadcast.
+    All rules are one constant that each row is matched against in place: there is no join and no shuffle.
     """
-    t = F.broadcast(templates)
-    text = F.coalesce("step_failed", F.lit(""))
-    met = checks.join(t, F.contains("page", F.col("group_key")), "left")
-    order = F.struct(F.when(F.contains(F.lower(text), F.col("template_key")), 0).otherwise(1).alias("miss"), "group_order", "template_order")
-    return met.groupBy("seq", "page").agg(F.coalesce(F.min_by("summary", F.when(F.col("summary").isNotNull(), order)), F.lit("generic")).alias("summary"))
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"{len(rules)} rules are more than a plan should hold as a constant; at most {MOST_RULES}")
+    named = [{"actions": [], **r} for r in rules]
+    order = ("group_order", "template_order", "group_key", "template_key", "summary", "actions")
+    constant = F.from_json(F.lit(json.dumps([{c: r[c] for c in order} for r in sorted(named, key=lambda r: (r["group_order"], r["template_order"]))])), _RULE)
+    return F.coalesce(F.filter(constant, lambda r: F.contains(page, r["group_key"])), F.from_json(F.lit("[]"), _RULE))
 
 
-def alert_digest(checks: DataFrame) -> DataFrame:
-    """Per flow the failures and their pages, first three texts."""
-    fails = checks.where("status = 'fail'").withColumn("flow", flow_of(F.col("page")))
-    first = top_per_key(fails.where("step_failed is not null"), ["flow"], [F.col("seq")], 3).groupBy("flow").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "step_failed"))), lambda x: x["step_failed"]), "; ").alias("texts"))
+def _cause(rules: list[dict], page: Column, text: Column) -> Column:
+    """The first rule of the page whose key is in the text, else the page's first rule, else null."""
+
+    def pick(met: Column) -> Column:
+        exact = F.filter(met, lambda r: F.contains(F.lower(F.coalesce(text, F.lit(""))), r["template_key"]))
+        return F.coalesce(F.get(exact, F.lit(0)), F.get(met, F.lit(0)))
+
+    return let(rules_of_page(rules, page), pick)
+
+
+def root_cause(checks: DataFrame, rules: list[dict]) -> DataFrame:
+    """seq, page, summary: of the first rule whose group is in the page and key in the text; else the group's first; else `generic`."""
+    return checks.select("seq", "page", F.coalesce(_cause(rules, F.col("page"), F.col("step_failed"))["summary"], F.lit("generic")).alias("summary"))
+
+
+def alert_failures(checks: DataFrame, rules: list[dict], actions: int = 3) -> DataFrame:
+    """seq, flow, text of each failure: what failed, the cause and the first actions against it."""
+    fails = checks.where("status = 'fail'").withColumns({"flow": flow_of(F.col("page")), "cause": _cause(rules, F.col("page"), F.col("step_failed"))})
+    what = F.concat(F.col("page"), F.lit("/"), F.col("metric"), F.lit(": "), F.coalesce("step_failed", F.lit("missing")))
+    why = F.concat(F.lit("\n  RCA: "), F.coalesce(F.col("cause.summary"), F.lit("generic")))
+    then = F.concat(F.lit("\n  Actions: "), F.coalesce(F.array_join(F.slice("cause.actions", 1, actions), "; "), F.lit("")))
+    return fails.select("seq", "flow", F.concat(what, why, then).alias("text"))
+
+
+def alert_digest(checks: DataFrame, rules: list[dict], shown: int = 3) -> DataFrame:
+    """Per flow the number of failures, and the first of them with their causes and actions."""
+    fails = alert_failures(checks, rules)
+    first = top_per_key(fails, ["flow"], [F.col("seq")], shown).groupBy("flow").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("texts"))
     return fails.groupBy("flow").agg(F.count("*").alias("n_failed")).join(first, "flow", "left")
 
 
@@ -213,8 +246,7 @@ def cause_text(name: Column, summary: Column, severity: Column, errors: Column,
     return F.array_join(F.concat(head, F.coalesce(seen, none), F.array(F.lit("\n*🔧 Probable Causes:*")), items(causes), F.array(F.lit("\n*✅ Action Items:*")), items(actions)), "\n")
 
 
-def merged_causes(checks: DataFrame, templates: DataFrame) -> DataFrame:
-    """seq, causes: texts of all rules of the page, repeated ones once, in the rules' order."""
-    met = checks.join(F.broadcast(templates), F.contains(checks["page"], templates["group_key"]))
-    ordered = F.sort_array(F.collect_list(F.struct("group_order", "template_order", "summary")))
-    return met.groupBy("seq").agg(F.array_distinct(F.transform(ordered, lambda r: r["summary"])).alias("causes"))
+def merged_causes(checks: DataFrame, rules: list[dict]) -> DataFrame:
+    """seq, causes: texts of all rules of the page, repeated ones once, in the rules' order; pages without a rule are left out."""
+    causes = F.array_distinct(F.transform(rules_of_page(rules, F.col("page")), lambda r: r["summary"]))
+    return checks.select("seq", causes.alias("causes")).where(F.size("causes") > 0)

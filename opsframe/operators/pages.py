@@ -30,14 +30,14 @@ def json_ld_products(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def spec_pairs(pages: DataFrame, html: str = "html") -> DataFrame:
-    """url, specs: th/td, dt/dd and bold-bullet pairs, the first of a repeated key."""
+    """url, specs: th/td, dt/dd and bold-bullet pairs in page order, the first of a repeated key."""
     pair = r"(?is)<(?:th|dt)[^>]*>(.*?)</(?:th|dt)>\s*<(?:td|dd)[^>]*>(.*?)</(?:td|dd)>"
     bullet = r"(?is)<li[^>]*>\s*<(?:b|strong)>(.*?):?</(?:b|strong)>\s*:?(.*?)</li>"
     rows = lambda p: F.zip_with(F.regexp_extract_all(html, F.lit(p), 1), F.regexp_extract_all(html, F.lit(p), 2), lambda k, v: F.struct(squeeze(strip_html(k)).alias("k"), squeeze(strip_html(v)).alias("v")))
     each = pages.select("url", F.posexplode(F.concat(rows(pair), rows(bullet))).alias("pos", "s")).select("url", "pos", "s.*")
     kept = each.where("length(k) between 1 and 60 and length(v) between 1 and 500 and not contains(v, '₹')")
     first = first_per_key(kept, ["url", "k"], ["pos"])
-    return first.groupBy("url").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("specs"))
+    return first.groupBy("url").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("pos", "k", "v"))), lambda e: F.struct(e["k"], e["v"]))).alias("specs"))
 
 
 # Phrases of texts that say nothing about a product.

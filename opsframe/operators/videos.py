@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsframe.functions.scores import dot, is_short, relevance
-from opsframe.operators.keyed import first_per_key
+from opsframe.functions.scores import dot, is_short, let, relevance
+from opsframe.operators.keyed import first_per_key, top_per_key
 
 
 def scored(videos: DataFrame, reel: Column | None = None) -> DataFrame:
@@ -28,8 +30,8 @@ def top_videos(videos: DataFrame, k: int = 20) -> DataFrame:
 
 
 def cap_per_source(videos: DataFrame, k: int = 10) -> DataFrame:
-    w = Window.partitionBy("product_key").orderBy("seq")
-    return videos.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The first k videos of each product and platform."""
+    return top_per_key(videos, ["product_key", "platform"], [F.col("seq")], k)
 
 
 def prefer_shorts(videos: DataFrame, k: int = 10, enough: int = 3) -> DataFrame:
@@ -41,13 +43,36 @@ def prefer_shorts(videos: DataFrame, k: int = 10, enough: int = 3) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_labels(vectors: DataFrame, labels: DataFrame, k: int = 5, scale: float = 10.0) -> DataFrame:
-    """The k most probable labels of each vector: softmax over scaled cosines. labels (label, vector) is a small fixed table."""
-    logits = vectors.join(F.broadcast(labels), vectors["embedding"].isNotNull()).withColumn("logit", scale * dot(F.col("embedding"), F.col("vector")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("vector"), F.col("vector"))))
-    per = Window.partitionBy("vec_id")
-    prob = F.exp(F.col("logit") - F.max("logit").over(per))
-    ranked = logits.withColumn("e", prob).withColumn("prob", F.round(F.col("e") / F.sum("e").over(per), 6))
-    return ranked.withColumn("rank", F.row_number().over(per.orderBy(F.desc("prob"), "label"))).where(F.col("rank") <= k).select("vec_id", "label", "prob", "rank")
+#: Label vectors are a constant of the plan; so many labels at most.
+MOST_LABELS = 1000
+
+
+def label_probabilities(vector: Column, labels: list[tuple[str, list[float]]], scale: float = 10.0) -> Column:
+    """array<struct<prob,label>>, most probable first, ties by label: softmax over scaled cosines, within the row.
+
+    labels (label, vector) are one constant. A vector that is null or has no length, or another one than the labels', has null.
+    """
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"{len(labels)} labels are more than a plan should hold as a constant; at most {MOST_LABELS}")
+    unit = [(name, [x / sum(y * y for y in v) ** 0.5 for x in v]) for name, v in labels]
+    constant = F.from_json(F.lit(json.dumps([{"label": n, "v": v} for n, v in unit])), "array<struct<label:string,v:array<double>>>")
+
+    def softmax(logits: Column) -> Column:
+        top = F.array_max(F.transform(logits, lambda z: z["z"]))
+        powers = F.transform(logits, lambda z: F.struct(z["label"].alias("label"), F.exp(z["z"] - top).alias("e")))
+        return let(powers, lambda p: let(F.aggregate(p, F.lit(0.0), lambda s, x: s + x["e"]), lambda total: F.transform(p, lambda x: F.struct((-F.round(x["e"] / total, 6)).alias("minus"), x["label"].alias("label")))))
+
+    norm = F.sqrt(dot(vector, vector))
+    ranked = F.array_sort(softmax(let(norm, lambda n: F.transform(constant, lambda c: F.struct(c["label"].alias("label"), (scale * dot(vector, c["v"]) / n).alias("z"))))))
+    fits = vector.isNotNull() & (F.size(vector) == len(unit[0][1]) if unit else F.lit(False)) & (norm > 0)
+    return F.when(fits, F.transform(ranked, lambda r: F.struct((-r["minus"]).alias("prob"), r["label"].alias("label"))))
+
+
+def top_labels(vectors: DataFrame, labels: list[tuple[str, list[float]]], k: int = 5, above: float = 0.0) -> DataFrame:
+    """vec_id, label, prob, rank: the k most probable labels of each vector, of those with more than `above`."""
+    best = F.filter(F.slice(label_probabilities(F.col("embedding"), labels), 1, k), lambda r: r["prob"] > above)
+    each = vectors.select("vec_id", F.posexplode(best).alias("at", "r"))
+    return each.select("vec_id", F.col("r.label").alias("label"), F.col("r.prob").alias("prob"), (F.col("at") + 1).alias("rank"))
 
 
 # Words that go with a category, and words that say nothing about a product.

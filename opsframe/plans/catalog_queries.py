@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from opsframe.functions import scores as S
 from opsframe.functions import text as T
 from opsframe.operators import catalog as C
 from opsframe.operators import keyed as K
-from opsframe.operators import matching
+from opsframe.operators import duplicates, matching
+from opsframe.operators.graph import shared_folder
 from opsframe.sources import readers
 from opsframe.sources.adapters import view, with_views
+from opsframe.sources.stored import StoredTable
 
 
 def _p(s, d):
@@ -41,6 +45,13 @@ def _updates(s, d):
     return _snap(s, d).select(F.concat(F.lit("p-"), F.col("item_id")).alias("id"), F.upper("name").alias("name"), F.when(F.col("num") % 3 != 0, "0").alias("price")).where("id not like '%5'")
 
 
+def _changed(s, rows, key, change):
+    """A stored table of rows, after a change."""
+    table = StoredTable.create(s, f"{shared_folder(s)}/opsframe/table-{uuid.uuid4().hex}", rows, [key], 16)
+    change(table)
+    return table.read()
+
+
 def _bodies(s, d):
     """Gateway JSON made of the parts."""
     sku = F.format_string('{"isDefault":%d,"price":"%d"}', (F.col("num") % 2).cast("int"), (F.col("num") * 10).cast("bigint"))
@@ -76,7 +87,7 @@ def _items(s, d):
 def _xml(s, d):
     """Sitemaps of 500 products at most, as many as the catalog needs."""
     entry = F.concat(F.lit("<url><loc>"), F.col("url"), F.lit("</loc>"), F.when(F.col("image_url").isNotNull(), F.concat(F.lit("<image:image><image:loc>"), F.col("image_url"), F.lit("</image:loc><image:title>"), F.col("name"), F.lit("</image:title></image:image>"))).otherwise(""), F.lit("</url>"))
-    return _p(s, d).groupBy(F.expr("num div 500").alias("k")).agg(F.array_join(F.collect_list(entry), "").alias("text"))
+    return _p(s, d).groupBy(F.expr("num div 500").alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("num", entry.alias("entry")))), lambda e: e["entry"]), "").alias("text"))
 
 
 _ST = r"regexp_replace(coalesce(NULLIF(image_url, ''), found), '^https://resize[.]shop[.]example/V[^/]+/(https?://.*)', '\1')"
@@ -89,6 +100,10 @@ Q = {
         lambda s, d: readers.parse_sitemaps(_xml(s, d)),
         "SELECT CAST(num AS VARCHAR) AS item_id, url, CASE WHEN image_url IS NULL THEN 'Unknown Product' ELSE name END AS title, image_url FROM products_v",
     ),
+    "s4_sitemaps_by_position": (
+        lambda s, d: readers.parse_sitemaps_by_position(_xml(s, d)),
+        "WITH e AS (SELECT *, row_number() OVER (PARTITION BY num // 500 ORDER BY num) AS at, row_number() OVER (PARTITION BY num // 500, image_url IS NULL ORDER BY num) AS img FROM products_v) SELECT CAST(a.num AS VARCHAR) AS item_id, a.url, coalesce(b.name, 'Unknown Product') AS title, b.image_url FROM e a LEFT JOIN e b ON a.num // 500 = b.num // 500 AND a.at = b.img AND b.image_url IS NOT NULL",
+    ),
     "s8_parse_gateway": (
         lambda s, d: readers.parse_gateway(_bodies(s, d)).drop("mrp_price"),
         "SELECT id, CASE WHEN num % 5 = 0 THEN '7' WHEN num % 2 = 1 THEN CAST(num * 10 AS VARCHAR) ELSE CAST(num AS VARCHAR) END AS price, coalesce(category, 'none') AS category, coalesce(brand, '') AS brand FROM products_v",
@@ -122,6 +137,14 @@ Q = {
         lambda s, d: K.union_dedup([C.missing_fields(_p(s, d), "brand"), C.missing_fields(_p(s, d), "category")], "id", ["num"]).select("id", "brand", "category"),
         "SELECT id, brand, category FROM products_v WHERE brand IS NULL OR category IS NULL",
     ),
+    "f5_missing_prices": (
+        lambda s, d: C.missing_fields(_p(s, d), "price").orderBy("num").limit(50).select("id", "price", "mrp_price"),
+        "SELECT id, price, mrp_price FROM products_v WHERE price IS NULL OR mrp_price IS NULL ORDER BY num LIMIT 50",
+    ),
+    "f3_range_to_end": (
+        lambda s, d: K.range_select(_p(s, d).select("id", "name"), ["name", "id"], 51, 0),
+        "SELECT * FROM (SELECT id, name, row_number() OVER (ORDER BY name, id) AS position FROM products_v) WHERE position > 50",
+    ),
     "f10_plan_scrape": (
         lambda s, d: C.plan_scrape(_sheet(s, d)).select("row", "platform", "outcome", "error"),
         f"WITH {_SHEET} SELECT row, CASE WHEN url LIKE '%amazon%' THEN 'amazon' WHEN url LIKE '%flipkart%' THEN 'flipkart' END AS platform, CASE WHEN url = '' OR url LIKE '%shop.example%' THEN 'failed' ELSE 'scrape' END AS outcome, CASE WHEN url = '' THEN 'Empty URL' WHEN url LIKE '%shop.example%' THEN concat('Unsupported domain: ', url) END AS error FROM sheet WHERE status IS NULL OR status <> ' Success'",
@@ -184,6 +207,19 @@ FROM i QUALIFY row_number() OVER (PARTITION BY key ORDER BY num) = 1""",
         lambda s, d: K.patch(_stored(s, d).select("id", "name", "price", "brand"), _updates(s, d), "id", ["name", "price"]),
         "WITH u AS (SELECT concat('p-', item_id) AS id, upper(name) AS name, CASE WHEN num % 3 <> 0 THEN '0' END AS price FROM snapshot_v WHERE item_id NOT LIKE '%5') SELECT t.id, coalesce(u.name, t.name) AS name, coalesce(u.price, t.price) AS price, t.brand FROM stored_v t LEFT JOIN u ON t.id = u.id",
     ),
+    "k1_stored_upsert": (
+        lambda s, d: _changed(s, _stored(s, d).select("id", "name", "price", "brand"), "id", lambda t: t.upsert(_updates(s, d), ["name", "price"])),
+        "WITH u AS (SELECT concat('p-', item_id) AS id, upper(name) AS name, CASE WHEN num % 3 <> 0 THEN '0' END AS price FROM snapshot_v WHERE item_id NOT LIKE '%5') SELECT coalesce(t.id, u.id) AS id, CASE WHEN u.id IS NOT NULL THEN u.name ELSE t.name END AS name, CASE WHEN u.id IS NOT NULL THEN u.price ELSE t.price END AS price, t.brand FROM stored_v t FULL JOIN u ON t.id = u.id",
+    ),
+    "k2_stored_patch": (
+        lambda s, d: _changed(s, _stored(s, d).select("id", "name", "price", "brand"), "id", lambda t: t.patch(_updates(s, d), ["name", "price"])),
+        "WITH u AS (SELECT concat('p-', item_id) AS id, upper(name) AS name, CASE WHEN num % 3 <> 0 THEN '0' END AS price FROM snapshot_v WHERE item_id NOT LIKE '%5') SELECT t.id, coalesce(u.name, t.name) AS name, coalesce(u.price, t.price) AS price, t.brand FROM stored_v t LEFT JOIN u ON t.id = u.id",
+    ),
+    "k3_stored_mapping": (
+        lambda s, d: _changed(s, _map(s, d).select("product_id", "amazon_url", "flipkart_url"), "product_id", lambda t: t.upsert(_p(s, d).where("num % 9 = 0").select(F.col("id").alias("product_id"), F.col("url").alias("flipkart_url")), ["flipkart_url"])),
+        "SELECT coalesce(m.product_id, p.id) AS product_id, m.amazon_url, CASE WHEN p.id IS NOT NULL THEN p.url ELSE m.flipkart_url END AS flipkart_url FROM mappings_v m FULL JOIN (SELECT * FROM products_v WHERE num % 9 = 0) p ON m.product_id = p.id",
+    ),
+    "k4_stored_delete": (lambda s, d: _changed(s, _p(s, d).select("id", "name"), "id", lambda t: t.delete(_map(s, d).select(F.col("product_id").alias("id")))), "SELECT id, name FROM products_v WHERE id NOT IN (SELECT product_id FROM mappings_v)"),
     "k3_save_mapping": (
         lambda s, d: K.merge_upsert(_map(s, d).select("product_id", "amazon_url", "flipkart_url"), _p(s, d).where("num % 9 = 0").select(F.col("id").alias("product_id"), F.col("url").alias("flipkart_url")), ["product_id"], ["flipkart_url"]),
         "SELECT coalesce(m.product_id, p.id) AS product_id, m.amazon_url, CASE WHEN p.id IS NOT NULL THEN p.url ELSE m.flipkart_url END AS flipkart_url FROM mappings_v m FULL JOIN (SELECT * FROM products_v WHERE num % 9 = 0) p ON m.product_id = p.id",
@@ -200,6 +236,14 @@ FROM i QUALIFY row_number() OVER (PARTITION BY key ORDER BY num) = 1""",
         "SELECT id, num, CASE WHEN num % 5 <> 0 THEN 'stored' ELSE 'all' END AS origin FROM products_v",
     ),
     "l3_order_by": (lambda s, d: _p(s, d).orderBy("name", "id").limit(100).select("id", "name"), "SELECT id, name FROM products_v ORDER BY name, id LIMIT 100"),
+    "l3_groups_by_size": (
+        lambda s, d: K.ranked(duplicates.exact_duplicates(_p(s, d)).withColumn("fewer", -F.col("size")), ["fewer", "first_id"]).select("position", "first_id", "size"),
+        "SELECT row_number() OVER (ORDER BY count(*) DESC, min(id)) AS position, min(id) AS first_id, count(*) AS size FROM products_v WHERE coalesce(name, '') <> '' AND coalesce(price, '') <> '' AND coalesce(brand, '') <> '' GROUP BY lower(trim(name)), price, lower(trim(brand)) HAVING count(*) > 1",
+    ),
+    "l3_mappings_by_check": (
+        lambda s, d: _map(s, d).withColumn("last_checked", F.when(F.col("num") % 9 != 0, F.col("num") * 7919 % 1000)).orderBy(F.desc_nulls_first("last_checked"), "product_id").limit(200).select("product_id", "last_checked"),
+        "SELECT product_id, last_checked FROM (SELECT *, CASE WHEN num % 9 <> 0 THEN num * 7919 % 1000 END AS last_checked FROM mappings_v) ORDER BY last_checked DESC NULLS FIRST, product_id LIMIT 200",
+    ),
     "t5_strip_image_proxy": (lambda s, d: _p(s, d).select("id", T.strip_image_proxy(F.col("image_url")).alias("image")), r"SELECT id, regexp_replace(image_url, '^https://resize[.]shop[.]example/V[^/]+/(https?://.*)', '\1') AS image FROM products_v"),
     "t8_url_tail": (lambda s, d: _p(s, d).select("id", T.url_tail(F.concat("url", F.lit("/?x=1"))).alias("tail")), "SELECT id, CAST(num AS VARCHAR) AS tail FROM products_v"),
     "t9_normalize_url_cell": (lambda s, d: _p(s, d).select("id", T.normalize_url_cell(F.when(F.col("num") % 2 == 0, F.col("url")).when(F.col("num") % 3 == 0, " ").otherwise(F.concat(F.lit("/x/"), "id")), "https://shop.example").alias("u")), "SELECT id, CASE WHEN num % 2 = 0 THEN url WHEN num % 3 = 0 THEN NULL ELSE concat('https://shop.example/x/', id) END AS u FROM products_v"),

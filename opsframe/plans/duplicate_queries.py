@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import scores as S
 from opsframe.operators import duplicates as D
+from opsframe.operators import lsh
 from opsframe.sources.adapters import view, with_views
 from opsframe.sources.readers import scan
 
@@ -24,6 +25,21 @@ def _hashed(s, d, mapped: bool):
     return own.select("id", "brand", ((F.col("num") * 2654435761) % 1048576).alias("phash"))
 
 
+def _wide(s, d, mapped: bool):
+    """As _hashed, with hashes of 64 bits: 97 far apart, and three bits of each flipped by the product's number."""
+    base = F.expr("cast(cast(num % 97 as decimal(38,0)) * 11400714819323198485 % 18446744073709551616 - 9223372036854775808 as bigint)")
+    bit = lambda n: F.expr(f"shiftleft(1L, cast({n} as int))")
+    own = _p(s, d).join(view(s, d, "mappings_v").select(F.col("product_id").alias("id")), "id", "left_semi" if mapped else "left_anti")
+    return own.select("id", "brand", base.bitwiseXOR(bit("num % 61")).bitwiseXOR(bit("num * 7 % 53")).bitwiseXOR(bit("num * 3 % 37")).alias("phash"))
+
+
+def _fallback(s, d):
+    """Unmapped products without a hit in their brand, against all mapped ones."""
+    unmapped, mapped = _wide(s, d, False), _wide(s, d, True)
+    rest = unmapped.join(D.block_candidates(unmapped, mapped, 5).select("id"), "id", "left_anti")
+    return D.fallback_candidates(s, rest, mapped, 8)
+
+
 def _pairs(s, d):
     return D.similar_pairs(scan(s, d, "embeddings"), LEAST)
 
@@ -35,7 +51,25 @@ _PAIRS = f"""pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_inner_produ
 _COMP = "both_ AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs), reach(id, node) AS (SELECT src, src FROM both_ UNION SELECT r.id, b.dst FROM reach r JOIN both_ b ON r.node = b.src), comp AS (SELECT id, min(node) AS component FROM reach GROUP BY id)"
 _HASHED = "h AS (SELECT id, num, brand, (num * 2654435761) % 1048576 AS phash, id IN (SELECT product_id FROM mappings_v) AS mapped FROM products_v)"
 
+_WIDE = """h AS (SELECT id, brand, xor(xor(xor(CAST((num % 97)::HUGEINT * 11400714819323198485::HUGEINT % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT), 1::BIGINT << (num % 61)), 1::BIGINT << (num * 7 % 53)), 1::BIGINT << (num * 3 % 37)) AS phash,
+  id IN (SELECT product_id FROM mappings_v) AS mapped FROM products_v),
+b AS (SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON upper(trim(u.brand)) = upper(trim(m.brand)) WHERE NOT u.mapped AND m.mapped AND bit_count(xor(u.phash, m.phash)) < 5)"""
+#: Components by bands need a threshold at which vectors are rarely alike.
+ALIKE = 0.5
+_ALIKE = _PAIRS.replace(f">= {LEAST})", f">= {ALIKE})")
+
 Q = {
+    "j7_wide_candidates": (lambda s, d: D.block_candidates(_wide(s, d, False), _wide(s, d, True), 5), f"WITH {_WIDE} SELECT * FROM b"),
+    "j8_fallback_candidates": (
+        _fallback,
+        f"WITH {_WIDE}, p AS (SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON bit_count(xor(u.phash, m.phash)) < 8 WHERE NOT u.mapped AND m.mapped AND u.id NOT IN (SELECT id FROM b)) SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, mapped_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 3",
+    ),
+    "j9_lsh_pairs": (lambda s, d: lsh.similar_pairs(s, scan(s, d, "embeddings"), ALIKE).select("src", "dst", F.bround("similarity", 4).alias("similarity")), f"WITH {_ALIKE} SELECT src, dst, round_even(similarity, 4) AS similarity FROM pairs"),
+    "a3_lsh_components": (lambda s, d: D.similarity_components(s, lsh.similarity_links(s, scan(s, d, "embeddings"), ALIKE)), f"WITH RECURSIVE {_ALIKE}, {_COMP} SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM comp"),
+    "a4_lsh_survivors": (
+        lambda s, d: D.survivors(D.similarity_components(s, lsh.similarity_links(s, scan(s, d, "embeddings"), ALIKE))),
+        f"WITH RECURSIVE {_ALIKE}, {_COMP} SELECT id, component, CASE WHEN row_number() OVER (PARTITION BY component ORDER BY CAST(id AS VARCHAR)) = 1 THEN 'keep' ELSE 'delete' END AS action FROM comp",
+    ),
     "a1_exact_duplicates": (lambda s, d: D.exact_duplicates(_p(s, d)), f"WITH {_GROUPS} SELECT k_name, k_price, k_brand, first_id, size FROM g"),
     "a2_duplicate_summary": (lambda s, d: D.duplicate_summary(D.exact_duplicates(_p(s, d))), f"WITH {_GROUPS} SELECT count(*) AS n_groups, CAST(coalesce(sum(size - 1), 0) AS BIGINT) AS surplus FROM g"),
     "j10_group_pairs": (lambda s, d: D.group_pairs(_p(s, d)), f"WITH {_GROUPS} SELECT first_id AS id1, unnest(members[2:]) AS id2 FROM g"),

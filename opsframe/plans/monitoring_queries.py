@@ -11,6 +11,7 @@ from opsframe.operators import catalog, keyed
 from opsframe.operators import monitoring as M
 from opsframe.operators.graph import shared_folder
 from opsframe.sources.adapters import SQL, view, with_views
+from opsframe.sources.stored import StoredTable
 from opsframe.streaming import checks as X
 
 THRESHOLDS = [("metric_0", ">", 120.0), ("metric_1", ">", 90.0), ("metric_2", "<", 1.0), ("metric_3", ">", 300.0)]
@@ -32,25 +33,82 @@ def _rules(s, rows, schema):
     return s.createDataFrame(rows, schema)
 
 
+#: What to do against a cause; the last one has more actions than an alert shows.
+ACTIONS = {("home", 0): ["look at the page", "check its images"], ("api", 0): ["raise the timeout"], ("api", 1): ["check the gateway", "check stock", "call the shop", "wait"]}
+
+
+def rules() -> list[dict]:
+    """The templates as rules with actions."""
+    names = ("group_key", "group_order", "template_key", "template_order", "summary")
+    return [dict(zip(names, t)) | {"actions": ACTIONS.get((t[0], t[3]), [])} for t in TEMPLATES]
+
+
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
+def _folder(s):
+    return f"{shared_folder(s)}/opsframe/stream-{uuid.uuid4().hex}"
+
+
+def _events(s, d):
+    """The events' file as a stream."""
+    return s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
+
+
 def streamed(s, d, operator, mode: str):
     """The operator on the check results as a stream, in one available-now run; returns what its sink holds."""
-    raw = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
-    base = f"{shared_folder(s)}/opsframe/stream-{uuid.uuid4().hex}"
-    writer = operator(s.sql(SQL["check_results_v"], events=raw)).writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    base = _folder(s)
+    writer = operator(s.sql(SQL["check_results_v"], events=_events(s, d))).writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     # a complete result replaces the sink's table, an appended one grows it
     writer = writer.foreachBatch(lambda df, _: df.write.mode("append" if mode == "append" else "overwrite").parquet(f"{base}/out"))
     writer.start().awaitTermination()
     return s.read.parquet(f"{base}/out")
 
 
+def streamed_in_parts(s, d, operator, parts: list[str]):
+    """The operator in append mode over parts of the check results that come one after the other, each a condition; rows that come late are in a later part."""
+    base, checks = _folder(s), _checks(s, d)
+    for i, part in enumerate(parts):
+        checks.where(part).write.mode("append").parquet(f"{base}/in/part={i}")
+        stream = s.readStream.schema(checks.schema).parquet(f"{base}/in/*")
+        writer = operator(stream).writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").format("parquet")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/out")
+
+
+def upserted(s, d, operator, keys: list[str], schema: str, columns: list[str]):
+    """The operator in update mode into a stored table, merged batch by batch; returns the table."""
+    base = _folder(s)
+    stored = StoredTable.create(s, f"{base}/table", s.createDataFrame([], schema), keys, 8)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(store)
+    s.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer = operator(s.sql(SQL["check_results_v"], events=_events(s, d))).writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        writer.foreachBatch(stored.upsert_batch("stream", columns)).start().awaitTermination()
+    finally:
+        s.conf.set(store, before)
+    return stored.read()
+
+
+#: Parts of the month as they come: before the 10th but for some rows, the days to the 20th with some that are late, all others.
+_PARTS = [
+    "run_at < '2024-01-10' AND seq % 10 NOT IN (3, 7)",
+    "(run_at >= '2024-01-10' AND run_at < '2024-01-20' AND seq % 10 <> 7) OR (run_at < '2024-01-10' AND seq % 10 = 3)",
+    "run_at >= '2024-01-20' OR (run_at < '2024-01-20' AND seq % 10 = 7)",
+]
+
+
 _FLOW = """CASE WHEN page LIKE 'happy_flow%' THEN 'happy_flow' WHEN page LIKE 'feature/%' THEN 'feature' WHEN page LIKE 'server/%' THEN 'server' WHEN page LIKE 'api/%' THEN 'api' ELSE page END"""
 _FLOWS = f"""flows AS (SELECT {_FLOW} AS flow, count(*) FILTER (status = 'pass') AS n_pass, count(*) FILTER (status = 'degraded') AS n_degraded, count(*) FILTER (status = 'fail') AS n_fail,
   count(*) AS total, CAST(round_even(avg(CASE status WHEN 'pass' THEN 1.0 WHEN 'degraded' THEN 0.5 ELSE 0.0 END) * 100, 0) AS BIGINT) AS score
   FROM check_results_v WHERE status IN ('pass','degraded','fail') GROUP BY 1)"""
+_ACTIONS = ", ".join(f"('{g}', {t}, '{'; '.join(a[:3])}')" for (g, t), a in ACTIONS.items())
+_CAUSE = f"""t(group_key, group_order, template_key, template_order, summary) AS (VALUES {_values(TEMPLATES)}), acts(group_key, template_order, actions) AS (VALUES {_ACTIONS}),
+j AS (SELECT c.*, summary, actions FROM check_results_v c LEFT JOIN t ON contains(page, t.group_key) LEFT JOIN acts ON acts.group_key = t.group_key AND acts.template_order = t.template_order
+  WHERE status = 'fail' QUALIFY row_number() OVER (PARTITION BY seq ORDER BY CASE WHEN contains(lower(coalesce(step_failed, '')), template_key) THEN 0 ELSE 1 END, group_order, t.template_order) = 1)"""
+_FAILURES = f"""{_CAUSE}, f AS (SELECT seq, {_FLOW} AS flow, concat(page, '/', metric, ': ', coalesce(step_failed, 'missing'), chr(10), '  RCA: ', coalesce(summary, 'generic'), chr(10), '  Actions: ', coalesce(actions, '')) AS text FROM j)"""
 _KEYED = "keyed AS (SELECT *, coalesce(run_id, strftime(run_at, '%Y-%m-%d %H:%M:%S')) AS run_key FROM check_results_v)"
 
 Q = {
@@ -79,9 +137,10 @@ Q = {
         "SELECT status, count(*) AS n FROM check_results_v GROUP BY 1",
     ),
     "a16_alert_digest": (
-        lambda s, d: M.alert_digest(_checks(s, d)),
-        f"WITH f AS (SELECT *, {_FLOW} AS flow FROM check_results_v WHERE status = 'fail'), r AS (SELECT flow, step_failed, row_number() OVER (PARTITION BY flow ORDER BY seq) AS k FROM f WHERE step_failed IS NOT NULL) SELECT flow, count(*) AS n_failed, (SELECT string_agg(step_failed, '; ' ORDER BY k) FROM r WHERE r.flow = f.flow AND k <= 3) AS texts FROM f GROUP BY flow",
+        lambda s, d: M.alert_digest(_checks(s, d), rules()),
+        f"WITH {_FAILURES}, r AS (SELECT flow, text, row_number() OVER (PARTITION BY flow ORDER BY seq) AS k FROM f) SELECT flow, count(*) AS n_failed, string_agg(text, chr(10) ORDER BY k) FILTER (k <= 3) AS texts FROM r GROUP BY flow",
     ),
+    "a16_alert_failures": (lambda s, d: M.alert_failures(_checks(s, d), rules()), f"WITH {_FAILURES} SELECT seq, flow, text FROM f"),
     "a17_flow_overall_last": (
         lambda s, d: M.flow_overall(_checks(s, d), "last"),
         f"SELECT {_FLOW} AS flow, coalesce(arg_max(status, seq) FILTER (status <> 'pass'), 'pass') AS status FROM check_results_v WHERE status IN ('pass','degraded','fail') GROUP BY 1",
@@ -155,7 +214,7 @@ Q = {
         "SELECT seq, CASE seq % 3 WHEN 0 THEN 'mweb' WHEN 1 THEN 'web' END AS platform FROM check_results_v",
     ),
     "j13_root_cause": (
-        lambda s, d: M.root_cause(_checks(s, d).where("status = 'fail'"), _rules(s, TEMPLATES, "group_key string, group_order int, template_key string, template_order int, summary string")),
+        lambda s, d: M.root_cause(_checks(s, d).where("status = 'fail'"), rules()),
         f"WITH t(group_key, group_order, template_key, template_order, summary) AS (VALUES {_values(TEMPLATES)}), j AS (SELECT seq, page, summary, row_number() OVER (PARTITION BY seq ORDER BY CASE WHEN contains(lower(coalesce(step_failed, '')), template_key) THEN 0 ELSE 1 END, group_order, template_order) AS k FROM check_results_v c LEFT JOIN t ON contains(page, group_key) WHERE status = 'fail') SELECT seq, page, coalesce(summary, 'generic') AS summary FROM j WHERE k = 1",
     ),
     "f13_check_constraints": (
@@ -167,8 +226,12 @@ Q = {
         "SELECT seq, 'value' AS metric, value AS v FROM check_results_v UNION ALL SELECT seq, 'duration', CAST(duration_ms AS DOUBLE) FROM check_results_v WHERE seq % 2 = 0",
     ),
     "x1_stream_flow_health": (
-        lambda s, d: streamed(s, d, lambda c: X.stream_flow_health(c, "1 day"), "complete").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "flow", "total", "score"),
-        f"SELECT strftime(run_at, '%Y-%m-%d') AS day, {_FLOW} AS flow, count(*) AS total, CAST(round_even(avg(CASE status WHEN 'pass' THEN 1.0 WHEN 'degraded' THEN 0.5 ELSE 0.0 END) * 100, 0) AS BIGINT) AS score FROM check_results_v WHERE status IN ('pass','degraded','fail') GROUP BY 1, 2",
+        lambda s, d: streamed_in_parts(s, d, lambda c: X.stream_flow_health(c, "1 hour", late="2 hours"), _PARTS).select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "flow", "total", "score"),
+        f"""WITH p AS (SELECT *, CASE WHEN {_PARTS[0].replace("'2024", "TIMESTAMP '2024")} THEN 0 WHEN {_PARTS[1].replace("'2024", "TIMESTAMP '2024")} THEN 1 ELSE 2 END AS part, date_trunc('hour', run_at) AS h FROM check_results_v WHERE status IN ('pass','degraded','fail')),
+w AS (SELECT part, max(run_at) - INTERVAL 2 HOURS AS mark FROM p GROUP BY part),
+k AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.part < p.part AND p.h + INTERVAL 1 HOUR <= w.mark))
+SELECT strftime(h, '%Y-%m-%d %H') AS hour, {_FLOW} AS flow, count(*) AS total, CAST(round_even(avg(CASE status WHEN 'pass' THEN 1.0 WHEN 'degraded' THEN 0.5 ELSE 0.0 END) * 100, 0) AS BIGINT) AS score
+FROM k WHERE h + INTERVAL 1 HOUR <= (SELECT max(mark) FROM w) GROUP BY 1, 2""",
     ),
     "x2_stream_daily": (
         lambda s, d: streamed(s, d, lambda c: X.stream_flow_health(c, "24 hours", "1 hour"), "complete").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("start"), "flow", "total", "score"),
@@ -179,15 +242,15 @@ Q = {
         "SELECT seq, page, metric, status FROM check_results_v",
     ),
     "x4_stream_latest": (
-        lambda s, d: streamed(s, d, X.stream_latest, "complete").select("page", "metric", "seq", "status"),
+        lambda s, d: upserted(s, d, X.stream_latest, ["page", "metric"], "page string, metric string, run_at timestamp, seq long, status string, value double", ["run_at", "seq", "status", "value"]).select("page", "metric", "seq", "status"),
         "SELECT page, metric, seq, status FROM check_results_v QUALIFY row_number() OVER (PARTITION BY page, metric ORDER BY run_at DESC, seq DESC) = 1",
     ),
     "x5_stream_alerts": (
-        lambda s, d: streamed(s, d, lambda c: X.stream_alerts(c, _rules(s, TEMPLATES, "group_key string, group_order int, template_key string, template_order int, summary string")), "append").select("seq", "status", "summary"),
+        lambda s, d: streamed(s, d, lambda c: X.stream_alerts(c, rules()), "append").select("seq", "status", "summary"),
         f"WITH t(group_key, group_order, template_key, template_order, summary) AS (VALUES {_values(TEMPLATES)}) SELECT seq, status, summary FROM check_results_v c LEFT JOIN t ON contains(page, group_key) WHERE status IN ('fail', 'degraded')",
     ),
     "x6_stream_jobs": (
-        lambda s, d: streamed(s, d, lambda c: X.stream_jobs(c.select((F.col("seq") % 50).alias("job_id"), "seq", F.when(F.col("seq") % 7 == 0, "done").otherwise("running").alias("state"), F.col("duration_ms").alias("progress"))), "complete"),
+        lambda s, d: upserted(s, d, lambda c: X.stream_jobs(c.select((F.col("seq") % 50).alias("job_id"), "seq", F.when(F.col("seq") % 7 == 0, "done").otherwise("running").alias("state"), F.col("duration_ms").alias("progress"), "run_at")), ["job_id"], "job_id long, state string, progress int", ["state", "progress"]),
         "SELECT seq % 50 AS job_id, CASE WHEN seq % 7 = 0 THEN 'done' ELSE 'running' END AS state, duration_ms AS progress FROM check_results_v QUALIFY row_number() OVER (PARTITION BY seq % 50 ORDER BY CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END DESC, seq DESC) = 1",
     ),
     "a15_catalog_count": (lambda s, d: _checks(s, d).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM check_results_v"),

@@ -21,7 +21,7 @@ def _product_pages(s, d):
     p = view(s, d, "products_v")
     ld = F.format_string('<script type="application/ld+json">{"@type":"Product","name":"%s","category":"%s","brand":{"name":"%s"},"offers":{"price":"%s"}}</script>', "name", F.coalesce("category", F.lit("none")), F.coalesce("brand", F.lit("none")), F.coalesce("price", F.lit("0")))
     graph = F.format_string('<script type="application/ld+json">{"@graph":[{"@type":"WebPage","name":"x"},{"@type":"Product","name":"%s"}]}</script>', "name")
-    specs = F.format_string("<table><tr><th>Weight</th><td>%d g</td></tr><tr><th>Dimensions</th><td>%d x 2 x 3 cm</td></tr></table><ul><li><b>Item weight:</b> 9 kg</li></ul>", F.col("num").cast("int"), (F.col("num") % 90).cast("int"))
+    specs = F.format_string("<table><tr><th>Weight</th><td>%d g</td></tr><tr><th>Dimensions</th><td>%d x 2 x 3 cm; %d kg</td></tr>%s</table><ul><li><b>Item weight:</b> 9 kg</li></ul>", F.col("num").cast("int"), (F.col("num") % 90).cast("int"), (F.col("num") % 9).cast("int"), F.when(F.col("num") % 4 == 0, "<tr><th>A size</th><td>no</td></tr><tr><th>Size</th><td>large; boxed</td></tr>").when(F.col("num") % 4 == 1, "<tr><th>GST rate</th><td>18%</td></tr><tr><th>HSN code</th><td>9403</td></tr>").otherwise(""))
     state = F.format_string('<script id="__STATE__">{"listing":{"productsCount":%d,"pages":[{"products":[{"slug":"A b%d","product_id":"%d","name":"%s","price":5},{"slug":"A b%d","product_id":"%d","name":"again","price":6}]}]}}</script>', (F.col("num") * 3).cast("int"), F.col("num").cast("int"), F.col("num").cast("int"), "name", F.col("num").cast("int"), F.col("num").cast("int"))
     return p.select("id", "num", "url", F.concat(F.lit("<html>"), F.when(F.col("num") % 2 == 0, ld).otherwise(graph), specs, state).alias("html"))
 
@@ -71,12 +71,12 @@ Q = {
     "f16_long_texts": (lambda s, d: P.long_texts(_pages(s, d)).groupBy("page_id").agg(F.count("*").alias("n")), ""),
     "f17_search_records": (lambda s, d: _pages(s, d).where(F.contains(F.lower("url"), F.lit("page=2"))).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE contains(lower(url), 'page=2')"),
     "n2_spec_pairs": (
-        lambda s, d: P.spec_pairs(_product_pages(s, d)).select("url", T.spec_value(F.col("specs"), "dimension").alias("dimensions"), F.size("specs").cast("long").alias("n")),
-        "SELECT url, concat(CAST(num % 90 AS VARCHAR), ' x 2 x 3 cm') AS dimensions, 3::BIGINT AS n FROM products_v",
+        lambda s, d: P.spec_pairs(_product_pages(s, d)).select("url", T.spec_value(F.col("specs"), ("dimension",)).alias("dimensions"), F.size("specs").cast("long").alias("n")),
+        "SELECT url, concat(CAST(num % 90 AS VARCHAR), ' x 2 x 3 cm; ', CAST(num % 9 AS VARCHAR), ' kg') AS dimensions, CASE WHEN num % 4 < 2 THEN 5 ELSE 3 END::BIGINT AS n FROM products_v",
     ),
     "n1_spec_derive": (
-        lambda s, d: P.spec_pairs(_product_pages(s, d)).select("url", T.spec_value(F.col("specs"), "weight").alias("first"), T.spec_value(F.col("specs"), "weight", False).alias("last")),
-        "SELECT url, '9 kg' AS first, concat(CAST(num AS VARCHAR), ' g') AS last FROM products_v",
+        lambda s, d: P.spec_pairs(_product_pages(s, d)).select("url", T.spec_derive(F.col("specs")).alias("a"), T.spec_derive(F.col("specs"), False).alias("b")).select("url", F.col("a.weight").alias("first"), F.col("b.weight").alias("last"), F.col("a.dimensions").alias("size"), F.col("b.dimensions").alias("whole"), F.col("a.gst").alias("gst"), F.col("b.hsn").alias("hsn")),
+        "SELECT url, concat(CAST(num AS VARCHAR), ' g') AS first, '9 kg' AS last, concat(CAST(num % 90 AS VARCHAR), ' x 2 x 3 cm') AS size, CASE WHEN num % 4 = 0 THEN 'large; boxed' ELSE concat(CAST(num % 90 AS VARCHAR), ' x 2 x 3 cm; ', CAST(num % 9 AS VARCHAR), ' kg') END AS whole, CASE WHEN num % 4 = 1 THEN '18%' END AS gst, CASE WHEN num % 4 = 1 THEN '9403' END AS hsn FROM products_v",
     ),
     "n3_json_ld": (
         lambda s, d: P.json_ld_products(_product_pages(s, d)),

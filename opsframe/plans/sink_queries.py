@@ -12,7 +12,7 @@ from opsframe.operators import monitoring as M
 from opsframe.operators import pages as P
 from opsframe.operators.graph import shared_folder
 from opsframe.plans.duplicate_queries import _GROUPS
-from opsframe.plans.monitoring_queries import _FLOWS, TEMPLATES, _rules, _values
+from opsframe.plans.monitoring_queries import _FLOWS, TEMPLATES, _values, rules
 from opsframe.plans.page_queries import _product_pages
 from opsframe.sources import readers, sinks
 from opsframe.sources.adapters import view, with_views
@@ -30,6 +30,12 @@ def _appended(s, d):
     return sinks.read_checks(s, [path]).groupBy(F.col("run_date").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
+def _recent(s, d):
+    path = _path(s, "days")
+    sinks.append_checks(view(s, d, "check_results_v"), path)
+    return sinks.scan_checks(s, path, "2024-01-28 06:00:00", 24).select("seq", "page", "metric", "status")
+
+
 def _csv(s, d):
     groups, path = D.exact_duplicates(view(s, d, "products_v")), _path(s, "csv")
     sinks.export_csv(groups.select("first_id", F.concat(F.lit('"'), "k_name", F.lit('", x')).alias("name"), F.lit("").alias("blank"), F.col("size").cast("string").alias("size")), path)
@@ -57,6 +63,7 @@ def _union(s, d):
 
 Q = {
     "k5_append_checks": (_appended, "SELECT strftime(run_at, '%Y-%m-%d') AS day, count(*) AS n FROM check_results_v GROUP BY 1"),
+    "s14_stored_window": (_recent, "SELECT seq, page, metric, status FROM check_results_v WHERE run_at >= TIMESTAMP '2024-01-28 06:00:00' - INTERVAL 24 HOURS"),
     "k6_s2_csv_round_trip": (_csv, f"WITH {_GROUPS} SELECT first_id, concat('\"', k_name, '\", x') AS name, '' AS blank, CAST(size AS VARCHAR) AS size FROM g"),
     "s3_json_round_trip": (_json, "SELECT id, name, price FROM products_v"),
     "t4_clean_ws": (
@@ -72,7 +79,7 @@ Q = {
         "SELECT url, CAST(num AS VARCHAR) AS product_id, name, '5' AS price FROM products_v UNION ALL SELECT url, CAST(num AS VARCHAR), 'again', '6' FROM products_v",
     ),
     "n8_merged_causes": (
-        lambda s, d: M.merged_causes(view(s, d, "check_results_v"), _rules(s, [*TEMPLATES, ("home", 3, "x", 0, "home page view is slow")], "group_key string, group_order int, template_key string, template_order int, summary string")).select("seq", F.array_join("causes", "|").alias("causes")),
+        lambda s, d: M.merged_causes(view(s, d, "check_results_v"), [*rules(), {"group_key": "home", "group_order": 3, "template_key": "x", "template_order": 0, "summary": "home page view is slow"}]).select("seq", F.array_join("causes", "|").alias("causes")),
         f"WITH t(group_key, group_order, template_key, template_order, summary) AS (VALUES {_values(TEMPLATES)}) SELECT seq, string_agg(summary, '|' ORDER BY group_order, template_order) AS causes FROM check_results_v JOIN t ON contains(page, group_key) GROUP BY seq",
     ),
     "u5_to_check_rows": (

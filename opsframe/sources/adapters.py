@@ -43,7 +43,7 @@ FROM {events}""",
     "candidates_v": """SELECT q.p_partkey AS product_key, q.p_name AS title, CAST(q.p_retailprice AS STRING) AS price,
   CASE c.p_partkey % 3 WHEN 0 THEN 'amazon' WHEN 1 THEN 'flipkart' ELSE 'meesho' END AS platform,
   CASE WHEN c.p_partkey % 5 = 0 THEN 'revimg' ELSE 'search' END AS source,
-  c.p_partkey AS cand_key, concat(c.p_name, ' ', lower(c.p_type), ' pack of 2') AS cand_title,
+  c.p_partkey AS cand_key, concat('https://', CASE c.p_partkey % 3 WHEN 0 THEN 'www.amazon.in/dp/' WHEN 1 THEN 'www.flipkart.com/x/p/' ELSE 'www.meesho.com/x/p/' END, CAST(c.p_partkey AS STRING)) AS cand_url, concat(c.p_name, ' ', lower(c.p_type), ' pack of 2') AS cand_title,
   CASE WHEN c.p_partkey % 23 = 0 THEN NULL ELSE CAST(c.p_retailprice AS STRING) END AS cand_price,
   (q.p_partkey * 2654435761) % 1048576 AS phash, (c.p_partkey * 2654435761) % 1048576 AS cand_phash,
   CAST((q.p_partkey * 31 + c.p_partkey * 17) % 101 AS DOUBLE) / 100 AS dinov2_sim,
@@ -52,7 +52,7 @@ FROM {events}""",
   concat('https://cdn.shop.example/i/', CAST(CASE WHEN c.p_partkey % 6 = 0 THEN q.p_partkey ELSE c.p_partkey END AS STRING), '_256.jpg') AS cand_image
 FROM {part} q JOIN {part} c ON q.p_brand = c.p_brand AND q.p_partkey <> c.p_partkey AND CAST(floor(q.p_partkey / 400.0) AS BIGINT) = CAST(floor(c.p_partkey / 400.0) AS BIGINT)""",
     "videos_v": """SELECT concat('yt-', CAST(c.p_partkey % 400 AS STRING)) AS id, q.p_partkey AS product_key, q.p_name AS product_name,
-  c.p_partkey AS seq, concat(c.p_name, ' ', lower(c.p_type), ' review!') AS title,
+  c.p_partkey AS seq, CASE c.p_partkey % 3 WHEN 0 THEN 'youtube' WHEN 1 THEN 'instagram' ELSE 'facebook' END AS platform, concat(c.p_name, ' ', lower(c.p_type), ' review!') AS title,
   CASE WHEN c.p_partkey % 8 = 0 THEN NULL ELSE concat(CAST(c.p_partkey % 2 AS STRING), ':', lpad(CAST(c.p_size % 60 AS STRING), 2, '0')) END AS duration,
   CASE WHEN c.p_partkey % 9 = 0 THEN NULL ELSE CAST(c.p_size AS BIGINT) * 1000 END AS view_count
 FROM {part} q JOIN {part} c ON q.p_brand = c.p_brand AND q.p_partkey <> c.p_partkey AND CAST(floor(q.p_partkey / 400.0) AS BIGINT) = CAST(floor(c.p_partkey / 400.0) AS BIGINT)""",

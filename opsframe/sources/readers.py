@@ -29,6 +29,16 @@ def parse_sitemaps(xml: DataFrame, column: str = "text") -> DataFrame:
     return entries.select(F.substring_index(url, "/", -1).alias("item_id"), url.alias("url"), F.coalesce(tag("image:title"), F.lit("Unknown Product")).alias("title"), tag("image:loc").alias("image_url"))
 
 
+def parse_sitemaps_by_position(xml: DataFrame, column: str = "text") -> DataFrame:
+    """As parse_sitemaps, but the n-th image and title of a sitemap go to its n-th url, so that one that is missing shifts those behind it."""
+    every = lambda tag: F.regexp_extract_all(column, F.lit(rf"<{tag}>([^<]*)</{tag}>"), 1)
+    lists = xml.select(every("loc").alias("urls"), every("image:loc").alias("images"), every("image:title").alias("titles"))
+    each = lists.select("images", "titles", F.posexplode("urls").alias("at", "url")).where("url <> ''")
+    return each.select(
+        F.substring_index("url", "/", -1).alias("item_id"), "url", F.coalesce(F.trim(F.get("titles", F.col("at"))), F.lit("Unknown Product")).alias("title"), F.nullif(F.get("images", F.col("at")), F.lit("")).alias("image_url")
+    )
+
+
 def parse_gateway(df: DataFrame, body: str = "body") -> DataFrame:
     """price, mrp, category, brand of gateway JSON; the default SKU's price comes first, else the first SKU's."""
     kind = "struct<price:string,mrpPrice:string,brandName:string,Category:array<struct<categoryName:string>>,skuList:array<struct<isDefault:int,price:string,mrpPrice:string>>>"

@@ -6,9 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_checks(checks: DataFrame, path: str) -> None:
-    """Append long-format rows, one folder a day, so that readers of a few days skip the rest."""
-    checks.withColumn("run_date", F.to_date("run_at")).write.mode("append").partitionBy("run_date").parquet(path)
+def append_checks(checks: DataFrame, path: str, optional: tuple[str, ...] = ("details",)) -> None:
+    """Append long-format rows, one folder a day. If the write fails, it is tried once more without the optional columns.
+
+    Rows of a write that fails are never seen: Spark moves files in when all tasks are done.
+    """
+    dated = checks.withColumn("run_date", F.to_date("run_at"))
+    write = lambda df: df.write.mode("append").partitionBy("run_date").parquet(path)
+    try:
+        write(dated)
+    except Exception:
+        if not set(optional) & set(checks.columns):
+            raise
+        write(dated.drop(*optional))
 
 
 def read_checks(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -20,6 +30,12 @@ def read_checks(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def scan_checks(spark: SparkSession, path: str, as_of: str, hours: int) -> DataFrame:
+    """Rows of append_checks from `hours` before as_of on; only the folders of those days are listed and read."""
+    start = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")
+    return spark.read.parquet(path).where(F.col("run_date") >= start.cast("date")).where(F.col("run_at") >= start)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """Every cell quoted, quotes doubled, nulls as empty cells."""
     df.write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").csv(path)
