@@ -68,13 +68,18 @@ def signatures(distinct: DataFrame, p: Plan, seed: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
+            if not len(lists):
+                continue
             sizes = np.diff(lists.offsets.to_numpy())
-            for dims in np.unique(sizes):
-                at = pa.array(np.flatnonzero(sizes == dims))
+            # a few thousand signs a vector: some vectors at a time
+            order = np.argsort(sizes, kind="stable")
+            cuts = np.union1d(np.flatnonzero(np.diff(sizes[order])) + 1, np.arange(1024, len(order), 1024))
+            for part in np.split(order, cuts):
+                at, dims = pa.array(part), int(sizes[part[0]])
                 x = lists.take(at).flatten().to_numpy().reshape(len(at), dims)
-                signs = x @ _planes(int(dims), p.bits * p.bands, seed) > 0
+                signs = x @ _planes(dims, p.bits * p.bands, seed) > 0
                 bands = (signs.reshape(len(x), p.bands, p.bits) << np.arange(p.bits)).sum(2)
-                sketch = np.packbits(x @ _planes(int(dims), SKETCH, seed + 1) > 0, axis=1).view(np.int64)
+                sketch = np.packbits(x @ _planes(dims, SKETCH, seed + 1) > 0, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(list(bands), pa.list_(pa.int64())), pa.array(list(sketch), pa.list_(pa.int64()))], ["id", "bands", "sketch"])
 
     return distinct.mapInArrow(run, "id long, bands array<long>, sketch array<long>")

@@ -48,13 +48,15 @@ def latest_run(checks: DataFrame) -> DataFrame:
     """Rows of the run of the newest check; ties to the greater seq."""
     keyed = checks.withColumn("run_key", run_key())
     newest = keyed.agg(F.max_by("run_key", F.struct("run_at", "seq")).alias("run_key"))
+    # one row
     return keyed.join(F.broadcast(newest), "run_key", "left_semi")
 
 
 def latest_run_summary(checks: DataFrame) -> DataFrame:
+    names = [f"n_{s}" for s in KNOWN] + ["n_runs"]
     n_runs = checks.select(run_key().alias("k")).agg(F.countDistinct("k").alias("n_runs"))
     counts = latest_run(checks).agg(*(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in KNOWN))
-    return counts.join(F.broadcast(n_runs), F.lit(True))
+    return counts.unionByName(n_runs, allowMissingColumns=True).agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
 
 
 def rollup_status(checks: DataFrame, by: str) -> DataFrame:
@@ -138,13 +140,13 @@ def alert_digest(checks: DataFrame, rules: list[dict], shown: int = 3) -> DataFr
 def apply_budgets(checks: DataFrame, budgets: DataFrame) -> DataFrame:
     from opsframe.functions.health import budget_status
 
-    j = checks.join(F.broadcast(budgets), "metric", "left")
+    j = checks.join(budgets, "metric", "left")
     return j.select("seq", "metric", F.coalesce(budget_status(F.col("status"), F.col("duration_ms"), F.col("budget_s")), F.col("status")).alias("status"))
 
 
 def threshold_violations(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """page, status, violations: strict comparisons, a missing metric passes. thresholds (metric, op, bound) is broadcast."""
-    j = metrics.join(F.broadcast(thresholds), "metric", "left")
+    """page, status, violations: strict comparisons, a missing metric passes. thresholds: (metric, op, bound)."""
+    j = metrics.join(thresholds, "metric", "left")
     broken = ((F.col("op") == "<") & (F.col("value") < F.col("bound"))) | ((F.col("op") == ">") & (F.col("value") > F.col("bound")))
     text = F.when(broken, F.concat_ws(" ", "metric", "op", F.col("bound").cast("string")))
     return j.groupBy("page").agg(F.when(F.bool_or(F.coalesce(broken, F.lit(False))), "degraded").otherwise("pass").alias("status"), F.sort_array(F.collect_set(text)).alias("violations"))
@@ -187,7 +189,7 @@ def attach_recording(steps: DataFrame) -> DataFrame:
 
     s = steps.withColumn("platform", platform_of_step(F.col("step")))
     first = s.where("video_path is not null").groupBy("platform").agg(F.min_by("video_path", "seq").alias("recording"))
-    return s.join(F.broadcast(first), "platform", "left")
+    return s.join(first, "platform", "left")
 
 
 def to_check_rows(parts: dict[str, DataFrame]) -> DataFrame:

@@ -40,6 +40,22 @@ def _fallback(s, d):
     return D.fallback_candidates(s, rest, mapped, 8)
 
 
+#: The usual threshold, for vectors with copies.
+ALIKE = 0.80
+
+
+def _copies(s, d):
+    """All vectors, and for some a copy of other length and a copy with some signs turned, whose cosines lie about the threshold."""
+    e = scan(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    longer = e.where("vec_id % 11 = 0").select((F.col("vec_id") + 10**9).alias("vec_id"), F.transform("embedding", lambda x: x * 2).alias("embedding"))
+    turned = e.where("vec_id % 7 = 0").select((F.col("vec_id") + 2 * 10**9).alias("vec_id"), F.transform("embedding", lambda x, i: F.when((i + F.col("vec_id")) % 10 == 0, -x).otherwise(x)).alias("embedding"))
+    return e.unionByName(longer).unionByName(turned)
+
+
+_COPIES = """own AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings), copies AS (SELECT * FROM own UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x: x * 2) FROM own WHERE vec_id % 11 = 0
+  UNION ALL SELECT vec_id + 2000000000, list_transform(embedding, lambda x, i: CASE WHEN (i - 1 + vec_id) % 10 = 0 THEN -x ELSE x END) FROM own WHERE vec_id % 7 = 0)"""
+
+
 def _pairs(s, d):
     return D.similar_pairs(scan(s, d, "embeddings"), LEAST)
 
@@ -54,9 +70,7 @@ _HASHED = "h AS (SELECT id, num, brand, (num * 2654435761) % 1048576 AS phash, i
 _WIDE = """h AS (SELECT id, brand, xor(xor(xor(CAST((num % 97)::HUGEINT * 11400714819323198485::HUGEINT % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT), 1::BIGINT << (num % 61)), 1::BIGINT << (num * 7 % 53)), 1::BIGINT << (num * 3 % 37)) AS phash,
   id IN (SELECT product_id FROM mappings_v) AS mapped FROM products_v),
 b AS (SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON upper(trim(u.brand)) = upper(trim(m.brand)) WHERE NOT u.mapped AND m.mapped AND bit_count(xor(u.phash, m.phash)) < 5)"""
-#: Components by bands need a threshold at which vectors are rarely alike.
-ALIKE = 0.5
-_ALIKE = _PAIRS.replace(f">= {LEAST})", f">= {ALIKE})")
+_ALIKE = f"WITH RECURSIVE {_COPIES}, " + _PAIRS.replace(f">= {LEAST})", f">= {ALIKE})").replace("FROM embeddings)", "FROM copies)")
 
 Q = {
     "j7_wide_candidates": (lambda s, d: D.block_candidates(_wide(s, d, False), _wide(s, d, True), 5), f"WITH {_WIDE} SELECT * FROM b"),
@@ -64,11 +78,11 @@ Q = {
         _fallback,
         f"WITH {_WIDE}, p AS (SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON bit_count(xor(u.phash, m.phash)) < 8 WHERE NOT u.mapped AND m.mapped AND u.id NOT IN (SELECT id FROM b)) SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, mapped_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 3",
     ),
-    "j9_lsh_pairs": (lambda s, d: lsh.similar_pairs(s, scan(s, d, "embeddings"), ALIKE).select("src", "dst", F.bround("similarity", 4).alias("similarity")), f"WITH {_ALIKE} SELECT src, dst, round_even(similarity, 4) AS similarity FROM pairs"),
-    "a3_lsh_components": (lambda s, d: D.similarity_components(s, lsh.similarity_links(s, scan(s, d, "embeddings"), ALIKE)), f"WITH RECURSIVE {_ALIKE}, {_COMP} SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM comp"),
+    "j9_lsh_pairs": (lambda s, d: lsh.similar_pairs(s, _copies(s, d), ALIKE).select("src", "dst", F.bround("similarity", 4).alias("similarity")), f"{_ALIKE} SELECT src, dst, round_even(similarity, 4) AS similarity FROM pairs"),
+    "a3_lsh_components": (lambda s, d: D.similarity_components(s, lsh.similarity_links(s, _copies(s, d), ALIKE)), f"{_ALIKE}, {_COMP} SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM comp"),
     "a4_lsh_survivors": (
-        lambda s, d: D.survivors(D.similarity_components(s, lsh.similarity_links(s, scan(s, d, "embeddings"), ALIKE))),
-        f"WITH RECURSIVE {_ALIKE}, {_COMP} SELECT id, component, CASE WHEN row_number() OVER (PARTITION BY component ORDER BY CAST(id AS VARCHAR)) = 1 THEN 'keep' ELSE 'delete' END AS action FROM comp",
+        lambda s, d: D.survivors(D.similarity_components(s, lsh.similarity_links(s, _copies(s, d), ALIKE))),
+        f"{_ALIKE}, {_COMP} SELECT id, component, CASE WHEN row_number() OVER (PARTITION BY component ORDER BY CAST(id AS VARCHAR)) = 1 THEN 'keep' ELSE 'delete' END AS action FROM comp",
     ),
     "a1_exact_duplicates": (lambda s, d: D.exact_duplicates(_p(s, d)), f"WITH {_GROUPS} SELECT k_name, k_price, k_brand, first_id, size FROM g"),
     "a2_duplicate_summary": (lambda s, d: D.duplicate_summary(D.exact_duplicates(_p(s, d))), f"WITH {_GROUPS} SELECT count(*) AS n_groups, CAST(coalesce(sum(size - 1), 0) AS BIGINT) AS surplus FROM g"),
