@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions.text import is_blocked_page, squeeze, strip_html
+from opsframe.operators.graph import checkpointed
 from opsframe.operators.keyed import first_per_key
 
 
@@ -106,39 +107,39 @@ def write_back(sheet: DataFrame, results: DataFrame, key: str, columns: list[str
     return j.withColumns(out).drop(*(f"__{c}" for c in columns))
 
 
+# Keys that products of a page's state have their parts under, the usual one first.
+STATE_KEYS = {"product_id": ("productId", "product_id", "id"), "name": ("name", "title", "productName"), "price": ("price", "sellingPrice", "min_product_price")}
+
+
+def _state_part(v: Column, names: tuple[str, ...]) -> Column:
+    """The first of an object's values that is a number or a text that is not empty, as text."""
+
+    def plain(name: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(v, f"$['{name}']", "variant"))
+        return F.when(kind.rlike("^(STRING|[A-Z]*INT|DECIMAL|DOUBLE|FLOAT)"), F.nullif(F.try_variant_get(v, f"$['{name}']", "string"), F.lit("")))
+
+    return F.coalesce(*map(plain, names))
+
+
 def deep_state_products(pages: DataFrame, html: str = "html", depth: int = 25) -> DataFrame:
-    """url, product_id, name, price of every product object in the embedded state, at any depth.
+    """url, product_id, name, price of every product object in the embedded state, at any depth up to `depth`.
 
-    A product has an id and a name under one of their usual keys. The walk of nested
-    objects has no relational form, so each page's state is walked in an Arrow batch.
+    A product has an id and a name under one of their usual keys. States are parsed once and opened level by level: all
+    objects and lists of a level, of all pages, are exploded at once, until a level has none. A level is stored before it
+    is opened, so a state is walked once; there are as many rounds as the deepest state has levels. Broken states have no products.
     """
-    import json
-
-    import pyarrow as pa
-
-    keys = {"product_id": ("productId", "product_id", "id"), "name": ("name", "title", "productName"), "price": ("price", "sellingPrice", "min_product_price")}
-
-    def walk(x, left):
-        if left and isinstance(x, dict):
-            found = {k: next((str(x[n]) for n in names if isinstance(x.get(n), (str, int, float)) and x.get(n) != ""), None) for k, names in keys.items()}
-            if found["product_id"] and found["name"]:
-                yield found
-            for v in x.values():
-                yield from walk(v, left - 1)
-        elif left and isinstance(x, list):
-            for v in x:
-                yield from walk(v, left - 1)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for url, state in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    tree = json.loads(state or "null")
-                except ValueError:
-                    continue
-                out += [(url, p["product_id"], p["name"], p["price"]) for p in walk(tree, depth)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(4)], ["url", "product_id", "name", "price"])
-
+    spark = pages.sparkSession
     state = F.regexp_extract(html, r"(?s)<script id=\"__STATE__\"[^>]*>(.*?)</script>", 1)
-    return pages.select("url", state.alias("state")).mapInArrow(run, "url string, product_id string, name string, price string")
+    nested = lambda df: df.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+    level = checkpointed(spark, nested(pages.select("url", F.try_parse_json(F.nullif(state, F.lit(""))).alias("v")).where("v is not null")))
+    found = None
+    for _ in range(depth):
+        parts = level.select("url", *(_state_part(F.col("v"), names).alias(part) for part, names in STATE_KEYS.items()))
+        here = parts.where("product_id is not null and name is not null")
+        found = here if found is None else found.unionByName(here)
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("url", F.col("value").alias("v"))
+        level = checkpointed(spark, nested(opened))
+        if level.isEmpty():
+            break
+    return found
+

@@ -16,6 +16,7 @@ from opsframe.operators import keyed as K
 from opsframe.operators import lsh
 from opsframe.operators import matching as M
 from opsframe.operators import monitoring as O
+from opsframe.operators import pages as P
 from opsframe.operators import videos as V
 from opsframe.plans import monitoring_queries, registry
 from opsframe.sources import readers, sinks
@@ -307,3 +308,19 @@ def test_jobs_leave_the_state(spark, tmp_path):
 def test_streams_equal_their_batch(spark):
     rows = monitoring_queries.queries()["x4_stream_latest"](spark, SF)
     assert rows.count() == rows.select("page", "metric").distinct().count()
+
+
+def test_states_are_opened_by_levels(spark):
+    states = ['{"id":"","productId":7,"title":"t","price":5.5,"z":[{"id":{"q":1},"name":"n"},{"product_id":"p","productName":"m","sellingPrice":""}]}', "{broken", "[]", "7", "", deep_of(24), deep_of(25), '[[{"id":3,"name":"l"},{"id":3,"name":"l"}]]']
+    rows = [(f"u{i}", f'<p><script id="__STATE__">{s}</script>') for i, s in enumerate(states)] + [("none", None), ("no state", "<p>")]
+    got = P.deep_state_products(spark.createDataFrame(rows, "url string, html string"))
+    want = {("u0", "7", "t", "5.5"), ("u0", "p", "m", None), ("u5", "1", "d", None), ("u7", "3", "l", None)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 5
+    shown = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in shown and "InArrow" not in shown
+    assert P.deep_state_products(spark.createDataFrame([], "url string, html string")).collect() == []
+
+
+def deep_of(levels):
+    """A product within so many objects."""
+    return '{"y":' * levels + '{"id":1,"name":"d"}' + "}" * levels
