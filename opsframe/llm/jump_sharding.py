@@ -44,10 +44,11 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def assign_shards(spark: SparkSession, rows: DataFrame, shards: int) -> DataFrame:
     """rows (key long, more columns) with shard, grown_shard (one shard more) and slot."""
-    if {"shard", "grown_shard", "slot", "part"} & set(rows.columns):
+    if {"shard", "grown_shard", "slot", "part"} & {c.lower() for c in rows.columns}:
         raise ValueError("shard, grown_shard, slot and part are names of the result")
     names = [*rows.columns, "part", "shard", "grown_shard", "slot"]
-    source = rows.withColumn("__hash", F.xxhash64("key", F.lit("shard"))).withColumn("part", F.spark_partition_id())
+    # the two columns behind those of the caller, whatever their names are
+    source = rows.select("*", F.xxhash64("key", F.lit("shard")), F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(shards, np.int64)
@@ -81,7 +82,3 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 40) -> D
     placed = assign_shards(spark, rows, shards)
     return placed.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
-
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Documents as Parquet, one folder a shard; docs and placed meet on doc_id, which has to be unique."""
-    docs.join(placed.select("doc_id", "shard", "slot"), "doc_id").write.partitionBy("shard").parquet(path)
