@@ -26,15 +26,23 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 #: Notices of the method, (label, phrase as words).
 NOTICES = [
+    ("agpl", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "apache license version 2 0 january 2004"),
+    ("as-is", "the software is provided as is without warranty of any kind"),
+    ("boost", "boost software license version 1 0"),
     ("bsd", "redistribution and use in source and binary forms"),
     ("cc-by-nc", "licensed under cc by nc"),
     ("cc-by-sa", "licensed under cc by sa"),
+    ("cc0", "creative commons zero public domain dedication"),
+    ("epl", "eclipse public license"),
     ("gpl", "licensed under the gnu general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose"),
     ("lgpl", "gnu lesser general public license"),
     ("mit", "permission is hereby granted free of charge to any person"),
     ("mpl", "subject to the terms of the mozilla public license"),
     ("reserved", "all rights reserved"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 EDITS_PER = 10
 
