@@ -34,16 +34,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import materialize
+from opsframe.llm.common import Memory, materialize
 
 CAPACITY = 2048
 GROUP = 4096
 #: Bins that lack more than this share of the capacity are dealt again, so often at most.
 SLACK = 256
 ROUNDS = 8
-#: Entries of the memories of ids, of stretches and of words, that a worker keeps for as long as it lives.
-MEMO = 400_000
-WORD_MEMO = 200_000
+#: Bytes of the memories of ids, of stretches and of words, that a worker keeps for as long as it lives.
+MEMO_BYTES, WORD_MEMO_BYTES = 96 << 20, 48 << 20
 
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, full long"
 _PACKED = f"{_PIECES}, bin long, offset long, fill long"
@@ -60,30 +59,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(rest)) for b in range(256)}
 
 
-class _WordIds(dict):
+class _WordIds(Memory):
     """Word to its ids, by the library's own model."""
 
     def __init__(self, model):
-        super().__init__()
+        super().__init__(WORD_MEMO_BYTES)
         self.model, self.letters = model, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
         ids = struct.pack(f"<{len(found)}I", *(t.id for t in found))
-        if len(self) >= WORD_MEMO:
-            self.clear()
-        self[word] = ids
-        return ids
+        return self.keep(word, ids, len(ids))
 
 
-class WordIds(dict):
+class WordIds(Memory):
     """Stretch between blanks to its ids as little-endian unsigned 32-bit."""
 
     #: Characters of which NFC, lower-casing and white space are the same here and in the library; İ is not among them.
     UNSURE = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞₠-₿А-яぁ-ゖァ-ヺ一-鿿가-힣]")
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(MEMO_BYTES)
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -92,10 +88,7 @@ class WordIds(dict):
 
     def __missing__(self, stretch: str) -> bytes:
         ids = b"".join(map(self.words.__getitem__, self.split(stretch)))
-        if len(self) >= MEMO:
-            self.clear()
-        self[stretch] = ids
-        return ids
+        return self.keep(stretch, ids, len(ids))
 
     def of(self, text: str) -> bytes:
         if "<|" in text or self.UNSURE.search(text):

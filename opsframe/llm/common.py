@@ -43,3 +43,25 @@ def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/opsframe/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Memory(dict):
+    """What a worker remembers of words: bounded by bytes, and keys of more than `longest` characters are not kept."""
+
+    #: Bytes of an entry besides its characters, roughly: two objects and a place in the table.
+    ENTRY = 220
+
+    def __init__(self, most_bytes: int, longest: int = 64):
+        super().__init__()
+        self.most_bytes, self.longest, self.held = most_bytes, longest, 0
+
+    def keep(self, key: str, value, size: int = 0):
+        """The value, remembered; `size` is that of its own bytes. A full memory is emptied first."""
+        if len(key) <= self.longest:
+            if self.held >= self.most_bytes:
+                self.clear()
+                self.held = 0
+            self[key] = value
+            # a character has four bytes at most
+            self.held += self.ENTRY + (len(key) if key.isascii() else 4 * len(key)) + size
+        return value

@@ -347,7 +347,10 @@ def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows, all their columns, of which one stays for each class: that with the least (doc_id, uid)."""
+    """The rows, all their columns, of which one stays for each class: that with the least doc_id, of equal ones any.
+
+    Of rows that repeat an id and a text, but differ in other columns, one stays, too.
+    """
     rows = materialize(spark, join_classes(spark, docs), "classes")
     best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "uid")).alias("best")).select(F.col("best.uid").alias("uid"))
     kept = rows.join(best, "uid").select("doc_id", "text_hash")

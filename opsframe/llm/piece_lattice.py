@@ -43,13 +43,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import materialize
+from opsframe.llm.common import Memory, materialize
 
 SPACE = "▁"
 FREQUENT = 1 << 18
 FREQUENT_BYTES = 1 << 24
-#: Entries of the memories that a task keeps of words.
-MEMO = 150_000
+#: Bytes of the memory that a task keeps of encoded words; distinct words, and characters of texts, that it counts before they are sent on.
+MEMO_BYTES = 40 << 20
+COUNTED, COUNTED_CHARS = 150_000, 1 << 25
 #: Below the least score, as the library has it for characters that are no piece.
 UNKNOWN = 10.0
 #: Later than any merge.
@@ -341,11 +342,14 @@ def distinct_fragments(docs: DataFrame, pieces: Pieces) -> DataFrame:
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], ["word", "n"])
 
+        seen = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words.update(split_words(text, pieces.lines))
-                if len(words) > MEMO:
+                seen += len(text or "")
+                if len(words) > COUNTED or seen > COUNTED_CHARS:
                     yield flush()
+                    seen = 0
         yield flush()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -364,19 +368,17 @@ def frequent(known: DataFrame, most: int = FREQUENT, most_bytes: int = FREQUENT_
     return known.where(F.lit(False) if cut is None else level >= cut).select("word", "ids")
 
 
-class _Encoded(dict):
+class _Encoded(Memory):
     """Word to its ids as bytes, or None if one of its fragments is not known."""
 
     def __init__(self, pieces: Pieces, known: dict[str, bytes]):
-        super().__init__()
+        super().__init__(MEMO_BYTES)
         self.pieces, self.known = pieces, known
 
     def __missing__(self, word: str) -> bytes | None:
         found = [self.known.get(f) for f in self.pieces.fragments(with_space(word, self.pieces.lines))]
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = ids = None if None in found else b"".join(found)
-        return ids
+        ids = None if None in found else b"".join(found)
+        return self.keep(word, ids, len(ids or b""))
 
     def parts(self, word: str) -> tuple[bytes, list[tuple[int, str]]]:
         """The known ids, and the unknown fragments with the place of each in those ids."""

@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.llm.common import Memory
+
 CHUNK_CHARS = 1 << 16
 BLOCK = 32
 #: No string is longer than this.
 MOST_CHARS = 1 << 31
-#: Bounds of the memory for words and for compiled transitions; what goes beyond is compiled again.
-MEMO = 500_000
+#: Bytes of each of the three memories for words, and bounds of compiled transitions; what goes beyond is compiled again.
+MEMO_BYTES = 80 << 20
 MOVES = 200_000
 
 
@@ -155,35 +157,28 @@ class CountingTransducer:
         return total
 
 
-class _Fragments(dict):
+class _Fragments(Memory):
     """Fragment to its number of tokens."""
 
     def __init__(self, machine: CountingTransducer):
-        super().__init__()
+        super().__init__(MEMO_BYTES)
         self.machine = machine
 
     def __missing__(self, fragment: str) -> int:
-        n = self.machine.count(fragment)
-        if len(self) >= MEMO:
-            self.clear()
-        self[fragment] = n
-        return n
+        return self.keep(fragment, self.machine.count(fragment))
 
 
-class _Stretches(dict):
+class _Stretches(Memory):
     """Stretch between blanks, with or without the blank before it, to its number of tokens."""
 
     def __init__(self, fragments: _Fragments, prefix: str):
-        super().__init__()
+        super().__init__(MEMO_BYTES)
         self.known, self.prefix, self.cut = fragments, prefix, fragments.machine.model.fragments
 
     def __missing__(self, stretch: str) -> int:
         text = self.prefix + stretch
         n = sum(map(self.known.__getitem__, self.cut(text))) if text else 0
-        if len(self) >= MEMO:
-            self.clear()
-        self[stretch] = n
-        return n
+        return self.keep(stretch, n)
 
 
 class ChunkCounter:
