@@ -19,11 +19,11 @@ from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.functions.scores import cosine
-from opsframe.operators.graph import checkpointed
+from opsframe.operators.graph import checkpointed, components
 
 BLOCK = 2048
 SKETCH = 256
@@ -56,7 +56,7 @@ def _planes(dims: int, number: int, seed: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(id, v): vectors that have a cosine, equal ones once, with their least id; and members (id, member) of all ids."""
+    """(member, v): ids and vectors, as doubles, of the rows that have a cosine."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     return vectors.where("vec_id is not null and embedding is not null").where(fine).select(F.col("vec_id").cast("long").alias("member"), v.alias("v"))
@@ -85,52 +85,93 @@ def signatures(distinct: DataFrame, p: Plan, seed: int = 1) -> DataFrame:
     return distinct.mapInArrow(run, "id long, bands array<long>, sketch array<long>")
 
 
-def candidates(signed: DataFrame, p: Plan, block: int = BLOCK) -> DataFrame:
-    """Pairs (a < b) that share a bucket and whose sketches are near; a large bucket is met in blocks."""
+def bucket_rows(signed: DataFrame) -> DataFrame:
+    """(id, s0.. of the sketch, band, value) of each row and band, of buckets with more than one row, and n, their number."""
     words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64)]
     rows = signed.select("id", *words, F.posexplode("bands").alias("band", "value"))
-    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    met = rows.join(sizes, ["band", "value"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    left = met.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).withColumnRenamed("part", "i").withColumnRenamed("other", "j")
-    right = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part")))).select(F.col("id").alias("id2"), *(F.col(f"s{i}").alias(f"r{i}") for i in range(len(words))), "band", "value", F.col("other").alias("i"), F.col("part").alias("j"))
-    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(len(words))), F.lit(0))
-    pairs = left.join(right, ["band", "value", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("id") < F.col("id2"))).where(apart <= p.most_differing)
-    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    return rows.join(rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), ["band", "value"])
+
 
+def _near(p: Plan) -> Column:
+    """Whether the sketches s0.. and r0.. differ in few enough bits."""
+    return sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(SKETCH // 64)), F.lit(0)) <= p.most_differing
 
-def similar(spark: SparkSession, vectors: DataFrame, least: float, recall: float = 0.99, seed: int = 1, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Pairs (src < dst, similarity) of distinct vectors of cosine >= least, and members (id, member) of each.
 
-    A pair of cosine c is found with a probability of `recall` at least, less three in a million for
-    the sketch; no pair below is given. Vectors that are null, of zero length or hold null or non-finite
-    components have no pairs, and vectors of unequal length don't meet.
+def candidates(rows: DataFrame, p: Plan, block: int = BLOCK, apart: str | None = None) -> DataFrame:
+    """Pairs (a < b) of bucket_rows that share a bucket and whose sketches are near, and that differ in the column `apart`, if one is given.
+
+    A large bucket is met in blocks.
     """
-    members = usable(vectors)
-    distinct = checkpointed(spark, members.groupBy("v").agg(F.min("member").alias("id")).select("id", "v", F.size("v").alias("dims")))
-    # one id may stand for two different vectors: numbers of the stored rows tell them apart
-    numbered = checkpointed(spark, distinct.withColumn("row", F.monotonically_increasing_id()))
-    p = plan(numbered.count(), least, recall)
-    near = candidates(signatures(numbered.select(F.col("row").alias("id"), "v"), p, seed), p, block)
-    one = numbered.select(F.col("row").alias("a"), F.col("id").alias("x"), F.col("v").alias("v1"), F.col("dims").alias("d1"))
-    two = numbered.select(F.col("row").alias("b"), F.col("id").alias("y"), F.col("v").alias("v2"), F.col("dims").alias("d2"))
-    exact = near.join(one, "a").join(two, "b").where("d1 = d2").withColumn("similarity", cosine(F.col("v1"), F.col("v2"), clamp=False))
-    found = exact.where(F.col("similarity") >= least).select("a", "b", "x", "y", "similarity")
-    return found, numbered.select("row", "id", "v").join(members, "v").select("row", "id", "member")
+    own, sketch = [apart] if apart else [], range(SKETCH // 64)
+    parts = F.ceil(F.col("n") / block).cast("int")
+    met = rows.select("id", *own, *(f"s{i}" for i in sketch), "band", "value", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = met.withColumn("j", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).withColumnRenamed("part", "i")
+    right = met.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("part")))).select(F.col("id").alias("id2"), *(F.col(c).alias("apart2") for c in own), *(F.col(f"s{i}").alias(f"r{i}") for i in sketch), "band", "value", "i", F.col("part").alias("j"))
+    pairs = left.join(right, ["band", "value", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("id") < F.col("id2"))) & _near(p))
+    if apart:
+        pairs = pairs.where(F.col(apart) != F.col("apart2"))
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def led_pairs(rows: DataFrame, p: Plan) -> DataFrame:
+    """Pairs (a < b) of each row with the first of its buckets, of near sketches: no more than rows."""
+    sketch = range(SKETCH // 64)
+    first = rows.groupBy("band", "value").agg(F.min_by(F.struct("id", *(F.col(f"s{i}").alias(f"r{i}") for i in sketch)), "id").alias("f")).select("band", "value", F.col("f.id").alias("a"), *(f"f.r{i}" for i in sketch))
+    return rows.join(first, ["band", "value"]).where((F.col("id") != F.col("a")) & _near(p)).select("a", F.col("id").alias("b")).distinct()
+
+
+class Distinct:
+    """The distinct vectors of a table as stored rows (row, id, v), the rows behind each, their plan, and what shares buckets."""
+
+    def __init__(self, spark: SparkSession, vectors: DataFrame, least: float, recall: float, seed: int):
+        self.spark, self.least = spark, least
+        self.own = usable(vectors)
+        distinct = self.own.groupBy("v").agg(F.min("member").alias("id")).select("id", "v", F.size("v").alias("dims"))
+        # one id may stand for two different vectors: numbers of the stored rows tell them apart
+        self.rows = checkpointed(spark, checkpointed(spark, distinct).withColumn("row", F.monotonically_increasing_id()))
+        self.plan = plan(self.rows.count(), least, recall)
+        self.buckets = checkpointed(spark, bucket_rows(signatures(self.rows.select(F.col("row").alias("id"), "v"), self.plan, seed)))
+
+    def members(self) -> DataFrame:
+        """(row, id, member): each row of the table under the stored row of its vector."""
+        return self.rows.select("row", "id", "v").join(self.own, "v").select("row", "id", "member")
+
+    def exact(self, near: DataFrame) -> DataFrame:
+        """(a, b, x, y, similarity) of the pairs whose cosine is `least` or more: stored rows and their ids."""
+        one = self.rows.select(F.col("row").alias("a"), F.col("id").alias("x"), F.col("v").alias("v1"), F.col("dims").alias("d1"))
+        two = self.rows.select(F.col("row").alias("b"), F.col("id").alias("y"), F.col("v").alias("v2"), F.col("dims").alias("d2"))
+        met = near.join(one, "a").join(two, "b").where("d1 = d2").withColumn("similarity", cosine(F.col("v1"), F.col("v2"), clamp=False))
+        return checkpointed(self.spark, met.where(F.col("similarity") >= self.least).select("a", "b", "x", "y", "similarity"))
 
 
 def similar_pairs(spark: SparkSession, vectors: DataFrame, least: float, recall: float = 0.99, seed: int = 1, block: int = BLOCK) -> DataFrame:
-    """(src < dst, similarity) of all rows, copies of a vector expanded: as many rows as the exact mode has, less the missed."""
-    found, members = similar(spark, vectors, least, recall, seed, block)
-    found = checkpointed(spark, found)
+    """(src < dst, similarity) of all rows of cosine >= least, copies of a vector expanded: as many rows as the exact mode has, less the missed.
+
+    A pair is found with a probability of `recall` at least, less three in a million for the sketch; no pair below is
+    given. Vectors that are null, of zero length or hold null or non-finite components have no pairs, and vectors of
+    unequal length don't meet.
+    """
+    known = Distinct(spark, vectors, least, recall, seed)
+    found = known.exact(candidates(known.buckets, known.plan, block))
+    members = known.members()
     ends = members.select("row", "member")
     across = found.join(ends.withColumnsRenamed({"row": "a", "member": "m"}), "a").join(ends.withColumnsRenamed({"row": "b", "member": "n"}), "b").select("m", "n", "similarity")
-    copies = members.where("member is not null")
-    within = copies.alias("l").join(copies.alias("r"), "row").where("l.member < r.member").select(F.col("l.member").alias("m"), F.col("r.member").alias("n"), F.lit(1.0).alias("similarity"))
+    within = members.alias("l").join(members.alias("r"), "row").where("l.member < r.member").select(F.col("l.member").alias("m"), F.col("r.member").alias("n"), F.lit(1.0).alias("similarity"))
     return across.unionByName(within).where("m <> n").select(F.least("m", "n").alias("src"), F.greatest("m", "n").alias("dst"), "similarity")
 
 
 def similarity_links(spark: SparkSession, vectors: DataFrame, least: float, recall: float = 0.99, seed: int = 1, block: int = BLOCK) -> DataFrame:
-    """(src, dst) with the same components as all pairs: pairs of distinct vectors, and each copy with its first. No group is expanded."""
-    found, members = similar(spark, vectors, least, recall, seed, block)
-    stars = members.where("member <> id").select(F.col("id").alias("src"), F.col("member").alias("dst"))
-    return found.where("x <> y").select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(stars)
+    """(src, dst) with the same components as similar_pairs, but far fewer: no group is expanded into its pairs.
+
+    Each copy is linked with the first of its vector, and each distinct vector with the first of its buckets where they are
+    similar. Only rows of buckets that these links leave in more than one component meet all others there, those of other components.
+    """
+    known = Distinct(spark, vectors, least, recall, seed)
+    led = known.exact(led_pairs(known.buckets, known.plan))
+    joined = components(spark, led.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    labelled = known.buckets.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = labelled.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "value")
+    rest = known.exact(candidates(labelled.join(mixed, ["band", "value"]), known.plan, block, apart="component"))
+    stars = known.members().where("member <> id").select(F.col("id").alias("src"), F.col("member").alias("dst"))
+    links = led.unionByName(rest).where("x <> y").select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    return links.unionByName(stars)
