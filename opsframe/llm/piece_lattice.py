@@ -173,13 +173,18 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-# An edge as one long, which sorts by its end: end (29 bits), length (6), length after its last merge (6), number of its piece (22).
+# An edge as one long, which sorts by its end, longest first, as long edges fit most often: end (29 bits), 63 - length (6), length after its last merge (6), number of its piece (22).
 def _end(e: Column) -> Column:
     return F.shiftright(e, 34).cast("int")
 
 
 def _length(e: Column) -> Column:
-    return F.shiftright(e, 28).bitwiseAND(F.lit(63)).cast("int")
+    return F.lit(63) - _before(e)
+
+
+def _before(merge: Column) -> Column:
+    """The length before the seam, of a merge."""
+    return F.shiftright(merge, 28).bitwiseAND(F.lit(63)).cast("int")
 
 
 def _tail(e: Column) -> Column:
@@ -204,7 +209,7 @@ def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     spans = spans.select("key", "n", "end", "len", F.substr("chunk", F.col("before") + F.col("e") - F.col("len") + 1, F.col("len")).alias("piece"))
     found = spans.join(F.broadcast(table.select("piece", "k", "tail")), "piece", "left").where("k is not null or len = 1")
     number = F.coalesce(F.col("k"), F.ascii("piece") + NO_PIECE)
-    edge = F.shiftleft(F.col("end").cast("long"), 34) + F.shiftleft(F.col("len").cast("long"), 28) + F.shiftleft(F.coalesce("tail", F.lit(0)).cast("long"), 22) + number
+    edge = F.shiftleft(F.col("end").cast("long"), 34) + F.shiftleft((F.lit(63) - F.col("len")).cast("long"), 28) + F.shiftleft(F.coalesce("tail", F.lit(0)).cast("long"), 22) + number
     return found.groupBy("key").agg(F.max("n").alias("n_chars"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
@@ -223,7 +228,7 @@ def _bpe_choice(facts: Column):
     def crossed(merge: Column, suffixes: Column, prefixes: Column) -> Column:
         """Whether the merge comes before left and right are whole. Without such a suffix and prefix it can't."""
         rank = _number(merge)
-        a, b = F.get(suffixes, _length(merge) - 1), F.get(prefixes, _tail(merge) - 1)
+        a, b = F.get(suffixes, _before(merge) - 1), F.get(prefixes, _tail(merge) - 1)
         return F.coalesce(vanishes(a, rank) & vanishes(b, rank - 1) & together(a, b), F.lit(False))
 
     def choose(seen: Column, index, e: Column, merges: Column, found: Column) -> Column:
