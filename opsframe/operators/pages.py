@@ -82,11 +82,17 @@ def page_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     return pages.select("page_id", "url", title.alias("title"), F.size(F.regexp_extract_all("html", F.lit(r"<a href=\"([^\"]*)\""), 1)).cast("long").alias("n_links"), status.alias("status"))
 
 
-def wide_export(records: DataFrame, images: str = "images", specs: str = "specifications") -> DataFrame:
-    """Image 1..N columns, N the most images of a record (one at least), and specs as `k: v` lines."""
-    most = records.agg(F.max(F.size(images))).first()[0] or 1
+def wide_export(records: DataFrame, images: str = "images", specs: str = "specifications", most: int = 50) -> DataFrame:
+    """Image 1..N columns, N the most images of a record (one at least, `most` at most), and specs as `k: v` lines.
+
+    A record with more than `most` images has the others as lines of the last column, so that one broken page makes no
+    column of each of its images and none is lost.
+    """
+    n = min(max(1, records.agg(F.max(F.size(images))).first()[0] or 1), most)
     text = F.array_join(F.transform(F.array_sort(F.map_entries(specs)), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n")
-    return records.select("*", *(F.get(images, F.lit(i)).alias(f"Image {i + 1}") for i in range(max(1, most))), text.alias("specs_text")).drop(images, specs)
+    one = [F.get(images, F.lit(i)).alias(f"Image {i + 1}") for i in range(n - 1)]
+    rest = F.nullif(F.array_join(F.slice(images, n, F.greatest(F.size(images), F.lit(1))), "\n"), F.lit("")).alias(f"Image {n}")
+    return records.select("*", *one, rest, text.alias("specs_text")).drop(images, specs)
 
 
 def detect_url_column(sheet: DataFrame, marks: list[str]) -> DataFrame:

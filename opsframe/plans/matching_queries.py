@@ -154,8 +154,8 @@ Q = {
         "WITH c AS (SELECT product_key, cand_key, source, source = 'revimg' AS rev FROM candidates_v WHERE source IN ('revimg', 'search') OR cand_key % 2 = 0) SELECT product_key, cand_key, source, CAST(row_number() OVER (PARTITION BY product_key ORDER BY rev DESC, cand_key) AS INTEGER) AS rank FROM c",
     ),
     "u3_token_sets": (
-        lambda s, d: _c(s, d).withColumns({"a": T.match_tokens(F.col("title")), "b": T.match_tokens(F.col("cand_title"))}).select("product_key", "cand_key", F.size(F.array_intersect("a", "b")).cast("long").alias("both_n"), F.size(F.array_union("a", "b")).cast("long").alias("either_n")),
-        f"WITH {_SCORED} SELECT product_key, cand_key, overlap AS both_n, len(list_distinct(list_concat(t, n))) AS either_n FROM bg",
+        lambda s, d: _c(s, d).select("product_key", "cand_key", S.let(T.token_sets(T.match_tokens(F.col("title")), T.match_tokens(F.col("cand_title"))), lambda x: F.struct(F.size(x["both"]).cast("long").alias("both_n"), F.size(x["either"]).cast("long").alias("either_n"), F.size(x["only"]).cast("long").alias("only_n"))).alias("n")).select("product_key", "cand_key", "n.*"),
+        f"WITH {_SCORED} SELECT product_key, cand_key, overlap AS both_n, len(list_distinct(list_concat(t, n))) AS either_n, len(list_filter(list_distinct(t), lambda w: NOT list_contains(n, w))) AS only_n FROM bg",
     ),
     "u7_pivot_mapping": (
         lambda s, d: M.pivot_mapping(M.best_candidate(M.score_candidates(_c(s, d), 3))),

@@ -18,6 +18,7 @@ from opsframe.operators import matching as M
 from opsframe.operators import monitoring as O
 from opsframe.operators import pages as P
 from opsframe.operators import videos as V
+from opsframe.operators.graph import components
 from opsframe.plans import monitoring_queries, registry
 from opsframe.sources import readers, sinks
 from opsframe.sources.stored import StoredTable
@@ -327,3 +328,24 @@ def test_states_are_opened_by_levels(spark):
 def deep_of(levels):
     """A product within so many objects."""
     return '{"y":' * levels + '{"id":1,"name":"d"}' + "}" * levels
+
+
+@pytest.mark.parametrize("spread_from", [0, 10**9])
+def test_components_of_hubs_and_chains(spark, spread_from):
+    rng = random.Random(1)
+    edges = [(0, i) for i in range(1, 800)] + [(1000 + i, 1001 + i) for i in range(300)] + [(5000 + rng.randrange(90), 5000 + rng.randrange(90)) for _ in range(50)] + [(7000, 7000), (0, 1), (0, 1)]
+    got = {r.id: r.component for r in components(spark, spark.createDataFrame(edges, "src long, dst long"), spread_from).collect()}
+    want = {x: min(g) for g in groups(edges) for x in g}
+    assert got == want
+    assert components(spark, spark.createDataFrame([], "src long, dst long"), spread_from).collect() == []
+
+
+def test_wide_export_is_bounded(spark):
+    rows = [(1, [f"u{i}" for i in range(9)], {"a": "b"}), (2, ["x"], None), (3, [], {}), (4, None, {})]
+    df = spark.createDataFrame(rows, "id int, images array<string>, specifications map<string,string>")
+    got = {r.id: r.asDict() for r in P.wide_export(df, most=3).collect()}
+    assert [c for c in got[1] if c.startswith("Image")] == ["Image 1", "Image 2", "Image 3"]
+    assert (got[1]["Image 2"], got[1]["Image 3"]) == ("u1", "\n".join(f"u{i}" for i in range(2, 9)))
+    assert (got[2]["Image 1"], got[2]["Image 3"], got[3]["Image 1"], got[4]["Image 3"]) == ("x", None, None, None)
+    wide = P.wide_export(df)
+    assert "Image 9" in wide.columns and "Image 10" not in wide.columns and {r["Image 9"] for r in wide.collect()} == {"u8", None}
