@@ -105,6 +105,8 @@ def _contains_any(c: str, marks: list[str]) -> str:
 
 _BLOCKS = r"regexp_extract_all(html, '(?is)<(?:p|li|div)[^>]*>([^<]+)</(?:p|li|div)>', 1)"
 
+_LONG = f"WITH b AS (SELECT page_id, {_BLOCKS} AS bs FROM pages), e AS (SELECT page_id, unnest(range(len(bs))) AS pos, {_squeezed('unnest(bs)')} AS t FROM b), f AS (SELECT page_id, arg_min(t, pos) AS t FROM e WHERE length(t) > 100 AND length(t) < 5000 AND NOT regexp_matches(t, '^[₹0-9]') GROUP BY page_id, substr(t, 1, 50)) SELECT page_id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM f WHERE NOT regexp_matches(lower(t), '{'|'.join(P.BOILERPLATE).replace(chr(39), chr(39) * 2)}') GROUP BY 1"
+
 Q = {
     "n5_extract_products": (
         lambda s, d: E.extract_products(_shaped(s, d)).select("url", "status", "title", "description", "price", "weight", "dimensions", "gst", "hsn", F.size("images").cast("long").alias("n_images")),
@@ -154,10 +156,8 @@ Q = {
         lambda s, d: C.check_requests(_requests(s, d), ["flipkart", "amazon", "meesho"]).select("l_orderkey", F.array_join("violations", ",").alias("violations")),
         "SELECT l_orderkey, concat_ws(',', CASE WHEN count(*) > 5 THEN 'products' END, CASE WHEN count(*) FILTER (l_partkey % 97 = 0) > 0 THEN 'fields' END, CASE WHEN l_orderkey % 4 = 3 THEN 'platform' END) AS violations FROM lineitem GROUP BY 1",
     ),
-    "f16_long_text_starts": (
-        lambda s, d: P.long_texts(scan(s, d, "pages")).groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")),
-        f"WITH b AS (SELECT page_id, {_BLOCKS} AS bs FROM pages), e AS (SELECT page_id, unnest(range(len(bs))) AS pos, {_squeezed('unnest(bs)')} AS t FROM b), f AS (SELECT page_id, arg_min(t, pos) AS t FROM e WHERE length(t) > 100 AND length(t) < 5000 AND NOT regexp_matches(t, '^[₹0-9]') GROUP BY page_id, substr(t, 1, 50)) SELECT page_id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM f WHERE NOT regexp_matches(lower(t), '{'|'.join(P.BOILERPLATE).replace(chr(39), chr(39) * 2)}') GROUP BY 1",
-    ),
+    "f16_long_texts": (lambda s, d: P.long_texts(scan(s, d, "pages")).groupBy("page_id").agg(F.count("*").alias("n")), f"SELECT page_id, n FROM ({_LONG})"),
+    "f16_long_text_starts": (lambda s, d: P.long_texts(scan(s, d, "pages")).groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")), _LONG),
     "f17_search_titles": (
         lambda s, d: P.search_records(view(s, d, "products_v").select("id", F.when(F.col("num") % 3 != 0, F.upper("name")).alias("title"), "url"), "Small ring").select("id"),
         "SELECT id FROM products_v WHERE contains(lower(url), 'small ring') OR (num % 3 <> 0 AND contains(lower(name), 'small ring'))",

@@ -68,7 +68,6 @@ Q = {
         lambda s, d: evaluate_checks(_pages(s, d).select("page_id", F.when(F.col("page_id") % 2 == 0, "count").otherwise("text").alias("check_type"), F.lit(True).alias("visible"), F.size(F.split("html", "<li>")).alias("match_count"), F.lit(10).alias("min"), F.col("html").alias("text"), F.lit("").alias("attr"), F.lit("the").alias("expected"))).select("page_id", "status"),
         "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE WHEN len(string_split(html, '<li>')) >= 10 THEN 'pass' ELSE 'fail' END WHEN contains(html, 'the') THEN 'pass' ELSE 'fail' END AS status FROM pages",
     ),
-    "f16_long_texts": (lambda s, d: P.long_texts(_pages(s, d)).groupBy("page_id").agg(F.count("*").alias("n")), ""),
     "f17_search_records": (lambda s, d: _pages(s, d).where(F.contains(F.lower("url"), F.lit("page=2"))).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE contains(lower(url), 'page=2')"),
     "n2_spec_pairs": (
         lambda s, d: P.spec_pairs(_product_pages(s, d)).select("url", T.spec_value(F.col("specs"), ("dimension",)).alias("dimensions"), F.size("specs").cast("long").alias("n")),
