@@ -185,7 +185,10 @@ def _blocks(docs: DataFrame) -> DataFrame:
 def _stored(spark: SparkSession, blocks: DataFrame, buckets: int) -> DataFrame:
     name = f"blocks_{uuid.uuid4().hex}"
     blocks.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/opsframe/{name}").saveAsTable(name)
-    return spark.table(name)
+    stored = spark.table(name)
+    # only the name goes out of the catalog: the frame has the files and their buckets
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
 def _batch(rows: list[tuple], names: str, kinds: tuple) -> pa.RecordBatch:

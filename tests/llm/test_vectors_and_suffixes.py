@@ -122,6 +122,7 @@ def test_blocks_do_not_move(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     text_side = plan[plan.index("blocks_") - 400 : plan.index("blocks_")]
     assert "Bucketed: true" in plan and "Exchange" not in text_side
+    assert df.count() == 1 and not [t.name for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
 
 
 def whiten_by_hand(x, k):
