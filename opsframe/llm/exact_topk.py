@@ -20,6 +20,7 @@ columns are ignored. Scores have to fit 53 bits, as they are summed in doubles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 CHUNK = 1024
 QUERY_CHUNK = 512
 BLOCK = 16
-CELLS_Q = 4
 
 _PACKED = "group long, n int, dims int, ids binary, columns binary"
 _HITS = "query_id long, vec_id long, score long"
@@ -107,15 +107,22 @@ def search_cell(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
     return out
 
 
+def grid(cells: int, queries: int, vectors: int) -> tuple[int, int]:
+    """Rows and columns of cells that copy the fewest vectors."""
+    cells_q = min(cells, max(1, round(math.sqrt(cells * queries / max(1, vectors)))))
+    return cells_q, -(-cells // cells_q)
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """queries, vectors: (vec_id, embedding). Returns query_id, rank, vec_id, score."""
     clean = lambda df: df.where(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    # as many cells as shuffle partitions: four rows of queries, so that the larger side is copied four times only
-    cells_c = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // CELLS_Q + 1)
+    # as many cells as shuffle partitions at least; each side is copied once a row or column of cells, which is least where these are as the sides' sizes
+    cells = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells_q, cells_c = grid(cells, queries.count(), vectors.count())
     number = lambda n: F.pmod(F.xxhash64("group", "ids"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    right = pack(clean(vectors), CHUNK).withColumn("cell_c", number(cells_c)).withColumn("cell_q", every(CELLS_Q))
-    left = pack(clean(queries), QUERY_CHUNK).withColumn("cell_q", number(CELLS_Q)).withColumn("cell_c", every(cells_c))
+    right = pack(clean(vectors), CHUNK).withColumn("cell_c", number(cells_c)).withColumn("cell_q", every(cells_q))
+    left = pack(clean(queries), QUERY_CHUNK).withColumn("cell_q", number(cells_q)).withColumn("cell_c", every(cells_c))
     right = right.select("cell_q", "cell_c", F.col("n").alias("c_n"), F.col("dims").alias("c_dims"), F.col("ids").alias("c_ids"), F.col("columns").alias("c_columns"))
     cells = left.select("cell_q", "cell_c", "n", "dims", "ids", "columns").join(right, ["cell_q", "cell_c"]).drop("cell_q", "cell_c")
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsframe.llm import best_fit_packing as B
+from opsframe.llm import exact_topk as K
 from opsframe.llm import jump_sharding as J
 from opsframe.llm import license_scan as L
 from opsframe.llm import piece_lattice as P
@@ -133,3 +134,10 @@ def test_sums_of_large_products(spark):
     negative = spark.range(3).select(*(F.lit(-7 - i).cast("long").alias(f"x{i}") for i in range(len(R.FEATURES))))
     row = negative.agg(*R._sums()).head()
     assert row["s0_1"] * R.LOW + row["l0_1"] == 3 * 56
+
+
+def test_cells_copy_little():
+    for cells in (8, 12, 200, 10_000):
+        for queries, vectors in ((2, 100), (1, 1), (0, 0), (100, 1), (2_000_000, 100_000_000)):
+            rows, columns = K.grid(cells, queries, vectors)
+            assert rows * columns >= cells and queries * columns + vectors * rows <= 2.1 * max(vectors, min(queries * c + vectors * -(-cells // c) for c in range(1, cells + 1)))
