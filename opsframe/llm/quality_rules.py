@@ -191,24 +191,21 @@ def _moments(scale: float):
             cov = np.zeros((len(b), p, p))
             for i in range(p):
                 for j in range(i, p):
-                    cov[:, i, j] = cov[:, j, i] = (b[f"s{i}_{j}"].to_numpy(float) * LOW + b[f"l{i}_{j}"].to_numpy(float)) / k[:, 0] - mean[:, i] * mean[:, j]
-            yield _estimates(b, mean / SCALE, cov * scale / SCALE**2 + np.diag(np.square(FLOOR)), cov / SCALE**2)
+                    cov[:, i, j] = cov[:, j, i] = b[f"s{i}_{j}"].to_numpy(float) / k[:, 0] - mean[:, i] * mean[:, j]
+            yield _estimates(b, (mean + OFFSETS) / SCALE, cov * scale / SCALE**2 + np.diag(np.square(FLOOR)), cov / SCALE**2)
 
     return run
 
 
-#: Products are summed in two parts, so that neither leaves a long before 2^43 rows.
-LOW = 1 << 20
+#: Sums are those of the statistics less about their usual values, so that sums of products stay longs for some 10^12 rows.
+OFFSETS = (7 * SCALE, 0, 0, 0, 0, 0, 0)
 
 
 def _sums() -> list[Column]:
-    """Exact sums of the statistics, and of their products in a low and a high part."""
     p = len(FEATURES)
-    each = [F.sum(f"x{i}").alias(f"s{i}") for i in range(p)]
-    product = lambda i, j: F.col(f"x{i}") * F.col(f"x{j}")
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    low = [F.sum(product(i, j).bitwiseAND(F.lit(LOW - 1))).alias(f"l{i}_{j}") for i, j in pairs]
-    return each + low + [F.sum(F.shiftright(product(i, j), 20)).alias(f"s{i}_{j}") for i, j in pairs]
+    x = [F.col(f"x{i}") - F.lit(OFFSETS[i]) for i in range(p)]
+    each = [F.sum(x[i]).alias(f"s{i}") for i in range(p)]
+    return each + [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
 
 
 def quartiles(leveled: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,16 +125,16 @@ def test_shards_with_names_of_the_caller(spark):
         J.assign_shards(spark, rows.withColumn("Slot", F.lit(1)), 7)
 
 
-def test_sums_of_large_products(spark):
-    """Products whose plain sum would leave a long."""
-    top = 3_000_000_000
-    df = spark.range(4).select(*(F.lit(top + i).cast("long").alias(f"x{i}") for i in range(len(R.FEATURES))))
-    row = df.agg(*R._sums()).head()
-    for i, j in ((0, 0), (0, 6), (3, 5)):
-        assert row[f"s{i}_{j}"] * R.LOW + row[f"l{i}_{j}"] == 4 * (top + i) * (top + j)
-    negative = spark.range(3).select(*(F.lit(-7 - i).cast("long").alias(f"x{i}") for i in range(len(R.FEATURES))))
-    row = negative.agg(*R._sums()).head()
-    assert row["s0_1"] * R.LOW + row["l0_1"] == 3 * 56
+def test_sums_are_those_of_offsets(spark):
+    """Means and scatters come back from sums of small numbers."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 9000, (50, len(R.FEATURES)))
+    df = spark.createDataFrame([(0, "a", "b", 0, *map(int, r)) for r in x], "level int, lang string, source string, start int, " + ", ".join(f"x{i} long" for i in range(x.shape[1])))
+    summed = df.groupBy("level", "lang", "source", "start").agg(F.count("*").alias("n"), F.count("*").alias("k"), *R._sums())
+    row = summed.mapInPandas(R._moments(1.0), R._PARAMS).head()
+    assert np.abs(np.array(row.centre) - x.mean(0) / R.SCALE).max() < 1e-12
+    scatter = np.linalg.inv(np.array(row.precision).reshape(len(row.centre), -1)) - np.diag(np.square(R.FLOOR))
+    assert np.abs(scatter - np.cov(x.T, bias=True) / R.SCALE**2).max() < 1e-6 * np.abs(scatter).max()
 
 
 def test_cells_copy_little():
