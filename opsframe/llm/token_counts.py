@@ -39,7 +39,7 @@ BLOCK = 32
 #: No string is longer than this.
 MOST_CHARS = 1 << 31
 #: Bytes of each of the three memories for words, and bounds of compiled transitions; what goes beyond is compiled again.
-MEMO_BYTES = 80 << 20
+MEMO_BYTES = 112 << 20
 MOVES = 200_000
 
 
