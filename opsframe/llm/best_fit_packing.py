@@ -42,7 +42,7 @@ GROUP = 4096
 SLACK = 256
 ROUNDS = 8
 #: Bytes of the memories of ids, of stretches and of words, that a worker keeps for as long as it lives.
-MEMO_BYTES, WORD_MEMO_BYTES = 96 << 20, 48 << 20
+MEMO_BYTES, WORD_MEMO_BYTES = 56 << 20, 28 << 20
 
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, full long"
 _PACKED = f"{_PIECES}, bin long, offset long, fill long"
