@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import Memory
-
 CHUNK_CHARS = 1 << 16
 BLOCK = 32
 #: No string is longer than this.
 MOST_CHARS = 1 << 31
-#: Bytes of each of the three memories for words, and bounds of compiled transitions; what goes beyond is compiled again.
-MEMO_BYTES = 112 << 20
+#: Entries of each of the three memories for words, and bounds of compiled transitions; what goes beyond is compiled again.
+#: An entry has 64 characters at most, so it has at most 440 bytes, and some 190 for usual words.
+MEMO, LONGEST = 450_000, 64
+MEMO_BYTES = MEMO * 440
 MOVES = 200_000
 
 
@@ -157,28 +157,37 @@ class CountingTransducer:
         return total
 
 
-class _Fragments(Memory):
+class _Fragments(dict):
     """Fragment to its number of tokens."""
 
     def __init__(self, machine: CountingTransducer):
-        super().__init__(MEMO_BYTES)
+        super().__init__()
         self.machine = machine
 
     def __missing__(self, fragment: str) -> int:
-        return self.keep(fragment, self.machine.count(fragment))
+        n = self.machine.count(fragment)
+        if len(fragment) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[fragment] = n
+        return n
 
 
-class _Stretches(Memory):
+class _Stretches(dict):
     """Stretch between blanks, with or without the blank before it, to its number of tokens."""
 
     def __init__(self, fragments: _Fragments, prefix: str):
-        super().__init__(MEMO_BYTES)
+        super().__init__()
         self.known, self.prefix, self.cut = fragments, prefix, fragments.machine.model.fragments
 
     def __missing__(self, stretch: str) -> int:
         text = self.prefix + stretch
         n = sum(map(self.known.__getitem__, self.cut(text))) if text else 0
-        return self.keep(stretch, n)
+        if len(stretch) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[stretch] = n
+        return n
 
 
 class ChunkCounter:

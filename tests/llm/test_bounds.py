@@ -22,7 +22,7 @@ from opsframe.llm.common import Memory, table
 SF = "/root/testdata/sf0.01"
 
 
-def size_of(memory: Memory) -> int:
+def size_of(memory: dict) -> int:
     return sys.getsizeof(memory) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in memory.items())
 
 
@@ -52,7 +52,6 @@ def test_memories_of_texts_without_blanks(length):
             words[line], counter.bare[line]
         else:
             words.keep(line, b"")
-            counter.bare.keep(line, 0)
     assert kept() < B.MEMO_BYTES + B.WORD_MEMO_BYTES + (64 << 20)
     memories = (counter.bare, counter.spaced, counter.bare.known)
     assert all(size_of(m) < N.MEMO_BYTES + (32 << 20) for m in memories)
@@ -64,8 +63,8 @@ def test_small_memories_change_no_result(monkeypatch):
     texts = ["the and of thing " * 50 + f"x{i} " * 20 + "y" * 200 for i in range(40)]
     path, model = Q.tokenizer_path("word_bpe_49k.json"), Q.tokenizer_path("piece_bpe_32k.model")
     want = [B.WordIds(path).of(t) for t in texts], [N.ChunkCounter(N.PieceModel(model)).inner(" " + t) for t in texts]
-    for module, name in ((B, "MEMO_BYTES"), (B, "WORD_MEMO_BYTES"), (N, "MEMO_BYTES")):
-        monkeypatch.setattr(module, name, 2000)
+    for module, name in ((B, "MEMO_BYTES"), (B, "WORD_MEMO_BYTES"), (N, "MEMO")):
+        monkeypatch.setattr(module, name, 20 if name == "MEMO" else 2000)
     words, counter = B.WordIds(path), N.ChunkCounter(N.PieceModel(model))
     assert ([words.of(t) for t in texts], [counter.inner(" " + t) for t in texts]) == want
 
