@@ -100,7 +100,7 @@ Q = {
         f"WITH {_HASHED}, p AS (SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON bit_count(xor(u.phash, m.phash)) < 4 WHERE NOT u.mapped AND m.mapped) SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, mapped_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 3",
     ),
     "w2_nearest_mapped": (
-        lambda s, d: D.nearest_mapped(D.block_candidates(_hashed(s, d, False), _hashed(s, d, True), 6, 20)),
+        lambda s, d: D.nearest_in_brand(s, _hashed(s, d, False), _hashed(s, d, True), 6, 20),
         f"WITH {_HASHED}, p AS (SELECT u.id, m.id AS mapped_id, CAST(bit_count(xor(u.phash, m.phash)) AS INTEGER) AS distance FROM h u JOIN h m ON upper(trim(u.brand)) = upper(trim(m.brand)) WHERE NOT u.mapped AND m.mapped AND bit_count(xor(u.phash, m.phash)) < 6) SELECT id, mapped_id, distance FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, mapped_id) = 1",
     ),
     "j9_similar_pairs": (lambda s, d: _pairs(s, d).select("src", "dst", F.bround("similarity", 4).alias("similarity")), f"WITH {_PAIRS} SELECT src, dst, round_even(similarity, 4) AS similarity FROM pairs"),
