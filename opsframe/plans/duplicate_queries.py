@@ -36,8 +36,7 @@ def _wide(s, d, mapped: bool):
 def _fallback(s, d):
     """Unmapped products without a hit in their brand, against all mapped ones."""
     unmapped, mapped = _wide(s, d, False), _wide(s, d, True)
-    rest = unmapped.join(D.block_candidates(unmapped, mapped, 5).select("id"), "id", "left_anti")
-    return D.fallback_candidates(s, rest, mapped, 8)
+    return D.fallback_candidates(s, D.without_candidates(s, unmapped, mapped, 5), mapped, 8)
 
 
 #: The usual threshold, for vectors with copies.
