@@ -49,28 +49,33 @@ def image_list(html: Column, most: int = 10) -> Column:
 
 def _state(state: Column) -> Column:
     """title, description, price, product_id, images, specs of a page's state in the plain or the nested form; null title if it holds no product."""
-    at = lambda path: F.nullif(F.nullif(F.get_json_object(state, path), F.lit("")), F.lit("{}"))
+    # let: a nullif writes its argument out twice
+    at = lambda path: let(F.get_json_object(state, path), lambda x: F.when((x != "") & (x != "{}"), x))
     props = "$.props.pageProps"
     plain = F.coalesce(at(f"{props}.productData"), at(f"{props}.product"), at(f"{props}.data"))
     nested = at(f"{props}.initialState.product.details.data")
 
     def form(body: Column, rupees: bool) -> Column:
-        one = lambda path: F.nullif(F.get_json_object(body, path), F.lit(""))
-        images = F.from_json(one("$.images"), "array<string>")
+        one = lambda path: let(F.get_json_object(body, path), lambda x: F.when(x != "", x))
+        none = F.array().cast("array<string>")
         attributes = [F.coalesce(F.from_json(one(f"$.product_details.{part}.attributes"), "array<struct<field_name:string,value:string>>"), F.array().cast("array<struct<field_name:string,value:string>>")) for part in ("product_highlights", "additional_details")]
         pairs = F.transform(F.filter(F.concat(*attributes), lambda a: (a["field_name"] != "") & (a["value"] != "")), lambda a: F.struct(a["field_name"].alias("k"), a["value"].alias("v")))
-        price = F.nullif(one("$.price"), F.lit("0"))
         title = one("$.name") if rupees else F.coalesce(one("$.title"), one("$.name"))
-        # a nested product with neither price nor image is one that's gone
-        there = (price.isNotNull() | (F.size(F.coalesce(images, F.array().cast("array<string>"))) > 0)) if rupees else F.lit(True)
-        return F.struct(
-            F.when(there, clean_ws(F.substring(title, 1, 500))).alias("title"),
-            F.substring(strip_html(one("$.description")), 1, 5000 if rupees else 2000).alias("description"),
-            (F.concat(F.lit("₹"), price) if rupees else price).alias("price"),
-            one("$.product_id").alias("product_id"),
-            F.slice(images, 1, 10).alias("images"),
-            _last_of_each(pairs).alias("specs"),
-        )
+
+        def record(x: Column) -> Column:
+            price, images = F.when(x["price"] != "0", x["price"]), x["images"]
+            # a nested product with neither price nor image is one that's gone
+            there = (price.isNotNull() | (F.size(F.coalesce(images, none)) > 0)) if rupees else F.lit(True)
+            return F.struct(
+                F.when(there, clean_ws(F.substring(title, 1, 500))).alias("title"),
+                F.substring(strip_html(one("$.description")), 1, 5000 if rupees else 2000).alias("description"),
+                (F.concat(F.lit("₹"), price) if rupees else price).alias("price"),
+                one("$.product_id").alias("product_id"),
+                F.slice(images, 1, 10).alias("images"),
+                _last_of_each(pairs).alias("specs"),
+            )
+
+        return let(F.struct(one("$.price").alias("price"), F.from_json(one("$.images"), "array<string>").alias("images")), record)
 
     bodies = F.struct(plain.alias("plain"), nested.alias("nested"))
     return let(bodies, lambda b: F.when(b["plain"].isNotNull(), form(b["plain"], False)).when(b["nested"].isNotNull(), form(b["nested"], True)))
@@ -81,8 +86,10 @@ def state_products(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Pages without a state, with broken JSON or without a product's name have no row.
     """
-    found = pages.select("url", F.regexp_extract(html, STATE, 1).alias("state")).select("url", _state(F.col("state")).alias("s"))
-    return found.where(_filled(F.col("s.title")).isNotNull()).select("url", "s.product_id", "s.title", "s.description", "s.price", "s.images", "s.specs")
+    # exploded, not filtered: a filter would be pushed down and work the state out once more for each use of it
+    state = let(F.regexp_extract(html, STATE, 1), _state)
+    named = F.filter(F.array(state), lambda s: _filled(s["title"]).isNotNull())
+    return pages.select("url", F.explode(named).alias("s")).select("url", "s.product_id", "s.title", "s.description", "s.price", "s.images", "s.specs")
 
 
 def stream_details(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -123,7 +130,7 @@ def extract_products(pages: DataFrame, html: str = "html") -> DataFrame:
     """
     page = F.col("html")
     read = pages.select("url", F.coalesce(F.col(html), F.lit("")).alias("html"))
-    read = read.select("url", "html", _state(F.regexp_extract(page, STATE, 1)).alias("s"), _json_ld(page).alias("ld"), grid_specs(page).alias("grid"), _long_text(page).alias("long"))
+    read = read.select("url", "html", let(F.regexp_extract(page, STATE, 1), _state).alias("s"), _json_ld(page).alias("ld"), grid_specs(page).alias("grid"), _long_text(page).alias("long"))
     by_state, by_ld = _filled(F.col("s.title")).isNotNull(), F.col("ld.name").isNotNull()
     pick = lambda state, ld, other: F.when(by_state, state).when(by_ld, ld).otherwise(other)
     shown = F.regexp_extract(page, r"₹\s*([\d,]+(?:\.\d{2})?)", 1)
