@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.functions.scores import let
 from opsframe.functions.text import is_blocked_page, squeeze, strip_html
 from opsframe.operators.graph import checkpointed
 from opsframe.operators.keyed import first_per_key
@@ -35,10 +36,12 @@ def spec_pairs(pages: DataFrame, html: str = "html") -> DataFrame:
     pair = r"(?is)<(?:th|dt)[^>]*>(.*?)</(?:th|dt)>\s*<(?:td|dd)[^>]*>(.*?)</(?:td|dd)>"
     bullet = r"(?is)<li[^>]*>\s*<(?:b|strong)>(.*?):?</(?:b|strong)>\s*:?(.*?)</li>"
     rows = lambda p: F.zip_with(F.regexp_extract_all(html, F.lit(p), 1), F.regexp_extract_all(html, F.lit(p), 2), lambda k, v: F.struct(squeeze(strip_html(k)).alias("k"), squeeze(strip_html(v)).alias("v")))
-    each = pages.select("url", F.posexplode(F.concat(rows(pair), rows(bullet))).alias("pos", "s")).select("url", "pos", "s.*")
-    kept = each.where("length(k) between 1 and 60 and length(v) between 1 and 500 and not contains(v, '₹')")
-    first = first_per_key(kept, ["url", "k"], ["pos"])
-    return first.groupBy("url").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("pos", "k", "v"))), lambda e: F.struct(e["k"], e["v"]))).alias("specs"))
+    kept = F.filter(F.transform(F.concat(rows(pair), rows(bullet)), lambda e, i: F.struct(i.alias("pos"), e["k"].alias("k"), e["v"].alias("v"))), lambda e: F.length(e["k"]).between(1, 60) & F.length(e["v"]).between(1, 500) & ~F.contains(e["v"], F.lit("₹")))
+    first = lambda ps: F.filter(ps, lambda e, i: ~F.exists(F.slice(ps, 1, i), lambda f: f["k"] == e["k"]))
+    # the pairs of a page stay in its row; pages of one url come together as rows of few bytes
+    each = pages.select("url", F.explode(F.filter(F.array(let(kept, first)), lambda ps: F.size(ps) > 0)).alias("ps"))
+    whole = each.groupBy("url").agg(F.collect_list("ps").alias("pages")).select("url", let(F.array_sort(F.flatten("pages")), first).alias("ps"))
+    return whole.select("url", F.map_from_entries(F.transform("ps", lambda e: F.struct(e["k"], e["v"]))).alias("specs"))
 
 
 # Phrases of texts that say nothing about a product.

@@ -18,7 +18,8 @@ def _pages(s, d):
 
 def _product_pages(s, d):
     """Pages with JSON-LD, specs and a listing state, made of the parts."""
-    p = view(s, d, "products_v")
+    # dealt before the pages are made: a small file of parts would be one task
+    p = view(s, d, "products_v").repartition("id")
     ld = F.format_string('<script type="application/ld+json">{"@type":"Product","name":"%s","category":"%s","brand":{"name":"%s"},"offers":{"price":"%s"}}</script>', "name", F.coalesce("category", F.lit("none")), F.coalesce("brand", F.lit("none")), F.coalesce("price", F.lit("0")))
     graph = F.format_string('<script type="application/ld+json">{"@graph":[{"@type":"WebPage","name":"x"},{"@type":"Product","name":"%s"}]}</script>', "name")
     specs = F.format_string("<table><tr><th>Weight</th><td>%d g</td></tr><tr><th>Dimensions</th><td>%d x 2 x 3 cm; %d kg</td></tr>%s</table><ul><li><b>Item weight:</b> 9 kg</li></ul>", F.col("num").cast("int"), (F.col("num") % 90).cast("int"), (F.col("num") % 9).cast("int"), F.when(F.col("num") % 4 == 0, "<tr><th>A size</th><td>no</td></tr><tr><th>Size</th><td>large; boxed</td></tr>").when(F.col("num") % 4 == 1, "<tr><th>GST rate</th><td>18%</td></tr><tr><th>HSN code</th><td>9403</td></tr>").otherwise(""))
