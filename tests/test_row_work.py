@@ -38,3 +38,15 @@ def test_pairs_of_a_page_stay_in_its_row(spark):
     assert _plan(found).count("Exchange") == 1
     got = {r.url: r.specs for r in found.collect()}
     assert set(got) == {"u"} and set(got["u"]) == {"a", "b", "c", "z"} and got["u"]["b"] == "1" and got["u"]["c"] == "4"
+
+
+def test_texts_are_normalised_once_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from opsframe.functions import scores as S
+
+    df = spark.createDataFrame([("big red chair", "red chair", 10)], "title string, name string, views long")
+    shown = _plan(df.select(S.relevance(F.col("title"), F.col("name"), F.col("views"))))
+    assert [len(re.findall(rf"lower\({c}#", shown)) for c in ("title", "name")] == [1, 1], shown
+    shown = _plan(df.select(S.image_url_equal(F.col("title"), F.col("name"))))
+    assert [len(re.findall(rf"substring_index\({c}#", shown)) for c in ("title", "name")] == [1, 1], shown
