@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import Memory, materialize
+from opsframe.llm.common import Memory, materialize, sliced
 
 CAPACITY = 2048
 GROUP = 4096
@@ -42,7 +42,7 @@ GROUP = 4096
 SLACK = 256
 ROUNDS = 8
 #: Bytes of the memories of ids, of stretches and of words, that a worker keeps for as long as it lives.
-MEMO_BYTES, WORD_MEMO_BYTES = 56 << 20, 28 << 20
+MEMO_BYTES, WORD_MEMO_BYTES = 36 << 20, 16 << 20
 
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, full long"
 _PACKED = f"{_PIECES}, bin long, offset long, fill long"
@@ -64,13 +64,17 @@ class _WordIds(Memory):
 
     def __init__(self, model):
         super().__init__(WORD_MEMO_BYTES)
-        self.model, self.letters = model, byte_letters()
+        self.tokens, self.letters = model.tokenize, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        ids = struct.pack(f"<{len(found)}I", *(t.id for t in found))
+        ids = self.ids(word)
         return self.keep(word, ids, len(ids))
 
+    def ids(self, word: str) -> bytes:
+        """A word's ids, not remembered; printable ASCII is written as itself."""
+        found = self.tokens(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
 
 class WordIds(Memory):
     """Stretch between blanks to its ids as little-endian unsigned 32-bit."""
@@ -87,7 +91,11 @@ class WordIds(Memory):
         self.split = regex.compile(WORD).findall
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = b"".join(map(self.words.__getitem__, self.split(stretch)))
+        # a stretch of letters is one word: remembered here, not once more among the words
+        if stretch.isalpha():
+            ids = self.words.get(stretch) or self.words.ids(stretch)
+        else:
+            ids = b"".join(map(self.words.__getitem__, self.split(stretch)))
         return self.keep(stretch, ids, len(ids))
 
     def of(self, text: str) -> bytes:
@@ -114,7 +122,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -
         words = word_ids(tokenizer_path)
         arrow = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         number = 0
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for uid, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 ids = words.of(text or "") + b"\0\0\0\0"

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opsframe.llm.common import sliced
+
 N = 4
 HASHES = 2
 SLOT_BITS = 18
@@ -187,7 +189,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             lang, score = predict_texts(batch.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -204,7 +206,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, model: Model) -> DataF
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, model = batch.column(at).to_pylist(), shared.value
             if model.languages:
                 lang, score = predict_texts(texts, model)

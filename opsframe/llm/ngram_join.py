@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import materialize
+from opsframe.llm.common import materialize, sliced
 
 WORDS = 5
 THRESHOLD = (4, 5)  # 0.8
@@ -184,7 +184,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     source = docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys, sizes, sigs = [], [], []
             for text in batch.column(3).to_pylist():
                 s = shingles(text)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsframe.llm.common import materialize
+from opsframe.llm.common import materialize, sliced
 
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "marks", "upper", "digits")
 SCALE = 1024
@@ -136,7 +136,7 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     source = docs.select(*keep, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = np.array([sum(text_stats(t), []) for t in batch.column(len(keep)).to_pylist()], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(rows[:, i]) for i in range(len(names)))], [*keep, *names])
 

@@ -6,6 +6,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from opsframe.llm import piece_lattice as P
 from opsframe.llm import quality_rules as R
 from opsframe.llm import queries as Q
 from opsframe.llm import token_counts as N
-from opsframe.llm.common import Memory, table
+from opsframe.llm.common import Memory, sliced, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -69,6 +70,24 @@ def test_small_memories_change_no_result(monkeypatch):
     assert ([words.of(t) for t in texts], [counter.inner(" " + t) for t in texts]) == want
 
 
+def test_a_word_of_its_own_is_remembered_once():
+    words = B.WordIds(Q.tokenizer_path("word_bpe_49k.json"))
+    text = "Thing thing, straße don't thing 漢字 x1 'sfoo &&'s"
+    assert words.of(text) == np.array(words.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    # "thing" stands alone and before a comma
+    assert "thing" in words and "straße" in words and "straße" not in words.words
+    words.clear()
+    words.words.clear()
+    words["alone"]
+    assert "alone" in words and not words.words
+
+
+def test_texts_are_taken_a_few_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000))], ["x"])
+    parts = list(sliced([batch, batch.slice(0, 0), batch]))
+    assert max(p.num_rows for p in parts) <= 1024 and [x for p in parts for x in p.column(0).to_pylist()] == [*range(5000)] * 2
+
+
 def test_counted_words_are_sent_on_by_characters(spark, monkeypatch):
     pieces = P.Pieces(Q.tokenizer_path("piece_bpe_32k.model"))
     docs = spark.createDataFrame([(i, "ab cd " * 30 + "漢" * i) for i in range(60)], "doc_id long, text string")
