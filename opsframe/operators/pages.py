@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from opsframe.functions.scores import let
 from opsframe.functions.text import is_blocked_page, squeeze, strip_html
-from opsframe.operators.graph import checkpointed
 from opsframe.operators.keyed import first_per_key
 
 
@@ -133,22 +132,29 @@ def _state_part(v: Column, names: tuple[str, ...]) -> Column:
 def deep_state_products(pages: DataFrame, html: str = "html", depth: int = 25) -> DataFrame:
     """url, product_id, name, price of every product object in the embedded state, at any depth up to `depth`.
 
-    A product has an id and a name under one of their usual keys. States are parsed once and opened level by level: all
-    objects and lists of a level, of all pages, are exploded at once, until a level has none. A level is stored before it
-    is opened, so a state is walked once; there are as many rounds as the deepest state has levels. Broken states have no products.
+    A product has an id and a name under one of their usual keys. A state is parsed once and opened level by level within
+    its row: all objects and lists of a level give the next one, until a level has none. Nothing is shuffled or stored, so
+    the work is one pass over the pages; a row holds two levels of its state and its products. Broken states have no products.
     """
-    spark = pages.sparkSession
     state = F.regexp_extract(html, r"(?s)<script id=\"__STATE__\"[^>]*>(.*?)</script>", 1)
-    nested = lambda df: df.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
-    level = checkpointed(spark, nested(pages.select("url", F.try_parse_json(F.nullif(state, F.lit(""))).alias("v")).where("v is not null")))
-    found = None
-    for _ in range(depth):
-        parts = level.select("url", *(_state_part(F.col("v"), names).alias(part) for part, names in STATE_KEYS.items()))
-        here = parts.where("product_id is not null and name is not null")
-        found = here if found is None else found.unionByName(here)
-        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("url", F.col("value").alias("v"))
-        level = checkpointed(spark, nested(opened))
-        if level.isEmpty():
-            break
-    return found
-
+    parts = "product_id string, name string, price string"
+    kind = f"struct<level:array<variant>,found:array<struct<{parts.replace(' string', ':string')}>>>"
+    none = F.array().cast("array<variant>")
+
+    def inside(v: Column) -> Column:
+        """The objects and lists that an object or a list holds, in it."""
+        values = F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.try_variant_get(v, "$", "array<variant>"), none)
+        return F.filter(values, nested)
+
+    def nested(v: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), F.lit(False))
+
+    def opened(acc: Column, _: Column) -> Column:
+        here = F.transform(acc["level"], lambda v: F.struct(*(_state_part(v, names).alias(part) for part, names in STATE_KEYS.items())))
+        products = F.filter(here, lambda p: p["product_id"].isNotNull() & p["name"].isNotNull())
+        return F.when(F.size(acc["level"]) == 0, acc).otherwise(F.struct(F.flatten(F.transform(acc["level"], inside)).alias("level"), F.concat(acc["found"], products).alias("found")).cast(kind))
+
+    top = F.filter(F.array(F.try_parse_json(F.nullif(state, F.lit("")))), nested)
+    begun = F.struct(top.alias("level"), F.array().cast(f"array<struct<{parts.replace(' string', ':string')}>>").alias("found")).cast(kind)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), begun, opened)["found"]
+    return pages.select("url", F.explode(found).alias("p")).select("url", "p.*")

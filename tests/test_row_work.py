@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from opsframe.operators import extraction as E
 from opsframe.operators import pages as P
 from opsframe.operators import videos as V
@@ -61,3 +63,15 @@ def test_a_worker_holds_one_cell_of_pairs(spark):
     unit = lambda v: sum(x * x for x in v) ** 0.5
     want = {(i, j) for i, v in rows for j, w in rows if v and w and i < j and len(v) == len(w) and sum(x * y for x, y in zip(v, w)) / unit(v) / unit(w) >= 0.99}
     assert {(r.src, r.dst) for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_a_state_is_opened_in_its_row(spark):
+    product = '{"id":%d,"name":"n%d","v":[{"productId":"w%d","title":"","x":{"product_id":1.50,"productName":"deep","price":null}}]}'
+    state = '{"a":{"b":[[' + ",".join(product % (i, i, i) for i in range(3000)) + '],[],{},null,"s",[7]]},"id":"top","name":"t","price":"9"}'
+    pages = spark.range(2).select(F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") == 0, F.lit(f'<script id="__STATE__">{state}</script>')).otherwise("").alias("html"))
+    got = P.deep_state_products(pages)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # no level is stored or shuffled, and no state is walked once a level
+    assert plan.count("Generate explode") == 1 and "Union" not in plan and "LogicalRDD" not in plan
+    want = [("u0", "top", "t", "9")] + [("u0", str(i), f"n{i}", None) for i in range(3000)] + [("u0", "1.5", "deep", None)] * 3000
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
