@@ -4,7 +4,8 @@ Texts are cut into words (a run of spaces with what follows up to the next space
 and words between neighbours that no piece holds, so that no piece crosses a cut.
 Every distinct fragment is exploded into its substrings of at most the longest
 piece's length; an equi-join with the piece table keeps those that are pieces: the
-edges of the fragment's lattice. Edges are grouped by fragment, and Spark's
+edges of the fragment's lattice. Edges are grouped by fragment (of a fragment no longer than the
+longest piece only the longest edge of each end, which implies the others), and Spark's
 higher-order aggregate runs Viterbi over the ends from left to right. Its weights
 depend on the kind of model:
 
@@ -21,7 +22,7 @@ The fold works through blocks of ends and keeps the last ones only, so its cost
 is linear in a fragment's length.
 
 The ids of frequent fragments (at most FREQUENT, and FREQUENT_BYTES) go to all
-tasks; a text's other fragments are joined by two shuffles. A text's ids are then
+tasks; a text's other fragments are joined by two shuffles, the text's ids lie in one. A text's ids are then
 decoded as a whole; round_trip says whether that gives the text again, by SHA-256.
 
 Defined cases: null text counts as empty: no pieces; characters outside the table
@@ -34,8 +35,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
+from itertools import chain
 from operator import add
 
 import numpy as np
@@ -43,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import Memory, materialize
+from opsframe.llm.common import Memory, materialize, sliced
 
 SPACE = "▁"
 FREQUENT = 1 << 18
@@ -51,6 +56,8 @@ FREQUENT_BYTES = 1 << 24
 #: Bytes of the memory that a task keeps of encoded words; distinct words, and characters of texts, that it counts before they are sent on.
 MEMO_BYTES = 40 << 20
 COUNTED, COUNTED_CHARS = 150_000, 1 << 25
+#: Texts whose words are looked up at once.
+TEXTS = 128
 #: Below the least score, as the library has it for characters that are no piece.
 UNKNOWN = 10.0
 #: Later than any merge.
@@ -123,7 +130,7 @@ class Pieces:
         self.id_type = "<u2" if len(model.pieces) <= 1 << 16 else "<u4"
 
     def table(self) -> pa.Table:
-        """One row a piece: k (its number here), piece, id, score, rank (of its merge), right (length after its last merge), left and right times."""
+        """One row a piece: k (its number here), piece, id, score, rank (of its merge), tail (length after its last merge), prefixes and suffixes (times), inner and merges (of all pieces that end where it ends, longest first: see edges_of)."""
         order = {s: i + 1 for i, s in enumerate(sorted({-s for _, _, s in self.rows}))}
         rank = {p: order[-s] for p, _, s in self.rows}
         out = []
@@ -132,8 +139,17 @@ class Pieces:
             if self.bpe and len(steps) < len(piece) - 1:
                 continue  # it does not encode to itself, so it is in no encoding
             out.append((len(out), piece, i, score, rank[piece], steps[-1][3] - steps[-1][2] if steps else 0, *(times(piece, steps) if self.bpe else ([], []))))
-        names = ["k", "piece", "id", "score", "rank", "tail", "prefixes", "suffixes"]
-        types = [pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        known = {r[1]: (r[0], r[5], r[4]) for r in out}
+
+        def inner(piece: str) -> tuple[list[int], list[int]]:
+            parts = [part for i in range(len(piece)) if (part := piece[i:]) in known or len(part) == 1]
+            found = [(len(part), *known.get(part, (NO_PIECE + ord(part[0]), 0, 0))) for part in parts]
+            edges = [(-n << 34) + (63 - n << 28) + (tail << 22) + k for n, k, tail, _ in found]
+            return edges, [(-tail << 34) + (n - tail << 28) + (tail << 22) + r for n, _, tail, r in found if tail]
+
+        out = [(*r, *inner(r[1])) for r in out]
+        names = ["k", "piece", "id", "score", "rank", "tail", "prefixes", "suffixes", "inner", "merges"]
+        types = [pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4]
         return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names)
 
     def fragments(self, word: str) -> list[str]:
@@ -143,6 +159,30 @@ class Pieces:
         cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in self.neighbours]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
+    @cached_property
+    def _held(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each character, 0 if no piece holds it beside another, and which pairs of numbers are neighbours."""
+        number = np.zeros(sys.maxunicode + 1, np.int32)
+        characters = sorted({ord(c) for pair in self.neighbours for c in pair})
+        number[characters] = np.arange(1, len(characters) + 1)
+        held = np.zeros((len(characters) + 1, len(characters) + 1), bool)
+        for a, b in self.neighbours:
+            held[number[ord(a)], number[ord(b)]] = True
+        return number, held
+
+    def fragments_of(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The fragments of all words in order, and how many each word has; as fragments(), many at once."""
+        text = "".join(words)
+        number, held = self._held
+        codes = number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        begins = np.ones(len(codes), bool)
+        begins[1:] = ~held[codes[:-1], codes[1:]]
+        first = np.cumsum([0, *map(len, words)])
+        begins[first[:-1]] = True
+        at = np.flatnonzero(begins)
+        bounds = at.tolist()
+        return [text[a:b] for a, b in zip(bounds, [*bounds[1:], len(text)])], np.diff(np.searchsorted(at, first))
+
 
 _SPACED = re.compile(" +[^ ]*").findall
 _RUNS = re.compile(r"\n[^ \n]*| +[^ \n]*").findall
@@ -198,6 +238,29 @@ def _number(e: Column) -> Column:
 CHUNK = 64
 
 
+def _edge(found: DataFrame) -> Column:
+    """The edge of a found piece without its end."""
+    number = F.coalesce(found["k"], F.ascii(found["piece"]) + NO_PIECE)
+    return F.shiftleft((F.lit(63) - found["len"]).cast("long"), 28) + F.shiftleft(F.coalesce(found["tail"], F.lit(0)).cast("long"), 22) + number
+
+
+def short_lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """words (key, word, more columns) of at most `longest` characters with tops, array<long>: at each end its longest edge.
+
+    The others that end there are ends of that piece, which the piece table has as `inner`. One column an end is an
+    aggregate of fixed size, where a list of all edges would be sorted on disk.
+    """
+    ends = words.select("*", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("end"))
+    spans = ends.select("*", F.explode(F.sequence(F.lit(1), F.col("end"))).alias("len"))
+    spans = spans.withColumn("piece", F.substr("word", F.col("end") - F.col("len") + 1, F.col("len")))
+    found = spans.join(F.broadcast(table.select("piece", "k", "tail")), "piece", "left").where("k is not null or len = 1")
+    found = found.select(*words.columns, "end", _edge(found).alias("edge"))
+    # the longest has the least number
+    tops = [F.min(F.when(F.col("end") == e, F.col("edge"))).alias(f"e{e}") for e in range(1, longest + 1)]
+    whole = found.groupBy(*words.columns).agg(*tops)
+    return whole.select(*words.columns, F.slice(F.array(*(f"e{e}" for e in range(1, longest + 1))), F.lit(1), F.length("word")).alias("tops"))
+
+
 def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     """key, n_chars and edges, array<long> in order of their ends, for words (key, word); an end that no piece of one character reaches has an edge of that character."""
     chunks = words.select("key", "word", F.length("word").alias("n"), F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(CHUNK))).alias("at"))
@@ -208,14 +271,13 @@ def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     spans = ends.select("key", "n", (F.col("at") + F.col("e")).alias("end"), "before", "chunk", "e", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("before") + F.col("e")))).alias("len"))
     spans = spans.select("key", "n", "end", "len", F.substr("chunk", F.col("before") + F.col("e") - F.col("len") + 1, F.col("len")).alias("piece"))
     found = spans.join(F.broadcast(table.select("piece", "k", "tail")), "piece", "left").where("k is not null or len = 1")
-    number = F.coalesce(F.col("k"), F.ascii("piece") + NO_PIECE)
-    edge = F.shiftleft(F.col("end").cast("long"), 34) + F.shiftleft((F.lit(63) - F.col("len")).cast("long"), 28) + F.shiftleft(F.coalesce("tail", F.lit(0)).cast("long"), 22) + number
+    edge = F.shiftleft(F.col("end").cast("long"), 34) + _edge(found)
     return found.groupBy("key").agg(F.max("n").alias("n_chars"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 # A merge as one long: its seam (29 bits), the length before and after it (6 each), its rank (22).
-def _bpe_choice(facts: Column):
-    """(last edges by end, index of an end in them, edge, merges near, whether the end has an edge) -> last edges: the edge that fits is added."""
+def _bpe_fits(facts: Column):
+    """(left edge, right edge, merges near, their seam) -> whether no merge crosses it."""
 
     def vanishes(t: Column, rank: Column) -> Column:
         return t.bitwiseAND(F.lit(NEVER)) > rank
@@ -223,21 +285,28 @@ def _bpe_choice(facts: Column):
     def together(a: Column, b: Column) -> Column:
         """Whether a part of the left and one of the right stand at the same time."""
         born, dies = (lambda t: F.shiftright(t, 40)), (lambda t: F.shiftright(t, 20).bitwiseAND(F.lit(NEVER)))
-        return (born(a) <= dies(b)) & (born(b) < dies(a)) & (b > 0)
+        return (born(a) <= dies(b)) & (born(b) < dies(a))
 
     def crossed(merge: Column, suffixes: Column, prefixes: Column) -> Column:
         """Whether the merge comes before left and right are whole. Without such a suffix and prefix it can't."""
         rank = _number(merge)
         a, b = F.get(suffixes, _before(merge) - 1), F.get(prefixes, _tail(merge) - 1)
-        return F.coalesce(vanishes(a, rank) & vanishes(b, rank - 1) & together(a, b), F.lit(False))
+        return F.coalesce((b > 0) & vanishes(a, rank) & vanishes(b, rank - 1) & together(a, b), F.lit(False))
 
-    def choose(seen: Column, index, e: Column, merges: Column, found: Column) -> Column:
-        def fits(left: Column, start: Column) -> Column:
-            suffixes, prefixes = (F.get(facts[name], F.least(_number(x), F.size(facts["ids"]) - 1)) for name, x in (("suffixes", left), ("prefixes", e)))
-            return ~F.exists(merges, lambda m: (F.shiftright(m, 34) == start) & crossed(m, suffixes, prefixes))
+    def fits(left: Column, right: Column, merges: Column, start: Column) -> Column:
+        suffixes, prefixes = (F.get(facts[name], F.least(_number(x), F.size(facts["ids"]) - 1)) for name, x in (("suffixes", left), ("prefixes", right)))
+        return ~F.exists(merges, lambda m: (F.shiftright(m, 34) == start) & crossed(m, suffixes, prefixes))
+
+    return fits
+
+
+def _bpe_choice(facts: Column):
+    """(last edges by end, index of an end in them, edge, merges near, whether the end has an edge) -> last edges: the edge that fits is added."""
+    fits = _bpe_fits(facts)
 
+    def choose(seen: Column, index, e: Column, merges: Column, found: Column) -> Column:
         def first(start: Column) -> Column:
-            return let(F.get(seen, index(start).cast("int")), lambda left: (left < 0) | fits(left, start))
+            return let(F.get(seen, index(start).cast("int")), lambda left: (left < 0) | fits(left, e, merges, start))
 
         return F.when(~found & let(F.shiftright(e, 34) - _length(e), first), F.concat(seen, F.array(e))).otherwise(seen)
 
@@ -258,18 +327,58 @@ def _unigram_choice(facts: Column, least: float):
     return choose, kind, start, lambda entry: entry["edge"]
 
 
+def edges_of(tops: Column, facts: Column) -> Column:
+    """array<array<long>>: the edges at each end, longest first, from the longest ones; they hold their starts instead of their ends."""
+
+    def own(top: Column, i: Column) -> Column:
+        end = F.shiftleft((i + 1).cast("long"), 34)
+        known = lambda edges: F.transform(edges, lambda e: e + end)
+        return F.when(_number(top) < NO_PIECE, known(F.get(facts["inner"], _number(top)))).otherwise(F.array(top + F.shiftleft(i.cast("long"), 34)))
+
+    return F.transform(tops, own)
+
+
+def short_fold(tops: Column, facts: Column) -> Column:
+    """array<long>: the edges of the path whose edges all fit, in order, for a word in one block: see viterbi_fold."""
+    fits = _bpe_fits(facts)
+    start = lambda e: F.shiftright(e, 34)
+
+    def merges(top: Column, i: Column) -> Column:
+        end = F.shiftleft((i + 1).cast("long"), 34)
+        # characters that are no piece have no merge
+        return F.transform(F.coalesce(F.get(facts["merges"], _number(top)), F.array().cast("array<bigint>")), lambda m: m + end)
+
+    def folded(merges: Column) -> Column:
+        def chosen(seen: Column, own: Column) -> Column:
+            def step(best: Column, e: Column) -> Column:
+                fit = (start(e) == 0) | fits(F.get(seen, start(e).cast("int")), e, merges, start(e))
+                return F.when(best >= 0, best).when(fit, e).otherwise(best)
+
+            return F.aggregate(own, F.lit(-1).cast("long"), step)
+
+        return F.aggregate(edges_of(tops, facts), F.array(F.lit(-1).cast("long")), lambda seen, own: F.array_append(seen, chosen(seen, own)))
+
+    def back(path: Column, e: Column) -> Column:
+        """An edge is on the path if the one after it starts at its end."""
+        return F.when(F.coalesce(start(F.get(path, F.lit(0))) == start(e) + _length(e), F.lit(True)), F.array_prepend(path, e)).otherwise(path)
+
+    last = let(F.flatten(F.transform(tops, merges)), folded)
+    return F.aggregate(F.reverse(F.filter(last, lambda e: e >= 0)), F.array().cast("array<bigint>"), back)
+
+
 def viterbi_fold(edges: Column, n: Column, choice: tuple, ranks: Column, block: int) -> Column:
     """array<long>: the edges of the best path in order. block is the longest piece's length: of earlier ends than that nothing is asked."""
     choose, kind, start, edge_of = choice
     blocks = F.sequence(F.lit(0), n - 1, F.lit(block))
     acc_type = f"struct<read:int,merges:array<bigint>,seen:array<{kind}>,done:array<array<bigint>>>"
     none = F.array().cast("array<bigint>")
-    first = F.struct(F.lit(0).alias("read"), none.alias("merges"), F.array_repeat(start, block).alias("seen"), F.array().cast("array<array<bigint>>").alias("done")).cast(acc_type)
 
     def merge(e: Column) -> Column:
         fields = F.shiftleft(_end(e).cast("long") - _tail(e), 34) + F.shiftleft((_length(e) - _tail(e)).cast("long"), 28) + F.shiftleft(_tail(e).cast("long"), 22)
         return fields + F.get(ranks, _number(e))
 
+    first = F.struct(F.lit(0).alias("read"), none.alias("merges"), F.array_repeat(start, block).alias("seen"), F.array().cast("array<array<bigint>>").alias("done")).cast(acc_type)
+
     def forward(acc: Column, b: Column) -> Column:
         fresh = F.filter(F.slice(edges, acc["read"] + 1, F.lit(block * block)), lambda e: F.shiftright(e, 34) <= b + block)
 
@@ -316,21 +425,35 @@ def encode_words(spark: SparkSession, words: DataFrame, pieces: Pieces) -> DataF
     table = spark.createDataFrame(pieces.table())
     count = pieces.table().num_rows
     never = [NEVER << 20 | NEVER]
-    none = spark.createDataFrame([(count, 0.0, 0, -1, never, never)], "k int, score double, rank int, id int, prefixes array<long>, suffixes array<long>")
-    fields = {"ids": "id", "scores": "score", "ranks": "rank", "prefixes": "prefixes", "suffixes": "suffixes"}
+    none = spark.createDataFrame([(count, 0.0, 0, -1, never, never, [], [])], "k int, score double, rank int, id int, prefixes array<long>, suffixes array<long>, inner array<long>, merges array<long>")
+    fields = {"ids": "id", "scores": "score", "ranks": "rank", "prefixes": "prefixes", "suffixes": "suffixes", "inner": "inner", "merges": "merges"}
     # all pieces as one constant, as long as the vocabulary, by their numbers; the last stands for characters that are no piece
     row = F.sort_array(F.collect_list(F.struct("k", *fields.values())))
     numbered = table.select("k", *fields.values()).unionByName(none).agg(row.alias("r")).select(F.struct(*(F.col(f"r.{f}").alias(n) for n, f in fields.items())).alias("facts")).scalar()
     dealt = words.repartition("key")
-    grouped = dealt.join(lattice(dealt.select("key", "word"), table, pieces.longest), "key")
+    # most words are shorter than the longest piece: their edges fit into a row of fixed size
+    short = F.length("word") <= pieces.longest
+    few = short_lattice(dealt.where(short), table, pieces.longest)
+    long = dealt.where(~short)
+    grouped = long.join(lattice(long.select("key", "word"), table, pieces.longest), "key")
 
-    def ids(facts: Column) -> Column:
-        choice = _bpe_choice(facts) if pieces.bpe else _unigram_choice(facts, pieces.least)
-        path = viterbi_fold(F.col("edges"), F.col("n_chars"), choice, facts["ranks"], pieces.longest)
+    def ids(path: Column, facts: Column) -> Column:
         return F.flatten(F.transform(path, lambda e: F.when(_number(e) < NO_PIECE, F.array(F.get(facts["ids"], _number(e)))).otherwise(_byte_ids(_number(e) - NO_PIECE, pieces.bytes[0]))))
 
+    def blocks(edges: Column, n: Column, facts: Column) -> Column:
+        choice = _bpe_choice(facts) if pieces.bpe else _unigram_choice(facts, pieces.least)
+        return viterbi_fold(edges, n, choice, facts["ranks"], pieces.longest)
+
+    def of_few(facts: Column) -> Column:
+        if pieces.bpe:
+            return ids(let(F.col("tops"), lambda tops: short_fold(tops, facts)), facts)
+        edges = F.transform(F.flatten(edges_of(F.col("tops"), facts)), lambda e: e + F.shiftleft(_length(e).cast("long"), 34))
+        return ids(let(edges, lambda edges: blocks(edges, F.length("word"), facts)), facts)
+
+    of_long = lambda facts: ids(blocks(F.col("edges"), F.col("n_chars"), facts), facts)
     # the optimizer writes the constant into its single use above the join, so no row carries it
-    return grouped.withColumn("facts", numbered).select(*words.columns, let(F.col("facts"), ids).alias("ids"))
+    folded = lambda df, f: df.withColumn("facts", numbered).select(*words.columns, let(F.col("facts"), f).alias("ids"))
+    return folded(few, of_few).unionByName(folded(grouped, of_long))
 
 
 def distinct_fragments(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -341,9 +464,9 @@ def distinct_fragments(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             out: Counter = Counter()
-            for word, n in words.items():
-                for f in pieces.fragments(with_space(word, pieces.lines)):
-                    out[f] += n
+            found, sizes = pieces.fragments_of([with_space(w, pieces.lines) for w in words])
+            for f, n in zip(found, np.repeat(np.array([*words.values()], np.int64), sizes).tolist()):
+                out[f] += n
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], ["word", "n"])
 
@@ -385,6 +508,17 @@ class _Encoded(Memory):
         ids = None if None in found else b"".join(found)
         return self.keep(word, ids, len(ids or b""))
 
+    def learn(self, words: Iterable[str]) -> None:
+        """The words are remembered, as far as the memory holds them."""
+        new = [w for w in set(words) if w not in self]
+        found, sizes = self.pieces.fragments_of([with_space(w, self.pieces.lines) for w in new])
+        ids_of, at = list(map(self.known.get, found)), 0
+        for word, n in zip(new, sizes.tolist()):
+            own = ids_of[at : at + n]
+            at += n
+            ids = None if None in own else b"".join(own)
+            self.keep(word, ids, len(ids or b""))
+
     def parts(self, word: str) -> tuple[bytes, list[tuple[int, str]]]:
         """The known ids, and the unknown fragments with the place of each in those ids."""
         ids, gaps = b"", []
@@ -416,22 +550,38 @@ _ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.
 
 
 def encode_known(spark: SparkSession, docs: DataFrame, pieces: Pieces, words: DataFrame) -> DataFrame:
-    """uid, doc_id, n_words, digest (of the text), ids (those of `words`, a bounded table), gaps: each other fragment and the bytes of ids before it."""
+    """uid, doc_id, n_words, digest (of the text), ids (those of `words`, a bounded table; packed by zlib), gaps: each other fragment and the bytes of ids before it."""
     rows = words.toPandas()  # bounded: see frequent()
     shared = spark.sparkContext.broadcast({w: np.asarray(i, pieces.id_type).tobytes() for w, i in zip(rows["word"], rows["ids"])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = _Encoded(pieces, shared.value)
-        for batch in batches:
-            out = []
-            for uid, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = split_words(text, pieces.lines)
-                out.append((uid, doc, len(words), hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest(), *encoded.text(words)))
+        for batch in sliced(batches, TEXTS):
+            out, texts = [], batch.column(2).to_pylist()
+            split = [split_words(t, pieces.lines) for t in texts]
+            encoded.learn(chain.from_iterable(split))
+            for uid, doc, text, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, split):
+                ids, gaps = encoded.text(words)
+                out.append((uid, doc, len(words), hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest(), zlib.compress(ids, 1), gaps))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_ARROW)], _ARROW.names)
 
     return docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, _PARTS)
 
 
+def _missing(parts: DataFrame) -> DataFrame:
+    """uid, k and word of all gaps. A function of whole rows: with fewer columns the shuffle below would be another one, and texts encoded twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gaps = batch.column("gaps")
+            rows, each = gaps.value_parent_indices(), gaps.flatten()
+            sizes = np.diff(gaps.offsets.to_numpy())
+            k = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("uid").take(rows), pa.array(k, pa.int32()), each.field("word")], ["uid", "k", "word"])
+
+    return parts.mapInArrow(run, "uid long, k int, word string")
+
+
 def written_by(pieces: Pieces) -> list[bytes]:
     """What each id writes: its piece, or its byte."""
     out = [b""] * (max(i for _, i, _ in pieces.rows) + 257)
@@ -448,19 +598,20 @@ def decode_ids(ids: list[int], written: list[bytes]) -> str:
 
 
 def _finish(parts: DataFrame, pieces: Pieces) -> DataFrame:
-    """Rows of _PARTS, their gaps with `fill` array<struct<k,ids>>, into whole ids and texts."""
+    """Rows of _PARTS, with `fill` array<struct<k,ids>> (their gaps'), into whole ids and texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         written = written_by(pieces)
         for batch in batches:
             ids_of, texts, trips = [], [], []
-            for digest, ids, gaps, fill in zip(*(batch.column(c).to_pylist() for c in ("digest", "ids", "at", "fill"))):
+            for digest, ids, gaps, fill in zip(*(batch.column(c).to_pylist() for c in ("digest", "ids", "gaps", "fill"))):
+                ids = zlib.decompress(ids)
                 if gaps:
                     own = {x["k"]: np.array(x["ids"], pieces.id_type).tobytes() for x in fill}
                     at, pieces_ = 0, []
-                    for k, a in enumerate(gaps):
-                        pieces_ += [ids[at:a], own[k]]
-                        at = a
+                    for k, gap in enumerate(gaps):
+                        pieces_ += [ids[at : gap["at"]], own[k]]
+                        at = gap["at"]
                     ids = b"".join([*pieces_, ids[at:]])
                 numbers = np.frombuffer(ids, pieces.id_type).astype(np.int32)
                 text = decode_ids(numbers.tolist(), written)
@@ -488,13 +639,8 @@ def known_fragments(spark: SparkSession, docs: DataFrame, pieces: Pieces) -> Dat
 def encode_texts(spark: SparkSession, docs: DataFrame, pieces: Pieces, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_words, n_pieces, ids of the whole text in order, decoded (those ids as text), round_trip: whether decoded is the text."""
     known = known_fragments(spark, docs, pieces)
-    parts = materialize(spark, encode_known(spark, docs, pieces, frequent(known, most)), "encoded")
-    ready = parts.withColumn("at", F.col("gaps.at")).withColumn("fill", F.lit(None).cast("array<struct<k:int,ids:array<int>>>")).drop("gaps", "uid")
-    gaps = parts.where(F.size("gaps") > 0)
-    missing = gaps.select("uid", F.posexplode("gaps").alias("k", "gap")).select("uid", "k", F.col("gap.word").alias("word"))
-    fill = F.struct("k", "ids").alias("fill")
-    own = gaps.select("uid", F.lit(None).cast("struct<k:int,ids:array<int>>").alias("fill"), F.struct("doc_id", "n_words", "digest", "ids", F.col("gaps.at").alias("at")).alias("row"))
-    filled = missing.join(known.select("word", "ids"), "word").select("uid", fill).withColumn("row", F.lit(None).cast(own.schema["row"].dataType))
-    # each text is a row beside its missing fragments, so that one shuffle brings them together
-    together = own.unionByName(filled).groupBy("uid").agg(F.first("row", ignorenulls=True).alias("row"), F.collect_list("fill").alias("fill")).select("row.*", "fill")
-    return _finish(ready.where(F.size("at") == 0).unionByName(together), pieces)
+    # the ids lie on disk once: in this shuffle, which both ways below read
+    parts = encode_known(spark, docs, pieces, frequent(known, most)).repartition("uid")
+    fill = F.collect_list(F.struct("k", "ids")).alias("fill")
+    fills = _missing(parts).join(known.select("word", "ids"), "word").groupBy("uid").agg(fill)
+    return _finish(parts.join(fills, "uid", "left"), pieces)

@@ -160,3 +160,44 @@ def test_cells_copy_little():
         for queries, vectors in ((2, 100), (1, 1), (0, 0), (100, 1), (2_000_000, 100_000_000)):
             rows, columns = K.grid(cells, queries, vectors)
             assert rows * columns >= cells and queries * columns + vectors * rows <= 2.1 * max(vectors, min(queries * c + vectors * -(-cells // c) for c in range(1, cells + 1)))
+
+
+def test_edges_of_short_words_are_not_sorted(spark):
+    pieces = P.Pieces(Q.tokenizer_path("piece_bpe_32k.model"))
+    table = pieces.table()
+    words = [" the", " tionheheble", "漢字 🙂"[:2], "🙂", "\n", " antidisestabli", " " * 16, "é"]
+    df = spark.createDataFrame(list(enumerate(words)), "key long, word string")
+    found = P.short_lattice(df.repartition("key"), spark.createDataFrame(table), pieces.longest)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # sums of fixed size, that are merged in place: no lists, which are sorted on disk beyond 128 words
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan and "SortMergeJoin" not in plan
+    rows = table.to_pylist()
+    known = {r["piece"] for r in rows}
+    tops = {r.word: r.tops for r in found.collect()}
+    assert set(tops) == set(words)
+    for word in words:
+        ends = [[n for n in range(e, 0, -1) if n == 1 or word[e - n : e] in known] for e in range(1, len(word) + 1)]
+        assert [63 - (t >> 28) for t in tops[word]] == [n[0] for n in ends]
+        inner = [rows[k]["inner"] if (k := t & (1 << 22) - 1) < P.NO_PIECE else [t] for t in tops[word]]
+        assert [[63 - (x >> 28 & 63) for x in own] for own in inner] == ends
+
+
+def test_ids_lie_on_disk_once(spark, monkeypatch):
+    pieces = P.Pieces(Q.tokenizer_path("piece_bpe_32k.model"))
+    stored, write = [], P.materialize
+    monkeypatch.setattr(P, "materialize", lambda s, df, label: (stored.append(label), write(s, df, label))[1])
+    texts = spark.createDataFrame([(i, f"tionheheble{i} the") for i in range(50)], "doc_id long, text string")
+    found = P.encode_texts(spark, texts, pieces, 10)
+    rows = found.collect()
+    assert len(rows) == 50 and all(r.round_trip for r in rows)
+    # the texts' ids are only shuffled, and in one shuffle for both their uses
+    assert stored == ["words", "word-ids"]
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_cut_many_at_once():
+    pieces = P.Pieces(Q.tokenizer_path("piece_bpe_32k.model"))
+    words = [" the", "\n", " a漢字b", " \ud800x", " 🙂", " co-op(s)", " ", "  x"]
+    found, sizes = pieces.fragments_of(words)
+    assert found == [f for w in words for f in pieces.fragments(w)] and sizes.tolist() == [len(pieces.fragments(w)) for w in words]
+    assert pieces.fragments_of([])[0] == []
