@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut into words (a run of spaces with what follows up to the next space)
-and words between neighbours that no piece holds, so that no piece crosses a cut.
+Texts are cut between neighbours that no piece holds, so that no piece crosses a cut;
+no piece crosses the start of a word (a run of spaces with what follows up to the next space) either.
 Every distinct fragment is exploded into its substrings of at most the longest
 piece's length; an equi-join with the piece table keeps those that are pieces: the
 edges of the fragment's lattice. Edges are grouped by fragment (of a fragment no longer than the
@@ -22,7 +22,8 @@ The fold works through blocks of ends and keeps the last ones only, so its cost
 is linear in a fragment's length.
 
 The ids of frequent fragments (at most FREQUENT, and FREQUENT_BYTES) go to all
-tasks; a text's other fragments are joined by two shuffles, the text's ids lie in one. A text's ids are then
+tasks. Texts are shuffled once, as numbers of their fragments, a block of texts a row; a block's other
+fragments are joined by two shuffles, each once a block. A text's ids are then
 decoded as a whole; round_trip says whether that gives the text again, by SHA-256.
 
 Defined cases: null text counts as empty: no pieces; characters outside the table
@@ -34,30 +35,27 @@ kept apart by a stored row number; extra columns are ignored; an empty table giv
 from __future__ import annotations
 
 import hashlib
-import re
 import sys
-import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cached_property
-from itertools import chain
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import Memory, materialize, sliced
+from opsframe.llm.common import materialize
 
 SPACE = "▁"
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 FREQUENT_BYTES = 1 << 24
-#: Bytes of the memory that a task keeps of encoded words; distinct words, and characters of texts, that it counts before they are sent on.
-MEMO_BYTES = 40 << 20
-COUNTED, COUNTED_CHARS = 150_000, 1 << 25
-#: Texts whose words are looked up at once.
-TEXTS = 128
+#: Fragments (those of each block once), and bytes of texts, that a task counts before they are sent on.
+COUNTED, COUNTED_CHARS = 1 << 20, 1 << 25
+#: Texts of a block, and their bytes; a longer text is a block of its own.
+TEXTS, BLOCK_BYTES = 1024, 1 << 22
 #: Below the least score, as the library has it for characters that are no piece.
 UNKNOWN = 10.0
 #: Later than any merge.
@@ -162,50 +160,69 @@ class Pieces:
     @cached_property
     def _held(self) -> tuple[np.ndarray, np.ndarray]:
         """A number for each character, 0 if no piece holds it beside another, and which pairs of numbers are neighbours."""
-        number = np.zeros(sys.maxunicode + 1, np.int32)
         characters = sorted({ord(c) for pair in self.neighbours for c in pair})
+        number = np.zeros(sys.maxunicode + 1, np.int32 if len(characters) < 1 << 15 else np.int64)
         number[characters] = np.arange(1, len(characters) + 1)
         held = np.zeros((len(characters) + 1, len(characters) + 1), bool)
         for a, b in self.neighbours:
             held[number[ord(a)], number[ord(b)]] = True
         return number, held
 
-    def fragments_of(self, words: list[str]) -> tuple[list[str], np.ndarray]:
-        """The fragments of all words in order, and how many each word has; as fragments(), many at once."""
-        text = "".join(words)
+    def _begins(self, text: str) -> np.ndarray:
+        """For each character whether no piece holds it and the one before it."""
         number, held = self._held
         codes = number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         begins = np.ones(len(codes), bool)
-        begins[1:] = ~held[codes[:-1], codes[1:]]
+        begins[1:] = ~held.ravel()[codes[:-1] * held.shape[1] + codes[1:]]
+        return begins
+
+    def fragments_of(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The fragments of all words in order, and how many each word has; as fragments(), many at once."""
+        text = "".join(words)
+        begins = self._begins(text)
         first = np.cumsum([0, *map(len, words)])
         begins[first[:-1]] = True
         at = np.flatnonzero(begins)
         bounds = at.tolist()
         return [text[a:b] for a, b in zip(bounds, [*bounds[1:], len(text)])], np.diff(np.searchsorted(at, first))
 
-
-_SPACED = re.compile(" +[^ ]*").findall
-_RUNS = re.compile(r"\n[^ \n]*| +[^ \n]*").findall
-
-
-def split_words(text: str | None, lines: bool) -> list[str]:
-    """Words of a text without the space that each starts with; further spaces before it are kept.
-
-    Where no piece holds a newline and something else (lines), a word also starts at
-    each newline; it has no space in front.
-    """
-    if not text:
-        return []
-    text = text.replace(SPACE, " ")
-    if "  " in text or text[0] == " " or text[-1] == " " or not lines:
-        # the text has a space put in front, and a run of spaces goes with the word after it
-        return [w.removeprefix(" ") for w in (_RUNS if lines else _SPACED)(" " + text)]
-    return text.replace("\n", " \n").split(" ")
-
-
-def with_space(word: str, lines: bool) -> str:
-    """A word of split_words as it stands in the text."""
-    return word if lines and word.startswith("\n") else " " + word
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The fragments of all texts in order, how many each text has, and how many words.
+
+        A word is a run of spaces with what follows it; where no piece holds a newline and something else
+        (lines), it also starts at each newline. A text has a space put in front, an empty one has not.
+        """
+        texts = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ")
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        characters = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)
+        begins = self._begins(data.tobytes().decode())
+        first, filled = np.searchsorted(characters, bounds), np.diff(bounds) > 0
+        begins[first[:-1][filled]] = True
+        at = np.flatnonzero(begins)
+        offsets = np.append(characters[at], len(data)).astype(np.int32)
+        spaces = data == ord(" ")
+        words = spaces.copy()
+        words[1:] &= ~spaces[:-1]
+        words[bounds[:-1][filled]] = True
+        if self.lines:
+            words |= data == ord("\n")
+        n_words = np.diff(np.append(0, np.cumsum(words))[bounds])
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)), np.diff(np.searchsorted(at, first)), n_words
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, cut into blocks of TEXTS and BLOCK_BYTES at most, by the texts in a column."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            whole = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, "right"))
+            to = min(at + TEXTS, max(at + 1, whole))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def let(value: Column, f) -> Column:
@@ -460,31 +477,29 @@ def distinct_fragments(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """word and n of all fragments of all texts. Tasks count within a bounded memory before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out: Counter = Counter()
-            found, sizes = pieces.fragments_of([with_space(w, pieces.lines) for w in words])
-            for f, n in zip(found, np.repeat(np.array([*words.values()], np.int64), sizes).tolist()):
-                out[f] += n
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], ["word", "n"])
-
-        seen = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words.update(split_words(text, pieces.lines))
-                seen += len(text or "")
-                if len(words) > COUNTED or seen > COUNTED_CHARS:
-                    yield flush()
-                    seen = 0
-        yield flush()
+        counts, rows, seen = [], 0, 0
+
+        def summed() -> list[pa.RecordBatch]:
+            total = pa.Table.from_batches(counts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            counts.clear()
+            return total.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches(max_chunksize=1 << 16)
+
+        for block in _blocks(batches, 0):
+            found = pieces.cut(block.column(0))[0].dictionary_encode()
+            n = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+            counts.append(pa.record_batch([found.dictionary, pa.array(n, pa.int64())], ["word", "n"]))
+            rows, seen = rows + len(n), seen + block.nbytes
+            if rows > COUNTED or seen > COUNTED_CHARS:
+                yield from summed()
+                rows = seen = 0
+        if counts:
+            yield from summed()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(known: DataFrame, most: int = FREQUENT, most_bytes: int = FREQUENT_BYTES) -> DataFrame:
-    """word and ids of the most frequent fragments, as many as both bounds allow; the cut is found in a histogram."""
+    """word, n and ids of the most frequent fragments, as many as both bounds allow; the cut is found in a histogram."""
     level = F.floor(F.log2("n") * 16).cast("int")
     levels = known.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("word") + 4 * F.size("ids")).alias("size")).collect()
     cut, rows, size = None, 0, 0
@@ -493,93 +508,61 @@ def frequent(known: DataFrame, most: int = FREQUENT, most_bytes: int = FREQUENT_
         if rows > most or size > most_bytes:
             break
         cut = r["level"]
-    return known.where(F.lit(False) if cut is None else level >= cut).select("word", "ids")
-
-
-class _Encoded(Memory):
-    """Word to its ids as bytes, or None if one of its fragments is not known."""
-
-    def __init__(self, pieces: Pieces, known: dict[str, bytes]):
-        super().__init__(MEMO_BYTES)
-        self.pieces, self.known = pieces, known
-
-    def __missing__(self, word: str) -> bytes | None:
-        found = [self.known.get(f) for f in self.pieces.fragments(with_space(word, self.pieces.lines))]
-        ids = None if None in found else b"".join(found)
-        return self.keep(word, ids, len(ids or b""))
-
-    def learn(self, words: Iterable[str]) -> None:
-        """The words are remembered, as far as the memory holds them."""
-        new = [w for w in set(words) if w not in self]
-        found, sizes = self.pieces.fragments_of([with_space(w, self.pieces.lines) for w in new])
-        ids_of, at = list(map(self.known.get, found)), 0
-        for word, n in zip(new, sizes.tolist()):
-            own = ids_of[at : at + n]
-            at += n
-            ids = None if None in own else b"".join(own)
-            self.keep(word, ids, len(ids or b""))
-
-    def parts(self, word: str) -> tuple[bytes, list[tuple[int, str]]]:
-        """The known ids, and the unknown fragments with the place of each in those ids."""
-        ids, gaps = b"", []
-        for f in self.pieces.fragments(with_space(word, self.pieces.lines)):
-            if (own := self.known.get(f)) is None:
-                gaps.append((len(ids), f))
-            else:
-                ids += own
-        return ids, gaps
-
-    def text(self, words: list[str]) -> tuple[bytes, list[dict]]:
-        """The known ids of a text's words, and its gaps."""
-        found = list(map(self.__getitem__, words))
-        if None not in found:
-            return b"".join(found), []
-        out, gaps, size, done = [], [], 0, 0
-        for i in [i for i, ids in enumerate(found) if ids is None]:
-            before = b"".join(found[done:i])
-            own, missing = self.parts(words[i])
-            size += len(before)
-            gaps += [{"at": size + at, "word": w} for at, w in missing]
-            out += [before, own]
-            size, done = size + len(own), i + 1
-        return b"".join([*out, *found[done:]]), gaps
-
-
-_PARTS = "uid long, doc_id long, n_words long, digest binary, ids binary, gaps array<struct<at:long,word:string>>"
-_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary()), ("ids", pa.binary()), ("gaps", pa.list_(pa.struct([("at", pa.int64()), ("word", pa.string())])))])
-
-
-def encode_known(spark: SparkSession, docs: DataFrame, pieces: Pieces, words: DataFrame) -> DataFrame:
-    """uid, doc_id, n_words, digest (of the text), ids (those of `words`, a bounded table; packed by zlib), gaps: each other fragment and the bytes of ids before it."""
-    rows = words.toPandas()  # bounded: see frequent()
-    shared = spark.sparkContext.broadcast({w: np.asarray(i, pieces.id_type).tobytes() for w, i in zip(rows["word"], rows["ids"])})
+    return known.where(F.lit(False) if cut is None else level >= cut).select("word", "n", "ids")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = _Encoded(pieces, shared.value)
-        for batch in sliced(batches, TEXTS):
-            out, texts = [], batch.column(2).to_pylist()
-            split = [split_words(t, pieces.lines) for t in texts]
-            encoded.learn(chain.from_iterable(split))
-            for uid, doc, text, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, split):
-                ids, gaps = encoded.text(words)
-                out.append((uid, doc, len(words), hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest(), zlib.compress(ids, 1), gaps))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_ARROW)], _ARROW.names)
 
-    return docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, _PARTS)
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    """Columns of equal length as one compressed value."""
+    batch, sink = pa.record_batch(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(value: pa.Scalar) -> pa.RecordBatch:
+    with pa.ipc.open_stream(value.as_buffer()) as found:
+        return found.read_next_batch()
+
+
+def shared_ids(spark: SparkSession, words: DataFrame, pieces: Pieces) -> Broadcast:
+    """(words, how many ids each has, all ids) of a bounded table (see frequent()) for all tasks; a word's number is its place, frequent ones first."""
+    rows = words.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    word, ids = (pa.concat_arrays(rows[c].chunks) if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in ("word", "ids"))
+    return spark.sparkContext.broadcast((word, pc.list_value_length(ids).to_numpy(), ids.flatten().to_numpy().astype(pieces.id_type)))
+
+
+def encode_known(docs: DataFrame, pieces: Pieces, shared: Broadcast) -> DataFrame:
+    """Blocks of texts: block (its number), texts (doc_id, n_words, size in fragments and SHA-256 of each), numbers (of all their fragments in order, a byte a column), words (the block's other fragments, whose numbers go on after the shared ones)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[0]
+        for block in _blocks(batches, 2):
+            fragments, sizes, n_words = pieces.cut(block.column(2))
+            found = fragments.dictionary_encode()
+            number = pc.fill_null(pc.index_in(found.dictionary, value_set=known), -1).to_numpy().astype(np.int32)
+            other = number < 0
+            number[other] = len(known) + np.arange(other.sum())
+            # most numbers are small, and bytes of one place are alike
+            places = number[found.indices.to_numpy()].astype("<i4").view(np.uint8).reshape(-1, 4).T
+            digests = [hashlib.sha256((t or "").encode()).digest() for t in block.column(2).to_pylist()]
+            texts = {"doc_id": block.column(1), "n_words": pa.array(n_words, pa.int64()), "size": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary(32))}
+            row = _packed(texts), _packed({str(i): pa.array(np.ascontiguousarray(p)) for i, p in enumerate(places)}), _packed({"word": found.dictionary.filter(pa.array(other))})
+            yield pa.record_batch([block.column(0)[:1], *(pa.array([x], pa.binary()) for x in row)], ["block", "texts", "numbers", "words"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("block"), docs["doc_id"].cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "block long, texts binary, numbers binary, words binary")
 
 
 def _missing(parts: DataFrame) -> DataFrame:
-    """uid, k and word of all gaps. A function of whole rows: with fewer columns the shuffle below would be another one, and texts encoded twice."""
+    """block, k and word of all blocks' other fragments. A function of whole rows: with fewer columns the shuffle below would be another one, and texts encoded twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gaps = batch.column("gaps")
-            rows, each = gaps.value_parent_indices(), gaps.flatten()
-            sizes = np.diff(gaps.offsets.to_numpy())
-            k = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("uid").take(rows), pa.array(k, pa.int32()), each.field("word")], ["uid", "k", "word"])
+            for block, packed in zip(batch.column("block"), batch.column("words")):
+                words = _opened(packed).column("word")
+                yield pa.record_batch([pa.repeat(block, len(words)), pa.array(np.arange(len(words)), pa.int32()), words], ["block", "k", "word"])
 
-    return parts.mapInArrow(run, "uid long, k int, word string")
+    return parts.mapInArrow(run, "block long, k int, word string")
 
 
 def written_by(pieces: Pieces) -> list[bytes]:
@@ -592,41 +575,34 @@ def written_by(pieces: Pieces) -> list[bytes]:
     return out
 
 
-def decode_ids(ids: list[int], written: list[bytes]) -> str:
-    """The text of one document's ids, without the space that encoding puts in front."""
-    return b"".join(map(written.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
-
-
-def _finish(parts: DataFrame, pieces: Pieces) -> DataFrame:
-    """Rows of _PARTS, with `fill` array<struct<k,ids>> (their gaps'), into whole ids and texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        written = written_by(pieces)
-        for batch in batches:
-            ids_of, texts, trips = [], [], []
-            for digest, ids, gaps, fill in zip(*(batch.column(c).to_pylist() for c in ("digest", "ids", "gaps", "fill"))):
-                ids = zlib.decompress(ids)
-                if gaps:
-                    own = {x["k"]: np.array(x["ids"], pieces.id_type).tobytes() for x in fill}
-                    at, pieces_ = 0, []
-                    for k, gap in enumerate(gaps):
-                        pieces_ += [ids[at : gap["at"]], own[k]]
-                        at = gap["at"]
-                    ids = b"".join([*pieces_, ids[at:]])
-                numbers = np.frombuffer(ids, pieces.id_type).astype(np.int32)
-                text = decode_ids(numbers.tolist(), written)
-                ids_of.append(numbers)
-                texts.append(text)
-                trips.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest() == digest)
-            sizes = [len(x) for x in ids_of]
-            offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids_of, np.zeros(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array(sizes, pa.int64()), lists, pa.array(texts, pa.string()), pa.array(trips, pa.bool_())],
-                ["doc_id", "n_words", "n_pieces", "ids", "decoded", "round_trip"],
-            )
-
-    return parts.mapInArrow(run, "doc_id long, n_words long, n_pieces long, ids array<int>, decoded string, round_trip boolean")
+def _finish(parts: DataFrame, fills: DataFrame, pieces: Pieces, shared: Broadcast) -> DataFrame:
+    """The texts of all blocks as whole ids, and those ids as texts; fills has block, k and ids of their other fragments."""
+    written = pa.array(written_by(pieces), pa.binary())
+
+    def run(block: pa.Table, fill: pa.Table) -> pa.Table:
+        texts, numbers = (_opened(block[c][0]) for c in ("texts", "numbers"))
+        numbers = np.stack([c.to_numpy() for c in numbers.columns], 1).view("<i4").ravel()
+        _, n_known, known = shared.value
+        own = fill.sort_by("k")["ids"].combine_chunks()
+        sizes = np.append(n_known, pc.list_value_length(own).to_numpy()).astype(np.int64)
+        values = np.append(known, own.flatten().to_numpy().astype(known.dtype))
+        first, n = (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]
+        ends = np.append(0, np.cumsum(n))
+        ids = values[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])].astype(np.int32)
+        bounds = ends[np.append(0, np.cumsum(texts.column("size").to_numpy()))]
+        # each id's bytes one after another are the texts
+        taken = written.take(pa.array(ids))
+        at = np.frombuffer(taken.buffers()[1], np.int32)[bounds].tolist()
+        data = (taken.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        # without the space that encoding puts in front
+        decoded = [data[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+        trips = [hashlib.sha256(t.encode()).digest() == d for t, d in zip(decoded, texts.column("digest").to_pylist())]
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+        columns = [texts.column("doc_id"), texts.column("n_words"), pa.array(np.diff(bounds), pa.int64()), lists, pa.array(decoded, pa.string()), pa.array(trips, pa.bool_())]
+        return pa.table(columns, ["doc_id", "n_words", "n_pieces", "ids", "decoded", "round_trip"])
+
+    ddl = "doc_id long, n_words long, n_pieces long, ids array<int>, decoded string, round_trip boolean"
+    return parts.groupBy("block").cogroup(fills.groupBy("block")).applyInArrow(run, ddl)
 
 
 def known_fragments(spark: SparkSession, docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -639,8 +615,8 @@ def known_fragments(spark: SparkSession, docs: DataFrame, pieces: Pieces) -> Dat
 def encode_texts(spark: SparkSession, docs: DataFrame, pieces: Pieces, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_words, n_pieces, ids of the whole text in order, decoded (those ids as text), round_trip: whether decoded is the text."""
     known = known_fragments(spark, docs, pieces)
-    # the ids lie on disk once: in this shuffle, which both ways below read
-    parts = encode_known(spark, docs, pieces, frequent(known, most)).repartition("uid")
-    fill = F.collect_list(F.struct("k", "ids")).alias("fill")
-    fills = _missing(parts).join(known.select("word", "ids"), "word").groupBy("uid").agg(fill)
-    return _finish(parts.join(fills, "uid", "left"), pieces)
+    shared = shared_ids(spark, frequent(known, most), pieces)
+    # the texts' numbers lie on disk once: in this shuffle, which both ways below read
+    parts = encode_known(docs, pieces, shared).repartition("block")
+    fills = _missing(parts).join(known.select("word", "ids"), "word").select("block", "k", "ids")
+    return _finish(parts, fills, pieces, shared)

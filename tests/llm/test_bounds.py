@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import sys
 
@@ -201,3 +202,45 @@ def test_words_are_cut_many_at_once():
     found, sizes = pieces.fragments_of(words)
     assert found == [f for w in words for f in pieces.fragments(w)] and sizes.tolist() == [len(pieces.fragments(w)) for w in words]
     assert pieces.fragments_of([])[0] == []
+
+
+def test_texts_are_cut_many_at_once():
+    pieces = P.Pieces(Q.tokenizer_path("piece_bpe_32k.model"))
+    random.seed(4)
+    texts = [None, "", " ", "  ", "\n", "a\nb", "a \n b", "\n\n", " a", "a ", "a  b c", "漢字 🙂é", "d▁e", "▁"]
+    texts += ["".join(random.choices(["ab", "the", " ", "  ", "\n", "é", "漢", "🙂", "0", "▁"], k=random.randint(0, 30))) for _ in range(300)]
+    fragments, sizes, n_words = pieces.cut(pa.array(["not this", *texts, "nor this"])[1:-1])
+    want, at = fragments.to_pylist(), 0
+    for text, size, n in zip(texts, sizes, n_words):
+        text = (text or "").replace("▁", " ")
+        words = re.findall(r"\n[^ \n]*| +[^ \n]*", " " + text) if text else []
+        assert want[at : at + size] == [f for w in words for f in pieces.fragments(w)] and n == len(words)
+        at += size
+    assert at == len(want)
+
+
+def test_blocks_of_texts_are_bounded(monkeypatch):
+    monkeypatch.setattr(P, "TEXTS", 4)
+    monkeypatch.setattr(P, "BLOCK_BYTES", 10)
+    texts = ["abc", None, "", "abcdefg", "x" * 50, "", "a", "a", "a", "a", "a"]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    blocks = [b.column(0).to_pylist() for b in P._blocks(iter([batch, batch.slice(0, 0), batch]), 0)]
+    assert [t for b in blocks for t in b] == texts * 2
+    assert all(len(b) <= 4 and (len(b) == 1 or sum(len(t or "") for t in b) <= 10) for b in blocks)
+
+
+def test_texts_are_shuffled_small_and_other_fragments_once_a_block(spark, monkeypatch):
+    pieces = P.Pieces(Q.tokenizer_path("piece_bpe_32k.model"))
+    seen, missing = [], P._missing
+    monkeypatch.setattr(P, "_missing", lambda parts: (seen.append(parts), missing(parts))[1])
+    texts = spark.createDataFrame([(i, "tionheheble andthontionwh the") for i in range(200)], "doc_id long, text string").repartition(2)
+    rows = P.encode_texts(spark, texts, pieces, 0).collect()
+    assert len(rows) == 200 and all(r.round_trip for r in rows)
+    # 600 words, of three kinds, in two tasks
+    assert missing(seen[0]).count() <= 6
+    seen.clear()
+    docs = table(spark, SF, "documents")
+    n = P.encode_texts(spark, docs, pieces).agg(F.sum("n_pieces")).head()[0]
+    binary = [f.name for f in seen[0].schema if f.dataType.simpleString() == "binary"]
+    # a byte a piece, where compressed ids of each text take more
+    assert seen[0].agg(sum(F.sum(F.octet_length(c)) for c in binary)).head()[0] < n
