@@ -53,9 +53,9 @@ SPACE = "▁"
 FREQUENT = 1 << 19
 FREQUENT_BYTES = 1 << 24
 #: Fragments (those of each block once), and bytes of texts, that a task counts before they are sent on.
-COUNTED, COUNTED_CHARS = 1 << 20, 1 << 25
+COUNTED, COUNTED_CHARS = 1 << 19, 1 << 25
 #: Texts of a block, and their bytes; a longer text is a block of its own.
-TEXTS, BLOCK_BYTES = 1024, 1 << 22
+TEXTS, BLOCK_BYTES = 1024, 1 << 21
 #: Below the least score, as the library has it for characters that are no piece.
 UNKNOWN = 10.0
 #: Later than any merge.
@@ -209,7 +209,7 @@ class Pieces:
         words[bounds[:-1][filled]] = True
         if self.lines:
             words |= data == ord("\n")
-        n_words = np.diff(np.append(0, np.cumsum(words))[bounds])
+        n_words = np.diff(np.searchsorted(np.flatnonzero(words), bounds))
         return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)), np.diff(np.searchsorted(at, first)), n_words
 
 
