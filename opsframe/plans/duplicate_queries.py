@@ -21,7 +21,7 @@ def _p(s, d):
 def _hashed(s, d, mapped: bool):
     """Products with a hash, those with or without a mapping."""
     known = view(s, d, "mappings_v").select(F.col("product_id").alias("id"))
-    own = _p(s, d).join(known, "id", "left_semi" if mapped else "left_anti")
+    own = D.met_by_sort(_p(s, d), known, ["id"], "left_semi" if mapped else "left_anti")
     return own.select("id", "brand", ((F.col("num") * 2654435761) % 1048576).alias("phash"))
 
 
@@ -29,7 +29,7 @@ def _wide(s, d, mapped: bool):
     """As _hashed, with hashes of 64 bits: 97 far apart, and three bits of each flipped by the product's number."""
     base = F.expr("cast(cast(num % 97 as decimal(38,0)) * 11400714819323198485 % 18446744073709551616 - 9223372036854775808 as bigint)")
     bit = lambda n: F.expr(f"shiftleft(1L, cast({n} as int))")
-    own = _p(s, d).join(view(s, d, "mappings_v").select(F.col("product_id").alias("id")), "id", "left_semi" if mapped else "left_anti")
+    own = D.met_by_sort(_p(s, d), view(s, d, "mappings_v").select(F.col("product_id").alias("id")), ["id"], "left_semi" if mapped else "left_anti")
     return own.select("id", "brand", base.bitwiseXOR(bit("num % 61")).bitwiseXOR(bit("num * 7 % 53")).bitwiseXOR(bit("num * 3 % 37")).alias("phash"))
 
 
